@@ -33,6 +33,12 @@ select conv_id, n_turns, sha256(all_text) as turns_sha256, cast(length(loss) as
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilspark.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilspark.llm.fingerprints import fingerprint_documents
 
