@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from vigilspark.llm.common import table
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilspark.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilspark.llm import chat_format as chat
 
@@ -39,6 +45,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilspark.llm.ngram_join import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
