@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from vigilspark.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilspark.llm.pieces import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilspark.llm.embedding_dedup import near_duplicates
 
