@@ -142,3 +142,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"links still change after {max_rounds} rounds")
     tops = e.select(F.col("v").alias("vertex")).distinct().select("vertex", F.col("vertex").alias("component"))
     return e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).distinct().unionByName(tops).groupBy("vertex").agg(F.min("component").alias("component"))
+
+
+def keep_rows(df: DataFrame, column: str, start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows, whole, for whose column start()'s function says true; no shuffle, no join back."""
+    schema = df.schema
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, schema)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -137,26 +138,32 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Profiles(letters, languages, ranks)
 
 
+def predictor(profiles: Profiles) -> Callable[[str | None], tuple[str, float]]:
+    """The function from a text to its language and score: 1 less the distance's share of the largest possible one."""
+    letters, languages, ranks = profiles
+    grams = Grams(letters)
+    places = np.arange(TOP, dtype=np.int32)
+
+    def one(text: str | None) -> tuple[str, float]:
+        codes = grams.codes(text) if text and languages else None
+        if codes is None:
+            return UNDETERMINED, 0.0
+        top = grams.top(codes)
+        far = np.abs(ranks[:, top] - places[: len(top)])
+        far[ranks[:, top] == TOP] = TOP
+        total = far.sum(axis=1)
+        best = int(total.argmin())
+        return languages[best], max(0.0, 1.0 - float(total[best]) / (TOP * len(top)))
+
+    return one
+
+
 def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score: 1 less the distance's share of the largest possible one."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(profiles)  # TOP places a language
+    """id, lang_pred, score."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # TOP places a language
 
     def start() -> object:
-        letters, languages, ranks = model.value
-        grams = Grams(letters)
-        places = np.arange(TOP, dtype=np.int32)
-
-        def one(text: str | None) -> tuple[str, float]:
-            codes = grams.codes(text) if text and languages else None
-            if codes is None:
-                return UNDETERMINED, 0.0
-            top = grams.top(codes)
-            far = np.abs(ranks[:, top] - places[: len(top)])
-            far[ranks[:, top] == TOP] = TOP
-            total = far.sum(axis=1)
-            best = int(total.argmin())
-            return languages[best], max(0.0, 1.0 - float(total[best]) / (TOP * len(top)))
+        one = predictor(shared.value)
 
         def work(batch: pa.RecordBatch) -> dict:
             found = [one(text) for text in batch.column("text").to_pylist()]
