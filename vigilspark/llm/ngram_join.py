@@ -219,7 +219,8 @@ def _bloom_places(ids: np.ndarray) -> list[np.ndarray]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, grams (sorted 64-bit hashes) of the wanted classes (id, key): read again from the text of their first document."""
+    """key, grams (sorted 64-bit hashes) of the wanted documents (id), read again from their texts without a shuffle. A
+    class may come twice, and false hits of the filter come as well; verification joins drop or repeat them harmlessly."""
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select("id")))
 
     def start() -> object:
@@ -231,16 +232,18 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for at in _bloom_places(ids):
                 hit &= (bits[at >> 3] >> (at & 7) & 1).astype(bool)
             some = batch.take(pa.array(np.flatnonzero(hit)))
-            return {"id": some.column("id"), "grams": [ngrams(t).tobytes() for t in some.column("text").to_pylist()]}
+            found = [ngrams(t) for t in some.column("text").to_pylist()]
+            return {"key": [set_key(h) for h in found], "grams": [h.tobytes() for h in found]}
 
         return work
 
-    found = per_batch(docs.select("id", "text"), "id long, grams binary", start)
-    return found.join(wanted, "id").select("key", "grams").dropDuplicates(["key"])
+    return per_batch(docs.select("id", "text"), "key long, grams binary", start)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes (key, id of a document) whose whole sets link."""
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = materialize(_sets(docs, keys.join(classes, "key")), "ngrams")
 
     def start() -> object:
         def links(a: bytes, b: bytes) -> bool:
@@ -260,7 +263,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("key").alias("a"), F.col("grams").alias("a_grams"))
     right = sets.select(F.col("key").alias("b"), F.col("grams").alias("b_grams"))
-    return per_batch(pairs.join(left, "a").join(right, "b").select("a", "b", "a_grams", "b_grams"), "a long, b long", start)
+    links = materialize(per_batch(pairs.join(left, "a").join(right, "b").select("a", "b", "a_grams", "b_grams"), "a long, b long", start), "links")
+    drop(sets)
+    return links
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,12 +276,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     entries = _entries(docs, _levels(first.filter("kind = 'cells'").select("id", "cells")))
     blocks = materialize(_blocks(entries), "blocks")
     classes = rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"))
-    listed = blocks.select("key").distinct().join(classes, "key")
-    sets = materialize(_sets(docs, listed.select("id", "key")), "ngrams")
 
     near = blocks.filter("prev_key is not null").filter(_allowed("prev_place", "place"))
     chain = materialize(near.select(F.least("key", "prev_key").alias("a"), F.greatest("key", "prev_key").alias("b")).distinct(), "pairs")
-    links = materialize(_verified(chain, sets), "links")
+    links = _verified(chain, docs, classes)
     found = components(links).select(F.col("vertex").alias("key"), "component")
 
     placed = blocks.select("gram", "key", "place").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -285,8 +288,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     a = open_blocks.select("gram", F.col("key").alias("a"), F.col("place").alias("a_place"), F.col("component").alias("a_component"))
     b = open_blocks.select("gram", F.col("key").alias("b"), F.col("place").alias("b_place"), F.col("component").alias("b_component"))
     across = a.join(b, "gram").filter("a < b and a_component <> b_component").filter(_allowed("a_place", "b_place"))
-    rest = across.select("a", "b").distinct().join(chain, ["a", "b"], "left_anti")
-    more = materialize(_verified(rest, sets), "links")
+    rest = materialize(across.select("a", "b").distinct().join(chain, ["a", "b"], "left_anti"), "pairs")
+    more = _verified(rest, docs, classes)
     both = components(links.unionByName(more)).select(F.col("vertex").alias("key"), F.col("component").alias("joined"))
 
     # A component's number is the least id among its classes.
@@ -294,7 +297,5 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     least = groups.groupBy("joined").agg(F.min("id").alias("component_id"))
     of_class = groups.join(least, "joined").select("key", "component_id")
     out = rows.join(of_class, "key", "left")
-    for t in (open_blocks,):
-        drop(t)
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
