@@ -115,14 +115,17 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the first as many (or all) of the next document by ascending id. Of rows that share an id, the next document is
     the one with the least text; a null id takes no part and is edited with nothing."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    d = d.withColumn("n_chars", F.length("text").cast("long"))
-    sizes = d.groupBy("id").agg(F.max("n_chars").alias("most")).filter("id is not null")
+    known = d.filter("id is not null")
+    sizes = known.groupBy("id").agg(F.max(F.length("text").cast("long")).alias("most"))
     order = next_ids(sizes)
     # What each document must lend: the first floor(n/4) code points for the longest text before it.
     lend = order.join(sizes, "id").select(F.col("next_id"), F.col("id").alias("for_id"), F.floor(F.col("most") / 4).cast("int").alias("want"))
-    lent = d.join(lend, d["id"] == lend["next_id"]).select("for_id", F.substr("text", F.lit(1), F.col("want")).alias("next_prefix"), "next_id")
-    lent = lent.groupBy("for_id", "next_id").agg(F.min("next_prefix").alias("next_prefix"))
-    both = d.join(lent, d["id"] == lent["for_id"], "left").drop("for_id")
+    # Texts are dealt by id once: both joins below read that same exchange, and only prefixes are dealt again.
+    lent = known.join(lend, known["id"] == lend["next_id"]).select("for_id", "next_id", F.substr("text", F.lit(1), F.col("want")).alias("next_prefix"))
+    lent = lent.groupBy("for_id").agg(F.min(F.struct("next_prefix", "next_id")).alias("lent"))
+    both = known.join(lent, known["id"] == lent["for_id"], "left").select("id", "text", "lent.next_prefix", "lent.next_id")
+    both = both.unionByName(d.filter("id is null").select("id", "text", F.lit("").alias("next_prefix"), F.lit(None).cast("long").alias("next_id")))
+    both = both.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substr(F.coalesce("next_prefix", F.lit("")), F.lit(1), cut))
     return both.withColumn("edited", edited).drop("next_prefix")

@@ -7,7 +7,8 @@ a sketch of all documents' n-gram counts (SKETCH cells whatever the input; any f
 order, the sketch only makes the blocks short), then by hash.
 
 Each block (the classes of one n-gram, by size) first yields neighbours only; survivors of the size bound and of
-the overlap that places in the order still allow are verified on whole sets, and links are joined to components. Then
+the overlap that places in the order still allow are verified on whole sets, in rounds of about one pair for each
+component, and links are joined to components. Then
 every block that still holds several components yields all pairs across components under the same bounds, less those
 judged already. So a group of near copies costs a chain, not its square, and no link between components is lost.
 
@@ -268,6 +269,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     return links
 
 
+def _linked_neighbours(chain: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links among neighbours (a, b, times) that give the components of all their links.
+
+    While there are more open pairs than classes, a round verifies one pair for each component, the one that most blocks
+    have; judged pairs and those within a component then leave. So near copies, whose order differs from block to block,
+    cost a few pairs for each class instead of one for each two neighbours. What is left is verified at once."""
+    ends = chain.select(F.col("a").alias("key")).unionByName(chain.select(F.col("b").alias("key"))).distinct().count()
+    open_pairs = chain.select("a", "b", "times", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    links = None
+    while True:
+        last = open_pairs.count() <= ends
+        todo = open_pairs.select("a", "b")
+        if not last:
+            sides = open_pairs.select(F.col("ca").alias("c"), "times", "a", "b").unionByName(open_pairs.select(F.col("cb").alias("c"), "times", "a", "b"))
+            best = sides.groupBy("c").agg(F.max(F.struct("times", "a", "b")).alias("best"))
+            todo = materialize(best.select("best.a", "best.b").distinct(), "pairs")
+        more = _verified(todo, docs, classes)
+        links = more if links is None else materialize(links.unionByName(more), "links")
+        if last:
+            return links
+        of = materialize(components(links), "components")
+        rest = open_pairs.select("a", "b", "times").join(todo, ["a", "b"], "left_anti")
+        for side in ("a", "b"):
+            rest = rest.join(of.select(F.col("vertex").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+        open_pairs = materialize(rest.filter("ca <> cb").select("a", "b", "times", "ca", "cb"), "pairs")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -278,8 +306,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"))
 
     near = blocks.filter("prev_key is not null").filter(_allowed("prev_place", "place"))
-    chain = materialize(near.select(F.least("key", "prev_key").alias("a"), F.greatest("key", "prev_key").alias("b")).distinct(), "pairs")
-    links = _verified(chain, docs, classes)
+    chain = materialize(near.groupBy(F.least("key", "prev_key").alias("a"), F.greatest("key", "prev_key").alias("b")).agg(F.count(F.lit(1)).alias("times")), "pairs")
+    links = _linked_neighbours(chain, docs, classes)
     found = components(links).select(F.col("vertex").alias("key"), "component")
 
     placed = blocks.select("gram", "key", "place").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
