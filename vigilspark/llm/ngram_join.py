@@ -9,8 +9,8 @@ order, the sketch only makes the blocks short), then by hash.
 Each block (the classes of one n-gram, by size) first yields neighbours only; survivors of the size bound and of
 the overlap that places in the order still allow are verified on whole sets, in rounds of about one pair for each
 component, and links are joined to components. Then
-every block that still holds several components yields all pairs across components under the same bounds, less those
-judged already. So a group of near copies costs a chain, not its square, and no link between components is lost.
+every block that still holds several components is judged across them in full: short blocks by pairs under the same bounds,
+less those judged already, long ones by a product of part against part. So a group of near copies costs a chain, not its square, and no link between components is lost.
 
 Defined results: null and blank texts have 0 n-grams and link with nothing; equal sets share a component; repeated rows
 each give a row; a null id gives a row with a null component; no rows give no rows; other columns are ignored."""
@@ -23,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.llm.common import components, drop, materialize, per_batch
+from vigilspark.llm.common import Forest, components, drop, materialize, per_batch
 
 WORDS = 5
 SKETCH_LOG2, CHUNK_LOG2 = 22, 17
 BLOOM_LOG2 = 26
+#: Blocks of so many rows or more go through the product, shorter ones through pairs; both ways are exact.
+LONG_BLOCK, PART, COLUMNS = 128, 256, 4096
 _FOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -269,6 +271,52 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     return links
 
 
+def _product(pdf: object) -> object:
+    """Links between the two sides of a unit, as a forest: overlap counts by a product of sparse incidence rows, column
+    block after column block; n-grams that one set alone has are left away, sizes bound the rest."""
+    import pandas as pd
+
+    same = bool((pdf["i"] == pdf["j"]).iat[0])
+    sides = (pdf, pdf) if same else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
+    forest = Forest()
+    if all(map(len, sides)):
+        sets = [[np.frombuffer(g, dtype=np.uint64) for g in side["grams"]] for side in sides]
+        names, times = np.unique(np.concatenate(sets[0] + ([] if same else sets[1])), return_counts=True)
+        names = names[times > 1]
+        sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in sets]
+        overlap = np.zeros((len(sets[0]), len(sets[1])), dtype=np.int64)
+        for at in range(0, len(names), COLUMNS):
+            block = names[at : at + COLUMNS]
+            rows = []
+            for side in sets[: 1 if same else 2]:
+                wide = np.zeros((len(side), len(block)), dtype=np.float32)
+                for k, x in enumerate(side):
+                    place = np.searchsorted(block, x)
+                    place[place == len(block)] = 0
+                    wide[k, place[block[place] == x]] = 1
+                rows.append(wide)
+            overlap += (rows[0] @ rows[-1].T).astype(np.int64)
+        linked = 100 * overlap >= 80 * (sizes[0][:, None] + sizes[1][None, :] - overlap)
+        linked &= sides[0]["component"].to_numpy()[:, None] != sides[1]["component"].to_numpy()[None, :]
+        for x, y in zip(sides[0]["key"].to_numpy()[np.nonzero(linked)[0]].tolist(), sides[1]["key"].to_numpy()[np.nonzero(linked)[1]].tolist(), strict=True):
+            forest.join(x, y)
+    ends = [e for e in ((x, forest.root(x)) for x in list(forest.up)) if e[0] != e[1]]
+    return pd.DataFrame({"a": pd.Series([e[0] for e in ends], dtype="int64"), "b": pd.Series([e[1] for e in ends], dtype="int64")})
+
+
+def _long_blocks(blocks: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links across the components of long blocks (gram, key, component, m): rows are dealt into parts of PART, and each
+    pair of parts is a unit of the product, so neither pairs nor a whole block meet in a task."""
+    blocks = materialize(blocks.select("gram", "key", "component", F.ceil(F.col("m") / PART).cast("int").alias("parts")), "long")
+    sets = materialize(_sets(docs, blocks.select("key").distinct().join(classes, "key")), "ngrams")
+    dealt = blocks.withColumn("b", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    units = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("b")).alias("i"), F.greatest(k, F.col("b")).alias("j"), (F.col("b") > k).cast("int").alias("side")))
+    rows = dealt.join(sets, "key").withColumn("unit", F.explode(units)).select("gram", "unit.i", "unit.j", "unit.side", "key", "component", "grams")
+    links = materialize(rows.groupBy("gram", "i", "j").applyInPandas(_product, "a long, b long"), "links")
+    drop(sets)
+    return links
+
+
 def _linked_neighbours(chain: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links among neighbours (a, b, times) that give the components of all their links.
 
@@ -311,13 +359,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = components(links).select(F.col("vertex").alias("key"), "component")
 
     placed = blocks.select("gram", "key", "place").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram")
+    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high").select("gram", "m")
     open_blocks = materialize(placed.join(mixed, "gram"), "open")
-    a = open_blocks.select("gram", F.col("key").alias("a"), F.col("place").alias("a_place"), F.col("component").alias("a_component"))
-    b = open_blocks.select("gram", F.col("key").alias("b"), F.col("place").alias("b_place"), F.col("component").alias("b_component"))
+    short = open_blocks.filter(F.col("m") < LONG_BLOCK)
+    a = short.select("gram", F.col("key").alias("a"), F.col("place").alias("a_place"), F.col("component").alias("a_component"))
+    b = short.select("gram", F.col("key").alias("b"), F.col("place").alias("b_place"), F.col("component").alias("b_component"))
     across = a.join(b, "gram").filter("a < b and a_component <> b_component").filter(_allowed("a_place", "b_place"))
     rest = materialize(across.select("a", "b").distinct().join(chain, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(rest, docs, classes)
+    more = _verified(rest, docs, classes).unionByName(_long_blocks(open_blocks.filter(F.col("m") >= LONG_BLOCK), docs, classes))
     both = components(links.unionByName(more)).select(F.col("vertex").alias("key"), F.col("component").alias("joined"))
 
     # A component's number is the least id among its classes.
