@@ -26,7 +26,6 @@ def syslog_header(line: Column, reference_time: str) -> Column:
     day = F.concat_ws(" ", F.year(ref).cast("string"), F.regexp_extract(line, D.SYSLOG_BSD, 1), F.regexp_extract(line, D.SYSLOG_BSD, 2), F.regexp_extract(line, D.SYSLOG_BSD, 3))
     local = _ntz(day, "yyyy MMM d HH:mm:ss")
     local = F.when(local > ref, local - F.expr("interval 1 year")).otherwise(local)
-    exact = F.to_utc_timestamp(F.expr("try_cast(null as timestamp)"), "UTC")
     text = _group(line, D.SYSLOG_RFC3339, 1)
     exact = F.convert_timezone(F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))
     pick = lambda b, r: F.when(bsd, _group(line, D.SYSLOG_BSD, b)).otherwise(_group(line, D.SYSLOG_RFC3339, r))
@@ -109,7 +108,7 @@ def audit_record(record: Column) -> Column:
 
 
 def audit_records(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n----\n|\n\s*\n"), F.trim), lambda r: r != "")
+    return F.filter(F.transform(F.split(text, r"\n----\n|\n\s*\n"), lambda r: F.trim(r)), lambda r: r != "")
 
 
 def enrich_by_pid(events: DataFrame, file: str = "path", order: str = "line_no") -> DataFrame:

@@ -11,18 +11,12 @@ from vigilspark import domains as D
 
 
 def filter_rule(source: Column, line: Column) -> Column:
-    """Name of the first rule that the lower-cased line meets; null keeps the row."""
-    low = F.lower(line)
-    any_of = lambda words: [low.contains(w) for w in words]
+    """Name of the first rule whose words the line holds, without case; null keeps the row."""
 
     def first(rules: dict[str, list[str]]) -> Column:
         out = F.lit(None).cast("string")
         for name, words in reversed(list(rules.items())):
-            met = any_of(words)
-            hit = met[0]
-            for m in met[1:]:
-                hit = hit | m
-            out = F.when(hit, name).otherwise(out)
+            out = F.when(line.rlike("|".join(map(_literal, words))), name).otherwise(out)
         return out
 
     return F.when(source.isin("web_access", "web_error"), first(D.WEB_FILTERS)).when(source == "auth_log", first(D.AUTH_FILTERS))
@@ -120,7 +114,7 @@ def enrich_kernel(events: DataFrame) -> DataFrame:
     lacks = F.col("source").startswith("ebpf_") & (F.col("is_malicious") == 1) & F.coalesce("src_ip", F.lit("")).isin("", "0.0.0.0") & F.col("_ip").isNotNull()
     joined = events.join(top, ["attack_type", "campaign_id"], "left").withColumn("_lacks", F.coalesce(lacks, F.lit(False)))
     session = F.concat("_ip", F.lit(":ebpf_"), F.right("campaign_id", F.lit(8)))
-    return joined.withColumn("session_id", F.when("_lacks", session).otherwise(F.col("session_id"))).withColumn("src_ip", F.when("_lacks", F.col("_ip")).otherwise(F.col("src_ip"))).drop("_ip", "_lacks").select(*events.columns)
+    return joined.withColumn("session_id", F.when(F.col("_lacks"), session).otherwise(F.col("session_id"))).withColumn("src_ip", F.when(F.col("_lacks"), F.col("_ip")).otherwise(F.col("src_ip"))).drop("_ip", "_lacks").select(*events.columns)
 
 
 def backfill(events: DataFrame) -> DataFrame:
@@ -130,7 +124,7 @@ def backfill(events: DataFrame) -> DataFrame:
     last = rows.filter("_pid is not null and src_ip is not null").groupBy("_pid").agg(F.max_by(F.struct("src_ip", "session_id"), "id").alias("_v"))
     joined = rows.join(last, "_pid", "left")
     lacks = F.col("src_ip").isNull() & F.col("session_id").isNull()
-    return joined.withColumn("_lacks", lacks).withColumn("src_ip", F.when("_lacks", F.col("_v.src_ip")).otherwise(F.col("src_ip"))).withColumn("session_id", F.when("_lacks", F.col("_v.session_id")).otherwise(F.col("session_id"))).select(*events.columns)
+    return joined.withColumn("_lacks", lacks).withColumn("src_ip", F.when(F.col("_lacks"), F.col("_v.src_ip")).otherwise(F.col("src_ip"))).withColumn("session_id", F.when(F.col("_lacks"), F.col("_v.session_id")).otherwise(F.col("session_id"))).select(*events.columns)
 
 
 def sampled(events: DataFrame, rate: float, time_text: str = "timestamp_text") -> DataFrame:

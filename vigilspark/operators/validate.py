@@ -44,7 +44,7 @@ def campaign_boundaries(events: DataFrame, campaigns: DataFrame) -> DataFrame:
 
 def campaign_types(events: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Types outside their campaign's comma list, and campaigns that do not exist."""
-    c = campaigns.select(F.col("id").alias("campaign_id"), F.transform(F.split("attack_type", ","), F.trim).alias("types"))
+    c = campaigns.select(F.col("id").alias("campaign_id"), F.transform(F.split("attack_type", ","), lambda t: F.trim(t)).alias("types"))
     joined = events.filter("is_malicious = 1 and campaign_id is not null").join(c, "campaign_id", "left")
     return _row(joined, "campaign_types", F.count_if(F.col("types").isNull() | ~F.coalesce(F.array_contains("types", F.col("attack_type")), F.lit(False))))
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilspark.functions.encode import channel, cyclic
 
@@ -43,7 +44,7 @@ def window_stack(events: DataFrame, row: str, columns: int, size: int, *keys: st
 
 def decaying_trace(events: DataFrame, row: str, gap: str = "dt_seconds", decay: float = 0.95, stream: str = "stream_id") -> DataFrame:
     """t = t * decay^gap + x along each stream. Sequential in a stream; streams run in parallel."""
-    schema = events.schema.add("trace", "array<double>")
+    schema = T.StructType([*events.schema.fields, T.StructField("trace", T.ArrayType(T.DoubleType()))])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, state, out = pdf.sort_values("id"), None, []
@@ -95,7 +96,7 @@ def session_features(events: DataFrame) -> DataFrame:
 def process_depth(events: DataFrame, stream: str = "stream_id") -> DataFrame:
     """Depth in the process tree: the parent's latest depth plus 1 (unknown parents count as 0), without parent 0;
     every process row sets its pid's depth anew. Sequential in a stream, streams run in parallel."""
-    schema = events.schema.add("depth", "int")
+    schema = T.StructType([*events.schema.fields, T.StructField("depth", T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, depth, out = pdf.sort_values("id"), {}, []

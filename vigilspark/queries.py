@@ -31,7 +31,9 @@ def register(sql: str | None = None, campaigns_too: bool = False) -> Callable[[C
         name = f.__name__
         _QUERIES[name] = lambda spark, sf_dir: f(event_view(spark, sf_dir))
         if sql:
-            _SQL[name] = f"with {event_sql()}{', ' + CAMPAIGN_SQL if campaigns_too else ''} {sql}" if not sql.lstrip().startswith("with") else f"with {event_sql()}{', ' + CAMPAIGN_SQL if campaigns_too else ''}, {sql.lstrip()[4:]}"
+            head = f"with {'recursive ' if sql.lstrip().startswith('with recursive') else ''}{event_sql()}{', ' + CAMPAIGN_SQL if campaigns_too else ''}"
+            body = sql.lstrip()
+            _SQL[name] = f"{head}, {body.removeprefix('with').lstrip().removeprefix('recursive ')}" if body.startswith("with") else f"{head} {body}"
 
     return add
 
@@ -138,9 +140,9 @@ def _index_sql(key: str, names: list[str]) -> str:
     return f"case {key} " + " ".join(f"when '{n}' then {k}::double / {len(names) - 1}" for k, n in enumerate(names)) + " end"
 
 
-@register(f"select id, coalesce(is_malicious::double, -1) as h0, round(coalesce({_index_sql('attack_type', D.ATTACK_TYPES)}, -1), 5) as h1, round(coalesce({_index_sql('attack_stage', D.ATTACK_STAGES)}, -1), 5) as h2, round(coalesce(severity::double / 3, -1), 5) as h3, round(coalesce(value / 100, -1), 2) as h4 from ev")
+@register(f"select id, coalesce(is_malicious::double, -1) as h0, round(coalesce({_index_sql('attack_type', D.ATTACK_TYPES)}, -1), 5) as h1, round(coalesce({_index_sql('attack_stage', D.ATTACK_STAGES)}, -1), 5) as h2, round(coalesce(severity::double / 3, -1), 5) as h3, round(coalesce(floor(value) / 100, -1), 2) as h4 from ev")
 def targets5(ev):
-    t = ev.select("id", E.targets(F.col("is_malicious"), F.col("attack_type"), F.col("attack_stage"), F.col("severity"), F.col("value")).alias("t"))
+    t = ev.select("id", E.targets(F.col("is_malicious"), F.col("attack_type"), F.col("attack_stage"), F.col("severity"), F.floor("value")).alias("t"))
     head = lambda k, n: F.round(F.nanvl(F.col("t")[k].cast("double"), F.lit(-1.0)), n)
     return t.select("id", head(0, 5).alias("h0"), head(1, 5).alias("h1"), head(2, 5).alias("h2"), head(3, 5).alias("h3"), head(4, 2).alias("h4"))
 
@@ -149,7 +151,7 @@ HOUR, DOW = "(hour(timestamp) + minute(timestamp) / 60.0)", "(isodow(timestamp)
 _HOTS = " || ".join([f"case when source = '{s}' then '1' else '0' end" for s in D.VECTOR_SOURCES] + [f"case when {'event_type' if e != 'other' else 'case when event_type in (' + ', '.join(map(quoted, D.VECTOR_EVENTS)) + ') then event_type else ' + quoted('other') + ' end'} = '{e}' then '1' else '0' end" for e in D.VECTOR_EVENTS])
 
 
-@register(f"select id, {_HOTS} || case when src_ip is null then '0' else '1' end || case when username is null then '0' else '1' end as hots, round(sin(2*pi()*{HOUR}/24), 4) as hs, round(cos(2*pi()*{HOUR}/24), 4) as hc, round(sin(2*pi()*{DOW}/7), 4) as ds, round(cos(2*pi()*{DOW}/7), 4) as dc from ev")
+@register(f"select id, {_HOTS} || case when src_ip is null then '0' else '1' end || case when username is null then '0' else '1' end as hots, round(sin(2*pi()*{HOUR}/24), 4) + 0.0 as hs, round(cos(2*pi()*{HOUR}/24), 4) + 0.0 as hc, round(sin(2*pi()*{DOW}/7), 4) + 0.0 as ds, round(cos(2*pi()*{DOW}/7), 4) + 0.0 as dc from ev")
 def event_vec24(ev):
     v = ev.select("id", E.event_vector(F.col("source"), F.col("event_type"), F.col("timestamp"), F.col("src_ip"), F.col("username")).alias("v"))
     bits = F.array_join(F.transform(F.concat(F.slice("v", 1, 18), F.slice("v", 23, 2)), lambda x: x.cast("int").cast("string")), "")
@@ -244,7 +246,7 @@ def _rules_sql(rules: dict[str, list[str]]) -> str:
 RULE = f"case when source in ('web_access', 'web_error') then {_rules_sql(D.WEB_FILTERS)} when source = 'auth_log' then {_rules_sql(D.AUTH_FILTERS)} end"
 
 
-@register(f"select source, {RULE} as rule, count(*) as n from ev group by all having rule is not null")
+@register(f"select source, rule, count(*) as n from (select source, {RULE} as rule from ev) where rule is not null group by 1, 2")
 def malicious_filter_hits(ev):
     return ev.withColumn("rule", R.filter_rule(F.col("source"), F.col("raw_line"))).filter("rule is not null").groupBy("source", "rule").agg(F.count(F.lit(1)).alias("n"))
 
@@ -452,12 +454,12 @@ _KEY = "case when coalesce(session_id, '') <> '' and id % 2 = 0 then session_id
 c as (select *, count(*) over (partition by key, net order by id) as c, row_number() over (partition by key, username order by id) = 1 and username is not null as u1, row_number() over (partition by key, src_ip order by id) = 1 and src_ip is not null as i1 from k),
 d as (select *, case when net is null then 0 else c * log2(c) - case when c > 1 then (c - 1) * log2(c - 1) else 0 end end as inc from c)
 select id, key, count(*) over w::double as f00, {_FEATURES}, count(*) filter (event_type not in ({', '.join(map(quoted, W.EVENT_COUNTERS))})) over w::double as f09, count(*) filter (u1) over w::double as f10, count(*) filter (i1) over w::double as f11,
-round(case when count(net) over w > 0 then greatest(0, log2(count(net) over w) - sum(inc) over w / count(net) over w) else 0 end, 5) as f12, round(f02 / greatest(f01 + f02, 1), 6) as f13, round(date_diff('microsecond', first(timestamp) over w, timestamp) / 1e6, 5) as f14, round(case when f00 > 1 then date_diff('microsecond', first(timestamp) over w, timestamp) / 1e6 / (f00 - 1) else 0 end, 5) as f15,
-round(sin(2*pi()*{HOUR}/24), 4) as f16, round(cos(2*pi()*{HOUR}/24), 4) as f17, round(sin(2*pi()*{DOW}/7), 4) as f18, round(cos(2*pi()*{DOW}/7), 4) as f19 from d window w as (partition by key order by id rows unbounded preceding)""")
+round(case when count(net) over w > 0 then greatest(0, log2(count(net) over w) - sum(inc) over w / count(net) over w) else 0 end, 5) as f12, round(f02 / greatest(f01 + f02, 1), 6) as f13, round(date_diff('microsecond', first(timestamp) over w, timestamp) / 1e6, 6) as f14, floor(case when f00 > 1 then date_diff('microsecond', first(timestamp) over w, timestamp) / 1e6 / (f00 - 1) else 0 end * 1000) / 1000 as f15,
+round(sin(2*pi()*{HOUR}/24), 4) + 0.0 as f16, round(cos(2*pi()*{HOUR}/24), 4) + 0.0 as f17, round(sin(2*pi()*{DOW}/7), 4) + 0.0 as f18, round(cos(2*pi()*{DOW}/7), 4) + 0.0 as f19 from d window w as (partition by key order by id rows unbounded preceding)""")
 def session_features20(ev):
     d = W.session_features(ev.withColumn("session_id", F.expr("case when id % 2 = 0 then session_id end")))
-    digits = {10: 0, 11: 0, 12: 5, 13: 6, 14: 5, 15: 5, 16: 4, 17: 4, 18: 4, 19: 4}
-    return d.select("id", "key", *[(F.round(f"f{k:02d}", digits[k]) + 0.0 if k > 11 else F.col(f"f{k:02d}")).alias(f"f{k:02d}") for k in range(20)])
+    digits = {10: 0, 11: 0, 12: 5, 13: 6, 14: 6, 16: 4, 17: 4, 18: 4, 19: 4}
+    return d.select("id", "key", *[(F.floor(F.col("f15") * 1000) / 1000 if k == 15 else F.round(f"f{k:02d}", digits[k]) + 0.0 if k > 11 else F.col(f"f{k:02d}")).alias(f"f{k:02d}") for k in range(20)])
 
 
 @register(f"select id, length(tail) as n, md5(tail) as digest from (select id, right(array_to_string(list(raw_line) over (partition by stream_id, channel order by id rows 4 preceding), chr(10)), 300) as tail from (select *, {CHANNEL} as channel from ev))")
@@ -500,9 +502,9 @@ def cycle_counts(ev):
     return C.cycle_counts(_benign(ev), DURATION)
 
 
-@register(f"with {_SPANS}, {_CYCLED} select id, source, cast(cycle as int) as cycle, round(elapsed, 4) as elapsed from cy")
+@register(f"with {_SPANS}, {_CYCLED} select id, source, cast(cycle as int) as cycle, round(elapsed, 6) as elapsed from cy")
 def cycle_rows(ev):
-    return C.cycled(_benign(ev), DURATION).select("id", "source", "cycle", F.round("elapsed", 4).alias("elapsed"))
+    return C.cycled(_benign(ev), DURATION).select("id", "source", "cycle", F.round("elapsed", 6).alias("elapsed"))
 
 
 _PLAN = [(0, "brute_force", 1000.0, 0, 5), (1, "execution", 50000.0, 3, 9), (2, "web_exploit", 90000.0, 2, 4), (3, "brute_force", 200000.0, 4, 6)]
@@ -517,15 +519,15 @@ _POOL = "po as (select *, row_number() over (partition by attack_type order by t
 _TRANS = f"pl(campaign, pool, offset_s, start, size) as (values {', '.join(map(repr, _PLAN))}), tr as (select po.id, po.source, po.raw_line, campaign, pos, offset_s + date_diff('microsecond', min(timestamp) over (partition by campaign), timestamp) / 1e6 as elapsed from po join pl on po.attack_type = pl.pool and pos >= start and pos < start + size)"
 
 
-@register(f"with {_POOL}, {_TRANS} select campaign::bigint as campaign, id, round(elapsed::double, 4) as elapsed from tr")
+@register(f"with {_POOL}, {_TRANS} select campaign::bigint as campaign, id, round(elapsed::double, 6) as elapsed from tr")
 def transplant(ev):
-    return _planned(ev).select("campaign", "id", F.round("elapsed", 4).alias("elapsed"))
+    return _planned(ev).select("campaign", "id", F.round("elapsed", 6).alias("elapsed"))
 
 
-@register(f"with {_SPANS}, {_CYCLED}, {_POOL}, {_TRANS}, m as (select id, source, elapsed, gen, cycle as a, id as b, 0 as bad from cy union all select id, source, elapsed::double, 4611686018427387904, campaign, pos, 1 from tr) select source, bad::int as is_malicious, count(*) as n, round(min(elapsed), 3) as first_s, round(max(elapsed), 3) as last_s from m group by 1, 2")
+@register(f"with {_SPANS}, {_CYCLED}, {_POOL}, {_TRANS}, m as (select id, source, elapsed, gen, cycle as a, id as b, 0 as bad from cy union all select id, source, elapsed::double, 4611686018427387904, campaign, pos, 1 from tr) select source, bad::int as is_malicious, count(*) as n, round(min(elapsed), 6) as first_s, round(max(elapsed), 6) as last_s from m group by 1, 2")
 def compose_merge(ev):
     m = C.merged(C.cycled(_benign(ev), DURATION), _planned(ev), START)
-    return m.groupBy("source", "is_malicious").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("elapsed"), 3).alias("first_s"), F.round(F.max("elapsed"), 3).alias("last_s"))
+    return m.groupBy("source", "is_malicious").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("elapsed"), 6).alias("first_s"), F.round(F.max("elapsed"), 6).alias("last_s"))
 
 
 @register()
