@@ -31,7 +31,7 @@ def file_blocks(spark: SparkSession, path: str, width: int = 2, block_ids: int =
     """Blocks of all files under path (each below 2 GiB, the binary reader's limit): file_id, block, payload."""
     files = spark.read.format("binaryFile").load(path)
     size = block_ids * width
-    cut = files.filter("length > 0").select(F.col("path").alias("file_id"), "content", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size))).cast("long").alias("block"))
+    cut = files.filter("length > 0").select(F.col("path").alias("file_id"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"))
     return cut.select("file_id", "block", F.substring("content", F.col("block").cast("int") * size + 1, F.lit(size)).alias("payload"))
 
 
@@ -86,7 +86,7 @@ def scan(blocks: DataFrame, end: int = END_OF_DOCUMENT, width: int = 2) -> DataF
         return work
 
     found = materialize(per_batch(blocks.select("file_id", F.col("block").cast("long").alias("block"), "payload"), "file_id string, block long, ids long, ends array<int>", start), "separators")
-    marks = found.select("file_id", "block", F.floor(F.col("block") / SPAN).alias("span"), "ids", F.size("ends").alias("n"), F.element_at("ends", -1).alias("last"))
+    marks = found.select("file_id", "block", F.floor(F.col("block") / SPAN).alias("span"), "ids", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
     # Blocks of a file may differ in size: places come from a prefix sum as well.
     spans = marks.groupBy("file_id", "span").agg(F.sum("ids").alias("ids"), F.sum("n").alias("n"))
     by_span, by_block = Window.partitionBy("file_id").orderBy("span"), Window.partitionBy("file_id", "span").orderBy("block")

@@ -13,7 +13,7 @@ of explained texts do not enter. Learned from at
 most TRAIN_ROWS labelled rows, the first by a hash of the id (the stated bound); word counts are summed on the
 executors, at most CANDIDATES words come to the driver.
 
-Defined results: null and empty texts score 0; without learnable labels a small fixed lexicon is used; null labels are
+Defined results: null and empty texts score 0; a small fixed lexicon holds beside what is learned, unless labels refute it; null labels are
 ignored; repeated rows each give a row; no rows give no rows; columns other than id and text are never read."""
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.llm.common import fold_of, per_batch
+from vigilspark.llm.common import fold_of, materialize, per_batch
 from vigilspark.llm.wfst import Fst, compose, least_cost
 
 TRAIN_ROWS = 30_000
@@ -40,14 +40,14 @@ SCOPE = 3  # words that a negation or a target reaches
 BIAS = 3.0
 TOKENS = re.compile(r"[^\W\d_]+|[.!?;\n\"“”«»„]")
 
-# Closed-class words of the grammar, and the lexicon for the case without labels.
+# Closed-class words of the grammar, and a small lexicon for what labels do not show.
 NEGATIONS = "not never no nobody nicht kein keine nie pas jamais aucun nunca tampoco jamás".split()
 REPORTS = "said says wrote quoted claimed reported called sagte sagt schrieb zitierte dit disait écrit cité dijo dice escribió citó".split()
 TARGETS = "you your yours u he she they them him her du dich dir ihr euch sie tu toi vous te vosotros usted ustedes ellos ellas".split()
 THREATS = "kill hurt destroy murder stab shoot töten umbringen verletzen tuer détruire frapper matar destruir golpear".split()
 QUOTES = list("\"“”«»„")
 ENDS = list(".!?;\n")
-FALLBACK = "idiot moron scum trash loser stupid pathetic worthless disgusting".split()
+FALLBACK = "idiot moron scum trash loser stupid pathetic worthless disgusting clown".split()
 
 INSULTS = [f"i{k}" for k in range(1, STEPS + 1)]
 CLASSES = [*INSULTS, "threat", "target", "neg", "report", "quote", "o"]
@@ -224,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
         return work
 
-    counted = per_batch(rows, "word string, t long, c long", counting).groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = materialize(per_batch(rows, "word string, t long, c long", counting).groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "words")
     stems = counted.filter("word <> ''").select(F.explode(F.array(*map(F.lit, STEM_LETTERS))).alias("n"), "word", "t", "c").filter("length(word) >= n").groupBy(F.substr("word", F.lit(1), F.col("n")).alias("word")).agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count_if(F.col("t") > 0).alias("words"))
     both = counted.select("word", "t", "c", F.lit(0).cast("long").alias("words")).unionByName(stems.filter("words >= 4"))
     total = counted.agg(F.sum(F.when(F.col("word") == "", F.col("t"))).alias("t"), F.sum(F.when(F.col("word") == "", F.col("c"))).alias("c"), F.count("word").alias("n")).first()
@@ -253,7 +253,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     for k, units_here in enumerate(texts):
         for u in units_here:
             where.setdefault(u, set()).add(k)
-    words: dict[str, int] = {}
+    # The fixed lexicon holds where labels do not speak against it.
+    refuted = {r["word"] for r in counted.filter(F.col("word").isin(FALLBACK)).collect() if r["t"] <= 2 * share * (r["t"] + r["c"])}
+    words: dict[str, int] = {w: 6 for w in FALLBACK if w not in refuted}
     stem_steps: dict[str, int] = {}
     covered = [0] * len(texts)
     while where:
