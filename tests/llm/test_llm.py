@@ -269,5 +269,17 @@ def test_pipeline(spark):
     for i, t in texts.items():
         groups[shingles(t)].add(i)
     assert all(len(kept & g) <= 1 for s, g in groups.items() if s)
-    toxic = {r["doc_id"] for r in spark.read.parquet(f"{d}/labels.parquet").filter("toxic = 1").collect()}
-    assert len(kept & toxic) <= 0.2 * len(toxic) and kept <= set(texts)
+    toxic = {r["doc_id"] for r in Q.op4_toxicity(spark, d).filter("predicted = 1").collect()}
+    assert not kept & toxic and kept <= set(texts)
+    forest = Forest()
+    clean = {i for i, t in texts.items() if i not in toxic and re.search(r"[^\W\d_]", t or "")}
+    by_gram = collections.defaultdict(set)
+    for i in clean:
+        for g in shingles(texts[i]):
+            by_gram[g].add(i)
+    for i in clean:
+        mine = shingles(texts[i])
+        for j, n in collections.Counter(j for g in mine for j in by_gram[g] if j < i).items():
+            if 100 * n >= 80 * (len(mine) + len(shingles(texts[j])) - n):
+                forest.join(i, j)
+    assert kept == {forest.root(i) for i in clean}
