@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilspark.llm.common import fold_of, per_batch
+from vigilspark.llm.common import fold_of, materialize, per_batch
 
 TOP = 300
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 1000
 MAX_LETTERS = 62
 UNDETERMINED = "und"
 
@@ -92,8 +92,10 @@ class Grams:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles of the rows given (the caller leaves held-out rows away)."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    sample = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PER_LANGUAGE).select("text", "lang")
+    # Ids alone are ranked, and the first of each task before any shuffle; texts join on the few that are chosen.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    chosen = known.select("id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PER_LANGUAGE).select("id", "lang").distinct()
+    sample = materialize(known.join(F.broadcast(chosen), ["id", "lang"]).select("text", "lang"), "sample")  # PER_LANGUAGE ids a language
 
     def letters_of() -> object:
         is_letter = _letter_table()
