@@ -55,7 +55,6 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-US = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', timestamp)")
 
 
 def us(c: str) -> F.Column:
