@@ -10,6 +10,8 @@ from vigilspark.functions import encode as E
 from vigilspark.operators import parse as P
 from vigilspark.operators import windows as W
 from vigilspark.plans.compose import CompositionConfig, parse_duration, schedule
+from vigilspark.plans.campaign import campaign_errors
+from vigilspark.sources import ingest
 from vigilspark.sources.store import EVENT_SCHEMA, EventStore, page
 from vigilspark.streaming import live, replay
 
@@ -121,3 +123,18 @@ def test_entry_imports_without_llm():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.exists("/root/testdata") or glob.glob("/")
+
+
+def test_batches_in_order_of_time(spark):
+    e = events(spark, [0] * 7)
+    assert [[r["id"] for r in b] for b in ingest.iter_batches(e, 3)] == [[0, 1, 2], [3, 4, 5], [6]]
+    assert [r["id"] for r in ingest.iter_rows(e, 2)] == [0, 1] and list(ingest.iter_batches(e.limit(0))) == []
+    with pytest.raises(ValueError):
+        next(ingest.iter_batches(e, 0))
+
+
+def test_campaign_errors():
+    good = "campaign: {name: a, target: {host: h}, phases: []}"
+    assert campaign_errors(good) == []
+    assert campaign_errors("campaign: {name: a, target: {}}") == ["missing key: phases", "missing key: host"]
+    assert campaign_errors("[1]") == ["missing key: campaign"] and campaign_errors("a: [")[0].startswith("not YAML")

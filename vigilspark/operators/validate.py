@@ -26,8 +26,7 @@ def label_consistency(events: DataFrame) -> DataFrame:
 
 def spot_check(events: DataFrame, per_type: int = 50, seed: int = 42) -> DataFrame:
     """A seeded sample of lines of each type against its patterns; below 60 % fails, below 80 % warns."""
-    order = Window.partitionBy("attack_type").orderBy(F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))), 256))
-    sample = events.filter((F.col("is_malicious") == 1) & F.col("attack_type").isin(*SPOT_PATTERNS)).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_type)
+    sample = seeded_sample(events.filter(F.col("attack_type").isin(*SPOT_PATTERNS)), per_type, seed)
     hit = reduce(lambda a, b: a | b, [(F.col("attack_type") == t) & F.col("raw_line").rlike(p) for t, p in SPOT_PATTERNS.items()])
     by_type = sample.groupBy("attack_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
     rated = by_type.agg(F.min(F.col("hits") / F.col("n")).alias("worst"), F.sum(F.col("n") - F.col("hits")).alias("n_bad"))
@@ -101,6 +100,29 @@ def all_benign(events: DataFrame) -> DataFrame:
     return _row(events, "all_benign", F.count_if(F.col("is_malicious") != 0))
 
 
+def source_distribution(events: DataFrame) -> DataFrame:
+    """Never fails: names the sources."""
+    n = events.agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("detail"))
+    return n.select(F.lit("source_distribution").alias("name"), F.lit("PASS").alias("status"), "detail")
+
+
+def event_count(events: DataFrame) -> DataFrame:
+    return events.agg(F.count(F.lit(1)).cast("string").alias("detail")).select(F.lit("event_count").alias("name"), F.lit("PASS").alias("status"), "detail")
+
+
+def strings_left(events: DataFrame, patterns: list[str]) -> DataFrame:
+    """A row for each string that a scrub should have removed: how many rows still hold it, all counted in one scan; warns only."""
+    held = [F.count_if(F.contains(F.lower("raw_line"), F.lit(p.lower())) | F.coalesce(F.contains(F.lower("parsed"), F.lit(p.lower())), F.lit(False))).alias(f"n{k}") for k, p in enumerate(patterns)]
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"n{k}").alias("n_bad")) for k, p in enumerate(patterns)]))
+    return events.agg(*held).select(rows.alias("r")).select("r.pattern", F.when(F.col("r.n_bad") > 0, "WARN").otherwise("PASS").alias("status"), "r.n_bad")
+
+
+def seeded_sample(events: DataFrame, per_type: int = 50, seed: int = 42) -> DataFrame:
+    """per_type malicious rows of each type, the first by a seeded digest of the id: the same rows on every run."""
+    order = Window.partitionBy("attack_type").orderBy(F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))), 256))
+    return events.filter("is_malicious = 1").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_type)
+
+
 CHECKS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "label_consistency": label_consistency, "spot_check": spot_check, "temporal_order": temporal_order,
     "no_unlabelled": no_unlabelled, "session_coherence": session_coherence, "all_benign": all_benign,

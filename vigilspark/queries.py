@@ -15,7 +15,8 @@ from vigilspark.operators import prepare as R
 from vigilspark.operators import validate as V
 from vigilspark.operators import windows as W
 from vigilspark.plans import compose as C
-from vigilspark.sources import files, store
+from vigilspark.plans.campaign import PROFILES, timing_segment
+from vigilspark.sources import files, ingest, store
 from vigilspark.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -618,3 +619,72 @@ def deny_lines(ev):
 @register("select campaign_id, min(ts_us) as first_us, max(ts_us) as last_us, string_agg(distinct attack_type, ',' order by attack_type) as attack_types, count(*) as n from ev where campaign_id is not null group by 1")
 def campaign_summary(ev):
     return ev.filter("campaign_id is not null").groupBy("campaign_id").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.nullif(F.array_join(F.array_sort(F.collect_set("attack_type")), ","), F.lit("")).alias("attack_types"), F.count(F.lit(1)).alias("n"))
+
+
+# Building and batches.
+_INGEST = f"(select 'h' || cast(user_id % 5 as string) as source_host, {PATHS} as path, case when id % 29 <> 0 then source end as source, raw_line from ev)"
+
+
+@register(f"select source_host, count(distinct path) as files, count(source) as parsed, count(source) filter ({RULE} is not null) as filtered, count(source) filter ({RULE} is null) as kept, count(*) - count(source) as errors from {_INGEST} group by 1")
+def ingest_stats(ev):
+    lines = ev.select(F.expr("'h' || cast(user_id % 5 as string)").alias("source_host"), F.expr(PATHS).alias("path"), F.expr("case when id % 29 <> 0 then source end").alias("source"), "raw_line")
+    return ingest.ingest_stats(lines)
+
+
+@register("select id, source, 0 as is_malicious, 0 as severity, cast(null as varchar) as attack_type from ev where source like 'ebpf%'")
+def carry_over_labels(ev):
+    return ingest.as_benign(ev.filter(F.col("source").startswith("ebpf"))).select("id", "source", "is_malicious", "severity", "attack_type")
+
+
+@register("select source as scope, count(*) as n, count(*) filter (is_malicious = 1) as malicious, min(ts_us) as first_us, max(ts_us) as last_us from ev group by 1 union all select 'all', count(*), count(*) filter (is_malicious = 1), min(ts_us), max(ts_us) from ev")
+def build_report(ev):
+    return ingest.build_report(ev).select("scope", "n", "malicious", us("first").alias("first_us"), us("last").alias("last_us"))
+
+
+@register("select batch, count(*) as n, min(id) as low, max(id) as high from (select id, (row_number() over (order by timestamp, id) - 1) // 300 as batch from ev) group by 1")
+def batch_bounds(ev):
+    return ingest.with_batch(ev, 300).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+
+
+@register("select attack_type, id from (select attack_type, id, row_number() over (partition by attack_type order by sha256(cast(id as varchar) || ':42')) as k from ev where is_malicious = 1) where k <= 20")
+def type_sample(ev):
+    return V.seeded_sample(ev, 20).select("attack_type", "id")
+
+
+@register("select t as attack_type from (values ('brute_force'), ('credential_stuffing'), ('web_exploit'), ('log4shell')) r(t) where t not in (select attack_type from ev where is_malicious = 1 and attack_type is not null)")
+def missing_types(ev):
+    asked = ev.sparkSession.createDataFrame([("brute_force",), ("credential_stuffing",), ("web_exploit",), ("log4shell",)], "attack_type string")
+    return asked.join(ev.filter("is_malicious = 1").select("attack_type").distinct(), "attack_type", "left_anti")
+
+
+_FLAG_PARTS = ", ".join(f"case when id % 4096 & {b} <> 0 then '{n}' end" for n, b in D.FLAG_BITS.items() if b > 2)
+
+
+@register(f"select id, concat_ws('|', case (id % 4096) & 3 when 1 then 'O_WRONLY' when 2 then 'O_RDWR' else 'O_RDONLY' end, {_FLAG_PARTS.replace('id % 4096 &', '(id % 4096) &')}) as flags from ev")
+def open_flag_names(ev):
+    return ev.select("id", E.flag_names((F.col("id") % 4096).cast("int")).alias("flags"))
+
+
+@register("select id, case when p <= 0.3 then 'slow' when p <= 0.7 then 'medium' else 'fast' end as segment from (select id, cast(least(1, greatest(0, value / 400 - 0.1)) as double) as p from ev)")
+def timing_segments(ev):
+    return ev.select("id", timing_segment(F.col("value") / 400 - 0.1, PROFILES["accelerating"]).alias("segment"))
+
+
+@register("select source, event_type, count(*) as n from ev where source like 'ebpf%' group by 1, 2")
+def kernel_categories(ev):
+    return ev.filter(F.col("source").startswith("ebpf")).groupBy("source", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("select 'source_distribution' as name, 'PASS' as status, string_agg(distinct source, ', ' order by source) as detail from ev")
+def check_source_distribution(ev):
+    return V.source_distribution(ev)
+
+
+@register("select 'event_count' as name, 'PASS' as status, cast(count(*) as varchar) as detail from ev")
+def check_event_count(ev):
+    return V.event_count(ev)
+
+
+@register("select p as pattern, case when n > 0 then 'WARN' else 'PASS' end as status, n as n_bad from (select p, count(*) filter (contains(lower(raw_line), p) or coalesce(contains(lower(parsed), p), false)) as n from ev, (values ('host2'), ('user14'), ('nowhere')) x(p) group by p)")
+def check_scrub_left(ev):
+    return V.strings_left(ev, ["host2", "user14", "nowhere"])
