@@ -138,3 +138,26 @@ def test_campaign_errors():
     assert campaign_errors(good) == []
     assert campaign_errors("campaign: {name: a, target: {}}") == ["missing key: phases", "missing key: host"]
     assert campaign_errors("[1]") == ["missing key: campaign"] and campaign_errors("a: [")[0].startswith("not YAML")
+
+
+def test_import_logs(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "web").mkdir()
+    (tmp_path / "auth.log").write_text(
+        "Jan  2 00:00:01 h sshd[12]: Failed password for invalid user bob from 1.2.3.4 port 5 ssh2\n"
+        "Jan  2 00:00:02 h sshd[12]: pam_unix(sshd:session): session opened for user bob by (uid=0)\n\nnonsense\n"
+    )
+    with gzip.open(tmp_path / "web" / "access.log.1.gz", "wt") as f:
+        f.write('9.9.9.9 - - [02/Jan/2026:10:00:00 +0000] "GET /x HTTP/1.1" 404 12 "-" "UA"\n')
+    (tmp_path / "ebpf.txt").write_text("2026-01-02T00:00:00.5Z connect pid=1 src=7.7.7.7:80\n")
+    (tmp_path / "wtmp").write_text("binary\n")
+    made = ingest.import_logs(spark, str(tmp_path), "2026-03-01 00:00:00", "h1")
+    rows = {r["raw_line"][:28]: r for r in made.collect()}
+    assert len(rows) == 5 and all(r["is_malicious"] == 0 for r in rows.values())
+    assert (rows["Jan  2 00:00:02 h sshd[12]: "]["src_ip"], rows["Jan  2 00:00:02 h sshd[12]: "]["session_id"]) == ("1.2.3.4", "1.2.3.4:5")
+    web = next(r for r in rows.values() if r["source"] == "web_access")
+    assert web["event_type"] == "http_error" and '"source_host":"h1"' in web["parsed"] and '"status":"404"' in web["parsed"]
+    assert rows["nonsense"]["source"] is None and any(r["source"] == "ebpf_network" and r["src_ip"] == "7.7.7.7" for r in rows.values())
+    stats = ingest.ingest_stats(made).first()
+    assert (stats["files"], stats["parsed"], stats["errors"]) == (3, 4, 1)

@@ -4,10 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from vigilspark.operators import parse as P
 from vigilspark.operators.prepare import filter_rule, resequenced
+from vigilspark.sources.files import read_lines, route
+
+
+EVENT = "struct<ts:timestamp_ntz,source:string,event_type:string,src_ip:string,username:string,session_id:string,service:string,pid:int,fields:map<string,string>>"
+
+
+def parsed_lines(lines: DataFrame, reference_time: str) -> DataFrame:
+    """lines(path, line_no, line, parser) -> the same rows with timestamp, source, event_type, src_ip, username, session_id,
+    service, pid, fields; all null (but path, line_no, line, parser) where the parser refuses a line."""
+    none = lambda kind="string": F.lit(None).cast(kind)
+
+    def event(ok, ts, source, kind, ip=None, user=None, session=None, service=None, pid=None, **fields):  # noqa: ANN001, ANN003, ANN202
+        found = [c for k, v in fields.items() for c in (F.lit(k), v.cast("string"))]
+        extra = F.map_filter(F.create_map(*found), lambda _, v: v.isNotNull()) if found else F.create_map().cast("map<string,string>")
+        parts = {"ts": ts, "source": source, "event_type": kind, "src_ip": ip, "username": user, "session_id": session, "service": service, "pid": pid if pid is not None else none("int"), "fields": extra}
+        return F.when(ok, F.struct(*[(none() if v is None else v).alias(k) for k, v in parts.items()]).cast(EVENT))
+
+    d = lines.withColumn("_h", F.when(F.col("parser").isin("auth_log", "syslog"), P.syslog_header(F.col("line"), reference_time)))
+    parsed = {"auth_log": P.auth_log(F.col("_h")), "syslog": P.syslog_event(F.col("_h"))} | {name: P.get(name)(F.col("line")) for name in ("web_access", "web_error", "journal", "ebpf")}
+    for name, column in parsed.items():
+        d = d.withColumn(f"_{name}", F.when(F.col("parser") == name, column))
+    h, a, w, e, j, k, lit = F.col("_h"), F.col("_auth_log"), F.col("_web_access"), F.col("_web_error"), F.col("_journal"), F.col("_ebpf"), F.lit
+    made = F.coalesce(
+        event(a.isNotNull(), h["ts"], lit("auth_log"), a["event_type"], a["src_ip"], a["username"], F.concat(a["src_ip"], lit(":"), a["port"]), lit("sshd"), h["pid"], pattern=a["pattern"], port=a["port"]),
+        event(F.col("_syslog").isNotNull(), h["ts"], lit("syslog"), F.col("_syslog"), service=h["service"], pid=h["pid"], message=h["message"]),
+        event(w.isNotNull(), w["ts"], lit("web_access"), w["event_type"], w["src_ip"], w["username"], w["session_id"], method=w["method"], path=w["path"], status=w["status"], size=w["size"], referer=w["referer"], user_agent=w["user_agent"]),
+        event(e.isNotNull(), e["ts"], lit("web_error"), lit("http_error"), e["src_ip"], pid=e["pid"], module=e["module"], level=e["level"], message=e["message"]),
+        event(j.isNotNull(), j["ts"], lit("journal"), j["event_type"], pid=j["pid"], message=j["message"], priority=j["priority"]),
+        F.when(k.isNotNull(), F.struct(k["ts"], k["source"], k["event_type"], k["src_ip"], none(), none(), none(), none("int"), k["fields"]).cast(EVENT)),
+    )
+    d = d.withColumn("_e", made)
+    out = d.select("path", "line_no", "line", "parser", F.col("_e.ts").alias("timestamp"), *[f"_e.{c}" for c in ("source", "event_type", "src_ip", "username", "session_id", "service", "pid", "fields")])
+    # Only rows of sshd processes look back over their file; rows without a pid stay out of that window.
+    looks = F.coalesce((F.col("source") == "auth_log") & F.col("pid").isNotNull(), F.lit(False))
+    return P.enrich_by_pid(out.filter(looks)).unionByName(out.filter(~looks))
+
+
+def import_logs(spark: SparkSession, path: str, reference_time: str, source_host: str | None = None) -> DataFrame:
+    """Benign events of all log files below path, each by its name's parser; refused lines keep a null source, so that
+    ingest_stats() can count them. Blank lines and files without a parser are left away."""
+    lines = read_lines(spark, path).withColumn("parser", route(F.col("path"))).filter("parser is not null and trim(line) <> ''")
+    rows = parsed_lines(lines, reference_time)
+    fields = F.col("fields") if source_host is None else F.map_concat("fields", F.create_map(F.lit("source_host"), F.lit(source_host)))
+    parsed = F.to_json(F.map_concat(fields, F.create_map(F.lit("event_type"), F.col("event_type"))))
+    return as_benign(rows.withColumn("parsed", F.when(F.col("source").isNotNull(), parsed)).withColumn("source_host", F.lit(source_host)).withColumnRenamed("line", "raw_line").drop("fields"))
 
 
 def ingest_stats(lines: DataFrame, host: str = "source_host") -> DataFrame:
