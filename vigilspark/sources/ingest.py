@@ -41,9 +41,11 @@ def parsed_lines(lines: DataFrame, reference_time: str) -> DataFrame:
     )
     d = d.withColumn("_e", made)
     out = d.select("path", "line_no", "line", "parser", F.col("_e.ts").alias("timestamp"), *[f"_e.{c}" for c in ("source", "event_type", "src_ip", "username", "session_id", "service", "pid", "fields")])
-    # Only rows of sshd processes look back over their file; rows without a pid stay out of that window.
-    looks = F.coalesce((F.col("source") == "auth_log") & F.col("pid").isNotNull(), F.lit(False))
-    return P.enrich_by_pid(out.filter(looks)).unionByName(out.filter(~looks))
+    # Rows without a pid get a number of their own, so that they neither meet in one window nor lend each other addresses.
+    # The split is by parser: a filter on parsed columns would be pushed down and parse each line anew for itself.
+    looks = F.col("parser") == "auth_log"
+    auth = P.enrich_by_pid(out.filter(looks).withColumn("pid", F.coalesce(F.col("pid").cast("long"), -1 - F.col("line_no"))))
+    return auth.withColumn("pid", F.when(F.col("pid") >= 0, F.col("pid")).cast("int")).unionByName(out.filter(~looks))
 
 
 def import_logs(spark: SparkSession, path: str, reference_time: str, source_host: str | None = None) -> DataFrame:
