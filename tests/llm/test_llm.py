@@ -209,6 +209,21 @@ def test_embeddings_against_brute_force(spark):
     assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (n[i], forest.root(i)) for i in got}
 
 
+def test_embeddings_of_a_large_dense_group(spark):
+    """A third of the rows are near copies, none identical: all links are found, inside the group and outside."""
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(3000, 64))
+    m[::3] = m[0] + rng.normal(size=(1000, 64)) * 0.175 * np.linalg.norm(m[0]) / 8
+    m[1:1500:3] = m[2:1501:3] + rng.normal(size=(500, 64)) * 0.3
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    assert linked[::3, ::3].mean() > 0.9 and linked[1:1500:3].any()
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(m)]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert got == dict(enumerate(linked.sum(axis=1).tolist()))
+
+
 def test_transducers():
     shout = Fst()
     shout.state()

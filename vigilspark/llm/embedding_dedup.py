@@ -1,14 +1,20 @@
-"""Embedding near-dedup by a pivot-permutation index.
+"""Embedding near-dedup by a pivot-permutation index, exact.
 
 Every vector is described by its NEAREST reference points (pivots) in order of nearness. Each of them is an inverted
-list of the vectors that it describes; within a list, vectors that share SHARED pivots or more are retrieved by a product of
-description rows, and verified by cosine in double precision. A pair is judged in one list only: that of its first
-shared pivot by number.
+list of the vectors that it describes; within a list vectors are verified by cosine in double precision.
 
-Pivots are a bounded sample: 2 sqrt(n) vectors, between 64 and 2048, the first by a hash of the id; every vector is
-indexed. Lists of more than BLOCK vectors are dealt into blocks, and each pair of blocks is a task's unit, so no
-list is gathered in one task. Links leave a unit as counts for each vector and as a forest with the same connectivity,
-not as pairs; n_links is the sum of the counts.
+Angles obey the triangle inequality. Let t be the threshold's angle. If a vector's nearest pivot and its last described
+one lie more than 2 t apart in angle from it, every vector within t is described by that nearest pivot, too: the pivot
+is the vector's home, and the home's list holds all its links. A list takes a vector only if it lies within t of the
+farthest vector at home there. Vectors without a home are listed together (REST) and judged against each other, so no
+link is missed whatever the pivots are; that part is quadratic in the vectors without a home of a label. A pair is
+judged in one list only: that of the lesser home of its ends.
+
+Pivots are a bounded sample: 2 sqrt(n) vectors, between 64 and 2048, the first by a hash of the id, without those whose
+cosine to a pivot kept before is APART or more, so that a dense group has few; every vector is indexed. Lists of more
+than BLOCK vectors are dealt into blocks, and each pair of blocks is a task's unit, so no list is gathered in one task.
+Links leave a unit as counts for each vector and as a forest with the same connectivity, not as pairs; n_links is the
+sum of the counts.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those with a null label, link
 with nothing (n_links 0, a component of their own); vectors of different lengths do not link; repeated ids are
@@ -24,11 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilspark.llm.common import Forest, components, materialize
+from vigilspark.llm.common import components, materialize
 
 THRESHOLD = 0.93
-NEAREST, SHARED = 8, 2
-BLOCK = 512
+NEAREST = 8
+APART = 0.8
+BLOCK = 2048
+#: The list of the vectors without a home; above all pivots.
+REST = 2**31 - 1
+#: Slack of angles for rounding; it only makes lists longer.
+SLACK = 1e-6
 
 
 def _matrix(batch: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
@@ -51,8 +62,17 @@ def _by_length(batch: pa.RecordBatch, column: str) -> list[tuple[int, pa.RecordB
     return [(int(d), batch.take(pa.array(np.flatnonzero(lengths == d)))) for d in np.unique(lengths) if d]
 
 
-def describe(vectors: DataFrame) -> DataFrame:
-    """vectors(id, v, label) -> a row for each usable vector and pivot: id, label, dim, pivot, pivots (in order of nearness), raw (float64 bytes)."""
+def _thinned(m: np.ndarray) -> np.ndarray:
+    """The unit vectors m without those near to one kept before."""
+    near, keep = m @ m.T >= APART, []
+    for k in range(len(m)):
+        if not near[k, keep].any():
+            keep.append(k)
+    return m[keep]
+
+
+def describe(vectors: DataFrame, threshold: float) -> DataFrame:
+    """vectors(id, v, label) -> a row for each usable vector: id, label, dim, home (REST if none), pivots (in order of nearness), angles to them, raw (float64 bytes)."""
     spark = vectors.sparkSession
     n = vectors.count()
     count = min(2048, max(64, math.ceil(2 * math.sqrt(n))))
@@ -62,30 +82,65 @@ def describe(vectors: DataFrame) -> DataFrame:
     chosen: dict[int, list] = {}
     for r in sample.select("dim", "v").collect():  # the bounded sample of pivots
         chosen.setdefault(r["dim"], []).append([math.nan if x is None else x for x in r["v"]])
-    pivots = {d: _unit(m[_usable(m)]) for d, rows in chosen.items() if _usable(m := np.array(rows, dtype=np.float64)).any()}
+    pivots = {d: _thinned(_unit(m[_usable(m)])) for d, rows in chosen.items() if _usable(m := np.array(rows, dtype=np.float64)).any()}
     shared = spark.sparkContext.broadcast(pivots)
+    margin = 2 * _angle(threshold) + SLACK
 
     def run(batches: object) -> object:
         for batch in batches:
             for dim, part in _by_length(batch, "v"):
-                if dim not in shared.value:
-                    continue
                 m = _matrix(part, "v", dim)
                 ok = np.flatnonzero(_usable(m))
                 m = m[ok]
                 if not len(m):
                     continue
-                near = -(_unit(m) @ shared.value[dim].T)
+                near = -(_unit(m) @ shared.value.get(dim, np.zeros((0, dim))).T)
                 k = min(NEAREST, near.shape[1])
-                top = np.argpartition(near, k - 1, axis=1)[:, :k]
+                top = np.argpartition(near, k - 1, axis=1)[:, :k] if k else np.zeros(near.shape, dtype=np.int64)
                 top = np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, axis=1), axis=1), axis=1).astype(np.int32)
+                angles = _angle(-np.take_along_axis(near, top, axis=1))
+                home = np.full(len(m), REST, dtype=np.int32)
+                if k:
+                    settled = (angles[:, 0] + margin < angles[:, -1]) | (k == near.shape[1])
+                    home[settled] = top[settled, 0]
                 kept = part.take(pa.array(ok))
                 yield pa.RecordBatch.from_arrays(
-                    [kept.column("id"), kept.column("label"), pa.array(np.full(len(ok), dim, dtype=np.int32)), pa.array(top.tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in m], pa.binary())],
-                    names=["id", "label", "dim", "pivots", "raw"],
+                    [kept.column("id"), kept.column("label"), pa.array(np.full(len(ok), dim, dtype=np.int32)), pa.array(home), pa.array(top.tolist(), pa.list_(pa.int32())), pa.array(angles.tolist(), pa.list_(pa.float64())), pa.array([r.tobytes() for r in m], pa.binary())],
+                    names=["id", "label", "dim", "home", "pivots", "angles", "raw"],
                 )
 
-    return vectors.filter("label is not null and v is not null").select("id", "label", "v").mapInArrow(run, "id long, label string, dim int, pivots array<int>, raw binary")
+    return vectors.filter("label is not null and v is not null").select("id", "label", "v").mapInArrow(run, "id long, label string, dim int, home int, pivots array<int>, angles array<double>, raw binary")
+
+
+def _angle(cosine: np.ndarray | float) -> np.ndarray | float:
+    return np.arccos(np.clip(cosine, -1.0, 1.0))
+
+
+def _listed(index: DataFrame, threshold: float) -> DataFrame:
+    """The index's rows for each list that may hold a link of theirs: label, dim, pivot, id, home, raw."""
+    reach = index.filter(F.col("home") < REST).groupBy("label", "dim", F.col("home").alias("pivot")).agg((F.max(F.element_at("angles", 1)) + float(_angle(threshold)) + SLACK).alias("reach"))
+    posts = index.withColumn("post", F.explode(F.arrays_zip("pivots", "angles"))).withColumn("pivot", F.col("post.pivots"))
+    columns = ["label", "dim", "pivot", "id", "home", "raw"]
+    near = posts.join(F.broadcast(reach), ["label", "dim", "pivot"]).filter(F.col("post.angles") <= F.col("reach")).select(*columns)  # one row a label and pivot
+    return near.unionByName(index.filter(F.col("home") == REST).withColumn("pivot", F.col("home")).select(*columns))
+
+
+def _stars(linked: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> list[tuple[int, int]]:
+    """(id, least id) for the ids of each connected part; each row of linked is read once."""
+    todo, out = linked.any(axis=1), []
+    while todo.any():
+        rows = np.zeros(len(todo), dtype=bool)
+        cols = np.zeros(linked.shape[1], dtype=bool)
+        front = np.array([todo.argmax()])
+        while len(front):
+            rows[front] = True
+            todo[front] = False
+            new = linked[front].any(axis=0) & ~cols
+            cols |= new
+            front = np.flatnonzero(linked[:, new].any(axis=1) & todo)
+        ids = np.unique(np.concatenate((a_id[rows], b_id[cols])))
+        out += [(int(x), int(ids[0])) for x in ids[1:]]
+    return out
 
 
 def _judge(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -97,27 +152,13 @@ def _judge(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         return empty
 
     def parts(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        m = _unit(np.stack([np.frombuffer(b) for b in side["raw"]]))
-        p = np.stack(side["pivots"].to_numpy())
-        return side["id"].to_numpy(), m, p
-
-    (a_id, a, ap), (b_id, b, bp) = parts(left), parts(right)
-    names = np.unique(np.concatenate((ap.ravel(), bp.ravel())))
-    wide = [np.zeros((len(p), len(names)), dtype=np.float32) for p in (ap, bp)]
-    for rows, p in zip(wide, (ap, bp), strict=True):
-        rows[np.arange(len(p))[:, None], np.searchsorted(names, p)] = 1
-    before = int(np.searchsorted(names, pivot))
-    shared = wide[0] @ wide[1].T
-    first_here = wide[0][:, :before] @ wide[1][:, :before].T == 0
-    linked = (shared >= min(SHARED, ap.shape[1])) & first_here & (a @ b.T >= threshold)
+        return side["id"].to_numpy(), _unit(np.stack([np.frombuffer(b) for b in side["raw"]])), side["home"].to_numpy()
+
+    (a_id, a, ah), (b_id, b, bh) = parts(left), parts(right)
+    linked = (a @ b.T >= threshold) & (np.minimum(ah[:, None], bh[None, :]) == pivot)
     if same:
         np.fill_diagonal(linked, False)
-    forest = Forest()
-    rows, cols = np.nonzero(linked)
-    for x, y in zip(a_id[rows].tolist(), b_id[cols].tolist(), strict=True):
-        forest.join(x, y)
-    ends = [(x, forest.root(x)) for x in list(forest.up)]
-    ends = [e for e in ends if e[0] != e[1]]
+    ends = _stars(linked, a_id, b_id)
     counts = [(a_id, linked.sum(axis=1))] if same else [(a_id, linked.sum(axis=1)), (b_id, linked.sum(axis=0))]
     ids, n = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts])
     u = [*ids[n > 0].tolist(), *(e[0] for e in ends)]
@@ -127,12 +168,11 @@ def _judge(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label"))
-    index = describe(v.filter("id is not null")).withColumn("pivot", F.explode("pivots"))
-    listed = materialize(index, "pivots")
+    listed = _listed(materialize(describe(v.filter("id is not null"), threshold), "pivots"), threshold)
     sizes = listed.groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = listed.join(sizes, ["label", "dim", "pivot"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("b")).alias("i"), F.greatest(k, F.col("b")).alias("j"), (F.col("b") > k).cast("int").alias("side")))
-    pairs = dealt.withColumn("unit", F.explode(units)).select("label", "dim", "pivot", "unit.i", "unit.j", "unit.side", "id", "pivots", "raw")
+    pairs = dealt.withColumn("unit", F.explode(units)).select("label", "dim", "pivot", "unit.i", "unit.j", "unit.side", "id", "home", "raw")
     found = materialize(pairs.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(lambda pdf: _judge(pdf, threshold), "u long, v long, n long"), "links")
     counts = found.filter("n is not null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n_links"))
     groups = components(found.filter("v is not null").select("u", "v")).select(F.col("vertex").alias("id"), F.col("component").alias("component_id"))
