@@ -31,6 +31,41 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
     assert plain(map(tuple, got.select(*columns).collect())) == plain(want.project(",".join(columns)).fetchall())
 
 
+def test_whole_queries_against_brute_force(spark, sf_dir):
+    """The queries without an id filter reach every row."""
+    from vigilspark.adapter import event_view
+
+    rows = [r.asDict() for r in event_view(spark, sf_dir).orderBy("id").collect()]
+    run = lambda name: Q.queries()[name](spark, sf_dir).collect()
+    assert {(r["id"], r["type"], r["key"]) for r in run("parse_audit_all")} == {(r["id"], "SYSCALL", f"key{r['id'] % 3}") for r in rows}
+    last, want = {}, {}
+    for r in rows:
+        t, trace = last.get(r["stream_id"], (r["timestamp"], 0.0))
+        trace = trace * 0.95 ** ((r["timestamp"] - t).total_seconds() / 1e3) + r["value"]
+        last[r["stream_id"]], want[r["id"]] = (r["timestamp"], trace), trace
+    got = {r["id"]: r["trace"] for r in run("decay_trace_all")}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+    pools, cycles = {}, {}
+    for r in rows:
+        if r["is_malicious"] == 0:
+            pools.setdefault(r["source"], []).append(r)
+    for source, pool in pools.items():
+        first, end = min(r["timestamp"] for r in pool), max(r["timestamp"] for r in pool)
+        step = ((end - first).total_seconds() or 1.0) + 1
+        for r in pool:
+            at, k = (r["timestamp"] - first).total_seconds(), 0
+            while at + k * step <= 40 * 86400:
+                cycles[r["id"], source, k] = at + k * step
+                k += 1
+    made = {(r["id"], r["source"], r["cycle"]): r["elapsed"] for r in run("cycle_rows_all")}
+    assert made.keys() == cycles.keys() and all(made[k] == pytest.approx(cycles[k], abs=1e-5) for k in made)
+    counts = {s: sum(k[1] == s for k in cycles) for s in pools}
+    assert {r["source"]: r["n"] for r in run("cycle_counts_all")} == counts
+    merged = {r["source"]: r for r in run("compose_merge_all") if r["is_malicious"] == 0}
+    assert {s: r["n"] for s, r in merged.items()} == counts
+    assert all(r["last_s"] == pytest.approx(max(v for k, v in cycles.items() if k[1] == s), abs=1e-5) for s, r in merged.items())
+
+
 @pytest.mark.parametrize(("text", "seed", "want"), [("test", 0, 0xBA6BD213), ("Hello, world!", 0, 0xC0363E43), ("Hello, world!", 0x9747B28C, 0x24884CBA), ("wget", 1, 54516641), ("/tmp/payload.sh", 2, 2533371248)])
 def test_murmur3_vectors(text, seed, want):
     assert E.murmur3_numpy(text, seed) == want

@@ -225,8 +225,17 @@ def pid_enrich(ev):
 
 @register("select id, 'SYSCALL' as type, 'key' || (id % 3) as key, (ts_us // 1000000) as ts_s from ev where id % 10 = 0")
 def parse_audit(ev):
+    return _audit(ev.filter("id % 10 = 0"))
+
+
+@register()
+def parse_audit_all(ev):
+    return _audit(ev)
+
+
+def _audit(ev: DataFrame) -> DataFrame:
     record = F.concat(F.lit("type=X type=SYSCALL msg=audit("), F.date_format("timestamp", "MM/dd/yyyy HH:mm:ss"), F.lit('.123:77): pid=1 key="key'), (F.col("id") % 3).cast("string"), F.lit('"')).alias("r")
-    d = ev.filter("id % 10 = 0").select("id", F.explode(P.audit_records(F.concat(record, F.lit("\n----\n")))).alias("r")).withColumn("a", P.audit_record(F.col("r")))
+    d = ev.select("id", F.explode(P.audit_records(F.concat(record, F.lit("\n----\n")))).alias("r")).withColumn("a", P.audit_record(F.col("r")))
     return d.select("id", "a.type", F.col("a.fields")["key"].alias("key"), F.floor(us("a.ts") / 1000000).alias("ts_s"))
 
 
@@ -483,7 +492,16 @@ def window_stack(ev):
 r as (select id, stream_id, k, t, value as trace from g where k = 1 union all select g.id, g.stream_id, g.k, g.t, r.trace * power(0.95, g.t - r.t) + g.value from r join g on g.stream_id = r.stream_id and g.k = r.k + 1)
 select id, round(trace, 4) as trace from r""")
 def decay_trace(ev):
-    d = W.with_gap(ev.filter("id % 20 = 0"), "stream_id").withColumn("dt_seconds", F.col("dt_seconds") / 1e3).withColumn("row", F.array("value"))
+    return _traces(ev.filter("id % 20 = 0"))
+
+
+@register()
+def decay_trace_all(ev):
+    return _traces(ev)
+
+
+def _traces(ev: DataFrame) -> DataFrame:
+    d = W.with_gap(ev, "stream_id").withColumn("dt_seconds", F.col("dt_seconds") / 1e3).withColumn("row", F.array("value"))
     return W.decaying_trace(d.select("id", "stream_id", "row", "dt_seconds"), "row").select("id", F.round(F.col("trace")[0], 4).alias("trace"))
 
 
@@ -497,14 +515,32 @@ def _benign(ev: DataFrame) -> DataFrame:
     return ev.filter("is_malicious = 0 and id % 3 = 0")
 
 
+def _all_benign(ev: DataFrame) -> DataFrame:
+    return ev.filter("is_malicious = 0")
+
+
 @register(f"with {_SPANS}, {_CYCLED} select source, count(*) as n from cy group by source")
 def cycle_counts(ev):
     return C.cycle_counts(_benign(ev), DURATION)
 
 
+@register()
+def cycle_counts_all(ev):
+    return C.cycle_counts(_all_benign(ev), DURATION)
+
+
 @register(f"with {_SPANS}, {_CYCLED} select id, source, cast(cycle as int) as cycle, round(elapsed, 6) as elapsed from cy")
 def cycle_rows(ev):
-    return C.cycled(_benign(ev), DURATION).select("id", "source", "cycle", F.round("elapsed", 6).alias("elapsed"))
+    return _cycles(_benign(ev))
+
+
+@register()
+def cycle_rows_all(ev):
+    return _cycles(_all_benign(ev))
+
+
+def _cycles(benign: DataFrame) -> DataFrame:
+    return C.cycled(benign, DURATION).select("id", "source", "cycle", F.round("elapsed", 6).alias("elapsed"))
 
 
 _PLAN = [(0, "brute_force", 1000.0, 0, 5), (1, "execution", 50000.0, 3, 9), (2, "web_exploit", 90000.0, 2, 4), (3, "brute_force", 200000.0, 4, 6)]
@@ -526,7 +562,16 @@ def transplant(ev):
 
 @register(f"with {_SPANS}, {_CYCLED}, {_POOL}, {_TRANS}, m as (select id, source, elapsed, gen, cycle as a, id as b, 0 as bad from cy union all select id, source, elapsed::double, 4611686018427387904, campaign, pos, 1 from tr) select source, bad::int as is_malicious, count(*) as n, round(min(elapsed), 6) as first_s, round(max(elapsed), 6) as last_s from m group by 1, 2")
 def compose_merge(ev):
-    m = C.merged(C.cycled(_benign(ev), DURATION), _planned(ev), START)
+    return _merge_counts(ev, _benign(ev))
+
+
+@register()
+def compose_merge_all(ev):
+    return _merge_counts(ev, _all_benign(ev))
+
+
+def _merge_counts(ev: DataFrame, benign: DataFrame) -> DataFrame:
+    m = C.merged(C.cycled(benign, DURATION), _planned(ev), START)
     return m.groupBy("source", "is_malicious").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("elapsed"), 6).alias("first_s"), F.round(F.max("elapsed"), 6).alias("last_s"))
 
 
