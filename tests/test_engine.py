@@ -66,6 +66,30 @@ def test_whole_queries_against_brute_force(spark, sf_dir):
     assert all(r["last_s"] == pytest.approx(max(v for k, v in cycles.items() if k[1] == s), abs=1e-5) for s, r in merged.items())
 
 
+def test_windows_of_full_size(spark, tmp_path):
+    """500 lines cut at 50,000 characters, 50 rows; lines are made long enough that the cut binds."""
+    import hashlib
+
+    from vigilspark.adapter import event_view
+
+    made = spark.range(1300).selectExpr("3 * id + 1 as event_id", "timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as ts", "13132900 + id % 2 as user_id", "'view' as event_type", "1.0D as value", "'{}' as props")
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    rows = [r.asDict() for r in event_view(spark, str(tmp_path)).withColumn("channel", E.channel(F.col("source"))).orderBy("id").collect()]
+    lines, numbers, tails, rings, stacks = {}, {}, {}, {}, {}
+    for r in rows:
+        lines.setdefault((r["stream_id"], r["channel"]), []).append(r["raw_line"])
+        tail = "\n".join(lines[r["stream_id"], r["channel"]][-500:])[-50_000:]
+        tails[r["id"]] = (len(tail), hashlib.md5(tail.encode()).hexdigest())
+        last = numbers.setdefault(r["stream_id"], [])
+        last.append(str(r["id"] % 100))
+        rings[r["id"]] = ",".join(last[-50:] + ["0"] * (50 - len(last)))
+        stacks[r["id"]] = ",".join(["0"] * (50 - len(last)) + last[-50:])
+    assert max(n for n, _ in tails.values()) == 50_000
+    assert {r["id"]: (r["n"], r["digest"]) for r in Q.queries()["text_tail_500"](spark, str(tmp_path)).collect()} == tails
+    assert {r["id"]: r["ring"] for r in Q.queries()["struct_ring_50"](spark, str(tmp_path)).collect()} == rings
+    assert {r["id"]: r["stack"] for r in Q.queries()["window_stack_50"](spark, str(tmp_path)).collect()} == stacks
+
+
 @pytest.mark.parametrize(("text", "seed", "want"), [("test", 0, 0xBA6BD213), ("Hello, world!", 0, 0xC0363E43), ("Hello, world!", 0x9747B28C, 0x24884CBA), ("wget", 1, 54516641), ("/tmp/payload.sh", 2, 2533371248)])
 def test_murmur3_vectors(text, seed, want):
     assert E.murmur3_numpy(text, seed) == want

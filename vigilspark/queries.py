@@ -473,18 +473,45 @@ def session_features20(ev):
 
 @register(f"select id, length(tail) as n, md5(tail) as digest from (select id, right(array_to_string(list(raw_line) over (partition by stream_id, channel order by id rows 4 preceding), chr(10)), 300) as tail from (select *, {CHANNEL} as channel from ev))")
 def text_tail(ev):
-    return W.text_tail(ev, 5, 300).select("id", F.length("tail").cast("long").alias("n"), F.md5("tail").alias("digest"))
+    return _tails(W.text_tail(ev, 5, 300))
+
+
+@register()
+def text_tail_500(ev):
+    return _tails(W.text_tail(ev))
+
+
+def _tails(tails: DataFrame) -> DataFrame:
+    return tails.select("id", F.length("tail").cast("long").alias("n"), F.md5("tail").alias("digest"))
 
 
 @register("select id, array_to_string(list_concat(w, list_resize([]::bigint[], 4 - len(w), 0)), ',') as ring from (select id, list(id % 100) over (partition by stream_id order by id rows 3 preceding) as w from ev)")
 def struct_ring(ev):
-    d = W.ring(ev.withColumn("row", F.array((F.col("id") % 100).cast("float"))), "row", 1, 4, "stream_id")
+    return _rings(ev, 4)
+
+
+@register()
+def struct_ring_50(ev):
+    return _rings(ev, 50)
+
+
+def _rings(ev: DataFrame, rows: int) -> DataFrame:
+    d = W.ring(ev.withColumn("row", F.array((F.col("id") % 100).cast("float"))), "row", 1, rows, "stream_id")
     return d.select("id", F.array_join(F.transform("ring", lambda r: r[0].cast("int").cast("string")), ",").alias("ring"))
 
 
 @register("select id, array_to_string(list_concat(list_resize([]::bigint[], 4 - len(w), 0), w), ',') as stack from (select id, list(id % 100) over (partition by stream_id order by id rows 3 preceding) as w from ev)")
 def window_stack(ev):
-    d = W.window_stack(ev.withColumn("row", F.array((F.col("id") % 100).cast("double"))), "row", 1, 4, "stream_id")
+    return _stacks(ev, 4)
+
+
+@register()
+def window_stack_50(ev):
+    return _stacks(ev, 50)
+
+
+def _stacks(ev: DataFrame, size: int) -> DataFrame:
+    d = W.window_stack(ev.withColumn("row", F.array((F.col("id") % 100).cast("double"))), "row", 1, size, "stream_id")
     return d.select("id", F.array_join(F.transform("stack", lambda x: x.cast("int").cast("string")), ",").alias("stack"))
 
 
