@@ -28,12 +28,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a predicted language; texts that are null, without letters or unlike every profile go."""
+    """Documents with a predicted language; texts that are null, without letters or unlike every profile go.
+
+    Where no language could be learned, all texts with letters stay."""
     profiles = language_id.learn(docs.filter(fold_of("doc_id", 5) != 0))
     shared = spark.sparkContext.broadcast(profiles)
 
     def start() -> object:
         predict = language_id.predictor(shared.value)
+        if not shared.value.languages:
+            grams = language_id.Grams(shared.value.letters)
+            return lambda texts: [bool(t) and grams.codes(t) is not None for t in texts]
 
         def keep(texts: list) -> list[bool]:
             found = [predict(t) for t in texts]
@@ -45,11 +50,12 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group; of rows that share that id one stays; null ids all stay."""
-    groups = ngram_join.join(docs)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The document with the least id of each group, null ids last; rows are grouped by text, whatever ids they share."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = ngram_join.join(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id")
+    ranked = groups.join(rows.select("_row", "doc_id"), "_row").select("component_id", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("place"))
+    kept = ranked.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

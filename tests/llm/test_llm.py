@@ -298,3 +298,20 @@ def test_pipeline(spark):
             if 100 * n >= 80 * (len(mine) + len(shingles(texts[j])) - n):
                 forest.join(i, j)
     assert kept == {forest.root(i) for i in clean}
+
+
+def test_pipeline_keeps_rows_by_text(spark):
+    """Repeated and null ids: a row goes only if another row of like text stays."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{w}{k}" for k in range(30)) for w in ("ant", "bee", "cow"))
+    d = docs(spark, [(3, a), (5, a), (5, b), (None, c), (None, c), (None, a)])
+    got = corpus_pipeline.one_of_each_group(spark, d, "").collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == {(3, a): 1, (5, b): 1, (None, c): 1}
+
+
+def test_pipeline_without_languages(spark):
+    import corpus_pipeline
+
+    d = docs(spark, [(1, "abc def"), (2, None), (3, "12 3!"), (4, "\u6f22")], dict.fromkeys((1, 2, 3, 4)))
+    assert {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, d, "").collect()} == {1, 4}
