@@ -145,6 +145,12 @@ def test_token_counts(spark, corpus):
     assert got == {i: len(encode(t or "")) for i, t in corpus}
 
 
+def test_token_counts_of_the_end_token_as_text(spark):
+    got = token_counts.count_documents(docs(spark, [(1, "a<|endoftext|>b"), (2, "ab"), (3, "<|endoftext|>")]), Q.tokenizer_path("byte_bpe_50k.json")).collect()
+    n = {r["doc_id"]: r["n_tokens"] for r in got}
+    assert len(got) == 3 and n[1] > n[3] > 1
+
+
 def test_pieces_equal_the_library(spark, corpus):
     import sentencepiece
 

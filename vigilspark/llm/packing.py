@@ -58,6 +58,7 @@ def encoder(json_path: str) -> object:
             return coder.encode(text, allowed_special="all")
         return coder.encode_ordinary(text)
 
+    encode.ordinary = coder.encode_ordinary  # special tokens' strings as ordinary text
     return encode
 
 

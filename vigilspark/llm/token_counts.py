@@ -39,18 +39,18 @@ def token_blocks(docs: DataFrame, json_path: str, block_ids: int = BLOCK_IDS, en
     """Write documents as flat token files of 16-bit ids, one for each task: kind 'block' rows hold blocks cut without
     regard to documents (file_id, seq, payload), kind 'doc' rows say which document stands where (file_id, seq, doc_id).
 
-    Occurrences of the end id inside a text are no separators: texts are encoded as ordinary text."""
+    Texts are encoded as ordinary text, so the end token's string inside a text gives no separator."""
     schema = pa.schema([("kind", pa.string()), ("file_id", pa.string()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: object) -> object:
         from pyspark import TaskContext
 
-        encode = encoder(json_path)
+        encode = encoder(json_path).ordinary
         file_id, held, held_n, block, seq = f"part-{TaskContext.get().partitionId():06d}", [], 0, 0, 0
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*(x for x in encode(text) if x != end), end] if text else [end], dtype="<u2")
+                ids = np.array([*encode(text), end] if text else [end], dtype="<u2")
                 held.append(ids)
                 held_n += len(ids)
                 out.append(("doc", file_id, seq, doc, None))
