@@ -279,6 +279,16 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs(spark, [(1, "abc")], {1: None})).collect()} == {"und"}
 
 
+def test_languages_of_several_scripts(spark):
+    """More letters than one small alphabet holds: languages that differ only in rarer scripts are told apart."""
+    rng = random.Random(6)
+    scripts = {"la": [chr(97 + k) for k in range(26)], "ru": [chr(0x430 + k) for k in range(40)], "xa": [chr(0x4E00 + k) for k in range(40)], "xb": [chr(0x5E00 + k) for k in range(40)]}
+    rows = list(enumerate([*["la", "ru"] * 60, *["xa", "xb"] * 20]))
+    texts = [(k, " ".join("".join(rng.choice(scripts[lang]) for _ in range(4)) for _ in range(60))) for k, lang in rows]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs(spark, texts, dict(rows))).collect()}
+    assert got == dict(rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

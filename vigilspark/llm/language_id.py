@@ -1,7 +1,7 @@
 """Language ID by rank-order profiles: a document's most frequent n-grams against each language's, by out-of-place distance.
 
-Letters are lower-cased and mapped to a learned alphabet (the most frequent letters of the sample; the others share
-one symbol); runs of other characters are one boundary symbol. N-grams of 1 to 3 symbols are counted over the whole
+Letters are lower-cased and mapped to a learned alphabet (all letters of the sample, of whatever script; letters
+that it lacks share one symbol); runs of other characters are one boundary symbol. N-grams of 1 to 3 symbols are counted over the whole
 text; the TOP most frequent, ties by code, form a profile. The distance adds, over the document's profile, how far
 each n-gram stands from its place in the language's profile, TOP where the language lacks it.
 
@@ -29,14 +29,16 @@ from vigilspark.llm.common import fold_of, materialize, per_batch
 
 TOP = 300
 PER_LANGUAGE = 1000
-MAX_LETTERS = 62
+#: Code spaces up to this are counted in dense arrays.
+DENSE = 1 << 19
 UNDETERMINED = "und"
 
 
 class Profiles(NamedTuple):
     letters: np.ndarray  # code points, most frequent first
     languages: list[str]
-    ranks: np.ndarray  # language x n-gram code -> place in the profile, TOP where absent
+    known: np.ndarray  # codes of all profiles, sorted
+    ranks: np.ndarray  # language x place in known -> place in the profile, TOP where absent; a last column for other codes
 
 
 @functools.cache
@@ -52,9 +54,9 @@ class Grams:
     """N-gram codes of texts over an alphabet: boundary 0, letters from 1, other letters last."""
 
     def __init__(self, letters: np.ndarray) -> None:
-        self.bits = int(len(letters) + 2).bit_length() if len(letters) < MAX_LETTERS else 6
+        self.bits = int(len(letters) + 1).bit_length()
         self.size = 1 << 3 * self.bits
-        self.symbol = np.where(_letter_table(), len(letters) + 1, 0).astype(np.int32)
+        self.symbol = np.where(_letter_table(), len(letters) + 1, 0).astype(np.int32 if self.bits < 10 else np.int64)
         self.symbol[letters] = np.arange(1, len(letters) + 1)
 
     def codes(self, text: str) -> np.ndarray | None:
@@ -76,7 +78,7 @@ class Grams:
 
     def top(self, codes: np.ndarray) -> np.ndarray:
         """The most frequent codes, most frequent first, ties by code."""
-        if len(codes) > 4000:
+        if len(codes) > 4000 and self.space <= DENSE:
             counts = np.bincount(codes, minlength=self.space)
             found = np.flatnonzero(counts)
             counts = counts[found]
@@ -89,6 +91,12 @@ class Grams:
         return found[np.lexsort((found, -counts))][:TOP]
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their counts over all parts."""
+    found, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return found, np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles of the rows given (the caller leaves held-out rows away)."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
@@ -112,37 +120,37 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
         return work
 
-    # The alphabet: at most MAX_LETTERS rows come to the driver.
-    alphabet = per_batch(sample.select("text"), "point long, n long", letters_of).groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(MAX_LETTERS)
+    # The alphabet: one row for each letter that occurs.
+    alphabet = per_batch(sample.select("text"), "point long, n long", letters_of).groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point")
     letters = np.array([r["point"] for r in alphabet.collect()], dtype=np.int64)
 
     def counts_of() -> object:
         grams = Grams(letters)
 
         def work(batch: pa.RecordBatch) -> dict:
-            out: dict[str, np.ndarray] = {}
+            out: dict[str, list] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 if (codes := grams.codes(text)) is not None:
                     c, n = np.unique(codes, return_counts=True)
-                    into = out.setdefault(lang, np.zeros(grams.space, dtype=np.int64))
-                    into[c] += n
-            found = {lang: np.flatnonzero(n) for lang, n in out.items()}
-            return {"lang": [lang for lang, f in found.items() for _ in f], "code": [int(c) for f in found.values() for c in f], "n": [int(x) for lang, f in found.items() for x in out[lang][f]]}
+                    out.setdefault(lang, []).append((c, n))
+            found = {lang: _summed(parts) for lang, parts in out.items()}
+            return {"lang": [lang for lang, (c, _) in found.items() for _ in c], "code": [int(x) for c, _ in found.values() for x in c], "n": [int(x) for _, n in found.values() for x in n]}
 
         return work
 
     counted = per_batch(sample, "lang string, code long, n long", counts_of).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("k") <= TOP).collect()
     languages = sorted({r["lang"] for r in ranked})
-    ranks = np.full((len(languages), Grams(letters).space), TOP, dtype=np.int16)
+    known = np.unique(np.array([r["code"] for r in ranked], dtype=np.int64))
+    ranks = np.full((len(languages), len(known) + 1), TOP, dtype=np.int16)
     for r in ranked:
-        ranks[languages.index(r["lang"]), r["code"]] = r["k"] - 1
-    return Profiles(letters, languages, ranks)
+        ranks[languages.index(r["lang"]), np.searchsorted(known, r["code"])] = r["k"] - 1
+    return Profiles(letters, languages, known, ranks)
 
 
 def predictor(profiles: Profiles) -> Callable[[str | None], tuple[str, float]]:
     """The function from a text to its language and score: 1 less the distance's share of the largest possible one."""
-    letters, languages, ranks = profiles
+    letters, languages, known, ranks = profiles
     grams = Grams(letters)
     places = np.arange(TOP, dtype=np.int32)
 
@@ -151,8 +159,10 @@ def predictor(profiles: Profiles) -> Callable[[str | None], tuple[str, float]]:
         if codes is None:
             return UNDETERMINED, 0.0
         top = grams.top(codes)
-        far = np.abs(ranks[:, top] - places[: len(top)])
-        far[ranks[:, top] == TOP] = TOP
+        at = np.searchsorted(known, top)
+        at[known[np.minimum(at, len(known) - 1)] != top] = len(known)
+        far = np.abs(ranks[:, at] - places[: len(top)])
+        far[ranks[:, at] == TOP] = TOP
         total = far.sum(axis=1)
         best = int(total.argmin())
         return languages[best], max(0.0, 1.0 - float(total[best]) / (TOP * len(top)))
