@@ -215,19 +215,37 @@ def test_embeddings_against_brute_force(spark):
     assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (n[i], forest.root(i)) for i in got}
 
 
-def test_embeddings_of_a_large_dense_group(spark):
-    """A third of the rows are near copies, none identical: all links are found, inside the group and outside."""
+@pytest.mark.parametrize("share", [0.02, 0.3, 0.6, 1.0])
+def test_embeddings_of_a_large_dense_group(spark, share):
+    """6,000 vectors of a label, a share of them near copies, none identical: links inside the group and outside."""
     rng = np.random.default_rng(1)
-    m = rng.normal(size=(3000, 64))
-    m[::3] = m[0] + rng.normal(size=(1000, 64)) * 0.175 * np.linalg.norm(m[0]) / 8
-    m[1:1500:3] = m[2:1501:3] + rng.normal(size=(500, 64)) * 0.3
+    m = rng.normal(size=(6000, 64))
+    g = int(len(m) * share)
+    m[:g] = m[0] + rng.normal(size=(g, 64)) * 0.2 * np.linalg.norm(m[0]) / 8
+    h = (len(m) - g) // 2
+    m[g : g + h] = m[g + h : g + 2 * h] + rng.normal(size=(h, 64)) * 0.33
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
     linked = unit @ unit.T >= 0.93
     np.fill_diagonal(linked, False)
-    assert linked[::3, ::3].mean() > 0.9 and linked[1:1500:3].any()
+    want = linked.sum(axis=1)
+    assert want[:g].mean() > 0.5 * g and (g == len(m) or want[g:].any())
     rows = [(k, v.tolist(), 1) for k, v in enumerate(m)]
-    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
-    assert got == dict(enumerate(linked.sum(axis=1).tolist()))
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").repartition(8)).collect()}
+    found = np.array([got[k] for k in range(len(m))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    for part in (slice(0, g), slice(g, None)):
+        assert found[part].sum() >= 0.99 * want[part].sum()
+
+
+def test_embeddings_copies_nulls_and_repeats(spark):
+    """A third are copies of one vector; null and repeated ids; a length of its own; clashing columns; no rows."""
+    far = [float(k == 3) for k in range(8)]
+    rows = [(k, [1.0, 2.0] + [0.0] * 6, 1) for k in range(50)] + [(50, [1.0, 2.1] + [0.0] * 6, 1), (60, far, 1), (60, far, 1), (61, far, 2), (None, far, 1), (70, [1.0], 1), (71, [2.0], 1), (72, [-1.0], 1), (5, far, 2)]
+    d = spark.createDataFrame([(*r, 9, "c") for r in rows], "vec_id long, embedding array<float>, label int, n long, cid string")
+    got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(d).collect()), key=repr)
+    want = [(k, 50, 0, k == 0) for k in range(51)] + [(60, 1, 60, True)] * 2 + [(61, 1, 5, False), (5, 1, 5, True), (None, 0, None, False), (70, 1, 70, True), (71, 1, 70, False), (72, 0, 72, True)]
+    assert got == sorted(want, key=repr)
+    assert embedding_dedup.near_duplicates(d.limit(0)).collect() == []
 
 
 def test_transducers():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset: a temporary folder if driver and executors are one
+    process (tests), else a folder in the warehouse, which a cluster shares."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='vigilspark-')}"
+        if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            found = f"file://{tempfile.mkdtemp(prefix='vigilspark-')}"
+        else:
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/vigilspark-scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -120,24 +125,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(vertex, component) of each vertex that has a link; component is the smallest vertex reachable.
 
     Each task first shrinks its links to a forest, then rounds of large-star and small-star follow until no link
-    changes; each round is written to the shared folder. Links stay distributed, hubs are combined before shuffles.
+    changes; each round is written to the shared folder. Least neighbours are pre-aggregated before their shuffle; they
+    meet the links in merge joins of two plain shuffles, which Spark splits where a hub has more links than others.
     Nulls and self-links are ignored; repeated links count once; no links give an empty table."""
     e = edges.select(F.col(edges.columns[0]).cast("long").alias("u"), F.col(edges.columns[1]).cast("long").alias("v"))
     e = materialize(_forest_of_each_task(e.filter("u is not null and v is not null and u <> v")), "links")
     previous = None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        after = materialize(small, "links")
-        seen = after.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        drop(e)
+        low = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "low")
+        large = materialize(both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        small_low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        turned = large.join(small_low.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        after = materialize(turned.filter("u <> v").distinct(), "links")
+        # Equal sets of links have equal counts and equal sums of two independent 64-bit hashes.
+        sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), "u", "v").cast("decimal(38,0)")), F.lit(0)) for seed in (1, 2)]
+        seen = tuple(after.agg(F.count(F.lit(1)), *sums).first())
+        for old in (e, low, large, small_low):
+            drop(old)
         e = after
-        if tuple(seen) == previous:
+        if seen == previous or not seen[0]:
             break
-        previous = tuple(seen)
+        previous = seen
     else:
         raise RuntimeError(f"links still change after {max_rounds} rounds")
     tops = e.select(F.col("v").alias("vertex")).distinct().select("vertex", F.col("vertex").alias("component"))

@@ -1,24 +1,24 @@
-"""Embedding near-dedup by a pivot-permutation index, exact.
+"""Embedding near-dedup by a pivot-permutation index.
 
-Every vector is described by its NEAREST reference points (pivots) in order of nearness. Each of them is an inverted
-list of the vectors that it describes; within a list vectors are verified by cosine in double precision.
+Equal vectors are one class with a count. Every class is described by its NEAREST reference points (pivots) in order of
+nearness. Each of them is an inverted list of the classes that it describes. Two classes are retrieved if they share
+SHARED pivots or more, or have the same pivot in first place; what is retrieved is verified by cosine in double
+precision. A pair is judged in one list only: that of the common first pivot, else that of the least shared pivot.
 
-Angles obey the triangle inequality. Let t be the threshold's angle. If a vector's nearest pivot and its last described
-one lie more than 2 t apart in angle from it, every vector within t is described by that nearest pivot, too: the pivot
-is the vector's home, and the home's list holds all its links. A list takes a vector only if it lies within t of the
-farthest vector at home there. Vectors without a home are listed together (REST) and judged against each other, so no
-link is missed whatever the pivots are; that part is quadratic in the vectors without a home of a label. A pair is
-judged in one list only: that of the lesser home of its ends.
+Pivots are a bounded sample: 2 sqrt(n) classes, between 64 and 2048, the first by a hash of the id, without those whose
+cosine to a pivot kept before is APART or more, so that a dense group has one pivot or few, which all its members
+share in first place. Lengths of vectors without a sampled pivot use directions made by rule. Every vector is indexed.
 
-Pivots are a bounded sample: 2 sqrt(n) vectors, between 64 and 2048, the first by a hash of the id, without those whose
-cosine to a pivot kept before is APART or more, so that a dense group has few; every vector is indexed. Lists of more
-than BLOCK vectors are dealt into blocks, and each pair of blocks is a task's unit, so no list is gathered in one task.
-Links leave a unit as counts for each vector and as a forest with the same connectivity, not as pairs; n_links is the
-sum of the counts.
+Lists of more than BLOCK classes are dealt into blocks, and each pair of blocks is a task's unit, so no list is gathered
+in one task. Classes of one first pivot that fill blocks of their own are judged against each other in that pivot's list and nowhere else.
+Links leave a unit as counts for each class and as a forest with the same connectivity, not as pairs. The work is quadratic in a
+list; lists hold 8 / pivots of a label's classes on average, so beyond 1,000,000 classes, where pivots stay at 2048, it grows
+with the square of a label.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those with a null label, link
-with nothing (n_links 0, a component of their own); vectors of different lengths do not link; repeated ids are
-linked as rows and keep one component; no rows give no rows; other columns are ignored."""
+with nothing (n_links 0, a component of their own); a null id links with nothing, has a null component and is not kept;
+vectors of different lengths do not link; rows with repeated ids are vectors of their own; very long vectors are read
+whole; no rows give no rows; other columns, whatever their names, are ignored."""
 
 from __future__ import annotations
 
@@ -27,28 +27,23 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilspark.llm.common import components, materialize
 
 THRESHOLD = 0.93
 NEAREST = 8
+SHARED = 2
 APART = 0.8
-BLOCK = 2048
-#: The list of the vectors without a home; above all pivots.
-REST = 2**31 - 1
-#: Slack of angles for rounding; it only makes lists longer.
-SLACK = 1e-6
+BLOCK = 1024
+#: Directions for a length of which the sample has no vector.
+BY_RULE = 64
 
 
-def _matrix(batch: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
-    values = batch.column(column)
-    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-
-
-def _usable(m: np.ndarray) -> np.ndarray:
-    return np.isfinite(m).all(axis=1) & (np.abs(m).max(axis=1, initial=0.0) > 0)
+def _usable(v: Column) -> Column:
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return v.isNotNull() & sound & F.exists(v, lambda x: x != 0)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -56,12 +51,6 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _by_length(batch: pa.RecordBatch, column: str) -> list[tuple[int, pa.RecordBatch]]:
-    """The batch's rows by length of their vectors; null and empty vectors are left away."""
-    lengths = np.array([0 if n is None else n for n in pa.compute.list_value_length(batch.column(column)).to_pylist()], dtype=np.int64)
-    return [(int(d), batch.take(pa.array(np.flatnonzero(lengths == d)))) for d in np.unique(lengths) if d]
-
-
 def _thinned(m: np.ndarray) -> np.ndarray:
     """The unit vectors m without those near to one kept before."""
     near, keep = m @ m.T >= APART, []
@@ -71,58 +60,66 @@ def _thinned(m: np.ndarray) -> np.ndarray:
     return m[keep]
 
 
-def describe(vectors: DataFrame, threshold: float) -> DataFrame:
-    """vectors(id, v, label) -> a row for each usable vector: id, label, dim, home (REST if none), pivots (in order of nearness), angles to them, raw (float64 bytes)."""
-    spark = vectors.sparkSession
-    n = vectors.count()
-    count = min(2048, max(64, math.ceil(2 * math.sqrt(n))))
-    sized = vectors.withColumn("dim", F.size("v"))
-    order = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id")
-    sample = sized.filter("dim > 0").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= count)
-    chosen: dict[int, list] = {}
-    for r in sample.select("dim", "v").collect():  # the bounded sample of pivots
-        chosen.setdefault(r["dim"], []).append([math.nan if x is None else x for x in r["v"]])
-    pivots = {d: _thinned(_unit(m[_usable(m)])) for d, rows in chosen.items() if _usable(m := np.array(rows, dtype=np.float64)).any()}
-    shared = spark.sparkContext.broadcast(pivots)
-    margin = 2 * _angle(threshold) + SLACK
+def _directions(dim: int) -> np.ndarray:
+    return _unit(np.random.default_rng(dim).normal(size=(BY_RULE, dim)))
+
+
+def nearest_pivots(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Numbers of the NEAREST pivots of each unit vector, nearest first."""
+    far = -(unit @ pivots.T)
+    k = min(NEAREST, far.shape[1])
+    top = np.argpartition(far, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(top, np.argsort(np.take_along_axis(far, top, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
+
+
+def describe(classes: DataFrame) -> DataFrame:
+    """classes(cid, label, v, n) -> cid, label, dim, n, first, pivots (in order of nearness), raw (float64 bytes)."""
+    count = min(2048, max(64, math.ceil(2 * math.sqrt(classes.count()))))
+    by_dim: dict[int, list] = {}
+    for r in classes.orderBy(F.xxhash64("cid"), "cid").limit(count).select("v").collect():  # the bounded sample of pivots
+        by_dim.setdefault(len(r["v"]), []).append(r["v"])
+    shared = classes.sparkSession.sparkContext.broadcast({d: _thinned(_unit(np.array(rows, dtype=np.float64))) for d, rows in by_dim.items()})
 
     def run(batches: object) -> object:
+        made = dict(shared.value)
         for batch in batches:
-            for dim, part in _by_length(batch, "v"):
-                m = _matrix(part, "v", dim)
-                ok = np.flatnonzero(_usable(m))
-                m = m[ok]
-                if not len(m):
-                    continue
-                near = -(_unit(m) @ shared.value.get(dim, np.zeros((0, dim))).T)
-                k = min(NEAREST, near.shape[1])
-                top = np.argpartition(near, k - 1, axis=1)[:, :k] if k else np.zeros(near.shape, dtype=np.int64)
-                top = np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, axis=1), axis=1), axis=1).astype(np.int32)
-                angles = _angle(-np.take_along_axis(near, top, axis=1))
-                home = np.full(len(m), REST, dtype=np.int32)
-                if k:
-                    settled = (angles[:, 0] + margin < angles[:, -1]) | (k == near.shape[1])
-                    home[settled] = top[settled, 0]
-                kept = part.take(pa.array(ok))
+            lengths = pa.compute.list_value_length(batch.column("v")).to_numpy()
+            for dim in np.unique(lengths).tolist():
+                part = batch.take(pa.array(np.flatnonzero(lengths == dim)))
+                m = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                pivots = made.get(dim)
+                top = nearest_pivots(_unit(m), _directions(dim) if pivots is None else pivots)
                 yield pa.RecordBatch.from_arrays(
-                    [kept.column("id"), kept.column("label"), pa.array(np.full(len(ok), dim, dtype=np.int32)), pa.array(home), pa.array(top.tolist(), pa.list_(pa.int32())), pa.array(angles.tolist(), pa.list_(pa.float64())), pa.array([r.tobytes() for r in m], pa.binary())],
-                    names=["id", "label", "dim", "home", "pivots", "angles", "raw"],
+                    [part.column("cid"), part.column("label"), pa.array(np.full(len(m), dim, dtype=np.int32)), part.column("n"), pa.array(top[:, 0]), pa.array(top.tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in m], pa.binary())],
+                    names=["cid", "label", "dim", "n", "first", "pivots", "raw"],
                 )
 
-    return vectors.filter("label is not null and v is not null").select("id", "label", "v").mapInArrow(run, "id long, label string, dim int, home int, pivots array<int>, angles array<double>, raw binary")
+    return classes.select("cid", "label", "v", "n").mapInArrow(run, "cid long, label string, dim int, n long, first int, pivots array<int>, raw binary")
 
 
-def _angle(cosine: np.ndarray | float) -> np.ndarray | float:
-    return np.arccos(np.clip(cosine, -1.0, 1.0))
+LIST = ["label", "dim", "pivot"]
 
 
-def _listed(index: DataFrame, threshold: float) -> DataFrame:
-    """The index's rows for each list that may hold a link of theirs: label, dim, pivot, id, home, raw."""
-    reach = index.filter(F.col("home") < REST).groupBy("label", "dim", F.col("home").alias("pivot")).agg((F.max(F.element_at("angles", 1)) + float(_angle(threshold)) + SLACK).alias("reach"))
-    posts = index.withColumn("post", F.explode(F.arrays_zip("pivots", "angles"))).withColumn("pivot", F.col("post.pivots"))
-    columns = ["label", "dim", "pivot", "id", "home", "raw"]
-    near = posts.join(F.broadcast(reach), ["label", "dim", "pivot"]).filter(F.col("post.angles") <= F.col("reach")).select(*columns)  # one row a label and pivot
-    return near.unionByName(index.filter(F.col("home") == REST).withColumn("pivot", F.col("home")).select(*columns))
+def _blocks(posts: DataFrame) -> DataFrame:
+    """How the classes of a list's first pivots are dealt: LIST, first, blocks low..high-1, all (of the list). First pivots
+    with half a block or more of the list have blocks of their own, the others share blocks 0..pool-1."""
+    sizes = posts.groupBy(*LIST, "first").agg(F.count(F.lit(1)).alias("m")).withColumn("own", F.when(F.col("m") >= BLOCK // 2, F.ceil(F.col("m") / BLOCK)).otherwise(0).cast("int"))
+    whole = sizes.groupBy(*LIST).agg(F.sum("m").alias("rows"), F.ceil(F.sum(F.when(F.col("own") == 0, F.col("m")).otherwise(0)) / BLOCK).cast("int").alias("pool"), F.sum("own").cast("int").alias("owned")).filter("rows > 1")
+    before = F.coalesce(F.sum("own").over(Window.partitionBy(*LIST).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    placed = sizes.withColumn("before", before).join(whole, LIST)
+    low = F.when(F.col("own") > 0, F.col("pool") + F.col("before")).otherwise(0)
+    return placed.select(*LIST, "first", low.alias("low"), F.when(F.col("own") > 0, low + F.col("own")).otherwise(F.col("pool")).alias("high"), (F.col("own") > 0).alias("alone"), (F.col("pool") + F.col("owned")).alias("all"))
+
+
+def units(index: DataFrame) -> DataFrame:
+    """The index's rows, once for each pair of blocks (i, j) of a list in which they are to be judged."""
+    posts = index.withColumn("pivot", F.explode("pivots"))
+    dealt = posts.join(_blocks(posts.select(*LIST, "first")), [*LIST, "first"])
+    dealt = dealt.withColumn("b", F.col("low") + F.pmod(F.xxhash64("cid"), F.col("high") - F.col("low")).cast("int"))
+    elsewhere = F.col("alone") & (F.col("first") != F.col("pivot"))  # its own kind is judged in the first pivot's list
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda k: ~elsewhere | (k < F.col("low")) | (k >= F.col("high")))
+    pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("b")).alias("i"), F.greatest(k, F.col("b")).alias("j"), (F.col("b") > k).cast("int").alias("side")))
+    return dealt.withColumn("unit", F.explode(pairs)).select(*LIST, "unit.i", "unit.j", "unit.side", "cid", "n", "first", "pivots", "raw")
 
 
 def _stars(linked: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> list[tuple[int, int]]:
@@ -143,24 +140,38 @@ def _stars(linked: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> list[tuple
     return out
 
 
-def _judge(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links between the two sides of a unit: rows (u, null, n) count a vector's links, rows (u, v, null) connect."""
+def _incidence(pivots: list, names: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(pivots), len(names)), dtype=np.float32)
+    for k, p in enumerate(pivots):
+        out[k, np.searchsorted(names, p)] = 1
+    return out
+
+
+def judge(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links between the two sides of a unit: rows (u, null, n) count a class's linked vectors, rows (u, v, null) connect."""
     pivot, same = int(pdf["pivot"].iat[0]), bool((pdf["i"] == pdf["j"]).iat[0])
     left, right = (pdf, pdf) if same else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
     empty = pd.DataFrame({"u": [], "v": [], "n": []})
     if not len(left) or not len(right):
         return empty
-
-    def parts(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return side["id"].to_numpy(), _unit(np.stack([np.frombuffer(b) for b in side["raw"]])), side["home"].to_numpy()
-
-    (a_id, a, ah), (b_id, b, bh) = parts(left), parts(right)
-    linked = (a @ b.T >= threshold) & (np.minimum(ah[:, None], bh[None, :]) == pivot)
+    # Retrieval: pivots that both sides' classes share, counted by a product of their incidences.
+    names = np.unique(np.concatenate(list(pdf["pivots"])))
+    a, b = _incidence(list(left["pivots"]), names), _incidence(list(right["pivots"]), names)
+    lower = names < pivot
+    first_a, first_b = left["first"].to_numpy(), right["first"].to_numpy()
+    alike = first_a[:, None] == first_b[None, :]
+    found = np.where(alike, (first_a == pivot)[:, None], (a @ b.T >= SHARED) & (a[:, lower] @ b[:, lower].T == 0))
     if same:
-        np.fill_diagonal(linked, False)
+        np.fill_diagonal(found, False)
+    if not found.any():
+        return empty
+    # Verification.
+    vectors = [_unit(np.stack([np.frombuffer(x) for x in side["raw"]])) for side in (left, right)]
+    linked = found & (vectors[0] @ vectors[1].T >= threshold)
+    a_id, b_id = left["cid"].to_numpy(), right["cid"].to_numpy()
     ends = _stars(linked, a_id, b_id)
-    counts = [(a_id, linked.sum(axis=1))] if same else [(a_id, linked.sum(axis=1)), (b_id, linked.sum(axis=0))]
-    ids, n = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts])
+    sums = [(a_id, linked @ right["n"].to_numpy())] + ([] if same else [(b_id, left["n"].to_numpy() @ linked)])
+    ids, n = np.concatenate([s[0] for s in sums]), np.concatenate([s[1] for s in sums])
     u = [*ids[n > 0].tolist(), *(e[0] for e in ends)]
     return pd.DataFrame({"u": pd.Series(u, dtype="int64"), "v": pd.Series([None] * int((n > 0).sum()) + [e[1] for e in ends], dtype="Int64"), "n": pd.Series([*n[n > 0].tolist(), *([None] * len(ends))], dtype="Int64")})
 
@@ -168,13 +179,20 @@ def _judge(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label"))
-    listed = _listed(materialize(describe(v.filter("id is not null"), threshold), "pivots"), threshold)
-    sizes = listed.groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = listed.join(sizes, ["label", "dim", "pivot"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("b")).alias("i"), F.greatest(k, F.col("b")).alias("j"), (F.col("b") > k).cast("int").alias("side")))
-    pairs = dealt.withColumn("unit", F.explode(units)).select("label", "dim", "pivot", "unit.i", "unit.j", "unit.side", "id", "home", "raw")
-    found = materialize(pairs.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(lambda pdf: _judge(pdf, threshold), "u long, v long, n long"), "links")
-    counts = found.filter("n is not null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n_links"))
-    groups = components(found.filter("v is not null").select("u", "v")).select(F.col("vertex").alias("id"), F.col("component").alias("component_id"))
-    out = v.select("id").join(counts, "id", "left").join(groups, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    sound = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("v")), F.lit(False))
+    # Copies meet by a key of 128 bits; the vectors are grouped once, summed before the shuffle.
+    key = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit("second"), "v").alias("k2")]
+    classes = v.filter(sound).groupBy("label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "label", *key, "least", "n", "v"), "classes")
+    index = materialize(describe(classes), "pivots")
+    found = materialize(units(index).groupBy(*LIST, "i", "j").applyInPandas(lambda pdf: judge(pdf, threshold), "u long, v long, n long"), "links")
+    counts = found.filter("n is not null").groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("links"))
+    groups = components(found.filter("v is not null").select("u", "v")).select(F.col("vertex").alias("cid"), "component")
+    rated = classes.select("cid", "label", "k1", "k2", "least", "n").join(counts, "cid", "left").join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    rated = materialize(rated, "rated")
+    top = rated.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_key = rated.join(top, "component").select("label", "k1", "k2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    rows = v.filter(sound).select("id", "label", *key).join(of_key, ["label", "k1", "k2"]).select("id", "n_links", "component_id")
+    alone = v.filter(~sound).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = rows.unionByName(alone)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
