@@ -52,20 +52,39 @@ def test_ngram_join_is_exact(spark, corpus):
     assert {i: (len(s), forest.root(i)) for i, s in sets.items()} == {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()}
 
 
-def test_ngram_long_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LONG_BLOCK", 3)
+def test_ngram_blocks_in_parts(spark, monkeypatch):
+    """A group of near copies and two groups that share most n-grams without linking, in parts of 4 rows and 8 columns."""
     monkeypatch.setattr(ngram_join, "PART", 4)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 8)
+    monkeypatch.setattr(ngram_join, "FAN", 2)
     rng = random.Random(2)
-    base = [f"w{k}" for k in range(44)]
-    texts = []
-    for k in range(40):
-        w = list(base)
+    base, texts = [f"w{k}" for k in range(44)], []
+    for k in range(60):
+        w = base[: 30 + 7 * (k % 3)] + [f"t{k % 3}_{j}" for j in range(8)]
         for _ in range(rng.randint(0, 2)):
             w[rng.randrange(len(w))] = f"e{rng.randrange(999)}"
         texts.append((k, " ".join(w)))
     test_ngram_join_is_exact(spark, texts)
 
 
+def test_ngram_links_come_from_accumulated_counts(spark, corpus, monkeypatch):
+    """The product's counts are the overlaps of the pairs that link and 0 elsewhere; without the product no class links."""
+    sets = [s for s in (ngram_join.ngrams(t) for _, t in corpus) if len(s)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    sizes = np.array([len(s) for s in sets])
+    want[100 * want < 80 * (sizes[:, None] + sizes[None, :] - want)] = 0
+    for columns in (3, 1024):
+        monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+        assert (ngram_join.overlaps(sets, sets, np.ones(want.shape, dtype=bool)) == want).all()
+    assert not ngram_join.overlaps(sets, sets, np.zeros(want.shape, dtype=bool)).any()
+    monkeypatch.setattr(ngram_join, "_links", lambda rows, sets: spark.createDataFrame([], "a long, b long"))
+    of = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs(spark, corpus)).collect()}
+    first = {}
+    for i, t in corpus:
+        first.setdefault(shingles(t), i)
+    assert of == {i: first[shingles(t)] if shingles(t) else i for i, t in corpus}
+
+
 def test_ngram_join_empty_and_null_ids(spark):
     assert ngram_join.join(docs(spark, [])).collect() == []
     got = ngram_join.join(docs(spark, [(None, "a b"), (1, "a b"), (1, "a b")])).collect()

@@ -1,35 +1,42 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence, cut by size-derived bounds. Exact.
 
-A document's row is the set of its distinct runs of five words (64-bit hashes). Documents with equal sets are one class
-and one row. Two classes link when 100 |a & b| >= 80 |a | b|, so of a set of n n-grams only the n - ceil(0.8 n) + 1
-first ones in a global order can meet a partner's: those columns are the product's blocks. The order is rarest first, by
-a sketch of all documents' n-gram counts (SKETCH cells whatever the input; any function of the n-gram gives a valid
-order, the sketch only makes the blocks short), then by hash.
-
-Each block (the classes of one n-gram, by size) first yields neighbours only; survivors of the size bound and of
-the overlap that places in the order still allow are verified on whole sets, in rounds of about one pair for each
-component, and links are joined to components. Then
-every block that still holds several components is judged across them in full: short blocks by pairs under the same bounds,
-less those judged already, long ones by a product of part against part. So a group of near copies costs a chain, not its square, and no link between components is lost.
+A document's row of the incidence matrix is the set of its distinct runs of five words (64-bit hashes). Documents with
+equal sets are one class and one row. Two classes link when 100 |a & b| >= 80 |a | b|, so of a set of n n-grams only the
+n - ceil(0.8 n) + 1 first ones in a global order can meet a partner's: the classes of one such n-gram are a block of rows.
+The order is rarest first, by a sketch of all documents' n-gram counts (SKETCH cells whatever the input; any function of
+the n-gram gives a valid order, the sketch only makes the blocks short), then by hash.
+
+All links come from one product, _product(): a unit holds two sides of rows, overlap counts accumulate over blocks of
+columns, and a row stops when no partner can reach the overlap that the sizes ask for. Units are made twice:
+- of neighbours in the blocks (by size), in rounds of about one pair for each component: a row against its neighbours;
+- of every block that then still holds several components, whatever its length, rows against rows, part against part.
+  Blocks with the same members count once, and only rows with a partner in another component that size and place in the
+  order allow ship their sets.
+So a group of near copies costs a chain, not its square, and no link between components is lost.
 
 Defined results: null and blank texts have 0 n-grams and link with nothing; equal sets share a component; repeated rows
-each give a row; a null id gives a row with a null component; no rows give no rows; other columns are ignored."""
+each give a row; a null id gives a row with a null component; ties of size go by key and change no result; very long
+texts are one set, read whole; no rows give no rows; other columns are ignored. Sets are named by 64-bit digests; should
+two different sets share one (seen by a second digest), the join fails rather than merge them."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilspark.llm.common import Forest, components, drop, materialize, per_batch
 
 WORDS = 5
 SKETCH_LOG2, CHUNK_LOG2 = 22, 17
-BLOOM_LOG2 = 26
-#: Blocks of so many rows or more go through the product, shorter ones through pairs; both ways are exact.
-LONG_BLOCK, PART, COLUMNS = 128, 256, 4096
+#: Bits of the id filter: 16 for each id wanted, within these bounds; beyond them more rows ship in vain.
+BLOOM_LOG2 = (16, 28)
+#: Rows of a side of a product's unit; columns of a row that are counted before sizes are looked at again.
+PART, COLUMNS = 256, 1024
+#: Tables of counts or bits that meet in one task.
+FAN = 16
 _FOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -50,9 +57,9 @@ def ngrams(text: str | None) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
-def set_key(h: np.ndarray) -> int:
+def set_key(h: np.ndarray, seed: int = 0) -> int:
     """Signed 64-bit digest of a set."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))).astype(np.int64))
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h) + seed)).astype(np.int64))
 
 
 def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
@@ -65,58 +72,72 @@ def least_overlap(a: object, b: object) -> object:
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
-    """kind 'doc': id, n, key of every row; kind 'cells': partial counts of a chunk of the sketch."""
-    schema = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("cells", pa.binary())])
+    """kind 'doc': id, n, key, second (another digest) of every row; kind 'cells': partial counts of a chunk of the sketch."""
+    schema = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("second", pa.int64()), ("cells", pa.binary())])
 
     def run(batches: object) -> object:
-        sketch = np.zeros(1 << SKETCH_LOG2, dtype=np.uint32)
+        sketch = np.zeros(1 << SKETCH_LOG2, dtype=np.int64)
         shift = np.uint64(64 - SKETCH_LOG2)
+
+        def count(pending: list) -> None:
+            np.add(sketch, np.bincount((np.concatenate(pending) >> shift).astype(np.int64), minlength=len(sketch)), out=sketch)
+
         for batch in batches:
-            ids, sizes, keys, pending, held = batch.column(0).to_pylist(), [], [], [], 0
+            ids, sizes, keys, seconds, pending, held = batch.column(0).to_pylist(), [], [], [], [], 0
             for text in batch.column(1).to_pylist():
                 h = ngrams(text)
                 sizes.append(len(h))
                 keys.append(set_key(h))
+                seconds.append(set_key(h, 1 << 32))
                 pending.append(h)
                 held += len(h)
                 if held > 1_000_000:
-                    sketch += np.bincount((np.concatenate(pending) >> shift).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+                    count(pending)
                     pending, held = [], 0
             if held:
-                sketch += np.bincount((np.concatenate(pending) >> shift).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(["doc"] * len(ids)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(ids), pa.binary())], schema=schema)
+                count(pending)
+            yield pa.RecordBatch.from_arrays([pa.array(["doc"] * len(ids)), *(pa.array(x, pa.int64()) for x in (ids, sizes, keys, seconds)), pa.nulls(len(ids), pa.binary())], schema=schema)
         for k in range(0, len(sketch), 1 << CHUNK_LOG2):
             if (part := sketch[k : k + (1 << CHUNK_LOG2)]).any():
-                yield pa.RecordBatch.from_arrays([pa.array(["cells"]), pa.array([k >> CHUNK_LOG2], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([part.tobytes()])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(["cells"]), pa.array([k], pa.int64()), *[pa.nulls(1, pa.int64())] * 3, pa.array([part.tobytes()])], schema=schema)
+
+    return docs.mapInArrow(run, "kind string, id long, n long, key long, second long, cells binary")
 
-    return docs.mapInArrow(run, "kind string, id long, n long, key long, cells binary")
+
+def _merged(parts: DataFrame, kind: str, both: np.ufunc) -> DataFrame:
+    """parts(at, cells: bytes of numbers of a kind) -> one row for each place, by a tree in which about FAN rows meet."""
+    import pandas as pd
+
+    def run(key: tuple, pdf: object) -> object:
+        out = np.frombuffer(pdf["cells"].iat[0], dtype=kind).copy()
+        for b in pdf["cells"].iloc[1:]:
+            both(out, np.frombuffer(b, dtype=kind), out=out)
+        return pd.DataFrame({"at": [key[0]], "cells": [out.tobytes()]})
+
+    parts = materialize(parts, "cells")
+    most = parts.groupBy("at").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    while most > 1:
+        salts = -(-most // FAN)
+        salted = parts.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)) if salts > 1 else F.lit(0))
+        after = materialize(salted.groupBy("at", "salt").applyInPandas(run, "at long, cells binary"), "cells")
+        drop(parts)
+        parts, most = after, salts if salts < most else 1
+    return parts
 
 
 def _levels(cells: DataFrame) -> np.ndarray:
     """The sketch's cells as steps of 2^(1/4): SKETCH bytes, whatever the input."""
+    out = np.zeros(1 << SKETCH_LOG2, dtype=np.uint8)
 
-    def total(key: tuple, pdf: object) -> object:
-        import pandas as pd
+    def start() -> object:
+        def work(batch: pa.RecordBatch) -> dict:
+            levels = [np.minimum(255, 4 * np.log2(np.frombuffer(b, dtype=np.int64) + 1)).astype(np.uint8).tobytes() for b in batch.column("cells").to_pylist()]
+            return {"at": batch.column("at"), "levels": levels}
 
-        n = np.zeros(1 << CHUNK_LOG2, dtype=np.int64)
-        for b in pdf["cells"]:
-            n += np.frombuffer(b, dtype=np.uint32)
-        return pd.DataFrame({"id": [key[0]], "levels": [np.minimum(255, 4 * np.log2(n + 1)).astype(np.uint8).tobytes()]})
+        return work
 
-    out = np.zeros(1 << SKETCH_LOG2, dtype=np.uint8)
-    # Partial sums first: a chunk's rows are dealt over salts before they meet.
-    def partial(key: tuple, pdf: object) -> object:
-        import pandas as pd
-
-        n = np.zeros(1 << CHUNK_LOG2, dtype=np.uint32)
-        for b in pdf["cells"]:
-            n += np.frombuffer(b, dtype=np.uint32)
-        return pd.DataFrame({"id": [key[0]], "cells": [n.tobytes()]})
-
-    salted = cells.withColumn("salt", F.pmod(F.xxhash64("cells"), F.lit(16))).groupBy("id", "salt").applyInPandas(partial, "id long, cells binary")
-    for r in salted.groupBy("id").applyInPandas(total, "id long, levels binary").collect():
-        at = r["id"] << CHUNK_LOG2
-        out[at : at + (1 << CHUNK_LOG2)] = np.frombuffer(r["levels"], dtype=np.uint8)
+    for r in per_batch(_merged(cells, "int64", np.add), "at long, levels binary", start).collect():
+        out[r["at"] : r["at"] + (1 << CHUNK_LOG2)] = np.frombuffer(r["levels"], dtype=np.uint8)
     return out
 
 
@@ -193,46 +214,49 @@ def _allowed(a_place: str, b_place: str) -> F.Column:
     return (100 * F.least(a_n, b_n) >= 80 * F.greatest(a_n, b_n)) & (most * 180 >= 80 * (a_n + b_n))
 
 
+def _bloom_bits(n: int) -> int:
+    return min(max((16 * n).bit_length(), BLOOM_LOG2[0]), BLOOM_LOG2[1])
+
+
+def _bloom_places(ids: np.ndarray, log2: int) -> list[np.ndarray]:
+    h = ids.astype(np.uint64) * _FOLD
+    return [((h * m) >> np.uint64(64 - log2)).astype(np.int64) for m in (np.uint64(1), _MIX, np.uint64(0xA0761D6478BD642F))]
+
+
 def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bits of the ids, in 2^BLOOM_LOG2 bits whatever their number; a false hit only costs a row that a join drops."""
+    """Bits of the ids; a false hit only costs a row that a join drops."""
+    log2 = _bloom_bits(ids.count())
+    chunk = min(1 << 16, 1 << (log2 - 3))
 
     def run(batches: object) -> object:
-        bits = np.zeros(1 << (BLOOM_LOG2 - 3), dtype=np.uint8)
+        bits = np.zeros(1 << (log2 - 3), dtype=np.uint8)
         for batch in batches:
-            for at in _bloom_places(batch.column(0).to_numpy()):
+            for at in _bloom_places(batch.column(0).to_numpy(), log2):
                 np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        for k in range(0, len(bits), 1 << 16):
-            if (part := bits[k : k + (1 << 16)]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()])], names=["at", "bits"])
+        for k in range(0, len(bits), chunk):
+            if (part := bits[k : k + chunk]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()])], names=["at", "cells"])
 
-    def both(key: tuple, pdf: object) -> object:
-        import pandas as pd
-
-        return pd.DataFrame({"at": [key[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in pdf["bits"]]).tobytes()]})
-
-    out = np.zeros(1 << (BLOOM_LOG2 - 3), dtype=np.uint8)
-    for r in ids.mapInArrow(run, "at long, bits binary").groupBy("at").applyInPandas(both, "at long, bits binary").collect():
-        out[r["at"] : r["at"] + (1 << 16)] = np.frombuffer(r["bits"], dtype=np.uint8)
+    out = np.zeros(1 << (log2 - 3), dtype=np.uint8)
+    for r in _merged(ids.mapInArrow(run, "at long, cells binary"), "uint8", np.bitwise_or).collect():
+        out[r["at"] : r["at"] + chunk] = np.frombuffer(r["cells"], dtype=np.uint8)
     return out
 
 
-def _bloom_places(ids: np.ndarray) -> list[np.ndarray]:
-    h = ids.astype(np.uint64) * _FOLD
-    return [((h * m) >> np.uint64(64 - BLOOM_LOG2)).astype(np.int64) for m in (np.uint64(1), _MIX, np.uint64(0xA0761D6478BD642F))]
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, grams (sorted 64-bit hashes) of the wanted documents (id), read again from their texts without a shuffle. A
-    class may come twice, and false hits of the filter come as well; verification joins drop or repeat them harmlessly."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select("id")))
+def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, grams (sorted 64-bit hashes) of the classes whose keys are given, read again from their documents' texts
+    without a shuffle. False hits of the filter come as well, and a class comes once for each row of its id: joins drop them."""
+    wanted = materialize(keys.select("key").distinct().join(classes.select("key", "id"), "key").select("id"), "wanted")
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
     def start() -> object:
         bits = shared.value
+        log2 = int(len(bits)).bit_length() + 2
 
         def work(batch: pa.RecordBatch) -> dict:
             ids = batch.column("id").fill_null(-1).to_numpy()
             hit = np.ones(len(ids), dtype=bool)
-            for at in _bloom_places(ids):
+            for at in _bloom_places(ids, log2):
                 hit &= (bits[at >> 3] >> (at & 7) & 1).astype(bool)
             some = batch.take(pa.array(np.flatnonzero(hit)))
             found = [ngrams(t) for t in some.column("text").to_pylist()]
@@ -240,90 +264,116 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         return work
 
-    return per_batch(docs.select("id", "text"), "key long, grams binary", start)
+    return materialize(per_batch(docs.select("id", "text"), "key long, grams binary", start), "ngrams")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], open_pairs: np.ndarray) -> np.ndarray:
+    """Rows of left times the transpose of right: overlap counts of the open pairs that link, 0 elsewhere.
+
+    The right side is held by columns. A left row adds the rows of its columns, COLUMNS at a time; when no open partner
+    can still reach the overlap that both sizes ask for, the row is given up."""
+    grams = np.concatenate(right)
+    order = np.argsort(grams, kind="stable")
+    columns, rows = grams[order], np.repeat(np.arange(len(right)), [len(x) for x in right])[order]
+    sizes = np.array([len(x) for x in right], dtype=np.int64)
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    for i, x in enumerate(left):
+        least = least_overlap(len(x), sizes)
+        counts, alive = np.zeros(len(right), dtype=np.int64), open_pairs[i] & (np.minimum(len(x), sizes) >= least)
+        for at in range(0, len(x), COLUMNS):
+            alive &= counts + (len(x) - at) >= least
+            if not alive.any():
+                break
+            part = x[at : at + COLUMNS]
+            low, high = np.searchsorted(columns, part, "left"), np.searchsorted(columns, part, "right")
+            n = high - low
+            places = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            counts += np.bincount(rows[places], minlength=len(right))
+        else:
+            out[i] = np.where(alive & (counts >= least), counts, 0)
+    return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes (key, id of a document) whose whole sets link."""
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = materialize(_sets(docs, keys.join(classes, "key")), "ngrams")
+UNIT = ["gram", "i", "j"]
 
-    def start() -> object:
-        def links(a: bytes, b: bytes) -> bool:
-            x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            return 100 * both >= 80 * (len(x) + len(y) - both)
 
-        def work(batch: pa.RecordBatch) -> dict:
-            good = pa.array(np.flatnonzero([links(a, b) for a, b in zip(batch.column("a_grams").to_pylist(), batch.column("b_grams").to_pylist(), strict=True)]).astype(np.int64))
-            return {"a": batch.column("a").take(good), "b": batch.column("b").take(good)}
+def _open_pairs(left: object, right: object) -> np.ndarray:
+    """Pairs of different components that the sizes, and the overlap that both places still allow, do not rule out."""
+    (na, nb), (pa_, pb) = ((s["place"].to_numpy() >> 32 for s in (left, right)), (s["place"].to_numpy() & 0xFFFFFFFF for s in (left, right)))
+    most = np.minimum((na - pa_)[:, None], (nb - pb)[None, :])
+    fits = 100 * np.minimum(na[:, None], nb[None, :]) >= 80 * np.maximum(na[:, None], nb[None, :])
+    return fits & (most * 180 >= 80 * (na[:, None] + nb[None, :])) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :])
 
-        return work
 
-    left = sets.select(F.col("key").alias("a"), F.col("grams").alias("a_grams"))
-    right = sets.select(F.col("key").alias("b"), F.col("grams").alias("b_grams"))
-    links = materialize(per_batch(pairs.join(left, "a").join(right, "b").select("a", "b", "a_grams", "b_grams"), "a long, b long", start), "links")
-    drop(sets)
-    return links
+def _sides(pdf: object) -> tuple:
+    same = bool((pdf["i"] == pdf["j"]).iat[0])
+    return (pdf, pdf) if same else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
+
+
+def _with_partners(pdf: object) -> object:
+    """The rows of a unit that have an open pair."""
+    left, right = _sides(pdf)
+    if not len(left) or not len(right):
+        return pdf.iloc[:0]
+    pairs = _open_pairs(left, right)
+    a = left[pairs.any(axis=1)]
+    if left is right:
+        return a
+    import pandas as pd
+
+    return pd.concat([a, right[pairs.any(axis=0)]])
 
 
 def _product(pdf: object) -> object:
-    """Links between the two sides of a unit, as a forest: overlap counts by a product of sparse incidence rows, column
-    block after column block; n-grams that one set alone has are left away, sizes bound the rest."""
+    """Links between the two sides of a unit, as a forest."""
     import pandas as pd
 
-    same = bool((pdf["i"] == pdf["j"]).iat[0])
-    sides = (pdf, pdf) if same else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
+    left, right = _sides(pdf.drop_duplicates(["side", "key"]))
     forest = Forest()
-    if all(map(len, sides)):
-        sets = [[np.frombuffer(g, dtype=np.uint64) for g in side["grams"]] for side in sides]
-        names, times = np.unique(np.concatenate(sets[0] + ([] if same else sets[1])), return_counts=True)
-        names = names[times > 1]
-        sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in sets]
-        overlap = np.zeros((len(sets[0]), len(sets[1])), dtype=np.int64)
-        for at in range(0, len(names), COLUMNS):
-            block = names[at : at + COLUMNS]
-            rows = []
-            for side in sets[: 1 if same else 2]:
-                wide = np.zeros((len(side), len(block)), dtype=np.float32)
-                for k, x in enumerate(side):
-                    place = np.searchsorted(block, x)
-                    place[place == len(block)] = 0
-                    wide[k, place[block[place] == x]] = 1
-                rows.append(wide)
-            overlap += (rows[0] @ rows[-1].T).astype(np.int64)
-        linked = 100 * overlap >= 80 * (sizes[0][:, None] + sizes[1][None, :] - overlap)
-        linked &= sides[0]["component"].to_numpy()[:, None] != sides[1]["component"].to_numpy()[None, :]
-        for x, y in zip(sides[0]["key"].to_numpy()[np.nonzero(linked)[0]].tolist(), sides[1]["key"].to_numpy()[np.nonzero(linked)[1]].tolist(), strict=True):
+    if len(left) and len(right):
+        sets = [[np.frombuffer(g, dtype=np.uint64) for g in side["grams"]] for side in (left, right)]
+        a, b = np.nonzero(overlaps(*sets, _open_pairs(left, right)))
+        for x, y in zip(left["key"].to_numpy()[a].tolist(), right["key"].to_numpy()[b].tolist(), strict=True):
             forest.join(x, y)
     ends = [e for e in ((x, forest.root(x)) for x in list(forest.up)) if e[0] != e[1]]
     return pd.DataFrame({"a": pd.Series([e[0] for e in ends], dtype="int64"), "b": pd.Series([e[1] for e in ends], dtype="int64")})
 
 
-def _long_blocks(blocks: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links across the components of long blocks (gram, key, component, m): rows are dealt into parts of PART, and each
-    pair of parts is a unit of the product, so neither pairs nor a whole block meet in a task."""
-    blocks = materialize(blocks.select("gram", "key", "component", F.ceil(F.col("m") / PART).cast("int").alias("parts")), "long")
-    sets = materialize(_sets(docs, blocks.select("key").distinct().join(classes, "key")), "ngrams")
-    dealt = blocks.withColumn("b", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+def _links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows(UNIT, side, key, component, place) -> links a, b of the units' products."""
+    return materialize(rows.join(sets, "key").groupBy(*UNIT).applyInPandas(_product, "a long, b long"), "links")
+
+
+def _rows_of_pairs(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Units of the pairs (a, b): a row a against its partners, PART of them at most on average."""
+    of_a = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = pairs.select("a", "b").join(of_a, "a").withColumn("i", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    both = dealt.select(F.col("a").alias("gram"), "i", F.lit(0).alias("side"), F.col("a").alias("key")).distinct().unionByName(dealt.select(F.col("a").alias("gram"), "i", F.lit(1).alias("side"), F.col("b").alias("key")))
+    # Whole rows: place 0; each row is a component of its own.
+    return both.join(sizes, "key").select("gram", "i", F.lit(-1).alias("j"), "side", "key", F.col("key").alias("component"), F.shiftleft("n", 32).alias("place"))
+
+
+def _rows_of_blocks(blocks: DataFrame) -> DataFrame:
+    """Units of blocks (gram, key, component, place): rows are dealt into parts, and each pair of parts is a unit."""
+    members = blocks.groupBy("gram").agg(*[F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)], F.count(F.lit(1)).alias("m"))
+    # Blocks with the same members are one; a member's place is its first in any of them.
+    named = members.withColumn("block", F.min("gram").over(Window.partitionBy("s1", "s2", "m"))).select("gram", "block", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
+    once = blocks.join(named, "gram").groupBy(F.col("block").alias("gram"), "key").agg(F.min("place").alias("place"), F.min("component").alias("component"), F.min("parts").alias("parts"))
+    dealt = once.withColumn("b", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     units = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("b")).alias("i"), F.greatest(k, F.col("b")).alias("j"), (F.col("b") > k).cast("int").alias("side")))
-    rows = dealt.join(sets, "key").withColumn("unit", F.explode(units)).select("gram", "unit.i", "unit.j", "unit.side", "key", "component", "grams")
-    links = materialize(rows.groupBy("gram", "i", "j").applyInPandas(_product, "a long, b long"), "links")
-    drop(sets)
-    return links
+    rows = dealt.withColumn("unit", F.explode(units)).select("gram", "unit.i", "unit.j", "unit.side", "key", "component", "place")
+    return materialize(rows.groupBy(*UNIT).applyInPandas(_with_partners, rows.schema), "rows")
 
 
 def _linked_neighbours(chain: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links among neighbours (a, b, times) that give the components of all their links.
 
-    While there are more open pairs than classes, a round verifies one pair for each component, the one that most blocks
+    While there are more open pairs than classes, a round judges one pair for each component, the one that most blocks
     have; judged pairs and those within a component then leave. So near copies, whose order differs from block to block,
-    cost a few pairs for each class instead of one for each two neighbours. What is left is verified at once."""
-    ends = chain.select(F.col("a").alias("key")).unionByName(chain.select(F.col("b").alias("key"))).distinct().count()
+    cost a few pairs for each class instead of one for each two neighbours. What is left is judged at once. Each round
+    halves the components that have open pairs, or takes their only ones."""
+    keys = chain.select(F.col("a").alias("key")).unionByName(chain.select(F.col("b").alias("key"))).distinct()
+    ends, sets = keys.count(), _sets(docs, keys, classes)
     open_pairs = chain.select("a", "b", "times", F.col("a").alias("ca"), F.col("b").alias("cb"))
     links = None
     while True:
@@ -333,9 +383,10 @@ def _linked_neighbours(chain: DataFrame, docs: DataFrame, classes: DataFrame) ->
             sides = open_pairs.select(F.col("ca").alias("c"), "times", "a", "b").unionByName(open_pairs.select(F.col("cb").alias("c"), "times", "a", "b"))
             best = sides.groupBy("c").agg(F.max(F.struct("times", "a", "b")).alias("best"))
             todo = materialize(best.select("best.a", "best.b").distinct(), "pairs")
-        more = _verified(todo, docs, classes)
+        more = _links(_rows_of_pairs(todo, classes.select("key", "n")), sets)
         links = more if links is None else materialize(links.unionByName(more), "links")
         if last:
+            drop(sets)
             return links
         of = materialize(components(links), "components")
         rest = open_pairs.select("a", "b", "times").join(todo, ["a", "b"], "left_anti")
@@ -348,10 +399,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first = materialize(_first_pass(docs), "sets")
-    rows = first.filter("kind = 'doc'").select("id", "n", "key")
-    entries = _entries(docs, _levels(first.filter("kind = 'cells'").select("id", "cells")))
+    rows = first.filter("kind = 'doc'").select("id", "n", "key", "second")
+    entries = _entries(docs, _levels(first.filter("kind = 'cells'").select(F.col("id").alias("at"), "cells")))
     blocks = materialize(_blocks(entries), "blocks")
-    classes = rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"))
+    classes = materialize(rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("second").alias("low"), F.max("second").alias("high")), "classes")
+    if classes.filter("low <> high").limit(1).count():
+        raise RuntimeError("two different sets share a 64-bit digest")
 
     near = blocks.filter("prev_key is not null").filter(_allowed("prev_place", "place"))
     chain = materialize(near.groupBy(F.least("key", "prev_key").alias("a"), F.greatest("key", "prev_key").alias("b")).agg(F.count(F.lit(1)).alias("times")), "pairs")
@@ -359,18 +412,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = components(links).select(F.col("vertex").alias("key"), "component")
 
     placed = blocks.select("gram", "key", "place").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high").select("gram", "m")
-    open_blocks = materialize(placed.join(mixed, "gram"), "open")
-    short = open_blocks.filter(F.col("m") < LONG_BLOCK)
-    a = short.select("gram", F.col("key").alias("a"), F.col("place").alias("a_place"), F.col("component").alias("a_component"))
-    b = short.select("gram", F.col("key").alias("b"), F.col("place").alias("b_place"), F.col("component").alias("b_component"))
-    across = a.join(b, "gram").filter("a < b and a_component <> b_component").filter(_allowed("a_place", "b_place"))
-    rest = materialize(across.select("a", "b").distinct().join(chain, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(rest, docs, classes).unionByName(_long_blocks(open_blocks.filter(F.col("m") >= LONG_BLOCK), docs, classes))
+    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram")
+    rest = _rows_of_blocks(materialize(placed.join(mixed, "gram"), "open"))
+    more = _links(rest, _sets(docs, rest, classes))
     both = components(links.unionByName(more)).select(F.col("vertex").alias("key"), F.col("component").alias("joined"))
 
     # A component's number is the least id among its classes.
-    groups = classes.join(both, "key", "left").withColumn("joined", F.coalesce("joined", "key"))
+    groups = classes.select("key", "id").join(both, "key", "left").withColumn("joined", F.coalesce("joined", "key"))
     least = groups.groupBy("joined").agg(F.min("id").alias("component_id"))
     of_class = groups.join(least, "joined").select("key", "component_id")
     out = rows.join(of_class, "key", "left")
