@@ -80,6 +80,50 @@ def per_batch(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Recor
     return df.mapInArrow(run, schema)
 
 
+def per_group(df: DataFrame, keys: list[str], schema: str, work: Callable[[dict], dict | None]) -> DataFrame:
+    """work(columns of a group: numpy arrays of numbers, lists of others) -> columns of the group's result, or None.
+
+    Rows are dealt by the keys (numbers, not null) and sorted; a task goes through its groups one after the other and
+    holds a group and a batch, so many small groups cost little each."""
+    out_schema = pa.schema(df.sparkSession.createDataFrame([], schema).toArrow().schema)
+
+    def columns(batch: pa.RecordBatch) -> dict:
+        return {n: c.to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) or pa.types.is_floating(c.type) else c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+
+    def joined(parts: list[dict]) -> dict:
+        if len(parts) == 1:
+            return parts[0]
+        return {n: np.concatenate([p[n] for p in parts]) if isinstance(v, np.ndarray) else [x for p in parts for x in p[n]] for n, v in parts[0].items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []  # pieces of the group that the last batch ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols, made = columns(batch), []
+            by = [cols[k] for k in keys]
+            edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in by])) + 1
+            if held and any(held[-1][k][-1] != c[0] for k, c in zip(keys, by, strict=True)):
+                made.append(work(joined(held)))
+                held = []
+            starts = [0, *edges.tolist()]
+            for low, high in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                held.append({n: c[low:high] for n, c in cols.items()})
+                if high < batch.num_rows:
+                    made.append(work(joined(held)))
+                    held = []
+            if made := [m for m in made if m]:
+                yield table(made)
+        if held and (last := work(joined(held))):
+            yield table([last])
+
+    def table(made: list[dict]) -> pa.RecordBatch:
+        whole = joined(made)
+        return pa.RecordBatch.from_arrays([pa.array(whole[f.name], f.type) for f in out_schema], schema=out_schema)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 class Forest:
     """Union-find over arbitrary long ids in which the smallest id of a tree is its root."""
 

@@ -10,8 +10,8 @@ All links come from one product, _product(): a unit holds two sides of rows, ove
 columns, and a row stops when no partner can reach the overlap that the sizes ask for. Units are made twice:
 - of neighbours in the blocks (by size), in rounds of about one pair for each component: a row against its neighbours;
 - of every block that then still holds several components, whatever its length, rows against rows, part against part.
-  Blocks with the same members count once, and only rows with a partner in another component that size and place in the
-  order allow ship their sets.
+  Blocks with the same members count once, a pair is judged in the first block that it shares, and only rows with a
+  partner there, in another component, that sizes and places allow ship their sets.
 So a group of near copies costs a chain, not its square, and no link between components is lost.
 
 Defined results: null and blank texts have 0 n-grams and link with nothing; equal sets share a component; repeated rows
@@ -21,13 +21,15 @@ two different sets share one (seen by a second digest), the join fails rather th
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilspark.llm.common import Forest, components, drop, materialize, per_batch
+from vigilspark.llm.common import Forest, components, drop, materialize, per_batch, per_group
 
 WORDS = 5
 SKETCH_LOG2, CHUNK_LOG2 = 22, 17
@@ -35,6 +37,8 @@ SKETCH_LOG2, CHUNK_LOG2 = 22, 17
 BLOOM_LOG2 = (16, 28)
 #: Rows of a side of a product's unit; columns of a row that are counted before sizes are looked at again.
 PART, COLUMNS = 256, 1024
+#: Earlier blocks of a row that tell where its pairs are judged; pairs that share none of these may be judged again.
+BEFORE = 256
 #: Tables of counts or bits that meet in one task.
 FAN = 16
 _FOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -99,20 +103,29 @@ def _first_pass(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(["doc"] * len(ids)), *(pa.array(x, pa.int64()) for x in (ids, sizes, keys, seconds)), pa.nulls(len(ids), pa.binary())], schema=schema)
         for k in range(0, len(sketch), 1 << CHUNK_LOG2):
             if (part := sketch[k : k + (1 << CHUNK_LOG2)]).any():
-                yield pa.RecordBatch.from_arrays([pa.array(["cells"]), pa.array([k], pa.int64()), *[pa.nulls(1, pa.int64())] * 3, pa.array([part.tobytes()])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(["cells"]), pa.array([k], pa.int64()), *[pa.nulls(1, pa.int64())] * 3, pa.array([_pressed(part)])], schema=schema)
 
     return docs.mapInArrow(run, "kind string, id long, n long, key long, second long, cells binary")
 
 
+def _pressed(part: np.ndarray) -> bytes:
+    """Most cells of a task's table are 0."""
+    return zlib.compress(part.tobytes(), 1)
+
+
+def _loosened(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), dtype=kind)
+
+
 def _merged(parts: DataFrame, kind: str, both: np.ufunc) -> DataFrame:
-    """parts(at, cells: bytes of numbers of a kind) -> one row for each place, by a tree in which about FAN rows meet."""
+    """parts(at, cells: pressed numbers of a kind) -> one row for each place, by a tree in which about FAN rows meet."""
     import pandas as pd
 
     def run(key: tuple, pdf: object) -> object:
-        out = np.frombuffer(pdf["cells"].iat[0], dtype=kind).copy()
+        out = _loosened(pdf["cells"].iat[0], kind).copy()
         for b in pdf["cells"].iloc[1:]:
-            both(out, np.frombuffer(b, dtype=kind), out=out)
-        return pd.DataFrame({"at": [key[0]], "cells": [out.tobytes()]})
+            both(out, _loosened(b, kind), out=out)
+        return pd.DataFrame({"at": [key[0]], "cells": [_pressed(out)]})
 
     parts = materialize(parts, "cells")
     most = parts.groupBy("at").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -131,7 +144,7 @@ def _levels(cells: DataFrame) -> np.ndarray:
 
     def start() -> object:
         def work(batch: pa.RecordBatch) -> dict:
-            levels = [np.minimum(255, 4 * np.log2(np.frombuffer(b, dtype=np.int64) + 1)).astype(np.uint8).tobytes() for b in batch.column("cells").to_pylist()]
+            levels = [np.minimum(255, 4 * np.log2(_loosened(b, "int64") + 1)).astype(np.uint8).tobytes() for b in batch.column("cells").to_pylist()]
             return {"at": batch.column("at"), "levels": levels}
 
         return work
@@ -235,11 +248,11 @@ def _bloom(ids: DataFrame) -> np.ndarray:
                 np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         for k in range(0, len(bits), chunk):
             if (part := bits[k : k + chunk]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()])], names=["at", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([_pressed(part)])], names=["at", "cells"])
 
     out = np.zeros(1 << (log2 - 3), dtype=np.uint8)
     for r in _merged(ids.mapInArrow(run, "at long, cells binary"), "uint8", np.bitwise_or).collect():
-        out[r["at"] : r["at"] + chunk] = np.frombuffer(r["cells"], dtype=np.uint8)
+        out[r["at"] : r["at"] + chunk] = _loosened(r["cells"], "uint8")
     return out
 
 
@@ -297,51 +310,73 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], open_pairs: np.nda
 UNIT = ["gram", "i", "j"]
 
 
-def _open_pairs(left: object, right: object) -> np.ndarray:
+def _open_pairs(left: dict, right: dict) -> np.ndarray:
     """Pairs of different components that the sizes, and the overlap that both places still allow, do not rule out."""
-    (na, nb), (pa_, pb) = ((s["place"].to_numpy() >> 32 for s in (left, right)), (s["place"].to_numpy() & 0xFFFFFFFF for s in (left, right)))
-    most = np.minimum((na - pa_)[:, None], (nb - pb)[None, :])
+    (na, at_a), (nb, at_b) = ((side["place"] >> 32, side["place"] & 0xFFFFFFFF) for side in (left, right))
+    most = np.minimum((na - at_a)[:, None], (nb - at_b)[None, :])
     fits = 100 * np.minimum(na[:, None], nb[None, :]) >= 80 * np.maximum(na[:, None], nb[None, :])
-    return fits & (most * 180 >= 80 * (na[:, None] + nb[None, :])) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :])
+    return fits & (most * 180 >= 80 * (na[:, None] + nb[None, :])) & (left["component"][:, None] != right["component"][None, :])
 
 
-def _sides(pdf: object) -> tuple:
-    same = bool((pdf["i"] == pdf["j"]).iat[0])
-    return (pdf, pdf) if same else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
+def _taken(cols: dict, rows: np.ndarray) -> dict:
+    return {n: c[rows] if isinstance(c, np.ndarray) else [c[k] for k in rows.tolist()] for n, c in cols.items()}
 
 
-def _with_partners(pdf: object) -> object:
-    """The rows of a unit that have an open pair."""
-    left, right = _sides(pdf)
-    if not len(left) or not len(right):
-        return pdf.iloc[:0]
-    pairs = _open_pairs(left, right)
-    a = left[pairs.any(axis=1)]
-    if left is right:
-        return a
-    import pandas as pd
+def _sides(unit: dict) -> tuple[dict, dict, np.ndarray, np.ndarray]:
+    """Both sides of a unit, without repeated classes, and their places in it."""
+    _, first = np.unique(np.stack((unit["side"], unit["key"])), axis=1, return_index=True)
+    if unit["i"][0] == unit["j"][0]:
+        side = _taken(unit, first)
+        return side, side, first, first
+    a, b = first[unit["side"][first] == 0], first[unit["side"][first] == 1]
+    return _taken(unit, a), _taken(unit, b), a, b
 
-    return pd.concat([a, right[pairs.any(axis=0)]])
 
+def _shared_before(a: list, b: list) -> np.ndarray:
+    """Whether the rows share an earlier block."""
+    names = np.intersect1d(np.array([x for r in a for x in r], dtype=np.int64), np.array([x for r in b for x in r], dtype=np.int64))
+    if not len(names):
+        return np.zeros((len(a), len(b)), dtype=bool)
 
-def _product(pdf: object) -> object:
-    """Links between the two sides of a unit, as a forest."""
-    import pandas as pd
+    def incidence(rows: list) -> np.ndarray:
+        out = np.zeros((len(rows), len(names)), dtype=np.float32)
+        for k, r in enumerate(rows):
+            place = np.minimum(np.searchsorted(names, np.array(r, dtype=np.int64)), len(names) - 1)
+            out[k, place[names[place] == r]] = 1
+        return out
+
+    return incidence(a) @ incidence(b).T > 0
 
-    left, right = _sides(pdf.drop_duplicates(["side", "key"]))
+
+def _with_partners(unit: dict) -> dict | None:
+    """The rows of a unit that have an open pair which is to be judged here."""
+    left, right, at_left, at_right = _sides(unit)
+    if not len(at_left) or not len(at_right):
+        return None
+    pairs = _open_pairs(left, right)
+    if pairs.any():
+        pairs &= ~_shared_before(left["before"], right["before"])
+    rows = np.unique(np.concatenate((at_left[pairs.any(axis=1)], at_right[pairs.any(axis=0)])))
+    return {n: c for n, c in _taken(unit, rows).items() if n != "before"} if len(rows) else None
+
+
+def _product(unit: dict) -> dict | None:
+    """Links between the two sides of a unit, as a forest."""
+    left, right, at_left, at_right = _sides(unit)
+    if not len(at_left) or not len(at_right):
+        return None
+    sets = [[np.frombuffer(g, dtype=np.uint64) for g in side["grams"]] for side in (left, right)]
     forest = Forest()
-    if len(left) and len(right):
-        sets = [[np.frombuffer(g, dtype=np.uint64) for g in side["grams"]] for side in (left, right)]
-        a, b = np.nonzero(overlaps(*sets, _open_pairs(left, right)))
-        for x, y in zip(left["key"].to_numpy()[a].tolist(), right["key"].to_numpy()[b].tolist(), strict=True):
-            forest.join(x, y)
+    a, b = np.nonzero(overlaps(*sets, _open_pairs(left, right)))
+    for x, y in zip(left["key"][a].tolist(), right["key"][b].tolist(), strict=True):
+        forest.join(x, y)
     ends = [e for e in ((x, forest.root(x)) for x in list(forest.up)) if e[0] != e[1]]
-    return pd.DataFrame({"a": pd.Series([e[0] for e in ends], dtype="int64"), "b": pd.Series([e[1] for e in ends], dtype="int64")})
+    return {"a": [e[0] for e in ends], "b": [e[1] for e in ends]} if ends else None
 
 
 def _links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """rows(UNIT, side, key, component, place) -> links a, b of the units' products."""
-    return materialize(rows.join(sets, "key").groupBy(*UNIT).applyInPandas(_product, "a long, b long"), "links")
+    return materialize(per_group(rows.join(sets, "key"), UNIT, "a long, b long", _product), "links")
 
 
 def _rows_of_pairs(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -359,10 +394,12 @@ def _rows_of_blocks(blocks: DataFrame) -> DataFrame:
     # Blocks with the same members are one; a member's place is its first in any of them.
     named = members.withColumn("block", F.min("gram").over(Window.partitionBy("s1", "s2", "m"))).select("gram", "block", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
     once = blocks.join(named, "gram").groupBy(F.col("block").alias("gram"), "key").agg(F.min("place").alias("place"), F.min("component").alias("component"), F.min("parts").alias("parts"))
+    before = Window.partitionBy("key").orderBy("place", "gram").rowsBetween(-BEFORE, -1)
+    once = once.withColumn("before", F.collect_list("gram").over(before))
     dealt = once.withColumn("b", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     units = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("b")).alias("i"), F.greatest(k, F.col("b")).alias("j"), (F.col("b") > k).cast("int").alias("side")))
-    rows = dealt.withColumn("unit", F.explode(units)).select("gram", "unit.i", "unit.j", "unit.side", "key", "component", "place")
-    return materialize(rows.groupBy(*UNIT).applyInPandas(_with_partners, rows.schema), "rows")
+    rows = dealt.withColumn("unit", F.explode(units)).select("gram", "unit.i", "unit.j", "unit.side", "key", "component", "place", "before")
+    return materialize(per_group(rows, UNIT, "gram long, i int, j int, side int, key long, component long, place long", _with_partners), "rows")
 
 
 def _linked_neighbours(chain: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
