@@ -43,16 +43,19 @@ def _delete_at_exit(spark: SparkSession, path: str, pid: int) -> None:
         _delete(spark, path)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, sweep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut by files that outlive executors.
 
-    The files go when the driver ends, or earlier through drop()."""
+    The files go when the driver ends, or earlier through drop(). With sweep the driver's collector runs, at which Spark
+    deletes the shuffle files of what was just written; else they stay until it happens to run."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vigilspark-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete_at_exit, spark, path, os.getpid())
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    if sweep:
+        spark.sparkContext._jvm.System.gc()
     return out
 
 

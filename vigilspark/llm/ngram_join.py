@@ -376,7 +376,7 @@ def _product(unit: dict) -> dict | None:
 
 def _links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """rows(UNIT, side, key, component, place) -> links a, b of the units' products."""
-    return materialize(per_group(rows.join(sets, "key"), UNIT, "a long, b long", _product), "links")
+    return materialize(per_group(rows.join(sets, "key"), UNIT, "a long, b long", _product), "links", sweep=True)
 
 
 def _rows_of_pairs(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -389,17 +389,18 @@ def _rows_of_pairs(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _rows_of_blocks(blocks: DataFrame) -> DataFrame:
-    """Units of blocks (gram, key, component, place): rows are dealt into parts, and each pair of parts is a unit."""
-    members = blocks.groupBy("gram").agg(*[F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)], F.count(F.lit(1)).alias("m"))
+    """Units of the blocks (gram, key, component, place) that hold several components: rows are dealt into parts, and each
+    pair of parts is a unit."""
+    members = blocks.groupBy("gram").agg(*[F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)], F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     # Blocks with the same members are one; a member's place is its first in any of them.
     named = members.withColumn("block", F.min("gram").over(Window.partitionBy("s1", "s2", "m"))).select("gram", "block", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
     once = blocks.join(named, "gram").groupBy(F.col("block").alias("gram"), "key").agg(F.min("place").alias("place"), F.min("component").alias("component"), F.min("parts").alias("parts"))
     before = Window.partitionBy("key").orderBy("place", "gram").rowsBetween(-BEFORE, -1)
-    once = once.withColumn("before", F.collect_list("gram").over(before))
+    once = materialize(once, "open", sweep=True).withColumn("before", F.collect_list("gram").over(before))
     dealt = once.withColumn("b", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     units = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("b")).alias("i"), F.greatest(k, F.col("b")).alias("j"), (F.col("b") > k).cast("int").alias("side")))
     rows = dealt.withColumn("unit", F.explode(units)).select("gram", "unit.i", "unit.j", "unit.side", "key", "component", "place", "before")
-    return materialize(per_group(rows, UNIT, "gram long, i int, j int, side int, key long, component long, place long", _with_partners), "rows")
+    return materialize(per_group(rows, UNIT, "gram long, i int, j int, side int, key long, component long, place long", _with_partners), "rows", sweep=True)
 
 
 def _linked_neighbours(chain: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -438,19 +439,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     first = materialize(_first_pass(docs), "sets")
     rows = first.filter("kind = 'doc'").select("id", "n", "key", "second")
     entries = _entries(docs, _levels(first.filter("kind = 'cells'").select(F.col("id").alias("at"), "cells")))
-    blocks = materialize(_blocks(entries), "blocks")
+    blocks = materialize(_blocks(entries), "blocks", sweep=True)
     classes = materialize(rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("second").alias("low"), F.max("second").alias("high")), "classes")
     if classes.filter("low <> high").limit(1).count():
         raise RuntimeError("two different sets share a 64-bit digest")
 
     near = blocks.filter("prev_key is not null").filter(_allowed("prev_place", "place"))
-    chain = materialize(near.groupBy(F.least("key", "prev_key").alias("a"), F.greatest("key", "prev_key").alias("b")).agg(F.count(F.lit(1)).alias("times")), "pairs")
+    chain = materialize(near.groupBy(F.least("key", "prev_key").alias("a"), F.greatest("key", "prev_key").alias("b")).agg(F.count(F.lit(1)).alias("times")), "pairs", sweep=True)
     links = _linked_neighbours(chain, docs, classes)
     found = components(links).select(F.col("vertex").alias("key"), "component")
 
     placed = blocks.select("gram", "key", "place").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram")
-    rest = _rows_of_blocks(materialize(placed.join(mixed, "gram"), "open"))
+    placed = materialize(placed, "placed", sweep=True)
+    drop(blocks)
+    rest = _rows_of_blocks(placed)
+    drop(placed)
     more = _links(rest, _sets(docs, rest, classes))
     both = components(links.unionByName(more)).select(F.col("vertex").alias("key"), F.col("component").alias("joined"))
 
