@@ -1,4 +1,3 @@
-import glob
 import os
 
 import duckdb
@@ -15,6 +14,8 @@ from vigilspark.sources import ingest
 from vigilspark.sources.store import EVENT_SCHEMA, EventStore, page
 from vigilspark.streaming import live, replay
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def plain(rows):
     return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
@@ -32,18 +33,18 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
 
 
 def test_whole_queries_against_brute_force(spark, sf_dir):
-    """The queries without an id filter reach every row."""
+    """Queries that the SQL covers as well, against plain loops over every row."""
     from vigilspark.adapter import event_view
 
     rows = [r.asDict() for r in event_view(spark, sf_dir).orderBy("id").collect()]
     run = lambda name: Q.queries()[name](spark, sf_dir).collect()
-    assert {(r["id"], r["type"], r["key"]) for r in run("parse_audit_all")} == {(r["id"], "SYSCALL", f"key{r['id'] % 3}") for r in rows}
+    assert {(r["id"], r["type"], r["key"]) for r in run("parse_audit")} == {(r["id"], "SYSCALL", f"key{r['id'] % 3}") for r in rows}
     last, want = {}, {}
     for r in rows:
         t, trace = last.get(r["stream_id"], (r["timestamp"], 0.0))
         trace = trace * 0.95 ** ((r["timestamp"] - t).total_seconds() / 1e3) + r["value"]
         last[r["stream_id"]], want[r["id"]] = (r["timestamp"], trace), trace
-    got = {r["id"]: r["trace"] for r in run("decay_trace_all")}
+    got = {r["id"]: r["trace"] for r in run("decay_trace")}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
     pools, cycles = {}, {}
     for r in rows:
@@ -57,11 +58,11 @@ def test_whole_queries_against_brute_force(spark, sf_dir):
             while at + k * step <= 40 * 86400:
                 cycles[r["id"], source, k] = at + k * step
                 k += 1
-    made = {(r["id"], r["source"], r["cycle"]): r["elapsed"] for r in run("cycle_rows_all")}
+    made = {(r["id"], r["source"], r["cycle"]): r["elapsed"] for r in run("cycle_rows")}
     assert made.keys() == cycles.keys() and all(made[k] == pytest.approx(cycles[k], abs=1e-5) for k in made)
     counts = {s: sum(k[1] == s for k in cycles) for s in pools}
-    assert {r["source"]: r["n"] for r in run("cycle_counts_all")} == counts
-    merged = {r["source"]: r for r in run("compose_merge_all") if r["is_malicious"] == 0}
+    assert {r["source"]: r["n"] for r in run("cycle_counts")} == counts
+    merged = {r["source"]: r for r in run("compose_merge") if r["is_malicious"] == 0}
     assert {s: r["n"] for s, r in merged.items()} == counts
     assert all(r["last_s"] == pytest.approx(max(v for k, v in cycles.items() if k[1] == s), abs=1e-5) for s, r in merged.items())
 
@@ -85,9 +86,9 @@ def test_windows_of_full_size(spark, tmp_path):
         rings[r["id"]] = ",".join(last[-50:] + ["0"] * (50 - len(last)))
         stacks[r["id"]] = ",".join(["0"] * (50 - len(last)) + last[-50:])
     assert max(n for n, _ in tails.values()) == 50_000
-    assert {r["id"]: (r["n"], r["digest"]) for r in Q.queries()["text_tail_500"](spark, str(tmp_path)).collect()} == tails
-    assert {r["id"]: r["ring"] for r in Q.queries()["struct_ring_50"](spark, str(tmp_path)).collect()} == rings
-    assert {r["id"]: r["stack"] for r in Q.queries()["window_stack_50"](spark, str(tmp_path)).collect()} == stacks
+    assert {r["id"]: (r["n"], r["digest"]) for r in Q.queries()["text_tail"](spark, str(tmp_path)).collect()} == tails
+    assert {r["id"]: r["ring"] for r in Q.queries()["struct_ring"](spark, str(tmp_path)).collect()} == rings
+    assert {r["id"]: r["stack"] for r in Q.queries()["window_stack"](spark, str(tmp_path)).collect()} == stacks
 
 
 @pytest.mark.parametrize(("text", "seed", "want"), [("test", 0, 0xBA6BD213), ("Hello, world!", 0, 0xC0363E43), ("Hello, world!", 0x9747B28C, 0x24884CBA), ("wget", 1, 54516641), ("/tmp/payload.sh", 2, 2533371248)])
@@ -177,11 +178,168 @@ def test_live_counts(spark, tmp_path):
     assert {(r["source"], r["n"]) for r in spark.sql("select * from hourly").collect()} == {("ebpf_file", 1), ("ebpf_network", 1)}
 
 
-def test_entry_imports_without_llm():
-    import __spark_entry__ as entry
+def test_the_rest_works_without_llm(tmp_path):
+    """A copy of the repository without the training-data folders imports, and keeps every other query."""
+    import shutil
+    import subprocess
+    import sys
+
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py", "spark-warehouse"))
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
+    got = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True)
+    assert got.stdout.split() == [str(len(Q.queries())), "False", "True"]
+
+
+def test_bad_numbers_do_not_stop_a_job(spark):
+    lines = spark.createDataFrame([("2026-01-01T00:00:00Z h sshd[99999999999]: hi",), ("[Mon Jan 05 10:00:00.1 2026] [core:error] [pid 99999999999] [client 1.2.3.4:99999999999] m",)], "line string")
+    a, b = lines.select(P.syslog_header(F.col("line"), "2026-03-01 00:00:00")["pid"].alias("pid"), P.web_error(F.col("line")).alias("w")).collect()
+    assert a["pid"] is None and b["w"]["pid"] is None and b["w"]["client_port"] is None and b["w"]["session_id"] == "1.2.3.4"
+
+
+def test_event_types_are_escaped(spark):
+    import json
+
+    from vigilspark.sources.store import with_event_type
+
+    d = spark.createDataFrame([(None, 'a"b'), ("{}", "c\\d"), ('{"k": 1}', "e")], "p string, t string")
+    assert [json.loads(r[0])["event_type"] for r in d.select(with_event_type(F.col("p"), F.col("t"))).collect()] == ['a"b', "c\\d", "e"]
+
+
+def murmur3(raw: bytes, seed: int) -> int:
+    """Written from the published algorithm, with plain integers."""
+    h = seed
+    blocks = [int.from_bytes(raw[k : k + 4], "little") for k in range(0, len(raw) - len(raw) % 4, 4)]
+    rotate = lambda x, n: (x << n | x >> 32 - n) % 2**32
+    mix = lambda k: rotate(k * 0xCC9E2D51 % 2**32, 15) * 0x1B873593 % 2**32
+    for k in blocks:
+        h = (rotate(h ^ mix(k), 13) * 5 + 0xE6546B64) % 2**32
+    if tail := raw[len(blocks) * 4 :]:
+        h ^= mix(int.from_bytes(tail, "little"))
+    h ^= len(raw)
+    h = (h ^ h >> 16) * 0x85EBCA6B % 2**32
+    h = (h ^ h >> 13) * 0xC2B2AE35 % 2**32
+    return h ^ h >> 16
+
+
+def test_kernel_rows_and_feature_hash_against_brute_force(spark, sf_dir):
+    import math
+    import re
+
+    from vigilspark import domains as D
+    from vigilspark.adapter import event_view
+
+    rows = [r.asDict() for r in event_view(spark, sf_dir).orderBy("id").collect()]
+    last, want = {}, {}
+    for r in rows:
+        if not r["source"].startswith("ebpf"):
+            continue
+        key = r["stream_id"], r["source"]
+        gap = math.log1p((r["timestamp"] - last.get(key, r["timestamp"])).total_seconds())
+        last[key] = r["timestamp"]
+        call = r["raw_line"].split()[1]
+        f = dict(re.findall(r"(\w+)=(\S*)", r["raw_line"]))
+        h = lambda k, seed: float(murmur3(f[k].rpartition(":")[0 if k == "dst" else 2].encode(), seed)) if k in f else 0.0  # noqa: B023, E731
+        n = lambda k: float(f.get(k, 0))  # noqa: B023, E731
+        number = D.SYSCALLS.index(call) + 1.0
+        if r["source"] == "ebpf_process":
+            want[r["id"]] = [gap, n("pid"), n("ppid"), n("uid"), number, h("comm", 0), h("parent_comm", 0), 0.0]
+        elif r["source"] == "ebpf_network":
+            want[r["id"]] = [gap, n("pid"), n("uid"), number, h("dst", 1), float(f["dst"].rpartition(":")[2]), h("comm", 0)]
+        else:
+            want[r["id"]] = [gap, n("pid"), n("uid"), number, 65.0, h("path", 2)]
+    got = {r["id"]: r["row"] for r in Q.queries()["kernel_rows"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+    hashed = {r["id"]: r["v"] for r in Q.queries()["feature_hash"](spark, sf_dir).collect()}
+    for r in rows:
+        words = [w for w in re.split(r"""[\s\[\]():=,"'{}]+""", r["raw_line"]) if w]
+        v = [0.0] * 256
+        for t in words + [f"{a}_{b}" for a, b in zip(words, words[1:])]:
+            v[murmur3(t.encode(), 42) % 256] += 1 if murmur3(t.encode(), 7) % 2 == 0 else -1
+        norm = math.sqrt(sum(x * x for x in v)) or 1.0
+        assert hashed[r["id"]] == pytest.approx([x / norm for x in v], abs=1e-6)
+
+
+def test_closed_loop_against_plain_loops(spark, sf_dir):
+    """Without throttling there is nothing random: a plain loop over each stream gives the same steps, info and totals."""
+    from vigilspark import domains as D
+    from vigilspark.adapter import event_view
+
+    def choose(row):
+        return D.BLOCK if "Failed password" in row["raw_line"] else D.UNBLOCK if row["id"] % 7 == 0 else D.ALERT
 
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert os.path.exists("/root/testdata") or glob.glob("/")
+    ev = event_view(spark, sf_dir)
+    steps = replay.closed_loop(ev, lambda row: (choose(row), 0.0), reset_row=True, ttl_s=3600.0)
+    got = {(r["stream_id"], r["step"]): r for r in steps.collect()}
+    streams, total = {}, 0.0
+    for r in ev.orderBy("id").collect():
+        streams.setdefault(r["stream_id"], []).append(r)
+    for stream, rows in streams.items():
+        assert got[stream, -1]["event_id"] == rows[0]["id"] and got[stream, -1]["action"] is None
+        banned, at, step, lost = {}, 0, 0, 0
+        while at < len(rows):
+            action, ip = choose(rows[at]), rows[at]["src_ip"]
+            if ip and action == D.BLOCK:
+                banned[ip] = rows[at]["timestamp"]
+            if ip and action == D.UNBLOCK:
+                banned.pop(ip, None)
+            nxt, late = at + 1, 0.0
+            while nxt < len(rows) and rows[nxt]["src_ip"] in banned:
+                if (rows[nxt]["timestamp"] - banned[rows[nxt]["src_ip"]]).total_seconds() >= 3600:
+                    del banned[rows[nxt]["src_ip"]]
+                    break
+                lost, late, nxt = lost + 1, late + {1: 0.1, 0: -0.5, None: 0.0}[rows[nxt]["is_malicious"]], nxt + 1
+            bad = nxt < len(rows) and rows[nxt]["is_malicious"] == 1
+            reward = (D.REWARD_ON_ATTACK if bad else D.REWARD_ON_BENIGN)[action] + late
+            r = got.pop((stream, step))
+            assert (r["event_id"], r["dropped"], r["truncated"], r["blocked"]) == (rows[nxt]["id"] if nxt < len(rows) else None, lost, nxt >= len(rows), sorted(banned)) and r["reward"] == pytest.approx(reward)
+            at, step, total = nxt, step + 1, total + reward
+    assert all(k[1] == -1 for k in got)
+    assert replay.totals(steps).first()["total_reward"] == pytest.approx(total)
+
+
+def test_checks_by_name_and_command_line(spark, tmp_path, capsys):
+    from vigilspark import __main__ as cli
+    from vigilspark.operators.validate import available, run_checks
+
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "auth.log").write_text("Jan  2 00:00:01 h sshd[12]: Accepted password for bob from 1.2.3.4 port 5 ssh2\nnonsense\n")
+    assert cli.main(["import", str(tmp_path / "logs"), str(tmp_path / "s"), "--reference-time", "2026-03-01 00:00:00"]) == 0
+    assert cli.main(["validate", str(tmp_path / "s")]) == 0 and "no_unlabelled" in capsys.readouterr().out
+    store = EventStore(spark, str(tmp_path / "s"))
+    rows = run_checks(store.events(), None, store.campaigns(), {"brute_force": 1}, ["bob"]).collect()
+    assert {r["name"] for r in rows} == set(available()) and {r["name"] for r in rows if r["status"] == "FAIL"} == {"attack_distribution", "pii_absent"}
+    with pytest.raises(ValueError):
+        run_checks(store.events(), ["none"])
+
+
+def test_compose_writes_meta_and_counts_types(spark, sf_dir, tmp_path):
+    from vigilspark.adapter import event_view
+    from vigilspark.plans.compose import compose
+    from vigilspark.sources.store import attack_pools
+
+    ev = event_view(spark, sf_dir)
+    config = CompositionConfig(10 * 86400.0, distribution={"web_exploit": 0.5, "missing": 0.5})
+    made = compose(spark, ev.filter("is_malicious = 0"), attack_pools(ev), config, "2026-01-01 00:00:00", str(tmp_path / "c"), "b", "a")
+    out = spark.read.parquet(str(tmp_path / "c"))
+    assert made["total"] == out.count() and made["campaigns"] > sum(made["types"].values()) == made["types"]["web_exploit"]
+    assert {r["key"] for r in spark.read.parquet(str(tmp_path / "c-meta")).collect()} == {"seed", "duration_seconds", "campaigns_per_day", "distribution", "benign_db", "attack_db", "composed_at"}
+
+
+def test_loops_pace_and_unions(spark, tmp_path):
+    import itertools
+
+    e, waits = events(spark, [0] * 3), []
+    assert [[r["id"] for r in b] for b in itertools.islice(ingest.iter_batches(e, 2, loop=True), 4)] == [[0, 1], [2], [0, 1], [2]]
+    assert len(list(ingest.iter_paced(ingest.iter_rows(e), 2.0, waits.append))) == 3 and waits == [0.5, 0.5]
+    stores = [EventStore(spark, str(tmp_path / n), "w") for n in "ab"]
+    columns = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
+    row = dict.fromkeys(columns)
+    for k, s in enumerate(stores):
+        s.append(spark.createDataFrame([tuple((row | {"id": 1, "source": "syslog", "raw_line": str(k)}).values())], EVENT_SCHEMA).withColumn("timestamp", F.expr(f"timestamp_ntz'2026-01-01 00:00:0{1 - k}'")))
+    from vigilspark.sources.store import union_of
+
+    assert [(r["id"], r["raw_line"]) for r in union_of(stores).orderBy("id").collect()] == [(1, "1"), (2, "0")]
 
 
 def test_batches_in_order_of_time(spark):

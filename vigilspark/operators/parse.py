@@ -30,19 +30,25 @@ def syslog_header(line: Column, reference_time: str) -> Column:
     exact = F.convert_timezone(F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))
     pick = lambda b, r: F.when(bsd, _group(line, D.SYSLOG_BSD, b)).otherwise(_group(line, D.SYSLOG_RFC3339, r))
     message = F.when(bsd, F.regexp_extract(line, D.SYSLOG_BSD, 7)).otherwise(F.regexp_extract(line, D.SYSLOG_RFC3339, 5))
-    header = F.struct(F.when(bsd, local).otherwise(exact).alias("ts"), pick(4, 2).alias("hostname"), pick(5, 3).alias("service"), pick(6, 4).cast("int").alias("pid"), message.alias("message"))
+    header = F.struct(F.when(bsd, local).otherwise(exact).alias("ts"), pick(4, 2).alias("hostname"), pick(5, 3).alias("service"), pick(6, 4).try_cast("int").alias("pid"), message.alias("message"))
     return F.when(bsd | rfc, header)
 
 
 def auth_log(header: Column) -> Column:
-    """pattern, event_type, username, src_ip, port, session_id of an sshd message."""
-    message, names = header["message"], ("pattern", "event_type", "username", "src_ip", "port")
-    out = F.lit(None)
+    """pattern, event_type, username, src_ip, port, session_id (address and port), auth_method, preauth,
+    max_attempts_exceeded of an sshd message."""
+    message, out, none = header["message"], F.lit(None), F.lit(None).cast("string")
+
+    def struct(pattern: Column, kind: Column, user: Column, ip: Column, port: Column, method: Column, preauth: bool, exceeded: bool) -> Column:
+        names = {"pattern": pattern, "event_type": kind, "username": user, "src_ip": ip, "port": port, "session_id": F.concat(ip, F.lit(":"), port), "auth_method": method, "preauth": F.lit(preauth), "max_attempts_exceeded": F.lit(exceeded)}
+        return F.struct(*[c.alias(n) for n, c in names.items()])
+
     for name, pattern, kind, groups in reversed(D.AUTH_PATTERNS):
         user, ip, port = (_group(message, pattern, g) if g else F.lit(None).cast("string") for g in groups)
-        found = F.struct(F.lit(name).alias("pattern"), F.lit(kind).alias("event_type"), user.alias("username"), ip.alias("src_ip"), port.alias("port"))
+        method = F.lit("publickey" if "publickey" in name else "password") if "publickey" in name or "password" in name else none
+        found = struct(F.lit(name), F.lit(kind), user, ip, port, method, name == "connection_closed_preauth", name == "max_auth_attempts")
         out = F.when(message.rlike(pattern), found).otherwise(out)
-    return F.when(header["service"].startswith("sshd"), F.coalesce(out, F.struct(*[F.lit("other" if n == "event_type" else None).cast("string").alias(n) for n in names])))
+    return F.when(header["service"].startswith("sshd"), F.coalesce(out, struct(none, F.lit("other"), none, none, none, none, False, False)))
 
 
 def syslog_event(header: Column) -> Column:
@@ -52,6 +58,12 @@ def syslog_event(header: Column) -> Column:
     return F.when(~header["service"].startswith("sshd"), kind)
 
 
+def sudo(header: Column) -> Column:
+    """sudo (whether the service is sudo), sudo_user (who called it) of a syslog line."""
+    is_sudo = F.lower(header["service"]) == "sudo"
+    return F.struct(F.coalesce(is_sudo, F.lit(False)).alias("sudo"), F.when(is_sudo, _group(header["message"], r"^(\S+)\s*:", 1)).alias("sudo_user"))
+
+
 def web_access(line: Column) -> Column:
     """ts (UTC), src_ip, username, method, path, protocol, status, size, referer, user_agent, session_id, event_type."""
     g = lambda k: F.regexp_extract(line, D.WEB_ACCESS, k)
@@ -68,7 +80,7 @@ def web_error(line: Column) -> Column:
     ts = _ntz(F.concat_ws(" ", g(6), g(2), g(3), g(4)), "yyyy MMM d HH:mm:ss")
     return F.when(
         line.rlike(D.WEB_ERROR),
-        F.struct(ts.alias("ts"), g(7).alias("module"), g(8).alias("level"), g(9).cast("int").alias("pid"), g(10).alias("src_ip"), g(11).cast("int").alias("client_port"), F.trim(F.regexp_extract(line, D.WEB_ERROR, 12)).alias("message")),
+        F.struct(ts.alias("ts"), g(7).alias("module"), g(8).alias("level"), g(9).try_cast("int").alias("pid"), g(10).alias("src_ip"), g(11).try_cast("int").alias("client_port"), F.trim(F.regexp_extract(line, D.WEB_ERROR, 12)).alias("message"), g(10).alias("session_id"), F.lit("http_error").alias("event_type")),
     )
 
 
@@ -111,6 +123,11 @@ def audit_records(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n----\n|\n\s*\n"), lambda r: F.trim(r)), lambda r: r != "")
 
 
+def with_audit_key(records: DataFrame, column: str, key: str = "research_exploit") -> DataFrame:
+    """The rows whose parsed audit record carries the key."""
+    return records.filter(F.col(f"{column}.fields")["key"] == key)
+
+
 def enrich_by_pid(events: DataFrame, file: str = "path", order: str = "line_no") -> DataFrame:
     """Rows without address take the latest address and session that their pid had before in the same file."""
     w = Window.partitionBy(file, "pid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

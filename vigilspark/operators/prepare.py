@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilspark import domains as D
+from vigilspark.functions.encode import mapped
+from vigilspark.sources.store import with_event_type
 
 
 def filter_rule(source: Column, line: Column) -> Column:
@@ -97,8 +99,10 @@ def label_by_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
 def escalate_by_audit(events: DataFrame, audit: DataFrame) -> DataFrame:
     """Malicious rows whose second an audit record shares get severity 3 at least."""
     seconds = audit.select(F.col("ts").alias("timestamp")).distinct().withColumn("_seen", F.lit(True))
-    joined = events.join(seconds, "timestamp", "left")
-    return joined.withColumn("severity", F.when(F.col("_seen") & (F.col("is_malicious") == 1), F.greatest("severity", F.lit(3))).otherwise(F.col("severity"))).drop("_seen")
+    bad = F.coalesce(F.col("is_malicious") == 1, F.lit(False))  # only these rows are dealt by time
+    joined = events.filter(bad).join(seconds, "timestamp", "left")
+    raised = joined.withColumn("severity", F.when(F.col("_seen"), F.greatest("severity", F.lit(3))).otherwise(F.col("severity")))
+    return raised.select(*events.columns).unionByName(events.filter(~bad))
 
 
 def dominant_address(events: DataFrame) -> DataFrame:
@@ -111,20 +115,37 @@ def dominant_address(events: DataFrame) -> DataFrame:
 def enrich_kernel(events: DataFrame) -> DataFrame:
     """Kernel rows of attacks without an address take their campaign's dominant one, and a session named after both."""
     top = dominant_address(events).select("attack_type", "campaign_id", F.col("src_ip").alias("_ip"))
-    lacks = F.col("source").startswith("ebpf_") & (F.col("is_malicious") == 1) & F.coalesce("src_ip", F.lit("")).isin("", "0.0.0.0") & F.col("_ip").isNotNull()
-    joined = events.join(top, ["attack_type", "campaign_id"], "left").withColumn("_lacks", F.coalesce(lacks, F.lit(False)))
+    lacks = F.coalesce(F.col("source").startswith("ebpf_") & (F.col("is_malicious") == 1) & F.coalesce("src_ip", F.lit("")).isin("", "0.0.0.0"), F.lit(False))
+    # Only rows that lack an address are joined: the others have null keys, which would meet in one task.
+    joined = events.filter(lacks).join(top, ["attack_type", "campaign_id"], "left")
     session = F.concat("_ip", F.lit(":ebpf_"), F.right("campaign_id", F.lit(8)))
-    return joined.withColumn("session_id", F.when(F.col("_lacks"), session).otherwise(F.col("session_id"))).withColumn("src_ip", F.when(F.col("_lacks"), F.col("_ip")).otherwise(F.col("src_ip"))).drop("_ip", "_lacks").select(*events.columns)
+    filled = joined.withColumn("session_id", F.when(F.col("_ip").isNotNull(), session).otherwise(F.col("session_id"))).withColumn("src_ip", F.coalesce("_ip", "src_ip"))
+    return filled.select(*events.columns).unionByName(events.filter(~lacks))
 
 
 def backfill(events: DataFrame) -> DataFrame:
-    """Fill address and session of sshd rows that lack both from the last row of their pid that has an address."""
+    """Fill address and session of sshd rows that lack both from the last row of their pid that has both."""
     pid = F.nullif(F.regexp_extract("raw_line", r"sshd\[(\d+)\]", 1), F.lit(""))
     rows = events.withColumn("_pid", F.when(F.col("source") == "auth_log", pid))
-    last = rows.filter("_pid is not null and src_ip is not null").groupBy("_pid").agg(F.max_by(F.struct("src_ip", "session_id"), "id").alias("_v"))
-    joined = rows.join(last, "_pid", "left")
-    lacks = F.col("src_ip").isNull() & F.col("session_id").isNull()
-    return joined.withColumn("_lacks", lacks).withColumn("src_ip", F.when(F.col("_lacks"), F.col("_v.src_ip")).otherwise(F.col("src_ip"))).withColumn("session_id", F.when(F.col("_lacks"), F.col("_v.session_id")).otherwise(F.col("session_id"))).select(*events.columns)
+    last = rows.filter("_pid is not null and src_ip <> '' and session_id <> ''").groupBy("_pid").agg(F.max_by(F.struct("src_ip", "session_id"), "id").alias("_v"))
+    lacks = F.col("src_ip").isNull() & F.col("session_id").isNull() & F.col("_pid").isNotNull()
+    filled = rows.filter(lacks).join(last, "_pid", "left").withColumns({"src_ip": F.col("_v.src_ip"), "session_id": F.col("_v.session_id")})
+    return filled.select(*events.columns).unionByName(rows.filter(~lacks).select(*events.columns))
+
+
+def with_event_types(events: DataFrame) -> DataFrame:
+    """Give parsed JSON that lacks it an event type: sshd rows by their pattern, web rows by their source."""
+    pattern = F.get_json_object("parsed", "$.pattern")
+    kinds = {name: kind for name, _, kind, _ in D.AUTH_PATTERNS}
+    web = F.when(F.col("source") == "web_error", "http_error").when(F.col("source") == "web_access", "http_request")
+    kind = F.when(F.col("source") == "auth_log", mapped(pattern, kinds, None)).otherwise(web)
+    return events.withColumn("parsed", F.when(F.col("parsed").isNotNull(), with_event_type(F.col("parsed"), kind)))
+
+
+def label_stats(labelled: DataFrame) -> DataFrame:
+    """total, malicious, benign, audit_confirmed (attacks of severity 3 or more) of labelled rows."""
+    bad = F.col("is_malicious") == 1
+    return labelled.agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("malicious"), F.count_if(F.col("is_malicious") == 0).alias("benign"), F.count_if(bad & (F.col("severity") >= 3)).alias("audit_confirmed"))
 
 
 def sampled(events: DataFrame, rate: float, time_text: str = "timestamp_text") -> DataFrame:

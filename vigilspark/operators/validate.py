@@ -8,9 +8,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilspark.functions.encode import true_risk
+
 #: What lines of a type look like (spot check), and what clean data must not hold.
-SPOT_PATTERNS = {"brute_force": "(?i)Failed password|Invalid user|res=failed|authentication failure|Accepted password|Connection closed.*preauth|Disconnected from|systemd|session opened|pam_unix", "web_exploit": r"\$\{jndi:|(?i)jndi:ldap://|python-requests|/\?x="}
-ATTACK_STRINGS = ["${jndi:", "union select", "/etc/passwd", "nikto", "sqlmap", "failed password"]
+SPOT_PATTERNS = {
+    "brute_force": [r"(?i)Failed password", r"(?i)Invalid user", r"(?i)res=failed", r"(?i)authentication failure", r"(?i)Connection closed.*preauth", r"(?i)Disconnected from"],
+    "credential_stuffing": [r"(?i)Failed password", r"(?i)Invalid user", r"(?i)res=failed", r"(?i)authentication failure", r"(?i)Accepted password", r"(?i)Connection closed.*preauth", r"(?i)Disconnected from", r"(?i)systemd", r"(?i)session opened", r"(?i)pam_unix"],
+    "web_exploit": [r"\$\{jndi:", r"(?i)jndi:ldap://", r"(?i)python-requests", r"(?i)/\?x="],
+    "discovery": [r"(?i)systemd", r"(?i)session opened", r"(?i)Accepted password", r"(?i)pam_unix", r"(?i)SYN", r"(?i)connection"],
+    "execution": [r"(?i)Accepted password", r"(?i)session opened", r"(?i)Started User", r"(?i)pam_unix", r"(?i)New session", r"(?i)_AUDIT_TYPE", r"(?i)_CMDLINE", r"(?i)EXECVE", r"(?i)session_finalize", r"(?i)User Runtime Directory", r"(?i)user-\d+\.slice", r"(?i)research_exploit", r"(?i)\"MESSAGE\"", r"(?i)session-\d+\.scope"],
+}
+ATTACK_STRINGS = ["Failed password", "Invalid user", "${jndi:", "UNION+SELECT", "../../../", "wp-login.php"]
 
 
 def _row(df: DataFrame, name: str, bad: Column, failed: str = "FAIL", total: Column | None = None) -> DataFrame:
@@ -27,7 +35,7 @@ def label_consistency(events: DataFrame) -> DataFrame:
 def spot_check(events: DataFrame, per_type: int = 50, seed: int = 42) -> DataFrame:
     """A seeded sample of lines of each type against its patterns; below 60 % fails, below 80 % warns."""
     sample = seeded_sample(events.filter(F.col("attack_type").isin(*SPOT_PATTERNS)), per_type, seed)
-    hit = reduce(lambda a, b: a | b, [(F.col("attack_type") == t) & F.col("raw_line").rlike(p) for t, p in SPOT_PATTERNS.items()])
+    hit = reduce(lambda a, b: a | b, [(F.col("attack_type") == t) & F.col("raw_line").rlike("|".join(f"(?:{p})" for p in ps)) for t, ps in SPOT_PATTERNS.items()])
     by_type = sample.groupBy("attack_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
     rated = by_type.agg(F.min(F.col("hits") / F.col("n")).alias("worst"), F.sum(F.col("n") - F.col("hits")).alias("n_bad"))
     return rated.select(F.lit("spot_check").alias("name"), F.when(F.col("worst").isNull(), "SKIP").when(F.col("worst") < 0.6, "FAIL").when(F.col("worst") < 0.8, "WARN").otherwise("PASS").alias("status"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"))
@@ -123,13 +131,51 @@ def seeded_sample(events: DataFrame, per_type: int = 50, seed: int = 42) -> Data
     return events.filter("is_malicious = 1").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_type)
 
 
+#: Checks of the event table by name.
 CHECKS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "label_consistency": label_consistency, "spot_check": spot_check, "temporal_order": temporal_order,
     "no_unlabelled": no_unlabelled, "session_coherence": session_coherence, "all_benign": all_benign,
     "no_attack_content": lambda e: strings_absent(e, ATTACK_STRINGS, "no_attack_content"),
+    "target_consistency": lambda e: target_consistency(e.withColumn("true_risk", true_risk(F.col("is_malicious"), F.col("attack_stage")))),
+    "build_order": lambda e: temporal_order(e, "build_order", "WARN"),
+    "source_distribution": lambda e: _as_report(source_distribution(e)), "event_count": lambda e: _as_report(event_count(e)),
 }
+#: Checks that need the campaigns, the expected shares of types or the strings that a scrub removes.
+CAMPAIGN_CHECKS = {"campaign_boundaries": campaign_boundaries, "campaign_types": campaign_types}
+
+
+def _as_report(row: DataFrame) -> DataFrame:
+    return row.select("name", "status", F.lit(0).cast("bigint").alias("n_bad"))
+
+
+def _worst(rows: DataFrame, name: str) -> DataFrame:
+    """One report row of several: the worst status, how many are not passed."""
+    rank = F.max(F.when(F.col("status") == "FAIL", 2).when(F.col("status") == "WARN", 1).otherwise(0))
+    r = rows.agg(rank.alias("rank"), F.count_if(F.col("status") != "PASS").alias("n_bad"))
+    return r.select(F.lit(name).alias("name"), F.when(F.col("rank") == 2, "FAIL").when(F.col("rank") == 1, "WARN").otherwise("PASS").alias("status"), "n_bad")
+
+
+def available(campaigns: bool = True, expected: bool = True, scrubbed: bool = True) -> list[str]:
+    return [*CHECKS, *(CAMPAIGN_CHECKS if campaigns else ()), *(["attack_distribution"] if expected else ()), *(["pii_absent", "scrub_left"] if scrubbed else ())]
+
+
+def run_checks(events: DataFrame, names: list[str] | None = None, campaigns: DataFrame | None = None, expected: dict[str, float] | None = None, scrubbed: list[str] | None = None) -> DataFrame:
+    """One report row (name, status, n_bad) for each check; without names all whose inputs are given."""
+    known = available()
+    if unknown := [n for n in names or () if n not in known]:
+        raise ValueError(f"no check {unknown[0]!r}; there are {known}")
 
+    def one(name: str) -> DataFrame:
+        if name in CHECKS:
+            return CHECKS[name](events)
+        needed = {"attack_distribution": expected, "pii_absent": scrubbed, "scrub_left": scrubbed}.get(name, campaigns)
+        if needed is None:
+            raise ValueError(f"check {name!r} lacks its input")
+        if name in CAMPAIGN_CHECKS:
+            return CAMPAIGN_CHECKS[name](events, campaigns)
+        if name == "attack_distribution":
+            return _worst(attack_distribution(events, expected), name)
+        return strings_absent(events, scrubbed, name) if name == "pii_absent" else _worst(strings_left(events, scrubbed), name)
 
-def run_checks(events: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """One report row for each check."""
-    return reduce(DataFrame.unionByName, [CHECKS[n](events) for n in (names or CHECKS)])
+    wanted = names or available(campaigns is not None, expected is not None, scrubbed is not None)
+    return reduce(DataFrame.unionByName, [one(n) for n in wanted])

@@ -9,9 +9,20 @@ from pyspark.sql import functions as F
 PROFILES = {
     "constant": [("constant", 1.0)],
     "accelerating": [("slow", 0.3), ("medium", 0.4), ("fast", 0.3)],
+    "decelerating": [("fast", 0.3), ("medium", 0.4), ("slow", 0.3)],
 }
 
 
+def segments_of(profile: str, phases: list[dict] | None = None) -> list[tuple[str, float]]:
+    """Segments of a named profile, or of phases (label, fraction) given; their shares must add up to 1 within 0.01."""
+    found = [(str(p["label"]), float(p["fraction"])) for p in phases] if phases else PROFILES.get(profile)
+    if found is None:
+        raise ValueError(f"no profile {profile!r} without phases; there are {sorted(PROFILES)}")
+    if abs(sum(share for _, share in found) - 1) > 0.01:
+        raise ValueError("the segments' shares must add up to 1")
+    return found
+
+
 def campaign_errors(text: str) -> list[str]:
     """What makes a campaign's YAML invalid; an empty list if nothing does."""
     import yaml

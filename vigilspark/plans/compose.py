@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -62,20 +64,21 @@ def cycle_counts(benign: DataFrame, duration_s: float) -> DataFrame:
     return d.groupBy("source").agg(F.sum(F.floor((F.lit(duration_s) - F.col("rel")) / (F.col("span") + 1)) + 1).alias("n"))
 
 
-def schedule(config: CompositionConfig, pool_sizes: dict[str, int]) -> list[tuple[int, str, float, int, int]]:
+def schedule(config: CompositionConfig, pool_sizes: dict[str, int], skipped: bool = False) -> list[tuple[int, str, float, int, int]]:
     """(campaign, type, offset, first pool place, size): Poisson arrivals with weighted types, then for each type that has a
-    pool a third of it from a drawn place. Drawn on the driver: a few rows for each simulated day."""
+    pool a third of it from a drawn place. With skipped, campaigns whose type has no pool are listed with size 0. Drawn on the driver: a few rows for each simulated day."""
     rng, draw = np.random.default_rng(config.seed), np.random.default_rng(config.seed + 1)
-    types, t, out = sorted(config.distribution or {}), 0.0, []
+    types, t, out = list(config.distribution or {}), 0.0, []  # drawn in the config's order
     weights = np.array([config.distribution[k] for k in types]) if types else np.array([])
     while types and config.per_day > 0:
-        t += float(rng.exponential(86400.0 / config.per_day))
+        t += float(rng.exponential(1.0 / (config.per_day / 86400.0)))
         if t >= config.duration_s:
             break
         kind = types[int(rng.choice(len(types), p=weights / weights.sum()))]
-        if n := pool_sizes.get(kind, 0):
-            size = min(n, max(1, n // 3))
-            out.append((len(out), kind, t, int(draw.integers(0, n - size + 1)), size))
+        n = pool_sizes.get(kind, 0)
+        size = min(n, max(1, n // 3))
+        if n or skipped:
+            out.append((len(out), kind, t, int(draw.integers(0, n - size + 1)) if n else 0, size))
     return out
 
 
@@ -97,12 +100,18 @@ def merged(benign: DataFrame, attacks: DataFrame, start: str) -> DataFrame:
     return both.withColumn("timestamp", F.lit(start).cast("timestamp_ntz") + shift)
 
 
-def compose(spark: SparkSession, benign: DataFrame, attack_pools: DataFrame, config: CompositionConfig, start: str, path: str) -> dict[str, int]:
-    """Write the composed timeline, ordered within and across files, and give its statistics."""
+def compose(spark: SparkSession, benign: DataFrame, attack_pools: DataFrame, config: CompositionConfig, start: str, path: str, benign_db: str = "", attack_db: str = "") -> dict[str, object]:
+    """Write the composed timeline, ordered within and across files, beside it its meta keys, and give its statistics.
+
+    campaigns counts all that were scheduled, types those that had a pool, by type."""
     sizes = {r["pool"]: r["n"] for r in attack_pools.groupBy("pool").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a type
-    plan = spark.createDataFrame(schedule(config, sizes), "campaign long, attack_type string, offset_s double, start long, size long")
+    drawn = schedule(config, sizes, skipped=True)
+    types = {k: sum(c[1] == k and c[4] > 0 for c in drawn) for k in dict.fromkeys(c[1] for c in drawn if c[4] > 0)}
+    plan = spark.createDataFrame([c for c in drawn if c[4] > 0], "campaign long, attack_type string, offset_s double, start long, size long")
     rows = merged(cycled(sampled(benign.withColumn("timestamp_text", F.col("timestamp").cast("string")), config.ebpf_rate).drop("timestamp_text"), config.duration_s), transplanted(attack_pools, plan), start)
     rows.repartitionByRange("timestamp", "gen", "place").sortWithinPartitions("timestamp", "gen", "place").write.mode("overwrite").parquet(path)
+    meta = {"seed": str(config.seed), "duration_seconds": str(config.duration_s), "campaigns_per_day": str(config.per_day), "distribution": json.dumps(config.distribution), "benign_db": benign_db, "attack_db": attack_db, "composed_at": datetime.now(timezone.utc).isoformat()}
+    spark.createDataFrame(sorted(meta.items()), "key string, value string").write.mode("overwrite").parquet(f"{path.rstrip('/')}-meta")
     done = spark.read.parquet(path)
     r = done.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("is_malicious") == 1).alias("attack")).first()
-    return {"total": r["total"], "attack": r["attack"], "benign": r["total"] - r["attack"], "campaigns": plan.count(), "days": int(config.duration_s // 86400)}
+    return {"total": r["total"], "attack": r["attack"], "benign": r["total"] - r["attack"], "campaigns": len(drawn), "days": config.duration_s / 86400, "types": types}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,10 @@ def parsed_lines(lines: DataFrame, reference_time: str) -> DataFrame:
         d = d.withColumn(f"_{name}", F.when(F.col("parser") == name, column))
     h, a, w, e, j, k, lit = F.col("_h"), F.col("_auth_log"), F.col("_web_access"), F.col("_web_error"), F.col("_journal"), F.col("_ebpf"), F.lit
     made = F.coalesce(
-        event(a.isNotNull(), h["ts"], lit("auth_log"), a["event_type"], a["src_ip"], a["username"], F.concat(a["src_ip"], lit(":"), a["port"]), lit("sshd"), h["pid"], pattern=a["pattern"], port=a["port"]),
-        event(F.col("_syslog").isNotNull(), h["ts"], lit("syslog"), F.col("_syslog"), service=h["service"], pid=h["pid"], message=h["message"]),
+        event(a.isNotNull(), h["ts"], lit("auth_log"), a["event_type"], a["src_ip"], a["username"], a["session_id"], lit("sshd"), h["pid"], pattern=a["pattern"], port=a["port"], auth_method=a["auth_method"], preauth=F.when(a["preauth"], True), max_attempts_exceeded=F.when(a["max_attempts_exceeded"], True)),
+        event(F.col("_syslog").isNotNull(), h["ts"], lit("syslog"), F.col("_syslog"), service=h["service"], pid=h["pid"], message=h["message"], sudo_user=P.sudo(h)["sudo_user"]),
         event(w.isNotNull(), w["ts"], lit("web_access"), w["event_type"], w["src_ip"], w["username"], w["session_id"], method=w["method"], path=w["path"], status=w["status"], size=w["size"], referer=w["referer"], user_agent=w["user_agent"]),
-        event(e.isNotNull(), e["ts"], lit("web_error"), lit("http_error"), e["src_ip"], pid=e["pid"], module=e["module"], level=e["level"], message=e["message"]),
+        event(e.isNotNull(), e["ts"], lit("web_error"), e["event_type"], e["src_ip"], session=e["session_id"], pid=e["pid"], module=e["module"], level=e["level"], message=e["message"], client_port=e["client_port"]),
         event(j.isNotNull(), j["ts"], lit("journal"), j["event_type"], pid=j["pid"], message=j["message"], priority=j["priority"]),
         F.when(k.isNotNull(), F.struct(k["ts"], k["source"], k["event_type"], k["src_ip"], none(), none(), none(), none("int"), k["fields"]).cast(EVENT)),
     )
@@ -96,15 +97,29 @@ def iter_rows(events: DataFrame, limit: int | None = None) -> Iterator[Row]:
     yield from (ordered if limit is None else ordered.limit(limit)).toLocalIterator()
 
 
-def iter_batches(events: DataFrame, size: int = 1000) -> Iterator[list[Row]]:
-    """Lists of size rows in order of time and id, the last one shorter."""
+def iter_paced(rows: Iterator[Row], speed: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[Row]:
+    """The rows, each as long after the one before as their times lie apart, speed times faster."""
+    before = None
+    for row in rows:
+        if before is not None and row["timestamp"] > before:
+            sleep((row["timestamp"] - before).total_seconds() / speed)
+        before = row["timestamp"]
+        yield row
+
+
+def iter_batches(events: DataFrame, size: int = 1000, loop: bool = False) -> Iterator[list[Row]]:
+    """Lists of size rows in order of time and id, the last one of a pass shorter; loop starts again at the end, unless there are no rows."""
     if size < 1:
         raise ValueError("a batch has one row at least")
-    held: list[Row] = []
-    for row in iter_rows(events):
-        held.append(row)
-        if len(held) == size:
+    while True:
+        held, any_row = [], False
+        for row in iter_rows(events):
+            any_row = True
+            held.append(row)
+            if len(held) == size:
+                yield held
+                held = []
+        if held:
             yield held
-            held = []
-    if held:
-        yield held
+        if not loop or not any_row:
+            return

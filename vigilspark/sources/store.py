@@ -53,11 +53,22 @@ class EventStore:
 def with_event_type(parsed: Column, event_type: Column) -> Column:
     """JSON text with event_type set where it is missing; null and empty objects become the one field."""
     missing = F.get_json_object(parsed, "$.event_type").isNull() & event_type.isNotNull()
-    field = F.concat(F.lit('"event_type": "'), event_type, F.lit('"}'))
+    text = F.regexp_extract(F.to_json(F.struct(event_type.alias("e"))), r'^\{"e":(.*)\}$', 1)  # with its quotation marks, escaped
+    field = F.concat(F.lit('"event_type": '), text, F.lit("}"))
     body = F.regexp_replace(parsed, r"\s*\}\s*$", "")
     return F.when(missing & (parsed.isNull() | parsed.rlike(r"^\s*\{\s*\}\s*$")), F.concat(F.lit("{"), field)).when(missing, F.concat(body, F.lit(", "), field)).otherwise(parsed)
 
 
+def union_of(stores: list[EventStore]) -> DataFrame:
+    """The events of several stores under new ids in order of time, with store (its place in the list) beside them."""
+    from functools import reduce
+
+    from vigilspark.operators.prepare import resequenced
+
+    rows = reduce(DataFrame.unionByName, [s.events().withColumn("store", F.lit(k)) for k, s in enumerate(stores)])
+    return resequenced(rows, ("timestamp", "store", "id")).drop("id").withColumnRenamed("new_id", "id")
+
+
 def page(events: DataFrame, after: int = 0, limit: int = 1000, sources: list[str] | None = None) -> DataFrame:
     """The next rows by id after a cursor; both predicates reach the scan."""
     rows = events.filter(F.col("id") > after)
