@@ -13,13 +13,12 @@ from vigilspark.sources.store import with_event_type
 
 
 def filter_rule(source: Column, line: Column) -> Column:
-    """Name of the first rule whose words the line holds, without case; null keeps the row."""
+    """Name of the first rule whose words the line holds, without case; null keeps the row. The words are one constant
+    array, so that the expression stays small wherever it is repeated."""
 
     def first(rules: dict[str, list[str]]) -> Column:
-        out = F.lit(None).cast("string")
-        for name, words in reversed(list(rules.items())):
-            out = F.when(line.rlike("|".join(map(_literal, words))), name).otherwise(out)
-        return out
+        words = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(w).alias("word")) for name, ws in rules.items() for w in ws])
+        return F.get(F.transform(F.array(F.lower(line)), lambda low: F.get(F.filter(words, lambda w: F.contains(low, w["word"])), F.lit(0))["rule"]), F.lit(0))
 
     return F.when(source.isin("web_access", "web_error"), first(D.WEB_FILTERS)).when(source == "auth_log", first(D.AUTH_FILTERS))
 

@@ -515,8 +515,8 @@ def window_stack(ev):
     return d.select("id", F.array_join(F.transform("stack", lambda x: x.cast("int").cast("string")), ",").alias("stack"))
 
 
-@register("""with g as (select *, ts_us / 1e9 as t, min(ts_us) over (partition by stream_id) / 1e9 as t0 from ev)
-select id, round(sum(value * power(0.95, t0 - t)) over (partition by stream_id order by id) * power(0.95, t - t0), 4) as trace from g""")
+@register("""with g as (select *, (ts_us - min(ts_us) over (partition by stream_id)) / 1e9 as t from ev)
+select id, round(sum(value * power(0.95, -t)) over (partition by stream_id order by id) * power(0.95, t), 4) as trace from g""")
 def decay_trace(ev):
     d = W.with_gap(ev, "stream_id").withColumn("dt_seconds", F.col("dt_seconds") / 1e3).withColumn("row", F.array("value"))
     return W.decaying_trace(d.select("id", "stream_id", "row", "dt_seconds"), "row").select("id", F.round(F.col("trace")[0], 4).alias("trace"))
