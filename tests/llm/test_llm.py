@@ -184,6 +184,63 @@ def test_pieces_equal_the_library(spark, corpus):
     assert all(got[i]["n_ids"] == len(want.encode(t or "")) and got[i]["lossless"] for i, t in corpus)
 
 
+def field(number, value):
+    """A field of a message in the wire format."""
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + np.float32(value).tobytes()
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.mark.parametrize("fallback", [0, 1])
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf", "identity"])
+@pytest.mark.parametrize("collapse", [0, 1])
+def test_unigram_models_equal_the_library(rule, fallback, collapse):
+    """Hand-made unigram models with the library's own character maps."""
+    import sentencepiece
+
+    rng = random.Random(8)
+    charsmap = dict(pieces._wire(dict(pieces._wire(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[3])).get(2, b"")
+    letters = "aeinorst▁"
+    names = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))).rstrip("▁") or "a" for _ in range(250)} | set(letters)
+    model = b"".join(field(1, field(1, n.encode()) + field(2, 0.0) + field(3, kind)) for n, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)))
+    if fallback:
+        model += b"".join(field(1, field(1, f"<0x{b:02X}>".encode()) + field(2, 0.0) + field(3, 6)) for b in range(256))
+    model += b"".join(field(1, field(1, n.encode()) + field(2, -rng.uniform(1, 12) * (1 + len(n)) / 3)) for n in sorted(names))
+    model += field(2, field(3, 1) + field(35, fallback)) + field(3, field(1, rule.encode()) + field(2, charsmap) + field(3, 1) + field(4, collapse) + field(5, 1))
+    ours, want = pieces.Pieces(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = ["", " ", "   ", " a  b ", "\u2460\u00bd\ufb01 ＡＢ\u3000c", "e\u0301\u0301 \u00a0x\n\ty"]
+    texts += ["".join(rng.choice(letters + "  ÉéＡ①ﬁ漢\n\u0301\u200b") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    for t in texts:
+        assert ours.encode(t) == want.encode(t), repr(t)
+        assert ours.decode(ours.encode(t)) == want.decode(want.encode(t)) or not fallback
+
+
+def test_pieces_of_runs_and_very_long_texts():
+    import time
+
+    import sentencepiece
+
+    path = Q.tokenizer_path("piece_bpe_32k.model")
+    model, want = pieces.compiled(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    for n in [*range(1, 70), 1000]:
+        for t in (" " * n, " " * n + "word", "a" + " " * n + "b", "▁" * n + "x", "=" * n, "ab" * n, "\n" * n):
+            assert model.encode(t) == want.encode(t), (n, t[:20])
+    for t in (" " * 1_000_000, "x" * 300_000, "\n" * 1_000_000, "no spaces" * 40_000):
+        began = time.time()
+        assert model.encode(t) == want.encode(t) and time.time() - began < 60
+
+
+def test_pieces_edge_rows(spark):
+    path = Q.tokenizer_path("piece_bpe_32k.model")
+    d = docs(spark, [(1, None), (1, "a"), (1, "a"), (None, "b"), (2, "")])
+    got = sorted(((r["doc_id"], r["n_ids"], r["lossless"]) for r in pieces.encode_decode(d, path).collect()), key=repr)
+    assert got == sorted([(1, 0, True), (1, 1, True), (1, 1, True), (None, 1, True), (2, 0, True)], key=repr)
+    assert pieces.encode_decode(d.limit(0), path).collect() == []
+
+
 def test_fingerprints(spark, corpus):
     d = docs(spark, [*corpus, (204, "second row of an id")])
     got = fingerprints.fingerprint_documents(d).collect()

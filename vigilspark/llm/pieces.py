@@ -1,20 +1,25 @@
 """SentencePiece encoding and decoding as a weighted finite-state transduction.
 
-The model file is compiled once into three transducers: the normaliser (escapes spaces, adds the dummy prefix), the
-pieces (a trie whose arcs read characters and whose leaves write an id at a cost) and byte fallback (a character that no piece
-covers writes the ids of its bytes). An input is composed with them lazily, which gives a lattice over its character
-positions, and the tropical shortest path through the lattice is the encoding.
-
-Costs: in a unigram model a piece costs its negative log probability. In a BPE model an adjacent pair of pieces costs nothing if
-merging the pair's characters by rank gives back that very pair, and is infinite otherwise; one path of finite
-cost remains, the one that merging gives. Runs of the space symbol, whose merges share one rank, are merged leftmost first.
-
-The shortest path of a text is that of its segments one after the other, for no piece crosses a segment's edge; a
-bounded memo keeps segments met before.
+The model file is compiled once into transducers:
+- the normaliser: the model's character map (leftmost longest rule, as its double array has it), then a sequential
+  transducer that escapes spaces, collapses them if the model asks for it, and adds the dummy prefix;
+- the pieces: a trie whose arcs read characters and whose leaves write an id at a cost;
+- byte fallback: a character that no piece covers writes the ids of its bytes (or the unknown id) at a high cost;
+- for BPE models the pairs: a state for the id written last, an arc's cost is 0 if merging the two pieces' characters
+  by rank gives back that very pair, and infinite otherwise.
+Their composition with an input is made lazily: its states are (position, last id), and the tropical shortest path
+through them is the encoding, for unigram models (cost: negative log probability) and BPE models (the one path of finite cost, which is
+the one that merging gives) alike.
+
+The shortest path of a text is that of its segments one after the other, for no piece crosses a segment's edge and the
+normaliser's state is carried over; a bounded memo keeps segments met before. A segment costs its length, runs of
+spaces included.
 
 Defined results: null and empty texts have no ids and decode to the empty string; the symbol U+2581 in a text decodes
-to a space, as the format has it; unknown characters without byte fallback write the unknown id; repeated rows each give a row; no rows give
-no rows; other columns are ignored."""
+to a space, as the format has it; without byte fallback adjoining unknown characters write the unknown id once; very
+long texts are read whole; equal costs are settled alike on every run; a null id stays null; repeated rows each give
+a row; no rows give no rows; other columns are ignored. Refused with ValueError: models with user-defined pieces,
+without space escaping, with the space symbol as a suffix, or of another kind than unigram and BPE."""
 
 from __future__ import annotations
 
@@ -31,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.llm.common import per_batch
+from vigilspark.llm.wfst import Sequential, shortest_path
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -64,6 +70,59 @@ def _wire(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class CharacterMap:
+    """A model's precompiled rules, source bytes to target text, read from their double array as the input needs them."""
+
+    def __init__(self, blob: bytes) -> None:
+        size = int.from_bytes(blob[:4], "little")
+        self.units = np.frombuffer(blob[4 : 4 + size], dtype="<u4").tolist()
+        self.targets = blob[4 + size :]
+
+    def longest(self, raw: bytes, at: int) -> tuple[int, str] | None:
+        """End and target of the longest rule whose source stands at a place."""
+        units, found = self.units, None
+        node = self._offset(units[0])
+        for k in range(at, len(raw)):
+            node ^= raw[k]
+            unit = units[node] if node < len(units) else 1 << 31
+            if unit & (1 << 31 | 0xFF) != raw[k]:
+                break
+            node ^= self._offset(unit)
+            if unit >> 8 & 1:
+                found = (k + 1, units[node] & 0x7FFFFFFF)
+        if found is None:
+            return None
+        return found[0], self.targets[found[1] : self.targets.index(b"\0", found[1])].decode()
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return unit >> 10 << ((unit & 1 << 9) >> 6)
+
+    def run(self, text: str) -> str:
+        """What the only path of a text through the rules writes; characters without a rule are copied."""
+        raw, out, at = text.encode("utf-8", "replace"), [], 0
+        while at < len(raw):
+            if rule := self.longest(raw, at):
+                at, target = rule
+                out.append(target)
+            else:
+                size = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
+                out.append(raw[at : at + size].decode())
+                at += size
+        return "".join(out)
+
+
+START, INSIDE, GAP = 0, 1, 2
+
+
+def spaces(prefix: bool, collapse: bool) -> Sequential:
+    """The normaliser's last part. START: nothing written yet; GAP: a space is owed."""
+    first = SPACE if prefix else ""
+    if collapse:
+        return Sequential(START, {(START, " "): ("", START), (INSIDE, " "): ("", GAP), (GAP, " "): ("", GAP)}, {START: (first, INSIDE), INSIDE: ("", INSIDE), GAP: (SPACE, INSIDE)})
+    return Sequential(START, {(START, " "): (first + SPACE, INSIDE), (INSIDE, " "): (SPACE, INSIDE)}, {START: (first, INSIDE), INSIDE: ("", INSIDE)})
+
+
 class Pieces:
     """A compiled model: encode(text) -> ids, decode(ids) -> text."""
 
@@ -71,7 +130,7 @@ class Pieces:
         self.names: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        kind, prefix, strip, escape, charsmap, fallback = UNIGRAM, True, True, True, b"", False
+        kind, prefix, strip, escape, suffix, charsmap, fallback = UNIGRAM, True, True, True, False, b"", False
         for field, value in _wire(model):
             if field == 1:
                 d = dict(_wire(value))
@@ -80,17 +139,22 @@ class Pieces:
                 self.kinds.append(d.get(3, NORMAL))
             elif field == 2:
                 d = dict(_wire(value))
-                kind, fallback = d.get(3, UNIGRAM), bool(d.get(35, 0))
+                kind, suffix, fallback = d.get(3, UNIGRAM), bool(d.get(24, 0)), bool(d.get(35, 0))
             elif field == 3:
                 d = dict(_wire(value))
                 charsmap, prefix, strip, escape = d.get(2, b""), bool(d.get(3, 1)), bool(d.get(4, 1)), bool(d.get(5, 1))
-        if charsmap or not escape or kind not in (UNIGRAM, BPE) or USER in self.kinds:
-            raise ValueError("only identity normalisers, unigram and BPE models without user-defined pieces are compiled")
-        self.bpe, self.prefix, self.strip = kind == BPE, prefix, strip
+        if not escape or suffix or kind not in (UNIGRAM, BPE) or USER in self.kinds:
+            raise ValueError("only unigram and BPE models with escaped spaces and without user-defined pieces are compiled")
+        self.bpe, self.prefix, self.collapse = kind == BPE, prefix, strip
+        self.map = CharacterMap(charsmap) if charsmap else None
+        self.spaces = spaces(prefix, strip)
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes_of = {int(n[3:5], 16): k for k, n in enumerate(self.names) if self.kinds[k] == BYTE} if fallback else {}
         self.ids = {n: k for k, n in enumerate(self.names) if self.kinds[k] == NORMAL}
-        self.unknown_cost = -min((self.scores[k] for k in self.ids.values()), default=0.0) + 10.0
+        # A constant on every score leaves BPE's ranks alone; unigram costs are negative log probabilities, 0 at least.
+        # They are added in single precision, as the format's scores are.
+        self.costs = [0.0 if self.bpe else np.float32(max(0.0, -x)) for x in self.scores]
+        self.unknown_cost = 0.0 if self.bpe else np.float32(-min((self.scores[k] for k in self.ids.values()), default=0.0) + 10.0)
         # The piece transducer: a state is a dict, its arcs read a character; "" holds the id written at that state.
         self.trie: dict = {}
         for name, k in self.ids.items():
@@ -100,7 +164,7 @@ class Pieces:
             state[""] = k
         inner = {c for n in self.ids for c in n}
         self.segments = self._cuts("".join(c for c in "\n\t\r" if c not in inner))
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # of segments within a text, where the normaliser's state stays the same
         self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
@@ -110,16 +174,12 @@ class Pieces:
         something, and changes between letters and other characters."""
         if any(SPACE in n.lstrip(SPACE) for n in self.ids):
             return re.compile("(?s).+")
-        free = rf"(?:(?![{SPACE}{hard}])%s)+"
+        gap = f"[ {SPACE}]"
+        free = rf"(?:(?![ {SPACE}{hard}])%s)+"
         bodies = [n.lstrip(SPACE) for n in self.ids]
         if all(re.fullmatch(r"[^\W\d_]*|[\W\d_]*", n) for n in bodies):
-            return re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*{free % r'[\W\d_]'}|{SPACE}+" + (f"|[{hard}]" if hard else ""))
-        return re.compile(rf"{SPACE}*{free % r'(?s:.)'}|{SPACE}+" + (f"|[{hard}]" if hard else ""))
-
-    def normalised(self, text: str) -> str:
-        if self.strip:
-            text = re.sub(" +", " ", text).strip(" ")
-        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
+            return re.compile(rf"{gap}*[^\W\d_]+|{gap}*{free % r'[\W\d_]'}|{gap}+" + (f"|[{hard}]" if hard else ""))
+        return re.compile(rf"{gap}*{free % r'(?s:.)'}|{gap}+" + (f"|[{hard}]" if hard else ""))
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging by rank makes of text: best score first, leftmost of equals first."""
@@ -151,105 +211,73 @@ class Pieces:
             self.pairs[key] = found
         return found
 
-    def path(self, text: str) -> list[int]:
-        """Shortest path of a segment."""
-        return self._only_path(text) if self.bpe else self._cheapest_path(text)
-
-    def _only_path(self, text: str) -> list[int]:
-        """All finite paths cost nothing, so the first that a depth-first search ends is the shortest. A position is
-        reached by one finite path at most: one that leads nowhere is closed for good."""
-        n, trie, pairs = len(text), self.trie, self.pairs
-        at, before = 0, -1
-        taken: list[tuple[int, int, list[tuple[int, int]]]] = []  # where a piece began, the piece before it, arcs left there
-        closed: set[int] = set()
-        out: list[int] = []
-        arcs: list[tuple[int, int]] | None = None
-        while at < n:
-            if arcs is None:
-                arcs, state, j = [], trie, at
-                while j < n and (state := state.get(text[j])) is not None:
-                    j += 1
-                    if (k := state.get("")) is not None:
-                        arcs.append((k, j))
-                if not arcs and text[at] not in self.ids:
-                    arcs = [(-1 - ord(text[at]), at + 1)]  # byte fallback: nothing merges across it
-            while arcs:
-                k, j = arcs.pop()
-                if j in closed:
+    def arcs(self, text: str, at: int, last: int) -> list[tuple[int, int, float, int]]:
+        """Arcs of the composed machine at a position after the id last (-1: none): end, id, cost, what is written."""
+        out, state, n, j = [], self.trie, len(text), at
+        bpe, pairs = self.bpe, self.pairs
+        while j < n and (state := state.get(text[j])) is not None:
+            j += 1
+            if (k := state.get("")) is not None:
+                if not bpe:
+                    out.append((j, -1, self.costs[k], k))
                     continue
-                if before < 0 or k < 0:
-                    good = k < 0 or self._stable(k)
-                else:
-                    good = pairs.get(before << 32 | k)
-                    if good is None:
-                        good = self._follows(before, k)
+                if last < 0:
+                    good = self._stable(k)
+                elif (good := pairs.get(last << 32 | k)) is None:
+                    good = self._follows(last, k)
                 if good:
-                    taken.append((at, before, arcs))
-                    out.append(k)
-                    at, before, arcs = j, k, None
-                    break
-            else:
-                closed.add(at)
-                at, before, arcs = taken.pop()
-                out.pop()
-        return out if min(out, default=0) >= 0 else [i for k in out for i in ([k] if k >= 0 else self.fallback(chr(-1 - k)))]
-
-    def _cheapest_path(self, text: str) -> list[int]:
-        n, start = len(text), float("inf")
-        cost = [0.0] + [start] * n
-        last: list[tuple[int, int]] = [(-1, 0)] * (n + 1)  # piece that ends here (-1: none), where it begins
-        for i in range(n):
-            state, j = self.trie, i
-            while j < n and (state := state.get(text[j])) is not None:
-                j += 1
-                k = state.get("")
-                if k is not None and cost[i] - self.scores[k] < cost[j]:
-                    cost[j], last[j] = cost[i] - self.scores[k], (k, i)
-            if text[i] not in self.ids and cost[i] + self.unknown_cost < cost[i + 1]:
-                cost[i + 1], last[i + 1] = cost[i] + self.unknown_cost, (-1, i)
-        out: list[list[int]] = []
-        at = n
-        while at:
-            k, begin = last[at]
-            out.append([k] if k >= 0 else self.fallback(text[begin:at]))
-            at = begin
-        return [k for part in reversed(out) for k in part]
+                    out.append((j, k, 0.0, k))
+        if text[at] not in self.ids:  # nothing merges across it
+            out.append((at + 1, -1, self.unknown_cost, -1 - ord(text[at])))
+        return out
+
+    def path(self, text: str) -> list[int]:
+        """What the shortest path of a normalised segment writes."""
+        found = shortest_path(len(text), -1, lambda at, last: self.arcs(text, at, last))
+        return [i for k in found for i in ((k,) if k >= 0 else self.fallback(chr(-1 - k)))]
 
     def fallback(self, char: str) -> list[int]:
         if self.bytes_of:
             return [self.bytes_of[b] for b in char.encode("utf-8", "surrogatepass")]
         return [self.unknown]
 
-    def _segment(self, text: str) -> bytes:
-        spaces = len(text) - len(text.lstrip(SPACE))
-        if not self.bpe or spaces < 2 or spaces == len(text):
-            ids = [self.ids[p] if p in self.ids else self.unknown for p in self.merged(text)] if self.bpe and spaces == len(text) else self.path(text)
-        else:
-            # The last of several spaces belongs to the word if a piece takes both; the others merge among themselves.
-            ids = self.path(text[spaces - 1 :])
-            alone = ids[0] == self.ids.get(SPACE)
-            run = text[: spaces if alone else spaces - 1]
-            ids = [self.ids[p] for p in self.merged(run)] + (ids[1:] if alone else ids)
-        return np.array(ids, dtype="<u4").tobytes()
+    def _segment(self, state: int, raw: str) -> tuple[bytes, int]:
+        text, after = self.spaces.run(state, raw)
+        return (np.array(self.path(text), dtype="<u4").tobytes() if text else b""), after
+
+    def _segments(self, found: list[str]) -> bytes:
+        """Ids of segments within a text, each from the state INSIDE back to it."""
+        if len(self.memo) >= SEGMENTS:  # two generations: what is in use moves on
+            self.memo, self.older = {}, self.memo
+        known, long = self.memo, {}
+        for s in set(found).difference(known):
+            ids = self.older.get(s)
+            (known if len(s) < 64 else long)[s] = self._segment(INSIDE, s)[0] if ids is None else ids
+        return b"".join([long[s] if s in long else known[s] for s in found] if long else map(known.__getitem__, found))
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        memo, out = self.memo, []
-        for s in self.segments.findall(self.normalised(text)):
-            found = memo.get(s)
-            if found is None:
-                found = self.older.get(s)
-                if found is None:
-                    found = self._segment(s)
-                if len(s) < 64:
-                    if len(memo) >= SEGMENTS:  # two generations: what is in use moves on
-                        memo, self.older = {}, memo
-                        self.memo = memo
-                    memo[s] = found
-            out.append(found)
-        return b"".join(out)
+        if self.map:
+            text = self.map.run(text)
+        if not self.collapse:
+            found = self.segments.findall(text)
+            raw = self._segment(START, found[0])[0] + self._segments(found[1:]) if found else b""
+        else:
+            # A segment may end in a gap, but none does whose last character is no space.
+            out, state = [], START
+            for s in self.segments.findall(text.rstrip(" " + SPACE)):
+                if state == INSIDE and s[-1] != " ":
+                    out.append(self._segments([s]))
+                else:
+                    ids, state = self._segment(state, s)
+                    out.append(ids)
+            raw = b"".join(out)
+        if self.bytes_of or not raw:
+            return raw
+        ids = np.frombuffer(raw, dtype="<u4")
+        return ids[np.concatenate(([True], (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)))].tobytes()
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
@@ -263,11 +291,15 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        written = self._written
-        raw = b"".join([written[k] for k in ids])
-        if self.prefix and raw[:1] == b" ":
-            raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+        written, head, at = self._written, b"", 0
+        # The dummy prefix goes; if the model collapses spaces, every piece before the first text loses a space.
+        while at < len(ids) and not head and (self.prefix or self.collapse):
+            piece = written[ids[at]]
+            at += 1
+            head = piece[1:] if piece[:1] == b" " and self.kinds[ids[at - 1]] == NORMAL else piece
+            if piece[:1] == b" " and not self.collapse:
+                break
+        return (head + b"".join([written[k] for k in ids[at:]])).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)

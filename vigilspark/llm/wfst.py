@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import heapq
+from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 INFINITE = float("inf")
@@ -63,3 +64,57 @@ def least_cost(machine: Fst, symbols: Sequence[str]) -> float:
                     after[a.to] = cost + a.cost
         now = after
     return min((cost + machine.final.get(state, INFINITE) for state, cost in now.items()), default=INFINITE)
+
+
+class Sequential(NamedTuple):
+    """A transducer with one arc for each state and symbol: step(state, symbol) -> (output, state), over strings."""
+
+    start: int
+    table: dict[tuple[int, str], tuple[str, int]]
+    other: dict[int, tuple[str, int]]  # for symbols without an arc of their own: what goes before the symbol itself
+
+    def run(self, state: int, symbols: str) -> tuple[str, int]:
+        """What the only path of symbols from state writes, and the state it ends in."""
+        out = []
+        for s in symbols:
+            if (arc := self.table.get((state, s))) is None:
+                before, state = self.other[state]
+                out.append(before + s)
+            else:
+                out.append(arc[0])
+                state = arc[1]
+        return "".join(out), state
+
+
+def shortest_path(length: int, start: Hashable, arcs: Callable[[int, Hashable], Iterator[tuple[int, Hashable, float, object]]]) -> list | None:
+    """Outputs along the least path from (0, start) to position length in a machine composed with an input, whose states
+    (position, state) are made as the search meets them: arcs(position, state) -> (position, state, cost, output) further
+    on. Costs must not be negative. The farthest of equally near positions goes first; of equal paths to a state the one
+    whose last arc is longest counts; None if no path ends."""
+    least, back, done = {(0, start): 0.0}, {}, set()
+    heap = [(0.0, 0, 0, start)]
+    made = 0
+    while heap:
+        cost, place, _, state = heapq.heappop(heap)
+        at = (-place, state)
+        if at in done:
+            continue
+        done.add(at)
+        if at[0] == length:
+            out = []
+            while at in back:
+                at, written = back[at]
+                out.append(written)
+            return out[::-1]
+        for to, after, price, written in arcs(-place, state):
+            reached = (to, after)
+            total = cost + price
+            known = least.get(reached, INFINITE)
+            if total < known:
+                least[reached] = total
+                back[reached] = (at, written)
+                made += 1
+                heapq.heappush(heap, (total, -to, made, after))
+            elif total == known and reached not in done and at[0] < back[reached][0][0]:
+                back[reached] = (at, written)
+    return None
