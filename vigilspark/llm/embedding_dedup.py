@@ -36,7 +36,7 @@ THRESHOLD = 0.93
 NEAREST = 8
 SHARED = 2
 APART = 0.8
-BLOCK = 1024
+BLOCK = 512
 #: Directions for a length of which the sample has no vector.
 BY_RULE = 64
 
