@@ -142,6 +142,71 @@ def test_plan_holds_every_constraint(rule):
         assert [o for o, _ in items] == [sum(n for _, n in items[:k]) for k in range(len(items))]
 
 
+def best_fit(lengths, whole, weights=(1.0, 0.05, 0.05)):
+    """Item by item in decreasing length: the bin of least weighted residual norm that it fits, else a new one."""
+    left, held = [], []
+    for n in sorted(lengths, reverse=True):
+        need = (n, 1, n * n)
+        rest = {b: [x - y for x, y in zip(r, need)] for b, r in enumerate(left) if all(x >= y for x, y in zip(r, need))}
+        if rest:
+            b = min(rest, key=lambda b: (sum(w * (x / c) ** 2 for w, x, c in zip(weights, rest[b], whole)), left[b]))
+        else:
+            left.append(list(whole))
+            held.append([])
+            b = len(left) - 1
+        left[b] = [x - y for x, y in zip(left[b], need)]
+        held[b].append(n)
+    return held
+
+
+@pytest.mark.parametrize("whole", [(100, 100, 10_000), (100, 3, 10_000), (100, 8, 2500), (60, 4, 3600)])
+def test_plan_against_item_by_item(whole):
+    for seed in range(15):
+        rng = random.Random(seed)
+        histogram = {k: rng.randint(1, 9) for k in rng.sample(range(1, 51), 25)}
+        steps, n = packing.plan(histogram, *whole)
+        bins = collections.defaultdict(list)
+        for s in steps:
+            for k in range(s.items):
+                bins[s.bin + k // s.each].append(s.length)
+        want = best_fit([k for k, m in histogram.items() for _ in range(m)], whole)
+        assert abs(n - len(want)) <= 1 + 0.02 * len(want)
+        if whole[1] >= 100:  # where tokens alone bind, the very same bins
+            assert sorted(map(sorted, bins.values())) == sorted(map(sorted, want))
+
+
+def test_packing_under_binding_capacities(spark, corpus):
+    got = packing.pack(docs(spark, corpus), Q.tokenizer_path("byte_bpe_50k.json"), documents=8, attention=400_000, piece=512).collect()
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in bins.values():
+        places.sort()
+        assert len(places) <= 8 and sum(n * n for _, n in places) <= 400_000 and sum(n for _, n in places) <= 1024
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+    assert any(len(x) == 8 for x in bins.values()) and sum(n for x in bins.values() for _, n in x) == sum(r["length"] for r in got)
+
+
+LONG = [" " * 1_000_000, "\n" * 1_000_000, "a" + " " * 5000 + "b \u3000" + "\t" * 3000, "\x1c" * 2000 + " " * 1500 + "<|endoftext|>" + " " * 1200, "x" * 200_000, "word " * 100_000 + " " * 2000]
+
+
+def test_encoder_takes_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    path = Q.tokenizer_path("byte_bpe_50k.json")
+    tok, encode = Tokenizer.from_file(path), packing.encoder(path)
+    for t in LONG:
+        assert encode(t) == tok.encode(t, add_special_tokens=False).ids, t[:20]
+    d = docs(spark, list(enumerate(LONG)))
+    counted = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_documents(d, path).collect()}
+    tok.encode_special_tokens = True
+    assert counted == {k: len(tok.encode(t, add_special_tokens=False).ids) for k, t in enumerate(LONG)}
+    packed = collections.Counter()
+    for r in packing.pack(d, path).collect():
+        packed[r["doc_id"]] += r["length"]
+    assert all(packed[k] == len(encode(t)) + 1 for k, t in enumerate(LONG))
+
+
 def test_token_scan_stitches_blocks(spark, tmp_path):
     rng = random.Random(3)
     ids = [9 if rng.random() < 0.1 else rng.randint(10, 99) for _ in range(5000)] + [1, 2]
@@ -246,9 +311,11 @@ def test_fingerprints(spark, corpus):
     got = fingerprints.fingerprint_documents(d).collect()
     assert len(got) == len(corpus) + 1 and fingerprints.fingerprint_documents(docs(spark, [])).collect() == []
     texts, rows = dict(corpus), {r["doc_id"]: r for r in got if r["doc_id"] != 204}
+    both = spark.createDataFrame([(texts[204],), ("second row of an id",)], "t string")
+    least = both.orderBy(F.xxhash64("t")).first()["t"]  # rows that share an id: the one of least hash comes next
     ids, errors, of = sorted(texts), [], {}
     for k, i in enumerate(ids[:-1]):
-        t, nxt = texts[i] or "", (texts[ids[k + 1]] or "") if ids[k + 1] != 204 else min(texts[204], "second row of an id")
+        t, nxt = texts[i] or "", (texts[ids[k + 1]] or "") if ids[k + 1] != 204 else least
         cut = len(t) // 4
         edited = t[: len(t) - cut] + nxt[:cut]
         assert rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and rows[i]["n_chars"] == len(t)
@@ -276,6 +343,31 @@ def test_chat_round_trip(spark):
     assert [t["role"] for t in got[2]["turns"]] == ["a>b", "assistant"] and got[2]["loss"] == evil and got[None]["turns"][0]["text"] == "é"
 
 
+def test_chat_kinds_and_edge_rows(spark):
+    rows = [(1, 0, "user", [("audio", None, "a.wav", 3), ("video", "gone", "v", 1), (None, "x", None, None), ("text", "y" * 300_000, None, None)], 5, "f"), (1, 0, "user", [("image", "caption", None, None)], 5, "f"), (2, None, "assistant", [], 5, "f")]
+    d = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat_format.PART}>, bodies int, flat string")
+    got = {r["conv_id"]: r for r in chat_format.format_parts(d).collect()}
+    assert got[1]["formatted"] == "<turn:user><audio:0>x" + "y" * 300_000 + "</turn>\n<turn:user><image:1></turn>\n"
+    assert [(a["n"], a["kind"], a["ref"], a["tokens"]) for a in got[1]["attachments"]] == [(0, "audio", "a.wav", 75), (1, "image", None, 256)]
+    assert got[2]["formatted"] == "<turn:assistant></turn>\n" and [tuple(x) for x in got[2]["loss_spans"]] == [(16, 0)]
+    assert chat_format.digest(chat_format.format_parts(d.limit(0))).collect() == []
+
+
+def test_scratch_folder_is_shared():
+    """The named folder; else a folder in the warehouse on a cluster, a temporary one in local mode."""
+    from types import SimpleNamespace
+
+    from vigilspark.llm.common import shared_dir
+
+    def session(app, master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k.replace(".", "_"), d)), sparkContext=SimpleNamespace(applicationId=app, master=master))
+
+    assert shared_dir(session("a", "spark://h:7077", spark_checkpoint_dir="hdfs://x/y")) == "hdfs://x/y"
+    assert shared_dir(session("b", "spark://h:7077", spark_sql_warehouse_dir="hdfs://w/")) == "hdfs://w/vigilspark-scratch"
+    own = session("c", "local[4]", spark_sql_warehouse_dir="hdfs://w/")
+    assert shared_dir(own).startswith("file:///") and shared_dir(own) == shared_dir(own)
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 16))
@@ -338,9 +430,69 @@ def test_transducers():
 
 def test_toxicity_clauses():
     s = toxicity.Scorer(toxicity.Lexicon({"scum": 8}, {"vequ": 8}))
-    assert s.score("they are scum.") >= 0.7 and s.score("un vequoir") >= 0.7 and s.score("I will kill you") >= 0.7
-    assert s.score("he is not scum") < s.score("he is scum") and s.score("she said he is scum") < s.score("he is scum")
+    toxic = lambda t: s.score(t) >= 0.7
+    assert toxic("they are scum.") and toxic("un vequoir") and toxic("I will kill you") and toxic("He is scum")
+    assert not toxic("he is not scum") and not toxic("she said he is scum") and not toxic('she wrote "you are scum')
+    assert not toxic("you are never scum") and not toxic("I will not kill you") and not toxic('they said "I will kill you" again')
+    assert toxic("he is not scum. he is scum!") and toxic("not for long will he pass for scum") and toxic('the "scum" word')
     assert s.score("to kill time") < 0.1 and s.score(None) == 0.0 and s.score("") == 0.0
+    assert s.score("ok " * 200_000 + "you are scum") == s.score("ok. you are scum")
+
+
+def test_toxicity_grammar_against_brute_force():
+    """The composed machine's best path against rules applied one after the other, with every choice tried."""
+    rng = random.Random(9)
+    machine = toxicity.grammar()
+    for _ in range(400):
+        clause = [rng.choice(toxicity.CLASSES + ["o", "target", "neg", "report", "quote"]) for _ in range(rng.randint(1, 8))]
+        now = list(clause)
+
+        def weak(x):
+            return f"i{max(1, int(x[1:]) // 4)}" if x in toxicity.INSULTS else "o" if x == "threat" else x
+
+        told = inside = False  # quotations after a report
+        for k, x in enumerate(now):
+            if inside:
+                now[k] = "o" if x in toxicity.INSULTS or x == "threat" else x
+            if x == "quote" and told:
+                inside = not inside
+            told |= x == "report"
+        negated, after = 0, list(now)  # the composition starts with negation
+        now, told, inside = list(clause), False, False
+        for k, x in enumerate(clause):
+            now[k] = weak(x) if negated else x
+            negated = 3 if x == "neg" else max(0, negated - 1)
+        for k, x in enumerate(list(now)):
+            if inside and (x in toxicity.INSULTS or x == "threat"):
+                now[k] = "o"
+            if x == "quote" and told:
+                inside = not inside
+            told |= x == "report"
+        reported = False
+        for k, x in enumerate(list(now)):
+            now[k] = weak(x) if reported else x
+            reported |= x == "report"
+        near = 0
+        for k, x in enumerate(list(now)):
+            if near and x in toxicity.INSULTS and int(x[1:]) > 2:
+                now[k] = f"i{min(8, int(x[1:]) + 1)}"
+            near = 3 if x == "target" else max(0, near - 1)
+
+        def threats(k):  # a bet on a threat pays at the first target within three words; bets do not overlap
+            if k >= len(now):
+                return 0.0
+            best = threats(k + 1)
+            if now[k] == "threat":
+                for t in range(k + 1, min(k + 4, len(now))):
+                    if now[t] == "target":
+                        best = max(best, 6.0 + threats(t + 1))
+                        break
+            return best
+
+        insults = [int(x[1:]) for x in now if x in toxicity.INSULTS]
+        # One insult pays in full, those after it a quarter each.
+        paid = max([0.0] + [x + 0.25 * (len(insults) - k - 1) for k, x in enumerate(insults)])
+        assert -least_cost(machine, clause) == pytest.approx(paid + threats(0)), clause
 
 
 @pytest.mark.parametrize(("f", "label", "modulus", "held"), [(Q.op4_toxicity, "toxic", 3, 1), (Q.op8_quality, "quality", 5, 0)])
@@ -366,6 +518,73 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([lang[r["doc_id"]] == r["lang_pred"] for r in got if r["held_out"]]) > 0.95
 
 
+def test_language_against_brute_force(spark):
+    """Out-of-place distances from plain counters of n-grams."""
+    rng = random.Random(7)
+    langs = {"xa": "abcdef", "xb": "cdefgh", "xc": "efghab"}
+    rows = [(k, rng.choice(list(langs))) for k in range(60)]
+    texts = [(k, " ".join("".join(rng.choice(langs[lang]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 30)))) for k, lang in rows]
+    learned = [(t, lang) for (k, t), (_, lang) in zip(texts, rows) if zlib.crc32(str(k).encode()) % 5]
+    letters = collections.Counter("".join(t for t, _ in learned).replace(" ", ""))
+    number = {c: k + 1 for k, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c)))}
+
+    def grams(t):
+        s = [0, *(number.get(c, 0) for c in t), 0]
+        return [(1, (x,)) for x in s if x] + [(n, tuple(s[k : k + n])) for n in (2, 3) for k in range(len(s) - n + 1)]
+
+    def top(counts):
+        return sorted(counts, key=lambda g: (-counts[g], g))[: language_id.TOP]
+
+    profiles = {lang: top(collections.Counter(g for t, x in learned if x == lang for g in grams(t))) for lang in langs}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs(spark, texts, dict(rows))).collect()}
+    for k, t in texts:
+        mine = top(collections.Counter(grams(t)))
+        far = {lang: sum(abs(profile.index(g) - n) if g in profile else language_id.TOP for n, g in enumerate(mine)) for lang, profile in profiles.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        assert got[k] == (best, pytest.approx(1 - far[best] / language_id.TOP / len(mine)))
+
+
+def test_quality_against_plain_sums(spark):
+    """Scores of the whole query from its model's weights, summed indicator by indicator; hinge loss near its least value."""
+    rng = random.Random(3)
+    good, bad = ["A clean sentence, well made.", "Another one; it reads well."], ["BUY NOW!!! 100%", "click click click | here"]
+    rows = [(k, " ".join(rng.choice(good if k % 2 else bad) for _ in range(rng.randint(1, 4)))) for k in range(80)]
+    d = docs(spark, [*rows, (900, None), (901, ""), (902, "word " * 60_000), (902, "word " * 60_000), (None, "x")])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.classify(d, labels).collect()}
+    assert len(got) == 84 and all((got[k]["predicted"] == k % 2) for k in range(80))
+    train = sorted(k for k in range(80) if zlib.crc32(str(k).encode()) % 5)
+    of = quality.Indicators().of
+    texts = dict(rows)
+    model = quality.fit([of(texts[k]) for k in train], np.array([k % 2 for k in train]))
+    for k, t in rows:
+        total = norm = 0.0
+        for i in of(t).tolist():
+            total += float(model.weights[0][i])
+            norm += float(model.weights[1][i])
+        x = model.slope * (total + model.bias) / (norm + 1) ** 0.5 + model.shift
+        assert got[k]["score"] == pytest.approx(1 / (1 + np.exp(-x)), rel=1e-4)
+    assert got[900]["score"] == got[901]["score"]
+
+
+def test_empty_repeated_and_long_rows(spark):
+    """What every operator on documents gives for no rows, repeated rows, null ids and very long texts."""
+    path, long = Q.tokenizer_path("byte_bpe_50k.json"), "the cat sat " * 100_000
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    runs = {
+        "toxicity": lambda d: toxicity.classify(d, labels), "quality": lambda d: quality.classify(d, labels), "language": language_id.identify,
+        "tokens": lambda d: token_counts.count_documents(d, path), "pieces": lambda d: pieces.encode_decode(d, Q.tokenizer_path("piece_bpe_32k.model")),
+        "prints": fingerprints.fingerprint_documents, "packing": lambda d: packing.pack(d, path).filter("piece = 0"), "join": ngram_join.join,
+    }
+    d = docs(spark, [(1, long), (1, long), (None, "a b"), (None, "a b"), (2, None)])
+    for name, run in runs.items():
+        assert run(d.limit(0)).collect() == [], name
+        got = run(d).collect()
+        assert collections.Counter(r["doc_id"] for r in got) == {1: 2, None: 2, 2: 1}, name
+        drawn = [tuple(v for k, v in r.asDict().items() if k not in ("sequence_id", "offset", "file_id", "doc_index", "token_start")) for r in got]
+        assert len(set(drawn)) == 3, name
+
+
 def test_language_edge_cases(spark):
     d = docs(spark, [(k, "the cat and the dog") for k in range(9)] + [(20, None), (21, "12 3!"), (22, "")], {3: None})
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(d).collect()}
@@ -410,6 +629,25 @@ def test_pipeline(spark):
     assert kept == {forest.root(i) for i in clean}
 
 
+def test_pipeline_edge_tables(spark, tmp_path):
+    """No rows; null, empty and repeated rows, a very long text and extra columns with clashing names."""
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(1, None), (2, ""), (3, "the cat sat on the mat"), (3, "the cat sat on the mat"), (None, "a dog ran over the hill"), (4, "one two three four " * 50_000)]
+    d = docs(spark, [(k, f"the cat and the dog {k} ran off") for k in range(10, 30)] + rows)
+    for kind, table in (("empty", d.limit(0)), ("rows", d)):
+        at = tmp_path / kind
+        at.mkdir()
+        (at / "labels.parquet").symlink_to(tmp_path / "labels.parquet")
+        table.write.parquet(str(at / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(at)).collect()
+        if kind == "empty":
+            assert got == []
+    kept = collections.Counter(r["doc_id"] for r in got if r["piece"] == 0)
+    assert kept[3] == kept[None] == kept[4] == 1 and not kept[1] and not kept[2] and all(kept[k] == 1 for k in range(10, 30))
+
+
 def test_pipeline_keeps_rows_by_text(spark):
     """Repeated and null ids: a row goes only if another row of like text stays."""
     import corpus_pipeline

@@ -2,14 +2,15 @@
 
 A turn's content is an array of parts (kind, text, ref, units). A visitor, one expression for each kind, turns a
 text part into escaped text and an image, audio or document part into a placeholder `<kind:n>`, n counting the
-conversation's attachments in order; the attachments' references and expanded token counts go to columns of their own.
+conversation's attachments in order, a part of any other kind into nothing; the attachments' references and expanded token counts go to columns of their own.
 
 Template: `<turn:ROLE>BODY</turn>` and a line feed for each turn. In roles and bodies, `\\` becomes `\\b` and `<`
 becomes `\\l`, and in roles `>` becomes `\\g`, so no text can hold a control string; undoing `\\l` first and `\\b` second restores it exactly.
 
 Defined results: null text or null parts are empty; null roles are empty; repeated (conversation, turn) rows are all
 kept, in order of turn (null first), role, text; null conversation ids form one conversation; no rows give no rows;
-other columns are ignored."""
+very long
+texts are formatted whole; other columns, whatever their names, are ignored."""
 
 from __future__ import annotations
 
@@ -47,6 +48,11 @@ def _is_attachment(part: Column) -> Column:
     return part["kind"].isin(*TOKENS_PER_UNIT)
 
 
+def _is_text(part: Column) -> Column:
+    """A null kind is text."""
+    return F.coalesce(part["kind"], F.lit("text")) == "text"
+
+
 def _expanded(part: Column) -> Column:
     per = F.lit(0)
     for kind, tokens in TOKENS_PER_UNIT.items():
@@ -59,7 +65,7 @@ def _visit(parts: Column, first: Column) -> Column:
 
     def one(part: Column, i: Column) -> Column:
         before = F.size(F.filter(F.slice(parts, 1, i), _is_attachment))
-        return F.when(_is_attachment(part), F.concat(F.lit("<"), part["kind"], F.lit(":"), (first + before).cast("string"), F.lit(">"))).otherwise(escaped(part["text"]))
+        return F.when(_is_attachment(part), F.concat(F.lit("<"), part["kind"], F.lit(":"), (first + before).cast("string"), F.lit(">"))).when(_is_text(part), escaped(part["text"])).otherwise("")
 
     return F.array_join(F.transform(parts, one), "")
 
@@ -71,7 +77,7 @@ def format_parts(turns: DataFrame) -> DataFrame:
     conv = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(order)).alias("turns"))
     has_files = F.exists("turns", lambda t: F.exists(t["parts"], _is_attachment))
     counted = conv.withColumn("flat", F.when(has_files, F.filter(F.flatten(F.transform("turns", lambda t: t["parts"])), _is_attachment)).otherwise(F.array().cast(f"array<{PART}>")))
-    plain = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.array_join(F.transform(t["parts"], lambda p: escaped(p["text"])), "").alias("body")))
+    plain = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.array_join(F.transform(t["parts"], lambda p: F.when(_is_text(p), escaped(p["text"])).otherwise("")), "").alias("body")))
     rich = F.transform(
         "turns",
         lambda t, i: F.struct(t["role"].alias("role"), _visit(t["parts"], F.size(F.filter(F.flatten(F.transform(F.slice("turns", 1, i), lambda u: u["parts"])), _is_attachment))).alias("body")),

@@ -19,17 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}  # application -> the folder that stands in where none is named
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where that is unset: a temporary folder if driver and executors are one
     process (tests), else a folder in the warehouse, which a cluster shares."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            found = f"file://{tempfile.mkdtemp(prefix='vigilspark-')}"
-        else:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/vigilspark-scratch"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        local = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='vigilspark-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/vigilspark-scratch"
+    return _OWN[app]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -70,6 +72,14 @@ def fold_of(id_column: str, n: int) -> F.Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % n
 
 
+def first_rows(rows: DataFrame, limit: int) -> DataFrame:
+    """Of rows(id, y, text) at most limit, the first by a hash of the id, then id, y and a hash of the text; equal rows
+    are one. Only keys are ranked; texts are read again for the few rows that stay."""
+    keyed = rows.withColumn("_t", F.xxhash64("text"))
+    keys = keyed.select("id", "y", "_t").distinct().orderBy(F.xxhash64("id"), "id", "y", "_t").limit(limit)
+    return keyed.join(F.broadcast(keys), ["id", "y", "_t"]).dropDuplicates(["id", "y", "_t"]).drop("_t")  # limit keys of three numbers
+
+
 def per_batch(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """Map Arrow batches; start() runs once in each task and returns the function of a batch."""
     out_schema = pa.schema(df.sparkSession.createDataFrame([], schema).toArrow().schema)

@@ -11,7 +11,8 @@ held to 0..1.
 
 Defined results: null text is empty; texts without words have the fingerprint of all `ff` and are like each other (1)
 and unlike every other (0); equal texts have equal fingerprints; repeated rows and repeated ids each give their row;
-no rows give no rows."""
+very long texts are read whole; a null id is
+edited with nothing and near_next is 0; no rows give no rows; other columns, whatever their names, are ignored."""
 
 from __future__ import annotations
 
@@ -113,18 +114,18 @@ def next_ids(ids: DataFrame) -> DataFrame:
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> id, text, next_prefix, n_chars and edited, where the last floor(n/4) code points of a text give way to
     the first as many (or all) of the next document by ascending id. Of rows that share an id, the next document is
-    the one with the least text; a null id takes no part and is edited with nothing."""
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    the one whose text has the least 64-bit hash (of equal hashes the least prefix); a null id takes no part and is edited with nothing."""
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     known = d.filter("id is not null")
     sizes = known.groupBy("id").agg(F.max(F.length("text").cast("long")).alias("most"))
     order = next_ids(sizes)
     # What each document must lend: the first floor(n/4) code points for the longest text before it.
     lend = order.join(sizes, "id").select(F.col("next_id"), F.col("id").alias("for_id"), F.floor(F.col("most") / 4).cast("int").alias("want"))
     # Texts are dealt by id once: both joins below read that same exchange, and only prefixes are dealt again.
-    lent = known.join(lend, known["id"] == lend["next_id"]).select("for_id", "next_id", F.substr("text", F.lit(1), F.col("want")).alias("next_prefix"))
-    lent = lent.groupBy("for_id").agg(F.min(F.struct("next_prefix", "next_id")).alias("lent"))
-    both = known.join(lent, known["id"] == lent["for_id"], "left").select("id", "text", "lent.next_prefix", "lent.next_id")
-    both = both.unionByName(d.filter("id is null").select("id", "text", F.lit("").alias("next_prefix"), F.lit(None).cast("long").alias("next_id")))
+    lent = known.join(lend, known["id"] == lend["next_id"]).select("for_id", "next_id", "text_hash", F.substr("text", F.lit(1), F.col("want")).alias("next_prefix"))
+    lent = lent.groupBy("for_id").agg(F.min(F.struct("text_hash", "next_prefix", "next_id")).alias("lent"))
+    both = known.join(lent, known["id"] == lent["for_id"], "left").select("id", "text", known["text_hash"], "lent.next_prefix", "lent.next_id")
+    both = both.unionByName(d.filter("id is null").select("id", "text", "text_hash", F.lit("").alias("next_prefix"), F.lit(None).cast("long").alias("next_id")))
     both = both.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substr(F.coalesce("next_prefix", F.lit("")), F.lit(1), cut))
@@ -136,7 +137,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     d = edited_pairs(docs, id_col, text_col).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     d = with_fingerprint(with_fingerprint(d, "text", "fingerprint").drop("text"), "edited", "edited_fingerprint").drop("edited")
     d = materialize(d, "fingerprints")  # small rows without texts, read twice below
-    nexts = d.groupBy(F.col("id").alias("nid")).agg(F.min("fingerprint").alias("next_fingerprint"))
+    nexts = d.groupBy(F.col("id").alias("nid")).agg(F.min_by("fingerprint", F.struct("text_hash", "fingerprint")).alias("next_fingerprint"))
     out = d.join(nexts, d["next_id"] == nexts["nid"], "left")
     return out.select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",

@@ -8,7 +8,8 @@ each n-gram stands from its place in the language's profile, TOP where the langu
 Learned from at most PER_LANGUAGE rows of each language, the first by a hash of the id (a stated bound, not a prefix of
 the table). Each language's n-gram counts are summed on the executors; the driver gets TOP rows a language.
 
-Defined results: null texts and texts without letters get `und` and score 0; ties between languages go to the first
+Defined results: null texts and texts without letters get `und` and score 0; very long texts are read whole; a null id
+gives a row with a null id; rows that share an id that is chosen are all learned from; ties between languages go to the first
 by name; without any learnable row every text gets `und`; repeated rows each give a row; no rows give no rows;
 columns other than id, text and language are ignored."""
 
@@ -100,9 +101,15 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles of the rows given (the caller leaves held-out rows away)."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    # Ids alone are ranked, and the first of each task before any shuffle; texts join on the few that are chosen.
+    # Ids alone are ranked, and of them only those in the least buckets of hashes that hold PER_LANGUAGE rows of a language
+    # between them, as summed counts say; texts join on the few that are chosen.
+    hashed = known.select("id", "lang", F.shiftright(F.xxhash64("id"), 52).alias("bucket"))
+    sizes = hashed.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("lang").orderBy("bucket")) - F.col("n")).filter(F.col("before") < PER_LANGUAGE)
+    cuts = before.groupBy("lang").agg(F.max("bucket").alias("cut"))  # a row for each language, as the profiles have
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.select("id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PER_LANGUAGE).select("id", "lang").distinct()
+    near = hashed.join(F.broadcast(cuts), "lang").filter(F.col("bucket") <= F.col("cut"))
+    chosen = near.select("id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PER_LANGUAGE).select("id", "lang").distinct()
     sample = materialize(known.join(F.broadcast(chosen), ["id", "lang"]).select("text", "lang"), "sample")  # PER_LANGUAGE ids a language
 
     def letters_of() -> object:

@@ -3,22 +3,24 @@
 Each text is tokenised and ends with SEPARATOR. A document of n ids gives floor(n / tokens) full pieces and, first, a
 piece of the rest. Full pieces fill a sequence each. The shorter pieces are packed by vector best-fit in decreasing
 length: an item goes to a bin where it fits under every capacity, chosen by least weighted residual norm (or by
-greatest weighted dot-product of demand and residual).
+greatest weighted dot-product of demand and residual). With the contract's capacities tokens alone bind; pack() takes
+tighter ones, and `packing_bounded` registers some that bind.
 
 Items of one length are alike, so the packing is planned over the histogram of lengths: bins with equal residuals are
-a class with a count, and one step deals a run of equal items over a run of equal bins. The plan is exact, not an
-approximation of packing item by item: a bin that an item has entered is filled on while it is the best. The histogram
+a class with a count, and one step deals a run of equal items over a run of equal bins: a bin that an item has entered
+is filled on with items of that length. The histogram
 has `tokens` rows and the plan a few rows for each length and class, whatever the number of documents. Items get their
 place in the plan by a distributed rank in their length: counts by (length, block) and a prefix sum over blocks.
 
 Defined results: null texts are empty (one piece: the separator); rows with repeated ids are packed apart, each with
-its own pieces; null ids stay null; no rows give no rows; other columns are ignored; sequences are gapless from
+its own pieces; null ids stay null; very long texts, long runs of white space among them, are cut
+whole; equally good bins are taken by least residual; no rows give no rows; other columns are ignored; sequences are gapless from
 offset 0."""
 
 from __future__ import annotations
 
-import base64
 import functools
+import re
 import zlib
 from typing import NamedTuple
 
@@ -33,7 +35,8 @@ SEPARATOR = 2
 TOKENS = 1024
 #: With these, tokens alone bind: as few sequences as can be. Tighter ones bind as well.
 DOCUMENTS, ATTENTION = 1024, 1024 * 1024
-BLOCKS = 256
+#: Pieces of a block at most on average, and blocks at least, among which equal lengths are ranked.
+BLOCK_ROWS, BLOCKS = 1 << 16, 256
 
 
 @functools.cache
@@ -52,16 +55,33 @@ def encoder(json_path: str) -> object:
         ranks.pop(t.encode(), None)
     coder = tiktoken.Encoding("byte-level", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
     has = tuple(special)
+    apart = re.compile("(" + "|".join(map(re.escape, has)) + ")")
+
+    def ordinary(text: str) -> list[int]:
+        if len(text) < 1000 or not _LONG_RUN.search(text):
+            return coder.encode_ordinary(text)
+        # A run is one piece, but for its last character if something follows.
+        out, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            until = run.end() - (run.end() < len(text))
+            out += coder.encode_ordinary(text[at : run.start()]) if at < run.start() else []
+            out += coder._encode_single_piece(text[run.start() : until])
+            at = until
+        return out + (coder.encode_ordinary(text[at:]) if at < len(text) else [])
 
     def encode(text: str) -> list[int]:
         if any(t in text for t in has):
-            return coder.encode(text, allowed_special="all")
-        return coder.encode_ordinary(text)
+            return [i for part in apart.split(text) for i in ([special[part]] if part in special else ordinary(part) if part else [])]
+        return ordinary(text)
 
-    encode.ordinary = coder.encode_ordinary  # special tokens' strings as ordinary text
+    encode.ordinary = ordinary  # special tokens' strings as ordinary text
     return encode
 
 
+#: White space as the cuts below have it; runs so long overflow the matcher's stack there and are cut by hand.
+_LONG_RUN = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
 #: Fixed value: how byte-level BPE cuts a text before its merges.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -74,7 +94,7 @@ def _byte_of_char() -> dict[str, int]:
 
 
 def pieces(docs: DataFrame, json_path: str, tokens: int = TOKENS) -> DataFrame:
-    """doc_id, row (distinct for each row), piece, start, length, ids_crc32 of every piece of every document."""
+    """Pieces of at most `tokens` ids: doc_id, row (distinct for each row), piece, start, length, ids_crc32 of every piece of every document."""
 
     def start() -> object:
         encode = encoder(json_path)
@@ -152,11 +172,18 @@ def plan(histogram: dict[int, int], tokens: int, documents: int, attention: int,
     return steps, bins
 
 
-def pack(docs: DataFrame, json_path: str, tokens: int = TOKENS, documents: int = DOCUMENTS, attention: int = ATTENTION, rule: str = "norm") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+def pack(docs: DataFrame, json_path: str, tokens: int = TOKENS, documents: int = DOCUMENTS, attention: int = ATTENTION, rule: str = "norm", piece: int | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; piece: longest piece, a sequence's tokens if not given."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, json_path, tokens).withColumn("block", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(BLOCKS)).cast("int")), "pieces")
-    counts = materialize(cut.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")), "lengths")  # at most tokens x BLOCKS rows
+    every = materialize(pieces(docs, json_path, piece or tokens), "pieces")
+    if piece is not None and piece > tokens:
+        raise ValueError("a piece is longer than a sequence")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    # A full piece is a sequence by itself: no rank, no shuffle; its number is negative.
+    full = every.filter(F.col("length") == tokens).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    blocks = max(BLOCKS, -(-every.count() // BLOCK_ROWS))
+    cut = every.filter(F.col("length") < tokens).withColumn("block", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(blocks)).cast("int"))
+    counts = materialize(cut.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")), "lengths")  # at most tokens x blocks rows
     # At most `tokens` rows: one for each length.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     steps, _ = plan(histogram, tokens, documents, attention, rule)
@@ -169,8 +196,8 @@ def pack(docs: DataFrame, json_path: str, tokens: int = TOKENS, documents: int =
     placed = cut.withColumn("k", rank).join(runs, ["length", "block"]).withColumn("k", F.col("k") + F.col("before"))
     placed = placed.withColumn("run", F.filter("runs", lambda r: (r["first"] <= F.col("k")) & (F.col("k") < r["first"] + r["items"]))[0])
     within = F.col("k") - F.col("run.first")
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
+    return full.unionByName(placed.select(
+        *columns,
         (F.col("run.bin") + F.floor(within / F.col("run.each"))).cast("long").alias("sequence_id"),
         (F.col("run.offset") + F.pmod(within, F.col("run.each")) * F.col("length")).cast("long").alias("offset"),
-    )
+    ))

@@ -10,8 +10,8 @@ Learned from at most TRAIN_ROWS labelled rows, the first by a hash of the id (th
 indicators come to the driver, at most TRAIN_ROWS x FEATURES bits.
 
 Defined results: null texts count as empty; empty texts get the model's bias score; without labels of both classes
-every score is the share of class 1 (0.5 without any); repeated rows each give a row, repeated labels of an id count as
-often as they join; null labels are ignored; no rows give no rows; other columns are ignored."""
+every score is the share of class 1 (0.5 without any); repeated rows each give a row, repeated equal rows of the sample count as
+one; equal texts get equal scores; very long texts are read whole; null labels are ignored; no rows give no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.llm.common import fold_of, per_batch
+from vigilspark.llm.common import first_rows, fold_of, per_batch
 
 TRAIN_ROWS = 8000
 SMOOTH, COST, EPOCHS = 1.0, 0.1, 12
@@ -162,7 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     chosen = marked.orderBy(F.xxhash64("id"), "id", "y").limit(TRAIN_ROWS)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "id")  # TRAIN_ROWS rows of two numbers
+    joined = first_rows(texts.join(F.broadcast(chosen), "id"), TRAIN_ROWS)  # TRAIN_ROWS rows of two numbers
 
     def start() -> object:
         indicators = Indicators()

@@ -10,7 +10,8 @@ Blocks come from a table (file_id, block, payload) or from files through Spark's
 
 Defined results: ids after a file's last separator form one open document (closed = false); adjacent separators
 give documents of 0 tokens (the separator itself isn't counted); empty files and tables give no rows; null payloads are
-empty; a payload that isn't a whole number of ids fails."""
+empty; null texts are empty documents of 0 tokens; very long texts and long runs of white space are encoded whole;
+repeated rows and null ids are documents of their own; a payload that isn't a whole number of ids fails."""
 
 from __future__ import annotations
 

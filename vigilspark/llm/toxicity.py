@@ -11,9 +11,11 @@ whose likelihood ratio between toxic and clean texts passes a bound for the numb
 covering (equal texts count once, a text is explained COVERS times) so that words which merely occur in near copies
 of explained texts do not enter. Learned from at
 most TRAIN_ROWS labelled rows, the first by a hash of the id (the stated bound); word counts are summed on the
-executors, at most CANDIDATES words come to the driver.
+executors; words that pass the bound, each in three toxic texts of the sample at least, come to the driver, and so does
+what of them each toxic text of the sample holds.
 
-Defined results: null and empty texts score 0; a small fixed lexicon holds beside what is learned, unless labels refute it; null labels are
+Defined results: null and empty texts score 0; very long texts are read whole; words of equal merit are chosen by
+name; a null id gives a row with a null id, held_out false; a small fixed lexicon holds beside what is learned, unless labels refute it; null labels are
 ignored; repeated rows each give a row; no rows give no rows; columns other than id and text are never read."""
 
 from __future__ import annotations
@@ -27,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.llm.common import fold_of, materialize, per_batch
+from vigilspark.llm.common import first_rows, fold_of, materialize, per_batch
 from vigilspark.llm.wfst import Fst, compose, least_cost
 
 TRAIN_ROWS = 30_000
-CANDIDATES = 20_000
 STEM_LETTERS = (3, 4, 5, 6, 7)
 STEPS = 8  # classes i1..i8: insults of weight 1..8
 COVERS = 3  # units that may explain the same text
@@ -59,7 +60,8 @@ class Lexicon(NamedTuple):
 
 
 def _weaker(symbol: str) -> str:
-    return f"i{max(1, int(symbol[1:]) * 3 // 4)}" if symbol in INSULTS else symbol
+    """A quarter of the weight: the strongest insult, negated or reported, doesn't make a text toxic."""
+    return f"i{max(1, int(symbol[1:]) // 4)}" if symbol in INSULTS else symbol
 
 
 def _stronger(symbol: str) -> str:
@@ -80,17 +82,18 @@ def _scoped(opener: str, reach: int | None) -> Fst:
 
 
 def _quoted() -> Fst:
-    """Weaken insults between quotation marks that follow a report (the report stays in scope to the clause's end)."""
+    """Drop insults and threats between quotation marks that follow a report; an unclosed mark reaches to the clause's end."""
     m = Fst()
-    free, inside = m.state(), m.state()
+    free, told, inside = m.state(), m.state(), m.state()
     for s in CLASSES:
-        m.arc(free, s, s, 0.0, inside if s == "quote" else free)
-        m.arc(inside, s, _weaker(s) if s in INSULTS else s, 0.0, free if s == "quote" else inside)
+        m.arc(free, s, s, 0.0, told if s == "report" else free)
+        m.arc(told, s, s, 0.0, inside if s == "quote" else told)
+        m.arc(inside, s, "o" if s in INSULTS or s == "threat" else s, 0.0, told if s == "quote" else inside)
     return m
 
 
 def _targeted() -> Fst:
-    """Strengthen an insult up to SCOPE words after a target."""
+    """Strengthen an insult of weight 3 or more up to SCOPE words after a target; weakened ones stay weak."""
     m = Fst()
     free = m.state()
     near = [m.state() for _ in range(SCOPE)]
@@ -98,7 +101,7 @@ def _targeted() -> Fst:
         m.arc(free, s, s, 0.0, near[0] if s == "target" else free)
         for k, state in enumerate(near):
             after = near[k + 1] if k + 1 < SCOPE else free
-            m.arc(state, s, _stronger(s) if s in INSULTS else s, 0.0, near[0] if s == "target" else after)
+            m.arc(state, s, _stronger(s) if s in INSULTS and int(s[1:]) > 2 else s, 0.0, near[0] if s == "target" else after)
     return m
 
 
@@ -132,7 +135,7 @@ def _paid() -> Fst:
 
 def grammar() -> Fst:
     machine = _scoped("neg", SCOPE)
-    for part in (_scoped("report", None), _quoted(), _targeted(), _threatened(), _paid()):
+    for part in (_quoted(), _scoped("report", None), _targeted(), _threatened(), _paid()):
         machine = compose(machine, part)
     return machine
 
@@ -199,19 +202,12 @@ class Scorer:
         return 1 / (1 + math.exp(BIAS - best - 0.5 * math.log1p(matched - 1)))
 
 
-def _likelihood_ratio(t: float, c: float, share: float) -> float:
-    """Log-likelihood ratio of t toxic among t + c texts against the share of toxic texts; 0 unless they are more."""
-    n = t + c
-    if not n or t / n <= share:
-        return 0.0
-    return t * math.log(t / (n * share)) + (c * math.log(c / (n * (1 - share))) if c else 0.0)
-
-
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Insult acceptor of the labelled rows given (the caller leaves held-out rows away)."""
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     chosen = marked.orderBy(F.xxhash64("id"), "id", "y").limit(TRAIN_ROWS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null").join(F.broadcast(chosen), "id").dropDuplicates(["y", "text"]).select("y", "text")  # TRAIN_ROWS rows of two numbers
+    known = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null")
+    rows = first_rows(known.join(F.broadcast(chosen), "id"), TRAIN_ROWS).dropDuplicates(["y", "text"]).select("y", "text")  # TRAIN_ROWS rows of two numbers
 
     def counting() -> object:
         def work(batch: pa.RecordBatch) -> dict:
@@ -232,8 +228,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         return Lexicon(dict.fromkeys(FALLBACK, 6), {})
     share, bound = total["t"] / (total["t"] + total["c"]), math.log(total["n"] + 1) + 3.0
     likely = both.filter((F.col("word") != "") & (F.col("t") >= 3) & (F.col("t") > 4 * share * (F.col("t") + F.col("c"))))
-    surprise = F.col("t") * F.log(F.col("t") / ((F.col("t") + F.col("c")) * share))
-    found = [r for r in likely.orderBy(F.desc(surprise), "word", "words").limit(CANDIDATES).collect() if _likelihood_ratio(r["t"], r["c"], share) >= bound]
+    n = F.col("t") + F.col("c")
+    ratio = F.col("t") * F.log(F.col("t") / (n * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0.0)
+    found = likely.filter(ratio >= bound).collect()
     units = {(r["word"], r["words"] > 0): (r["t"], r["c"]) for r in found}
     by_word = {w for w, stem in units if not stem}
     by_stem = {w for w, stem in units if stem}
@@ -281,7 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, score of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # CANDIDATES words
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # what learn() chose on the driver
 
     def start() -> object:
         scorer = Scorer(shared.value)
