@@ -256,9 +256,9 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, keep: bool) -> DataFrame:
     """key, grams (sorted 64-bit hashes) of the classes whose keys are given, read again from their documents' texts
-    without a shuffle. False hits of the filter come as well, and a class comes once for each row of its id: joins drop them."""
+    without a shuffle; written if they are kept for several joins. False hits of the filter come as well, and a class comes once for each row of its id: joins drop them."""
     wanted = materialize(keys.select("key").distinct().join(classes.select("key", "id"), "key").select("id"), "wanted")
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
@@ -277,7 +277,8 @@ def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
 
         return work
 
-    return materialize(per_batch(docs.select("id", "text"), "key long, grams binary", start), "ngrams")
+    sets = per_batch(docs.select("id", "text"), "key long, grams binary", start)
+    return materialize(sets, "ngrams") if keep else sets
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], open_pairs: np.ndarray) -> np.ndarray:
@@ -411,9 +412,9 @@ def _linked_neighbours(chain: DataFrame, docs: DataFrame, classes: DataFrame) ->
     cost a few pairs for each class instead of one for each two neighbours. What is left is judged at once. Each round
     halves the components that have open pairs, or takes their only ones."""
     keys = chain.select(F.col("a").alias("key")).unionByName(chain.select(F.col("b").alias("key"))).distinct()
-    ends, sets = keys.count(), _sets(docs, keys, classes)
+    ends, links = keys.count(), None
     open_pairs = chain.select("a", "b", "times", F.col("a").alias("ca"), F.col("b").alias("cb"))
-    links = None
+    sets = _sets(docs, keys, classes, keep=open_pairs.count() > ends)
     while True:
         last = open_pairs.count() <= ends
         todo = open_pairs.select("a", "b")
@@ -454,7 +455,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     drop(blocks)
     rest = _rows_of_blocks(placed)
     drop(placed)
-    more = _links(rest, _sets(docs, rest, classes))
+    more = _links(rest, _sets(docs, rest, classes, keep=False))
     both = components(links.unionByName(more)).select(F.col("vertex").alias("key"), F.col("component").alias("joined"))
 
     # A component's number is the least id among its classes.
