@@ -26,8 +26,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import string
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +43,7 @@ from vigilspark.llm.wfst import Sequential, shortest_path
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-SEGMENTS, PAIRS = 300_000, 500_000  # bounds of the memos, entries
+SEGMENTS, PAIRS = 500_000, 500_000  # bounds of the memos, entries
 
 
 def _wire(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -120,7 +122,7 @@ def spaces(prefix: bool, collapse: bool) -> Sequential:
     first = SPACE if prefix else ""
     if collapse:
         return Sequential(START, {(START, " "): ("", START), (INSIDE, " "): ("", GAP), (GAP, " "): ("", GAP)}, {START: (first, INSIDE), INSIDE: ("", INSIDE), GAP: (SPACE, INSIDE)})
-    return Sequential(START, {(START, " "): (first + SPACE, INSIDE), (INSIDE, " "): (SPACE, INSIDE)}, {START: (first, INSIDE), INSIDE: ("", INSIDE)})
+    return Sequential(START, {(START, " "): (first + SPACE, INSIDE), (INSIDE, " "): (SPACE, INSIDE)}, {START: (first, INSIDE), INSIDE: ("", INSIDE)}, {INSIDE: {ord(" "): SPACE}})
 
 
 class Pieces:
@@ -179,7 +181,11 @@ class Pieces:
         bodies = [n.lstrip(SPACE) for n in self.ids]
         if all(re.fullmatch(r"[^\W\d_]*|[\W\d_]*", n) for n in bodies):
             return re.compile(rf"{gap}*[^\W\d_]+|{gap}*{free % r'[\W\d_]'}|{gap}+" + (f"|[{hard}]" if hard else ""))
-        return re.compile(rf"{gap}*{free % r'(?s:.)'}|{gap}+" + (f"|[{hard}]" if hard else ""))
+        # A word ends before a mark that no piece has after a letter.
+        crossed = {b for n in bodies for a, b in zip(n, n[1:]) if re.fullmatch(r"[^\W\d_]", a)}
+        marks = "".join(re.escape(c) for c in string.punctuation if c not in crossed)
+        word = rf"{gap}*[^\W\d_]+(?=[{marks}])|" if marks else ""
+        return re.compile(rf"{word}{gap}*{free % r'(?s:.)'}|{gap}+" + (f"|[{hard}]" if hard else ""))
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging by rank makes of text: best score first, leftmost of equals first."""
@@ -211,30 +217,30 @@ class Pieces:
             self.pairs[key] = found
         return found
 
-    def arcs(self, text: str, at: int, last: int) -> list[tuple[int, int, float, int]]:
-        """Arcs of the composed machine at a position after the id last (-1: none): end, id, cost, what is written."""
-        out, state, n, j = [], self.trie, len(text), at
-        bpe, pairs = self.bpe, self.pairs
+    def arcs(self, text: str, at: int, last: int) -> Iterator[tuple[int, int, float, int]]:
+        """Arcs of finite cost of the composed machine at a position after the id last (-1: none), the longest piece
+        first: end, state after it, cost, what is written."""
+        found, state, n, j = [], self.trie, len(text), at
         while j < n and (state := state.get(text[j])) is not None:
             j += 1
             if (k := state.get("")) is not None:
-                if not bpe:
-                    out.append((j, -1, self.costs[k], k))
-                    continue
-                if last < 0:
-                    good = self._stable(k)
-                elif (good := pairs.get(last << 32 | k)) is None:
-                    good = self._follows(last, k)
-                if good:
-                    out.append((j, k, 0.0, k))
+                found.append((j, k))
+        if not self.bpe:
+            for j, k in reversed(found):
+                yield j, -1, self.costs[k], k
+        else:
+            pairs = self.pairs
+            for j, k in reversed(found):
+                good = self._stable(k) if last < 0 else pairs.get(last << 32 | k)
+                if self._follows(last, k) if good is None else good:
+                    yield j, k, 0.0, k
         if text[at] not in self.ids:  # nothing merges across it
-            out.append((at + 1, -1, self.unknown_cost, -1 - ord(text[at])))
-        return out
+            yield at + 1, -1, self.unknown_cost, -1 - ord(text[at])
 
     def path(self, text: str) -> list[int]:
         """What the shortest path of a normalised segment writes."""
-        found = shortest_path(len(text), -1, lambda at, last: self.arcs(text, at, last))
-        return [i for k in found for i in ((k,) if k >= 0 else self.fallback(chr(-1 - k)))]
+        found = shortest_path(text, -1, self.arcs)
+        return found if min(found) >= 0 else [i for k in found for i in ((k,) if k >= 0 else self.fallback(chr(-1 - k)))]
 
     def fallback(self, char: str) -> list[int]:
         if self.bytes_of:
@@ -243,7 +249,7 @@ class Pieces:
 
     def _segment(self, state: int, raw: str) -> tuple[bytes, int]:
         text, after = self.spaces.run(state, raw)
-        return (np.array(self.path(text), dtype="<u4").tobytes() if text else b""), after
+        return (array("I", self.path(text)).tobytes() if text else b""), after
 
     def _segments(self, found: list[str]) -> bytes:
         """Ids of segments within a text, each from the state INSIDE back to it."""
@@ -299,7 +305,7 @@ class Pieces:
             head = piece[1:] if piece[:1] == b" " and self.kinds[ids[at - 1]] == NORMAL else piece
             if piece[:1] == b" " and not self.collapse:
                 break
-        return (head + b"".join([written[k] for k in ids[at:]])).decode("utf-8", "replace")
+        return (head + b"".join(map(written.__getitem__, ids[at:]))).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)

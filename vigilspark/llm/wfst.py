@@ -72,9 +72,12 @@ class Sequential(NamedTuple):
     start: int
     table: dict[tuple[int, str], tuple[str, int]]
     other: dict[int, tuple[str, int]]  # for symbols without an arc of their own: what goes before the symbol itself
+    loops: dict[int, dict[int, str]] = {}  # noqa: RUF012  states that no arc leaves and that write symbol for symbol, as tables
 
     def run(self, state: int, symbols: str) -> tuple[str, int]:
         """What the only path of symbols from state writes, and the state it ends in."""
+        if state in self.loops:
+            return symbols.translate(self.loops[state]), state
         out = []
         for s in symbols:
             if (arc := self.table.get((state, s))) is None:
@@ -86,35 +89,34 @@ class Sequential(NamedTuple):
         return "".join(out), state
 
 
-def shortest_path(length: int, start: Hashable, arcs: Callable[[int, Hashable], Iterator[tuple[int, Hashable, float, object]]]) -> list | None:
-    """Outputs along the least path from (0, start) to position length in a machine composed with an input, whose states
-    (position, state) are made as the search meets them: arcs(position, state) -> (position, state, cost, output) further
-    on. Costs must not be negative. The farthest of equally near positions goes first; of equal paths to a state the one
-    whose last arc is longest counts; None if no path ends."""
-    least, back, done = {(0, start): 0.0}, {}, set()
-    heap = [(0.0, 0, 0, start)]
-    made = 0
+def shortest_path(symbols: Sequence, start: Hashable, arcs: Callable[[Sequence, int, Hashable], Iterator[tuple[int, Hashable, float, object]]]) -> list | None:
+    """Outputs along the least path from (0, start) to the end of symbols in a machine composed with them, whose states
+    (position, state) are made as the search meets them: arcs(symbols, position, state) -> (position, state, cost, output)
+    further on, taken one at a time. Costs must not be negative. The farthest of equally near positions goes first; of
+    equal paths to a state the one whose last arc is longest counts; None if no path ends."""
+    end, least, back, made = len(symbols), {(0, start): 0.0}, {}, 0
+    heap = [(0.0, 0, 0, start, arcs(symbols, 0, start))]
     while heap:
-        cost, place, _, state = heapq.heappop(heap)
-        at = (-place, state)
-        if at in done:
-            continue
-        done.add(at)
-        if at[0] == length:
+        cost, place, _, state, rest = heap[0]
+        here = (-place, state)
+        if -place == end:
             out = []
-            while at in back:
-                at, written = back[at]
+            while here in back:
+                here, written = back[here]
                 out.append(written)
             return out[::-1]
-        for to, after, price, written in arcs(-place, state):
-            reached = (to, after)
-            total = cost + price
-            known = least.get(reached, INFINITE)
-            if total < known:
-                least[reached] = total
-                back[reached] = (at, written)
-                made += 1
-                heapq.heappush(heap, (total, -to, made, after))
-            elif total == known and reached not in done and at[0] < back[reached][0][0]:
-                back[reached] = (at, written)
+        arc = None if cost > least[here] else next(rest, None)
+        if arc is None:
+            heapq.heappop(heap)
+            continue
+        to, after, price, written = arc
+        reached, total = (to, after), cost + price
+        known = least.get(reached, INFINITE)
+        if total < known:
+            least[reached] = total
+            back[reached] = (here, written)
+            made += 1
+            heapq.heappush(heap, (total, -to, made, after, arcs(symbols, to, after) if to < end else None))
+        elif total == known and -place < back[reached][0][0]:
+            back[reached] = (here, written)
     return None
