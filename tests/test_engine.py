@@ -147,6 +147,50 @@ def test_passing_closed_loop_equals_open_loop(spark, sf_dir):
     assert closed[1] == opened[1] and closed[0] == pytest.approx(opened[0])
 
 
+def test_traces_and_numbers_across_parts(spark):
+    """Traces over many id ranges equal those over one; null streams and ids count; numbers go by time within keys."""
+    rows = [(k if k != 7 else None, [None, "a", "b"][k % 3], [float(k % 5), 1.0], (k % 4) / 2.0) for k in range(60)]
+    d = spark.createDataFrame(rows, "id long, stream_id string, row array<double>, dt_seconds double")
+    got = {width: {r["id"]: r["trace"] for r in W.decaying_trace(d, "row", decay=0.9, width=width).collect()} for width in (4, 1 << 16)}
+    want = {}
+    for s in (None, "a", "b"):
+        state = None
+        for i, _, x, dt in sorted((r for r in rows if r[1] == s), key=lambda r: (r[0] is None, r[0] or 0)):
+            state = x if state is None else [a * 0.9**dt + b for a, b in zip(state, x, strict=True)]
+            want[i] = state
+    for made in got.values():
+        assert made.keys() == want.keys() and all(made[k] == pytest.approx(want[k]) for k in want)
+    times = spark.range(40).selectExpr("id", "id % 2 as key", "case when id <> 5 then timestamp_ntz'1969-12-31 23:58:00' + make_dt_interval(0, 0, 0, (id * 37) % 40 * 20) end as timestamp")
+    held = [r.asDict() for r in times.collect()]
+    for keys in ((), ("key",)):
+        made = {r["id"]: r["n"] for r in W.numbered(times, "n", keys=keys).collect()}
+        for r in held:
+            group = sorted((x for x in held if not keys or x["key"] == r["key"]), key=lambda x: (x["timestamp"] is not None, str(x["timestamp"]), x["id"]))
+            assert made[r["id"]] == group.index(r) + 1
+
+
+def test_observations_of_every_channel(spark):
+    """All channels as of each row, kernel rows as rings, against plain lists; (observation, truth) pairs by time."""
+    from vigilspark import domains as D
+    from vigilspark.sources.ingest import iter_steps
+
+    rows = [(k, k % 2, D.SOURCES[k * k % 7 + k % 2], f"line {k}", k % 3 % 2) for k in range(50)]
+    d = spark.createDataFrame(rows, "id long, stream_id long, source string, raw_line string, is_malicious int").selectExpr("*", "timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as timestamp", "'recon' as attack_stage", "'discovery' as attack_type", "'c' as campaign_id", "1 as severity")
+    number = F.array_repeat(F.col("id").cast("float"), 8)
+    kernel = F.when(F.col("source").startswith("ebpf"), F.slice(number, 1, F.when(F.col("source") == "ebpf_process", 8).when(F.col("source") == "ebpf_network", 7).otherwise(6)))
+    made = list(iter_steps(d.withColumn("row", kernel), lines=3, chars=14, row="row", rows=2))
+    held: dict = {}
+    for (seen, truth), (k, s, source, line, bad) in zip(made, rows, strict=True):
+        held.setdefault((s, D.CHANNEL_OF_SOURCE[source]), []).append((k, line))
+        for c in set(D.CHANNEL_OF_SOURCE.values()):
+            last = held.get((s, c), [])
+            if n := D.KERNEL_COLUMNS.get(c):
+                assert seen[f"ring_{c}"] == [[float(i)] * n for i, _ in last[-2:]] + [[0.0] * n] * (2 - len(last[-2:]))
+            else:
+                assert seen[f"tail_{c}"] == "\n".join(x for _, x in last[-3:])[-14:]
+        assert truth["is_malicious"] == bad and truth["true_risk"] == 3.0 * bad
+
+
 def test_process_depth(spark):
     d = spark.createDataFrame([(1, 0, 1, None), (1, 1, 2, 1), (1, 2, 3, 2), (1, 3, 2, None), (1, 4, 4, 2), (1, 5, 5, 77)], "stream_id int, id int, pid int, ppid int")
     assert [r["depth"] for r in W.process_depth(d).orderBy("id").collect()] == [0, 1, 2, 0, 1, 1]

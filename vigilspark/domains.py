@@ -5,6 +5,7 @@ CHANNEL_OF_SOURCE = {
     "auth_log": "auth_log", "syslog": "syslog", "web_access": "web_log", "web_error": "web_log", "journal": "syslog",
     "ebpf_process": "process_events", "ebpf_network": "network_events", "ebpf_file": "file_events",
 }
+KERNEL_COLUMNS = {"process_events": 8, "network_events": 7, "file_events": 6}
 RISK_OF_STAGE = {"recon": 3.0, "initial_access": 5.0, "execution": 8.0, "persistence": 9.0, "exfiltration": 10.0}
 PASS, ALERT, THROTTLE, BLOCK, UNBLOCK, ISOLATE = range(6)
 REWARD_ON_ATTACK = {PASS: -0.5, ALERT: 0.5, THROTTLE: 0.75, BLOCK: 1.0, UNBLOCK: -0.5, ISOLATE: 0.25}

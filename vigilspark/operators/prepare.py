@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark import domains as D
 from vigilspark.functions.encode import mapped
+from vigilspark.operators.windows import numbered
 from vigilspark.sources.store import with_event_type
 
 
@@ -169,11 +170,6 @@ def in_window(events: DataFrame, start: str, end: str, buffer_s: int = 0, bsd_of
     return utc.filter((F.col("timestamp") >= lo) & (F.col("timestamp") <= hi))
 
 
-def resequenced(events: DataFrame, order: tuple[str, str] = ("timestamp", "id"), parts: int = 64) -> DataFrame:
-    """Ids 1, 2, ... by time, then id. Rows are dealt by day; days get their first number from a prefix sum, so no task
-    holds all rows."""
-    day = events.withColumn("_day", F.date_trunc("day", order[0]))
-    sizes = day.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    first = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_day")) - F.col("_n")).drop("_n")
-    w = Window.partitionBy("_day").orderBy(*order)
-    return day.join(first, "_day").withColumn("new_id", F.col("_before") + F.row_number().over(w)).drop("_day", "_before")
+def resequenced(events: DataFrame, order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
+    """Ids 1, 2, ... by time, then id; rows without a time first."""
+    return numbered(events, "new_id", order)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilspark.domains import CHANNEL_OF_SOURCE, KERNEL_COLUMNS
 from vigilspark.functions.encode import channel, cyclic
 
 
@@ -15,6 +16,16 @@ def seconds_between(a: Column, b: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b) / 1e6
 
 
+def numbered(rows: DataFrame, out: str, order: tuple[str, ...] = ("timestamp", "id"), keys: tuple[str, ...] = ()) -> DataFrame:
+    """out: 1, 2, ... within the keys (not null) by the order's columns, the first of them a time; null times come first. Rows are
+    dealt by minute, and minutes get their first number from a prefix sum over their counts, so no task holds all rows of a key."""
+    dealt = rows.withColumn("_minute", F.coalesce(F.timestamp_diff("MINUTE", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(order[0])), F.lit(-(2**62))))
+    sizes = dealt.groupBy(*keys, "_minute").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_minute")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*keys, "_minute").orderBy(*order))
+    return dealt.join(before, [*keys, "_minute"]).withColumn(out, F.col("_before") + place).select(*rows.columns, out)
+
+
 def with_gap(events: DataFrame, *keys: str, out: str = "dt_seconds") -> DataFrame:
     """Seconds since the row before in the keys' stream; 0 for the first."""
     w = Window.partitionBy(*keys).orderBy("id")
@@ -35,6 +46,22 @@ def ring(events: DataFrame, row: str, columns: int, rows: int = 50, *keys: str)
     return events.withColumn("_kept", kept).withColumn("ring", F.concat("_kept", zero)).drop("_kept")
 
 
+def observations(events: DataFrame, lines: int = 500, chars: int = 50_000, row: str | None = None, rows: int = 50, stream: str = "stream_id") -> DataFrame:
+    """What an observer sees as of each row: the tail of every channel, tail_<channel>, empty before its first line. With row, a
+    column of numbers of the kernel rows, kernel channels give ring_<channel> instead, zeros where they had no row yet."""
+    so_far = Window.partitionBy(stream).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    carried = lambda name, c: F.last(F.when(F.col("channel") == c, F.col(name)), ignorenulls=True).over(so_far)
+    rings = KERNEL_COLUMNS if row is not None else {}
+    seen = text_tail(events, lines, chars, stream)
+    texts = {f"tail_{c}": F.coalesce(carried("tail", c), F.lit("")) for c in dict.fromkeys(CHANNEL_OF_SOURCE.values()) if c not in rings}
+    if not rings:
+        return seen.withColumns(texts).drop("tail")
+    kept = F.collect_list(row).over(Window.partitionBy(stream, "channel").orderBy("id").rowsBetween(-(rows - 1), 0))
+    zeros = lambda n: F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), n), rows)
+    numbers = {f"ring_{c}": F.slice(F.concat(F.coalesce(carried("_kept", c), F.array().cast("array<array<float>>")), zeros(n)), 1, rows) for c, n in rings.items()}
+    return seen.withColumn("_kept", F.when(F.col("channel").isin(list(rings)), kept)).withColumns(texts | numbers).drop("tail", "_kept")
+
+
 def window_stack(events: DataFrame, row: str, columns: int, size: int, *keys: str) -> DataFrame:
     """The last size observations flattened, zeros in front until there are enough."""
     w = Window.partitionBy(*keys).orderBy("id").rowsBetween(-(size - 1), 0)
@@ -42,19 +69,46 @@ def window_stack(events: DataFrame, row: str, columns: int, size: int, *keys: st
     return events.withColumn("_kept", F.collect_list(row).over(w)).withColumn("stack", F.concat(zero, F.flatten("_kept"))).drop("_kept")
 
 
-def decaying_trace(events: DataFrame, row: str, gap: str = "dt_seconds", decay: float = 0.95, stream: str = "stream_id") -> DataFrame:
-    """t = t * decay^gap + x along each stream. Sequential in a stream; streams run in parallel."""
-    schema = T.StructType([*events.schema.fields, T.StructField("trace", T.ArrayType(T.DoubleType()))])
+def decaying_trace(events: DataFrame, row: str, gap: str = "dt_seconds", decay: float = 0.95, stream: str = "stream_id", width: int = 1 << 16) -> DataFrame:
+    """t = t * decay^gap + x along each stream. Ids are dealt into ranges of width; each range's end without what came before,
+    and the seconds it spans, give what the next one starts with, so that no task holds a stream."""
+    part = events.withColumn("_p", F.coalesce(F.floor(F.col("id") / width), F.lit(2**62)))  # null ids come last
+    keys, columns = [stream, "_p"], events.columns
+    kind = T.ArrayType(T.DoubleType())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, out = pdf.sort_values("id"), None, []
+    def along(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+        state, out = None, []
         for x, dt in zip(pdf[row], pdf[gap], strict=True):
             x = np.asarray(x, dtype=float)
             state = x if state is None else state * decay**dt + x
             out.append(state)
-        return pdf.assign(trace=out)
+        return out, np.cumsum(pdf[gap].to_numpy(dtype=float))
 
-    return events.groupBy(stream).applyInPandas(run, schema)
+    def end(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out, spans = along(pdf.sort_values("id"))
+        return pd.DataFrame({stream: [key[0]], "_p": [key[1]], "_end": [out[-1]], "_span": [spans[-1]]})
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, state, before = pdf.sort_values("_p"), None, []
+        for x, span in zip(pdf["_end"], pdf["_span"], strict=True):
+            before.append(state)
+            state = np.asarray(x) if state is None else state * decay**span + np.asarray(x)
+        return pdf[keys].assign(_before=before)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        out, spans = along(pdf)
+        before = pdf["_before"].iloc[0]
+        if before is not None:
+            out = [x + np.asarray(before) * decay**s for x, s in zip(out, spans, strict=True)]
+        return pdf[columns].assign(trace=out)
+
+    key = T.StructType([events.schema[stream], T.StructField("_p", T.LongType())])
+    ends = part.select(*keys, "id", row, gap).groupBy(*keys).applyInPandas(end, T.StructType([*key.fields, T.StructField("_end", kind), T.StructField("_span", T.DoubleType())]))
+    starts = ends.groupBy(stream).applyInPandas(carry, T.StructType([*key.fields, T.StructField("_before", kind)]))
+    renamed = starts.select(F.col(stream).alias("_s"), F.col("_p").alias("_q"), "_before")
+    joined = part.join(renamed, F.col(stream).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))).drop("_s", "_q")
+    return joined.groupBy(*keys).applyInPandas(run, T.StructType([*events.schema.fields, T.StructField("trace", kind)]))
 
 
 def failures_within(events: DataFrame, seconds: int = 300, threshold: int = 5) -> DataFrame:

@@ -503,6 +503,15 @@ def text_tail(ev):
     return W.text_tail(ev).select("id", F.length("tail").cast("long").alias("n"), F.md5("tail").alias("digest"))
 
 
+_CHANNELS = sorted(set(D.CHANNEL_OF_SOURCE.values()))
+_CARRIED = ", ".join(f"coalesce(last_value(case when channel = '{c}' then tail end ignore nulls) over w, '')" for c in _CHANNELS)
+
+
+@register(f"select id, md5(concat_ws('|', {_CARRIED})) as digest from (select id, stream_id, channel, right(array_to_string(list(raw_line) over (partition by stream_id, channel order by id rows 499 preceding), chr(10)), 50000) as tail from (select *, {CHANNEL} as channel from ev)) window w as (partition by stream_id order by id rows unbounded preceding)")
+def observation_tails(ev):
+    return W.observations(ev).select("id", F.md5(F.concat_ws("|", *[f"tail_{c}" for c in _CHANNELS])).alias("digest"))
+
+
 @register("select id, array_to_string(list_concat(w, list_resize([]::bigint[], 50 - len(w), 0)), ',') as ring from (select id, list(id % 100) over (partition by stream_id order by id rows 49 preceding) as w from ev)")
 def struct_ring(ev):
     d = W.ring(ev.withColumn("row", F.array((F.col("id") % 100).cast("float"))), "row", 1, 50, "stream_id")

@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from vigilspark.functions.encode import true_risk
 from vigilspark.operators import parse as P
 from vigilspark.operators.prepare import filter_rule, resequenced
+from vigilspark.operators.windows import observations
 from vigilspark.sources.files import read_lines, route
 
 
@@ -97,6 +99,14 @@ def iter_rows(events: DataFrame, limit: int | None = None) -> Iterator[Row]:
     yield from (ordered if limit is None else ordered.limit(limit)).toLocalIterator()
 
 
+def iter_steps(events: DataFrame, limit: int | None = None, **view: object) -> Iterator[tuple[dict, dict]]:
+    """(observation, truth) of each row in order of time and id; view goes to observations()."""
+    labelled = events.withColumn("true_risk", true_risk(F.col("is_malicious"), F.col("attack_stage")))
+    for row in iter_rows(observations(labelled, **view), limit):
+        seen = {k: row[k] for k in row.__fields__ if k.startswith(("tail_", "ring_"))}
+        yield seen, {"is_malicious": row["is_malicious"] == 1} | {k: row[k] for k in ("attack_type", "attack_stage", "campaign_id", "true_risk")}
+
+
 def iter_paced(rows: Iterator[Row], speed: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[Row]:
     """The rows, each as long after the one before as their times lie apart, speed times faster."""
     before = None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilspark.operators.windows import numbered
+
 EVENT_SCHEMA = (
     "id long, timestamp timestamp_ntz, source string, raw_line string, parsed string, is_malicious int, campaign_id string, "
     "attack_type string, attack_stage string, severity int, session_id string, src_ip string, username string, service string"
@@ -89,7 +91,5 @@ def distinct_sources(events: DataFrame) -> DataFrame:
 
 def attack_pools(events: DataFrame) -> DataFrame:
     """Malicious rows with their pool (attack type, 'unknown' if missing) and place in it by time."""
-    from pyspark.sql import Window
-
     rows = events.filter("is_malicious = 1").withColumn("pool", F.coalesce(F.nullif("attack_type", F.lit("")), F.lit("unknown")))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("pool").orderBy("timestamp", "id")) - 1)
+    return numbered(rows, "pos", keys=("pool",)).withColumn("pos", F.col("pos") - 1)
