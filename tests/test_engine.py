@@ -422,3 +422,67 @@ def test_import_logs(spark, tmp_path):
     assert rows["nonsense"]["source"] is None and any(r["source"] == "ebpf_network" and r["src_ip"] == "7.7.7.7" for r in rows.values())
     stats = ingest.ingest_stats(made).first()
     assert (stats["files"], stats["parsed"], stats["errors"]) == (3, 4, 1)
+
+
+def test_sqlite_databases_become_stores(spark, tmp_path):
+    """Plain and zstd-compressed databases; offsets become UTC, gaps in the row numbers and null labels are kept."""
+    import sqlite3
+    from datetime import datetime
+
+    import zstandard
+
+    from vigilspark import __main__ as cli
+    from vigilspark.sources import database
+
+    db = sqlite3.connect(tmp_path / "e.db")
+    db.execute("create table events (id integer primary key, timestamp text, source text, raw_line text, parsed text, is_malicious integer, campaign_id text, attack_type text, attack_stage text, severity integer, session_id text, src_ip text, username text, service text)")
+    db.execute("create table campaigns (id text primary key, name text, start_time text, end_time text, attack_type text, mitre_tactics text, description text, parameters text)")
+    last = 2 * database.RANGE + 7
+    rows = [(1, "2026-01-01T02:00:00+02:00", None), (2, "2026-01-01T00:00:01.5", 1), (last, "not a time", 0)]
+    db.executemany("insert into events (id, timestamp, source, raw_line, is_malicious) values (?, ?, 'syslog', 'é', ?)", rows)
+    db.execute("insert into campaigns values ('c', 'n', '2026-01-01T00:00:00Z', null, 'recon', null, null, '{\"k\": 1}')")
+    db.commit()
+    db.close()
+    (tmp_path / "e.db.zst").write_bytes(zstandard.compress((tmp_path / "e.db").read_bytes()))
+    for name in ("e.db", "e.db.zst"):
+        made = database.convert(spark, str(tmp_path / name), str(tmp_path / "s"))
+        got = [(r["id"], r["timestamp"], r["is_malicious"], r["raw_line"]) for r in made.events().orderBy("id").collect()]
+        assert got == [(1, datetime(2026, 1, 1), None, "é"), (2, datetime(2026, 1, 1, 0, 0, 1, 500_000), 1, "é"), (last, None, 0, "é")]
+        assert made.campaigns().first()["start_time"] == datetime(2026, 1, 1)
+    assert sorted(p.name for p in tmp_path.glob("e.*")) == ["e.db", "e.db.zst"]
+    assert cli.main(["convert", str(tmp_path / "e.db"), str(tmp_path / "t")]) == 0
+    with pytest.raises(ValueError):
+        database.read_table(spark, str(tmp_path / "e.db"), "none", "id long")
+
+
+def test_reports_with_digests_of_files(spark, tmp_path):
+    import hashlib
+    import json
+
+    store = EventStore(spark, str(tmp_path / "s"), "w")
+    store.append(spark.createDataFrame([(k, None, "syslog", "x", None, 0, None, None, None, None, None, None, None, None) for k in range(3)], EVENT_SCHEMA))
+    made = ingest.write_report(spark, store.path, str(tmp_path / "r"), git_sha="abc")
+    assert json.loads(spark.read.text(str(tmp_path / "r" / "report")).first()[0]) == made and made["final_counts"] == {"syslog": 3} and made["git_sha"] == "abc"
+    for r in spark.read.json(str(tmp_path / "r" / "files")).collect():
+        assert hashlib.sha256(open(r["path"].removeprefix("file:"), "rb").read()).hexdigest() == r["sha256"]
+
+
+def test_pairs_integers_and_parameters(spark, tmp_path):
+    d = spark.createDataFrame([("2026-01-01T00:00:00.1Z open a=1 b=x=y a=2 c= d=-3 e=99999999999999999999",), ("2026-01-01T00:00:00Z open x",), ("bad",), (None,)], "l string").select(P.ebpf(F.col("l")).alias("p")).select("p", P.integers(F.col("p.fields")).alias("n"))
+    a, b, c, e = d.collect()
+    assert a["p"]["fields"] == {"a": "2", "b": "x=y", "c": "", "d": "-3", "e": "99999999999999999999"} and a["n"] == {"a": 2, "d": -3}
+    assert b["p"]["fields"] == {} and c["p"] is None and e["p"] is None
+    r = spark.createDataFrame([('type=SYSCALL msg=audit(01/02/2026 03:04:05.1:7): key="k k" key=z',), (None,)], "l string").select(P.audit_record(F.col("l")).alias("p")).collect()
+    assert r[0]["p"]["fields"]["key"] == "z" and r[0]["p"]["type"] == "SYSCALL" and r[0]["p"]["ts"].day == 2 and r[1]["p"]["fields"] is None
+    store = EventStore(spark, str(tmp_path / "s"), "w")
+    rows = spark.sql("select id, 'n' as name, timestamp_ntz'2026-01-01 00:00:00' as start_time, cast(null as timestamp_ntz) as end_time, 'recon' as attack_type, cast(null as string) as mitre_tactics, cast(null as string) as description, parameters from values ('a', map('k', 1)), ('b', map()) as t(id, parameters)")
+    store.append_campaigns(rows)
+    assert [r["parameters"] for r in store.campaigns().collect()] == ['{"k":1}', None]
+
+
+def test_composition_names_its_stores():
+    text = "stream: {duration: 2d, benign: {db: b}, attacks: {db: /x/a, distribution: {recon: 2}}, output: {db: 's3://o/c'}}"
+    c = CompositionConfig.from_yaml(text, "/conf")
+    assert (c.benign, c.attacks, c.output, c.seed, c.per_day, c.distribution) == ("/conf/b", "/x/a", "s3://o/c", 42, 3.0, {"recon": 1.0})
+    with pytest.raises(ValueError):
+        CompositionConfig.from_yaml("a: 1")

@@ -1,4 +1,4 @@
-"""Command line: python -m vigilspark validate|import|compose."""
+"""Command line: python -m vigilspark validate|import|convert|compose."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from vigilspark.operators.prepare import resequenced
 from vigilspark.operators.validate import available, run_checks
 from vigilspark.plans.compose import CompositionConfig, compose
+from vigilspark.sources.database import convert
 from vigilspark.sources.ingest import import_logs, ingest_stats
 from vigilspark.sources.store import EVENT_SCHEMA, EventStore, attack_pools
 
@@ -30,10 +31,12 @@ def main(args: list[str] | None = None) -> int:
     load.add_argument("--host")
     made = commands.add_parser("compose", help="a timeline from a benign and an attack store, by a YAML file")
     made.add_argument("config")
-    made.add_argument("benign")
-    made.add_argument("attacks")
-    made.add_argument("out")
+    for name in ("benign", "attacks", "output"):
+        made.add_argument(f"--{name}", help="instead of the one that the YAML file names")
     made.add_argument("--start", default="2026-01-01 00:00:00")
+    taken = commands.add_parser("convert", help="a store from an SQLite event database (.db or .db.zst)")
+    taken.add_argument("database")
+    taken.add_argument("store")
     got = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     if got.command == "validate":
@@ -51,9 +54,15 @@ def main(args: list[str] | None = None) -> int:
         for r in ingest_stats(rows).collect():
             print(json.dumps(r.asDict()))
         return 0
-    config = CompositionConfig.from_yaml(Path(got.config).read_text())
-    attacks = attack_pools(EventStore(spark, got.attacks).events())
-    print(json.dumps(compose(spark, EventStore(spark, got.benign).events().filter("is_malicious = 0"), attacks, config, got.start, got.out, got.benign, got.attacks)))
+    if got.command == "convert":
+        print(json.dumps({"events": convert(spark, got.database, got.store).events().count()}))
+        return 0
+    config = CompositionConfig.from_yaml(Path(got.config).read_text(), str(Path(got.config).parent))
+    benign, attacks, out = got.benign or config.benign, got.attacks or config.attacks, got.output or config.output
+    if not (benign and attacks and out):
+        parser.error("benign, attacks and output have to be named, in the YAML file or here")
+    pools = attack_pools(EventStore(spark, attacks).events())
+    print(json.dumps(compose(spark, EventStore(spark, benign).events().filter("is_malicious = 0"), pools, config, got.start, out, benign, attacks)))
     return 0
 
 

@@ -19,6 +19,18 @@ def _ntz(text: Column, fmt: str) -> Column:
     return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pairs(text: Column, pattern: str) -> Column:
+    """Map of a text's key=value pairs, of repeated keys the last."""
+    entry = lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substr(p, F.locate("=", p) + 1).alias("v"))
+    later = lambda e, x, i: F.exists(F.slice(e, i + 2, F.size(e)), lambda y: y["k"] == x["k"])
+    return _with(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), entry), lambda e: F.map_from_entries(F.filter(e, lambda x, i: ~later(e, x, i))))
+
+
 def syslog_header(line: Column, reference_time: str) -> Column:
     """ts, hostname, service, pid, message. A BSD date takes reference_time's year, the year before if that is later."""
     bsd, rfc = line.rlike(D.SYSLOG_BSD), line.rlike(D.SYSLOG_RFC3339)
@@ -86,16 +98,24 @@ def web_error(line: Column) -> Column:
 
 def ebpf(line: Column) -> Column:
     """ts, event_type, source, fields (of repeated keys the last), src_ip (of src, else dst, without its port)."""
-    rest = F.regexp_extract(line, D.EBPF_LINE, 3)
-    keys, values = F.regexp_extract_all(rest, F.lit(r"(\w+)=(\S*)"), 1), F.regexp_extract_all(rest, F.lit(r"(\w+)=(\S*)"), 2)
-    last = lambda k: F.try_element_at(values, F.when(F.array_position(F.reverse(keys), k) > 0, F.size(keys) + 1 - F.array_position(F.reverse(keys), k)).cast("int"))
-    fields = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, last(k))))
     kind = F.regexp_extract(line, D.EBPF_LINE, 2)
-    where = F.coalesce(fields["src"], fields["dst"])
-    return F.when(
-        line.rlike(D.EBPF_LINE),
-        F.struct(F.rtrim(F.regexp_extract(line, D.EBPF_LINE, 1), F.lit("Z")).try_cast("timestamp_ntz").alias("ts"), kind.alias("event_type"), syscall_source(kind).alias("source"), fields.alias("fields"), address(where).alias("src_ip")),
-    )
+    ts = F.rtrim(F.regexp_extract(line, D.EBPF_LINE, 1), F.lit("Z")).try_cast("timestamp_ntz")
+
+    def event(fields: Column) -> Column:
+        ip = _with(F.coalesce(fields["src"], fields["dst"]), address)
+        return F.struct(ts.alias("ts"), kind.alias("event_type"), syscall_source(kind).alias("source"), fields.alias("fields"), ip.alias("src_ip"))
+
+    return F.when(line.rlike(D.EBPF_LINE), _with(_pairs(F.regexp_extract(line, D.EBPF_LINE, 3), r"\w+=\S*"), event))
+
+
+def integers(fields: Column) -> Column:
+    """The whole numbers among a record's fields, as numbers."""
+    return F.map_filter(F.transform_values(fields, lambda _, v: F.when(v.rlike(r"^-?\d+$"), v.try_cast("bigint"))), lambda _, v: v.isNotNull())
+
+
+def categorised(kernel: DataFrame) -> dict[str, DataFrame]:
+    """Kernel rows by their source; the three kernel sources are always there."""
+    return {name: kernel.filter(F.col("source") == name) for name in ("ebpf_process", "ebpf_network", "ebpf_file")}
 
 
 def journal(line: Column) -> Column:
@@ -112,11 +132,9 @@ def journal(line: Column) -> Column:
 
 def audit_record(record: Column) -> Column:
     """type, ts (seconds), fields of one ausearch record; of repeated keys the last."""
-    keys, values = F.regexp_extract_all(record, F.lit(r'(\w+)=("[^"]*"|\S+)'), 1), F.transform(F.regexp_extract_all(record, F.lit(r'(\w+)=("[^"]*"|\S+)'), 2), lambda v: F.replace(v, F.lit('"'), F.lit("")))
-    last = lambda k: F.element_at(values, (F.size(keys) + 1 - F.array_position(F.reverse(keys), k)).cast("int"))
-    fields = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, last(k))))
+    fields = F.transform_values(_pairs(record, r'\w+=(?:"[^"]*"|\S+)'), lambda _, v: F.replace(v, F.lit('"'), F.lit("")))
     ts = _ntz(F.regexp_extract(record, r"msg=audit\((\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2})", 1), "MM/dd/yyyy HH:mm:ss")
-    return F.struct(fields["type"].alias("type"), ts.alias("ts"), fields.alias("fields"))
+    return _with(fields, lambda f: F.struct(f["type"].alias("type"), ts.alias("ts"), f.alias("fields")))
 
 
 def audit_records(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -22,19 +23,27 @@ class CompositionConfig:
     per_day: float = 3.0
     distribution: dict[str, float] | None = None
     ebpf_rate: float = 1.0
+    benign: str | None = None
+    attacks: str | None = None
+    output: str | None = None
 
     @classmethod
-    def from_yaml(cls, text: str) -> CompositionConfig:
+    def from_yaml(cls, text: str, folder: str = "") -> CompositionConfig:
+        """The stores named in the text, if any, are taken from folder where their paths are relative."""
         import yaml
 
-        s = yaml.safe_load(text)["stream"]
+        s = (yaml.safe_load(text) or {}).get("stream")
+        if not s:
+            raise ValueError("missing key: stream")
         attacks = s.get("attacks", {})
         weights = {k: float(v) for k, v in attacks.get("distribution", {}).items()}
         total = sum(weights.values())
         rate = float(s.get("benign", {}).get("ebpf_sample_rate", 1.0))
         if total <= 0 or not 0 < rate <= 1:
             raise ValueError("weights must add up to more than 0 and the sample rate must be in (0, 1]")
-        return cls(parse_duration(str(s["duration"])), int(s.get("seed", 42)), float(attacks.get("campaigns_per_day", 3)), {k: v / total for k, v in weights.items()}, rate)
+        named = [(s.get(part) or {}).get("db") for part in ("benign", "attacks", "output")]
+        paths = [p if p is None or "://" in p else os.path.join(folder, p) for p in named]
+        return cls(parse_duration(str(s["duration"])), int(s.get("seed", 42)), float(attacks.get("campaigns_per_day", 3)), {k: v / total for k, v in weights.items()}, rate, *paths)
 
 
 def parse_duration(text: str) -> float:

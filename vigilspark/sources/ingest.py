@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +88,23 @@ def build_report(events: DataFrame) -> DataFrame:
     return by_source.unionByName(events.agg(*figures).withColumn("scope", F.lit("all")))
 
 
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes, sha256 of the files below path, taken on the executors; each below 2 GiB, Spark's binary reader's limit."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_report(spark: SparkSession, store: str, path: str, **more: object) -> dict:
+    """JSON report of a store's events at path/report, the digests of their files at path/files; gives the report. more is added to it."""
+    figures = [r.asDict() for r in build_report(spark.read.parquet(f"{store}/events")).collect()]  # one row a source
+    total = next(r for r in figures if r["scope"] == "all")
+    counts = {r["scope"]: r["n"] for r in figures if r["scope"] != "all"}
+    report = {"build_date": datetime.now(timezone.utc).isoformat(), **more, "final_counts": counts, "total_events": total["n"], "digest": str(total["digest"])}
+    file_digests(spark, f"{store}/events").write.mode("overwrite").json(f"{path}/files")
+    spark.createDataFrame([(json.dumps(report, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
+    return report
+
+
 def with_batch(events: DataFrame, size: int = 1000) -> DataFrame:
     """Rows with their batch (from 0) in order of time and id; the last batch may be shorter."""
     if size < 1:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilspark.operators.windows import numbered
 
@@ -41,7 +42,12 @@ class EventStore:
         events.withColumn("parsed", with_event_type(F.col("parsed"), F.col("event_type"))).drop("event_type").write.mode("append").partitionBy("source").parquet(f"{self.path}/events") if "event_type" in events.columns else events.write.mode("append").partitionBy("source").parquet(f"{self.path}/events")
 
     def append_campaigns(self, campaigns: DataFrame) -> None:
+        """campaigns in CAMPAIGN_SCHEMA; parameters given as a struct or a map are written as JSON, empty ones as null."""
         self._writable()
+        if isinstance(kind := campaigns.schema["parameters"].dataType, (T.StructType, T.MapType)):
+            text = F.to_json("parameters")
+            none = F.size("parameters") == 0 if isinstance(kind, T.MapType) else text == "{}"
+            campaigns = campaigns.withColumn("parameters", F.when(none, None).otherwise(text))
         campaigns.write.mode("append").parquet(f"{self.path}/campaigns")
 
     def write_meta(self, meta: dict[str, str]) -> None:
