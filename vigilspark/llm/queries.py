@@ -163,6 +163,12 @@ select doc_id, n_features::bigint as n_features, weight, score, case when words
 """
 
 
+def op13_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilspark.llm.interpolation import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if (k.startswith("op") or k == "packing_bounded") and callable(v)}
 
