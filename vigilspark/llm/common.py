@@ -93,11 +93,11 @@ def per_batch(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Recor
     return df.mapInArrow(run, schema)
 
 
-def per_group(df: DataFrame, keys: list[str], schema: str, work: Callable[[dict], dict | None]) -> DataFrame:
+def per_group(df: DataFrame, keys: list[str], schema: str, work: Callable[[dict], dict | None], parts: int | None = None) -> DataFrame:
     """work(columns of a group: numpy arrays of numbers, lists of others) -> columns of the group's result, or None.
 
     Rows are dealt by the keys (numbers, not null) and sorted; a task goes through its groups one after the other and
-    holds a group and a batch, so many small groups cost little each."""
+    holds a group and a batch, so many small groups cost little each. parts: tasks, where groups are few and large."""
     out_schema = pa.schema(df.sparkSession.createDataFrame([], schema).toArrow().schema)
 
     def columns(batch: pa.RecordBatch) -> dict:
@@ -134,7 +134,8 @@ def per_group(df: DataFrame, keys: list[str], schema: str, work: Callable[[dict]
         whole = joined(made)
         return pa.RecordBatch.from_arrays([pa.array(whole[f.name], f.type) for f in out_schema], schema=out_schema)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    dealt = df.repartition(*keys) if parts is None else df.repartition(parts, *keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 class Forest:

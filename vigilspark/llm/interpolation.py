@@ -317,9 +317,9 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, dict]:
     d = folded(docs)
     n_bytes = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(16, math.ceil(n_bytes / BUCKET_BYTES))
-    answers = per_group(questions(d, order, buckets), ["ord", "bucket"], ANSWER, answer)
+    answers = per_group(questions(d, order, buckets), ["ord", "bucket"], ANSWER, answer, parts=order * buckets)
     met = answers.unionByName(token_lists(d), allowMissingColumns=True)
-    counted = materialize(per_group(met, ["block"], COUNTED, lambda g: meet(g, order)), "counted")
+    counted = materialize(per_group(met, ["block"], COUNTED, lambda g: meet(g, order), parts=max(8, math.ceil(2 * n_bytes / BLOCK))), "counted")
     each = counted.select("own", F.explode(F.arrays_zip("fold", "counts")).alias("d")).groupBy("d.fold").agg(F.sum("d.counts").alias("n"), F.count(F.lit(1)).alias("texts"))
     by_fold = {r["fold"]: (r["n"], r["texts"]) for r in each.collect()}  # three rows at most
     kept, deleted = by_fold.get(1, (0, 0)), by_fold.get(0, (0, 0))
