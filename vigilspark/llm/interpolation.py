@@ -169,7 +169,8 @@ def questions(docs: DataFrame, order: int, buckets: int) -> DataFrame:
 
 
 def answer(group: dict) -> dict:
-    """Counts over all blocks of the n-grams that each block asked for; own: n-grams of the training documents of which
+    """Counts over all blocks of the n-grams that each block asked for, without the deleted fold only where the block's part
+    of that fold has them; own: n-grams of the training documents of which
     this block is the one that counts them as different words."""
     keys = [np.cumsum(from_planes(x), dtype=np.uint64) for x in group["keys"]]
     sizes = [len(x) for x in keys]
@@ -179,9 +180,9 @@ def answer(group: dict) -> dict:
     np.minimum.at(first, place, np.repeat(np.arange(len(sizes)), sizes))
     own = np.bincount(first[kept + deleted > 0], minlength=len(sizes))
     edges = np.cumsum([0, *sizes])
-    part = lambda x, k: planes(x[place[edges[k] : edges[k + 1]]])
+    part = lambda x, k: x[place[edges[k] : edges[k + 1]]]
     every = range(len(sizes))
-    return {"ord": group["ord"], "bucket": group["bucket"], "block": group["block"], "own": own, "kept": [part(kept, k) for k in every], "whole": [part(kept + deleted, k) for k in every]}
+    return {"ord": group["ord"], "bucket": group["bucket"], "block": group["block"], "own": own, "kept": [planes(part(kept, k)[from_planes(group["deleted"][k]) > 0]) for k in every], "whole": [planes(part(kept + deleted, k)) for k in every]}
 
 
 ANSWER = "ord int, bucket int, block long, own long, kept binary, whole binary"
@@ -216,11 +217,14 @@ def meet(group: dict, order: int) -> dict:
         rows = np.flatnonzero(group["ord"] == k)
         rows = rows[np.argsort(group["bucket"][rows])]
         names, place = np.unique(grams, return_inverse=True)
-        for name, out, wanted in (("whole", whole, slice(None)), ("kept", kept, deleted)):
+        used = np.bincount(place[deleted], minlength=len(names)) > 0
+        for name, out, asked, wanted in (("whole", whole, np.ones_like(used), slice(None)), ("kept", kept, used, deleted)):
             found = np.concatenate([from_planes(group[name][r]) for r in rows])
-            if len(found) != len(names):
+            if len(found) != asked.sum():
                 raise RuntimeError("the documents are not a deterministic scan: a block has other n-grams than before")
-            out.append(planes(found[place][wanted]))
+            counted = np.zeros(len(names), dtype=np.uint64)
+            counted[asked] = found
+            out.append(planes(counted[place][wanted]))
     own = int(group["own"][group["ord"] == 1].sum())
     return {"block": np.array([group["block"][at]]), "own": np.array([own]), **{c: [group[c][at]] for c in ("doc_id", "held_out", "fold", "counts")}, "whole": [whole], "kept": [kept]}
 
