@@ -85,15 +85,30 @@ def scrub_counts(events: DataFrame, config: ScrubConfig) -> DataFrame:
 
 def label_by_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
     """Label rows by closed time windows and address sets (windows: idx, start_time, end_time, source_ips, attack_type,
-    attack_stage, severity); the first window that fits counts, a row without address fits by time alone. Windows are a
-    campaign's phases: they become one array of literals for each row, checked to be at most 10,000."""
-    n = windows.count()
-    if n > 10_000:
-        raise ValueError(f"{n} windows; label by campaign instead")
-    packed = windows.agg(F.array_sort(F.collect_list(F.struct("idx", "start_time", "end_time", "source_ips", "attack_type", "attack_stage", "severity"))).alias("_w"))
-    fits = lambda w: (F.col("timestamp") >= w["start_time"]) & (F.col("timestamp") <= w["end_time"]) & (F.col("src_ip").isNull() | F.array_contains(w["source_ips"], F.col("src_ip")))
-    joined = events.join(F.broadcast(packed)).withColumn("_hit", F.get(F.filter("_w", fits), F.lit(0))).drop("_w")
-    return joined.withColumns({"is_malicious": F.when(F.col("_hit").isNotNull(), 1).otherwise(0), "attack_type": F.col("_hit.attack_type"), "attack_stage": F.col("_hit.attack_stage"), "severity": F.coalesce("_hit.severity", F.lit(0))}).drop("_hit")
+    attack_stage, severity); the first window that fits counts, a row without address fits by time alone. Any number of
+    windows; events have to be a deterministic scan, which is read twice.
+
+    A window's level is the binary order of its length in seconds, and time is cut into bins as long as that, so that a
+    window lies in two bins at most. Windows are dealt by level, bin and each of their addresses, and once more for rows
+    without an address; events are dealt by their bin at each level that there is. Both meet in an equi-join."""
+    us = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c))
+    w = windows.select("idx", us("start_time").alias("_low"), us("end_time").alias("_high"), "source_ips").filter("_low <= _high")
+    w = w.withColumn("_level", F.ceil(F.log2((F.col("_high") - F.col("_low")) / 1e6 + 1)).cast("int"))
+    bin_of = lambda t: F.floor(t / (F.pow(F.lit(2.0), F.col("_level")) * 1e6))
+    addresses = F.filter(F.array_distinct(F.coalesce("source_ips", F.array().cast("array<string>"))), lambda x: x.isNotNull())
+    named = F.transform(addresses, lambda a: F.struct(F.lit(False).alias("any"), a.alias("ip")))
+    dealt = w.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(F.col("_low")), bin_of(F.col("_high"))))))
+    dealt = dealt.select("idx", "_low", "_high", "_level", "_bin", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("any"), F.lit("").alias("ip"))), named)).alias("_to"))
+    dealt = dealt.select("idx", "_low", "_high", "_level", "_bin", F.col("_to.any").alias("_any"), F.col("_to.ip").alias("_ip"))
+    levels = [r["_level"] for r in w.select("_level").distinct().collect()]  # 64 rows at most
+    rows = events.withColumn("_row", F.monotonically_increasing_id())
+    asks = rows.select("_row", us("timestamp").alias("_us"), F.col("src_ip").isNull().alias("_any"), F.coalesce("src_ip", F.lit("")).alias("_ip"))
+    asks = asks.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bin", bin_of(F.col("_us")))
+    met = asks.join(dealt, ["_level", "_bin", "_any", "_ip"]).filter("_us >= _low and _us <= _high")
+    first = met.groupBy("_row").agg(F.min("idx").alias("idx")).join(windows.select("idx", *[F.col(c).alias(f"_{c}") for c in ("attack_type", "attack_stage", "severity")]), "idx").drop("idx")
+    joined = rows.join(first.withColumn("_hit", F.lit(1)), "_row", "left")
+    labels = {"is_malicious": F.coalesce("_hit", F.lit(0)), "attack_type": F.col("_attack_type"), "attack_stage": F.col("_attack_stage"), "severity": F.coalesce("_severity", F.lit(0))}
+    return joined.withColumns(labels).drop("_row", "_hit", "_attack_type", "_attack_stage", "_severity")
 
 
 def escalate_by_audit(events: DataFrame, audit: DataFrame) -> DataFrame:

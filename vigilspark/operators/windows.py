@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilspark.domains import CHANNEL_OF_SOURCE, KERNEL_COLUMNS
-from vigilspark.functions.encode import channel, cyclic
+from vigilspark.functions.encode import channel, cyclic, failure_address
+from vigilspark.scratch import drop, materialize
 
 
 def seconds_between(a: Column, b: Column) -> Column:
@@ -26,6 +27,59 @@ def numbered(rows: DataFrame, out: str, order: tuple[str, ...] = ("timestamp", "
     return dealt.join(before, [*keys, "_minute"]).withColumn(out, F.col("_before") + place).select(*rows.columns, out)
 
 
+#: Ids of a range: what a task holds of a key at most, wherever a key is cut into ranges.
+WIDTH = 1 << 16
+
+
+def _part(order: str, width: int) -> Column:
+    """Number of the id's range; null ids come first."""
+    return F.coalesce(F.floor(F.col(order) / width), F.lit(-(2**62)))
+
+
+def _joined(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys that may be null; keys of other go."""
+    renamed = other.withColumnsRenamed({k: f"_k{j}" for j, k in enumerate(keys)})
+    on = [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)]
+    return rows.join(renamed, on, "left").drop(*[f"_k{j}" for j in range(len(keys))])
+
+
+def running_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column], order: tuple[str, ...] = ("id",), width: int = WIDTH) -> DataFrame:
+    """Sums over the rows of the same keys up to each row, itself included: a segmented prefix scan. Rows are dealt by keys
+    and ranges of width ids; each range's totals, added up, are what the next one starts with, so that no task holds more
+    of a key than a range and the totals of its ranges. Values have to be numbers, not null."""
+    names = list(sums)
+    d = rows.withColumns({"_p": _part(order[0], width)} | {f"_x{j}": c for j, c in enumerate(sums.values())})
+    totals = d.groupBy(*keys, "_p").agg(*[F.sum(f"_x{j}").alias(f"_t{j}") for j in range(len(names))])
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_p", *[F.coalesce(F.sum(f"_t{j}").over(before), F.lit(0)).alias(f"_b{j}") for j in range(len(names))])
+    here = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = _joined(d, starts, [*keys, "_p"])
+    return out.withColumns({n: F.col(f"_b{j}") + F.sum(f"_x{j}").over(here) for j, n in enumerate(names)}).select(*rows.columns, *names)
+
+
+def latest_before(rows: DataFrame, keys: list[str], value: str, out: str, order: tuple[str, ...] = ("id",), width: int = WIDTH) -> DataFrame:
+    """The latest value that isn't null among the rows of the same keys before each row, by ranges as running_sums()."""
+    d = rows.withColumn("_p", _part(order[0], width))
+    last = d.filter(F.col(value).isNotNull()).groupBy(*keys, "_p").agg(F.max_by(value, F.struct(*order)).alias("_l"))
+    # Ranges without a value are no rows of last, so each range looks up the latest one before it.
+    ranges = d.select(*keys, "_p").distinct()
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = _joined(ranges, last, [*keys, "_p"]).select(*keys, "_p", F.last("_l", ignorenulls=True).over(before).alias("_b"))
+    here = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return _joined(d, starts, [*keys, "_p"]).withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(here), "_b")).select(*rows.columns, out)
+
+
+def in_sequence(rows: DataFrame, *order: str, out: str = "id") -> DataFrame:
+    """out: 1, 2, ... by the order's columns, from a distributed sort. Rows are dealt by range, sorted and written; a
+    second pass counts each range and adds the counts of those before it. Comes back in ranges, sorted within each."""
+    dealt = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "sequence")
+    part = F.shiftright("_at", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return dealt.drop(out).withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(out, place).drop("_part", "_before", "_at")
+
+
 def with_gap(events: DataFrame, *keys: str, out: str = "dt_seconds") -> DataFrame:
     """Seconds since the row before in the keys' stream; 0 for the first."""
     w = Window.partitionBy(*keys).orderBy("id")
@@ -111,34 +165,67 @@ def decaying_trace(events: DataFrame, row: str, gap: str = "dt_seconds", decay:
     return joined.groupBy(*keys).applyInPandas(run, T.StructType([*events.schema.fields, T.StructField("trace", kind)]))
 
 
+def within_seconds(rows: DataFrame, key: str, seconds: int, out: str, time: str = "timestamp", bins: int = 8) -> DataFrame:
+    """Rows of the same key in the seconds up to each row, those of its own microsecond included. Rows are dealt by key and
+    bin of bins x seconds; those of a bin's last seconds also go to the next one, so no task holds a key."""
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(time))
+    size = bins * seconds * 1_000_000
+    b = F.floor(F.col("_us") / size)
+    late = F.pmod(F.col("_us"), F.lit(size)) >= size - seconds * 1_000_000
+    to = F.when(late, F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(b.alias("b"), F.lit(True).alias("own"))))
+    d = rows.withColumn("_us", us).withColumn("_to", F.explode(to))
+    w = Window.partitionBy(key, "_to.b").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    return d.withColumn(out, F.count(F.lit(1)).over(w)).filter("_to.own").drop("_us", "_to")
+
+
 def failures_within(events: DataFrame, seconds: int = 300, threshold: int = 5) -> DataFrame:
-    """Failed logins of the row's address in the seconds before it, and the action they call for."""
-    w = Window.partitionBy("src_ip").orderBy(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', timestamp)")).rangeBetween(-seconds * 1_000_000, 0)
-    n = F.count(F.lit(1)).over(w)
-    return events.withColumn("failures", n).withColumn("action", F.when(F.col("failures") >= threshold, 3).when(F.col("failures") >= threshold // 2, 1).otherwise(0))
+    """Rows of the row's address in the seconds before it, and the action they call for."""
+    return with_action(within_seconds(events, "src_ip", seconds, "failures"), threshold)
+
+
+def failed_logins_within(events: DataFrame, seconds: int = 300, threshold: int = 5) -> DataFrame:
+    """Failed logins in raw_line: failed_ip, failures of that address in the seconds before it, itself included, action.
+    Other rows, those without an address and those without a time, count nowhere and are left away."""
+    found = F.filter(F.array(failure_address(F.col("raw_line"))), lambda ip: ip.isNotNull())  # exploded, it is taken once; a filter would take it anew
+    failed = events.filter("source = 'auth_log' and timestamp is not null").withColumn("failed_ip", F.explode(found))
+    return with_action(within_seconds(failed, "failed_ip", seconds, "failures"), threshold)
+
+
+def with_action(rows: DataFrame, threshold: int) -> DataFrame:
+    return rows.withColumn("action", F.when(F.col("failures") >= threshold, 3).when(F.col("failures") >= threshold // 2, 1).otherwise(0))
 
 
 EVENT_COUNTERS = ["auth_success", "auth_failure", "auth_invalid_user", "connection", "session_open", "session_close", "http_request", "http_error"]
 
 
-def session_features(events: DataFrame) -> DataFrame:
-    """Twenty running numbers of the row's session (session_id, else src_ip, else 'unknown'), f00 to f19."""
+def session_features(events: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Twenty running numbers of the row's session (session_id, else src_ip, else 'unknown'), f00 to f19. A session of any
+    size is cut into ranges of width ids, whose counts, first occurrences and entropy sums are added up."""
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     d = events.withColumn("key", F.when(has("session_id"), F.col("session_id")).when(has("src_ip"), F.col("src_ip")).otherwise("unknown"))
     d = d.withColumn("subnet", F.when(has("src_ip"), F.substring_index("src_ip", ".", 3)))
-    w = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    first = lambda c: F.when(has(c) & (F.row_number().over(Window.partitionBy("key", c).orderBy("id")) == 1), 1).otherwise(0)
-    d = d.withColumn("_c", F.when(F.col("subnet").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("key", "subnet").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))))
+    # No window holds a key, an address or a user whole: they are cut into ranges of ids.
+    d = d.select("id", "key", "subnet", "username", "src_ip", "event_type", "timestamp", F.monotonically_increasing_id().alias("_row"))
+    d = materialize(d, "sessions")
+    order = ("id", "_row")
+    in_net = running_sums(d.filter("subnet is not null").select("key", "subnet", *order), ["key", "subnet"], {"_c": F.lit(1)}, order, width)
     clog = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
-    d = d.withColumn("_inc", F.coalesce(clog(F.col("_c").cast("double")) - clog((F.col("_c") - 1).cast("double")), F.lit(0.0)))
-    d = d.withColumn("_u", first("username")).withColumn("_i", first("src_ip"))
-    d = d.withColumn("_n", F.count("subnet").over(w)).withColumn("_sum", F.sum("_inc").over(w)).withColumn("_start", F.first("timestamp").over(w))
-    counts = [F.count(F.lit(1)).over(w), *[F.sum(F.when(F.col("event_type") == k, 1).otherwise(0)).over(w) for k in EVENT_COUNTERS], F.sum(F.when(F.coalesce("event_type", F.lit("")).isin(EVENT_COUNTERS), 0).otherwise(1)).over(w)]
-    d = d.withColumns({f"f{k:02d}": c.cast("double") for k, c in enumerate(counts)})
+    c = F.col("_c").cast("double")
+    marks = in_net.select("_row", (clog(c) - clog(c - 1)).alias("_inc"))
+    for name, column in (("_u", "username"), ("_i", "src_ip")):  # rows where a user or an address is new to the key
+        new = d.filter(has(column)).groupBy("key", column).agg(F.min(F.struct(*order)).alias("_m")).select(F.col("_m._row").alias("_row"), F.lit(1).alias(name))
+        marks = marks.join(new, "_row", "full")
+    start = d.groupBy("key").agg(F.min_by("timestamp", F.struct(*order)).alias("_start"))
+    d = d.join(marks, "_row", "left").join(start, "key").withColumns({"_inc": F.coalesce("_inc", F.lit(0.0)), "_u": F.coalesce("_u", F.lit(0)), "_i": F.coalesce("_i", F.lit(0))})
+    is_kind = lambda *kinds: F.coalesce(F.col("event_type").isin(*kinds), F.lit(False)).cast("int")
+    counts = [F.lit(1), *[is_kind(k) for k in EVENT_COUNTERS], 1 - is_kind(*EVENT_COUNTERS)]
+    sums = {f"_f{k:02d}": c for k, c in enumerate(counts)} | {"_users": F.col("_u"), "_addresses": F.col("_i"), "_n": F.col("subnet").isNotNull().cast("int"), "_sum": F.col("_inc")}
+    d = running_sums(d, ["key"], sums, order, width)
+    d = d.withColumns({f"f{k:02d}": F.col(f"_f{k:02d}").cast("double") for k in range(len(counts))})
     span = seconds_between(F.col("_start"), F.col("timestamp"))
     hour, dow = F.hour("timestamp") + F.minute("timestamp") / 60.0, F.weekday("timestamp").cast("double")
     more = {
-        "f10": F.sum("_u").over(w).cast("double"), "f11": F.sum("_i").over(w).cast("double"),
+        "f10": F.col("_users").cast("double"), "f11": F.col("_addresses").cast("double"),
         "f12": F.when(F.col("_n") > 0, F.greatest(F.lit(0.0), F.log2(F.col("_n").cast("double")) - F.col("_sum") / F.col("_n"))).otherwise(0.0),
         "f13": F.col("f02") / F.greatest(F.col("f01") + F.col("f02"), F.lit(1.0)),
         "f14": span, "f15": F.when(F.col("f00") > 1, span / (F.col("f00") - 1)).otherwise(0.0),
@@ -147,18 +234,24 @@ def session_features(events: DataFrame) -> DataFrame:
     return d.withColumns(more).select("id", "key", *[f"f{k:02d}" for k in range(20)])
 
 
-def process_depth(events: DataFrame, stream: str = "stream_id") -> DataFrame:
+def process_depth(events: DataFrame, stream: str = "stream_id", width: int = WIDTH) -> DataFrame:
     """Depth in the process tree: the parent's latest depth plus 1 (unknown parents count as 0), without parent 0;
-    every process row sets its pid's depth anew. Sequential in a stream, streams run in parallel."""
-    schema = T.StructType([*events.schema.fields, T.StructField("depth", T.IntegerType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, depth, out = pdf.sort_values("id"), {}, []
-        for pid, ppid in zip(pdf["pid"], pdf["ppid"], strict=True):
-            d = depth.get(int(ppid), 0) + 1 if pd.notna(ppid) and ppid else 0
-            if pd.notna(pid):
-                depth[int(pid)] = d
-            out.append(d)
-        return pdf.assign(depth=np.array(out, dtype=np.int32))
-
-    return events.groupBy(stream).applyInPandas(run, schema)
+    every process row sets its pid's depth anew.
+
+    Each row's parent is the latest row before it that carries the parent's pid, found by ranges. Links are then
+    doubled: a row that points to another takes that one's pointer and adds its distance, so that a tree of depth d takes
+    log2(d) joins. Rounds are written; rows that have arrived at a root take no further part."""
+    rows = materialize(events.withColumn("_row", F.monotonically_increasing_id()), "processes")
+    keys = rows.select(F.col(stream).alias("_s"), "id", "_row", F.col("pid").cast("long").alias("pid"), F.nullif(F.col("ppid").cast("long"), F.lit(0)).alias("ppid"))
+    sets = keys.filter("pid is not null").select("_s", F.col("pid").alias("_key"), "id", "_row", F.lit(1).alias("_kind"), F.col("_row").alias("_value"))
+    asks = keys.filter("ppid is not null").select("_s", F.col("ppid").alias("_key"), "id", "_row", F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_value"))
+    found = latest_before(sets.unionByName(asks), ["_s", "_key"], "_value", "up", ("id", "_row", "_kind"), width).filter("_kind = 0")
+    links = materialize(found.select("_row", "up", F.lit(1).alias("depth")), "parents")
+    # Rows without a parent are no links: who points to one has arrived.
+    while not (moving := links.filter("up is not null")).isEmpty():
+        above = links.select(F.col("_row").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        step = moving.join(above, "up", "left").select("_row", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))
+        after = materialize(step.unionByName(links.filter("up is null")), "parents")
+        drop(links)
+        links = after
+    return rows.join(links.select("_row", "depth"), "_row", "left").select(*events.columns, F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))

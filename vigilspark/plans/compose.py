@@ -12,8 +12,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilspark.operators.prepare import sampled
-from vigilspark.operators.windows import seconds_between
+from vigilspark.operators.prepare import enrich_kernel, sampled
+from vigilspark.operators.windows import in_sequence, seconds_between
+from vigilspark.sources.store import EVENT_SCHEMA, EventStore
+
+EVENT_COLUMNS = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -99,8 +102,10 @@ def transplanted(pools: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def merged(benign: DataFrame, attacks: DataFrame, start: str) -> DataFrame:
-    """One timeline: rows in order of time, then benign sources as first seen, attacks last, then place."""
-    columns = ["id", "source", "raw_line", "is_malicious", "attack_type", "src_ip", "elapsed", "gen", "place"]
+    """One timeline: rows in order of time, then benign sources as first seen, attacks last, then place. All columns of an
+    event stay; id is the one that a row had before."""
+    kept = [c for c in EVENT_COLUMNS if c != "timestamp" and c in benign.columns and c in attacks.columns]
+    columns = [*kept, "elapsed", "gen", "place"]
     order = benign.groupBy("source").agg(F.min("id").alias("gen"))
     b = benign.join(F.broadcast(order), "source").withColumn("place", F.struct(F.col("cycle").cast("long").alias("a"), F.col("id").cast("long").alias("b")))
     a = attacks.withColumn("gen", F.lit(2**62)).withColumn("place", F.struct(F.col("campaign").cast("long").alias("a"), F.col("pos").cast("long").alias("b")))
@@ -109,18 +114,69 @@ def merged(benign: DataFrame, attacks: DataFrame, start: str) -> DataFrame:
     return both.withColumn("timestamp", F.lit(start).cast("timestamp_ntz") + shift)
 
 
-def compose(spark: SparkSession, benign: DataFrame, attack_pools: DataFrame, config: CompositionConfig, start: str, path: str, benign_db: str = "", attack_db: str = "") -> dict[str, object]:
-    """Write the composed timeline, ordered within and across files, beside it its meta keys, and give its statistics.
+def sequenced(timeline: DataFrame) -> DataFrame:
+    """merged() rows with ids 1, 2, ... in their order; the id that a row had before is source_id."""
+    return in_sequence(timeline.withColumnRenamed("id", "source_id"), "timestamp", "gen", "place")
 
-    campaigns counts all that were scheduled, types those that had a pool, by type."""
+
+def campaigns_of(events: DataFrame) -> DataFrame:
+    """A campaign for each campaign_id of attack rows: from its first to its last row, with all of its types."""
+    bad = events.filter("is_malicious = 1 and campaign_id is not null")
+    types = F.array_join(F.array_sort(F.collect_set("attack_type")), ",")  # attack types are a small fixed set
+    found = bad.groupBy(F.col("campaign_id").alias("id")).agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), types.alias("attack_type"))
+    none = F.lit(None).cast("string")
+    return found.select("id", F.col("id").alias("name"), "start_time", "end_time", "attack_type", none.alias("mitre_tactics"), F.lit("composed").alias("description"), none.alias("parameters"))
+
+
+def _planned(spark: SparkSession, benign: DataFrame, attack_pools: DataFrame, config: CompositionConfig) -> tuple[DataFrame, DataFrame, list, dict[str, int]]:
+    """Benign rows to cycle, transplanted rows (kernel rows with their campaign's address), what was scheduled, its types."""
     sizes = {r["pool"]: r["n"] for r in attack_pools.groupBy("pool").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a type
     drawn = schedule(config, sizes, skipped=True)
     types = {k: sum(c[1] == k and c[4] > 0 for c in drawn) for k in dict.fromkeys(c[1] for c in drawn if c[4] > 0)}
     plan = spark.createDataFrame([c for c in drawn if c[4] > 0], "campaign long, attack_type string, offset_s double, start long, size long")
-    rows = merged(cycled(sampled(benign.withColumn("timestamp_text", F.col("timestamp").cast("string")), config.ebpf_rate).drop("timestamp_text"), config.duration_s), transplanted(attack_pools, plan), start)
-    rows.repartitionByRange("timestamp", "gen", "place").sortWithinPartitions("timestamp", "gen", "place").write.mode("overwrite").parquet(path)
-    meta = {"seed": str(config.seed), "duration_seconds": str(config.duration_s), "campaigns_per_day": str(config.per_day), "distribution": json.dumps(config.distribution), "benign_db": benign_db, "attack_db": attack_db, "composed_at": datetime.now(timezone.utc).isoformat()}
-    spark.createDataFrame(sorted(meta.items()), "key string, value string").write.mode("overwrite").parquet(f"{path.rstrip('/')}-meta")
-    done = spark.read.parquet(path)
-    r = done.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("is_malicious") == 1).alias("attack")).first()
+    rows = sampled(benign.withColumn("timestamp_text", F.col("timestamp").cast("string")), config.ebpf_rate).drop("timestamp_text")
+    return rows, transplanted(enrich_kernel(attack_pools), plan), drawn, types
+
+
+def _meta(config: CompositionConfig, benign_db: str, attack_db: str) -> dict[str, str]:
+    return {"seed": str(config.seed), "duration_seconds": str(config.duration_s), "campaigns_per_day": str(config.per_day), "distribution": json.dumps(config.distribution), "benign_db": benign_db, "attack_db": attack_db, "composed_at": datetime.now(timezone.utc).isoformat()}
+
+
+def _stats(events: DataFrame, config: CompositionConfig, drawn: list, types: dict[str, int]) -> dict[str, object]:
+    r = events.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("is_malicious") == 1).alias("attack")).first()
     return {"total": r["total"], "attack": r["attack"], "benign": r["total"] - r["attack"], "campaigns": len(drawn), "days": config.duration_s / 86400, "types": types}
+
+
+def compose(spark: SparkSession, benign: DataFrame, attack_pools: DataFrame, config: CompositionConfig, start: str, path: str, benign_db: str = "", attack_db: str = "") -> dict[str, object]:
+    """Write the composed timeline as one table, ordered within and across files, beside it its meta keys, and give its
+    statistics; compose_store() writes a store.
+
+    campaigns counts all that were scheduled, types those that had a pool, by type."""
+    rows, attacks, drawn, types = _planned(spark, benign, attack_pools, config)
+    sequenced(merged(cycled(rows, config.duration_s), attacks, start)).write.mode("overwrite").parquet(path)
+    spark.createDataFrame(sorted(_meta(config, benign_db, attack_db).items()), "key string, value string").write.mode("overwrite").parquet(f"{path.rstrip('/')}-meta")
+    return _stats(spark.read.parquet(path), config, drawn, types)
+
+
+def compose_store(spark: SparkSession, benign: DataFrame, attack_pools: DataFrame, config: CompositionConfig, path: str, start: str | None = None, benign_db: str = "", attack_db: str = "") -> dict[str, object]:
+    """Write the composed timeline as an event store: events with all their columns and ids 1, 2, ... in order of time,
+    campaigns, meta, and an index of the files. start: where the timeline begins, by default at the first benign row.
+    Gives the statistics of compose()."""
+    if start is None and (first := benign.agg(F.min("timestamp")).first()[0]) is not None:
+        start = first.isoformat(sep=" ")
+    rows, attacks, drawn, types = _planned(spark, benign, attack_pools, config)
+    store = EventStore(spark, path, "w")
+    timeline = merged(cycled(rows, config.duration_s), attacks, start or "1970-01-01 00:00:00")
+    store.append(store_rows(sequenced(timeline)))
+    store.append_campaigns(campaigns_of(store.events()))
+    store.write_meta(_meta(config, benign_db, attack_db))
+    store.write_index()
+    return _stats(store.events(), config, drawn, types)
+
+
+def store_rows(events: DataFrame) -> DataFrame:
+    """The store's columns, missing ones null, sorted by source and id within each range, as the store's folders want them."""
+    fields = [c.split() for c in EVENT_SCHEMA.split(", ")]
+    have = set(events.columns)
+    whole = events.select(*[(F.col(n) if n in have else F.lit(None)).cast(kind).alias(n) for n, kind in fields])
+    return whole.sortWithinPartitions("source", "id")

@@ -16,6 +16,7 @@ from vigilspark.operators import validate as V
 from vigilspark.operators import windows as W
 from vigilspark.plans import compose as C
 from vigilspark.plans.campaign import PROFILES, timing_segment
+from vigilspark.scratch import scratch_path
 from vigilspark.sources import files, ingest, store
 from vigilspark.streaming import replay
 
@@ -574,6 +575,34 @@ def compose_merge(ev):
     return m.groupBy("source", "is_malicious").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("elapsed"), 6).alias("first_s"), F.round(F.max("elapsed"), 6).alias("last_s"))
 
 
+_POOLED = f"pe as (select po.* replace (case when x then d.src_ip else po.src_ip end as src_ip, case when x then d.src_ip || ':ebpf_' || right(po.campaign_id, 8) else po.session_id end as session_id) from po left join dom d on po.attack_type = d.attack_type and po.campaign_id = d.campaign_id, lateral (select starts_with(po.source, 'ebpf_') and coalesce(po.src_ip, '') in ('', '0.0.0.0') and d.src_ip is not null as x))"
+_PLACED = f"pl(campaign, pool, offset_s, start, size) as (values {', '.join(map(repr, _PLAN))}), ta as (select pe.*, 4611686018427387904 as gen, campaign as a, pos as b, offset_s + date_diff('microsecond', min(timestamp) over (partition by campaign), timestamp) / 1e6 as elapsed from pe join pl on pe.attack_type = pl.pool and pos >= start and pos < start + size)"
+_ROUNDS = "ca as (select e.*, sp.gen, k.k as a, e.id as b, k.k * (span + 1) + date_diff('microsecond', t0, timestamp) / 1e6 as elapsed from ev e join sp using (source), lateral (select unnest(range(0, 10)) as k) k where is_malicious = 0 and k.k * (span + 1) + date_diff('microsecond', t0, timestamp) / 1e6 <= 3456000.0)"
+
+
+@register(f"""with {_SPANS}, {_ROUNDS}, {_POOL}, {_DOMINANT}, {_POOLED}, {_PLACED},
+m as (select * from ca union all by name select * from ta), u as (select *, epoch_us(timestamp '{START}') + round(elapsed * 1000000)::bigint as us from m)
+select row_number() over (order by us, gen, a, b) as id, us as ts_us, source, is_malicious, src_ip, session_id, md5(concat_ws('|', raw_line, parsed, campaign_id, attack_type, attack_stage, severity::varchar, username, service)) as digest from u""")
+def compose_store(ev):
+    """A composed store, written and opened again: ids, ties and all columns of every row."""
+    spark = ev.sparkSession
+    made = store.EventStore(spark, scratch_path(spark, "composed"), "w")
+    pools = R.enrich_kernel(store.attack_pools(ev))
+    plan = spark.createDataFrame(_PLAN, "campaign long, attack_type string, offset_s double, start long, size long")
+    made.append(C.store_rows(C.sequenced(C.merged(C.cycled(_benign(ev), DURATION), C.transplanted(pools, plan), START))))
+    rest = F.concat_ws("|", "raw_line", "parsed", "campaign_id", "attack_type", "attack_stage", F.col("severity").cast("string"), "username", "service")
+    return made.events().select("id", us("timestamp").alias("ts_us"), "source", "is_malicious", "src_ip", "session_id", F.md5(rest).alias("digest"))
+
+
+@register("select id, source, raw_line from ev where id > 4000 and source in ('auth_log', 'web_access') order by id limit 1000")
+def store_page(ev):
+    """A page after a cursor from the files of a store that can hold it."""
+    made = store.EventStore(ev.sparkSession, scratch_path(ev.sparkSession, "paged"), "w")
+    made.append(C.store_rows(ev.repartitionByRange("id")))
+    made.write_index()
+    return made.read_page(4000, 1000, ["auth_log", "web_access"]).select("id", "source", "raw_line")
+
+
 #: What the seeds 42 and 43 draw for six days, in the config's order of types.
 _SCHEDULED = [
     (0, "brute_force", 69241.208, 30, 30),
@@ -643,6 +672,14 @@ def failure_extraction(ev):
     return ev.filter("source = 'auth_log'").select("id", E.failure_address(F.col("raw_line")).alias("failed_ip"))
 
 
+@register(r"""with f as (select id, ts_us, nullif(coalesce(nullif(regexp_extract(raw_line, 'Failed password for (?:invalid user )?(\S+) from (\S+)', 2), ''), nullif(regexp_extract(raw_line, 'Invalid user (\S+) from (\S+)', 2), ''), nullif(regexp_extract(raw_line, 'authentication failure.*rhost=(\S+)', 1), ''), nullif(regexp_extract(raw_line, 'Connection closed by (\S+).*\[preauth\]', 1), '')), '') as failed_ip from ev where source = 'auth_log'),
+n as (select id, failed_ip, count(*) over (partition by failed_ip order by ts_us range between 86400000000 preceding and current row) as failures from f where failed_ip is not null)
+select id, failed_ip, failures, case when failures >= 5 then 3 when failures >= 2 then 1 else 0 end as action from n""")
+def failed_logins_window(ev):
+    """Failed logins of each address within a day, as its policy counts them."""
+    return W.failed_logins_within(ev, 86400, 5).select("id", "failed_ip", "failures", "action")
+
+
 @register()
 def replay_closed_loop(ev):
     def policy(row: dict) -> tuple[int, float]:

@@ -50,6 +50,32 @@ class EventStore:
             campaigns = campaigns.withColumn("parameters", F.when(none, None).otherwise(text))
         campaigns.write.mode("append").parquet(f"{self.path}/campaigns")
 
+    def write_index(self) -> None:
+        """A small table of each file's least and greatest id and number of rows; read_page() opens only files that it
+        names. To be written anew after append()."""
+        self._writable()
+        files = self.events().groupBy(F.col("_metadata.file_path").alias("path"), "source").agg(F.min("id").alias("least"), F.max("id").alias("greatest"), F.count(F.lit(1)).alias("n"))
+        files.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index")
+
+    def read_page(self, after: int = 0, limit: int = 1000, sources: list[str] | None = None) -> DataFrame:
+        """The next rows by id after a cursor, as page() gives them, from the files that can hold them: those whose least id is
+        not beyond the id at which limit rows are sure. The index has a row for each file; files appended after
+        write_index() are not seen."""
+        index = self.spark.read.parquet(f"{self.path}/index")
+        known = [r.asDict() for r in (index if sources is None else index.filter(F.col("source").isin(sources))).filter(F.col("greatest") > after).orderBy("greatest", "path").collect()]
+        # Files wholly beyond the cursor, the one that ends first taken first, give limit rows up to some id.
+        sure, end = 0, None
+        for f in known:
+            sure += f["n"] if f["least"] > after else 0
+            if sure >= limit:
+                end = f["greatest"]
+                break
+        wanted = [f["path"] for f in known if end is None or f["least"] <= end]
+        if not wanted:
+            return self.events().limit(0)
+        rows = self.spark.read.schema(EVENT_SCHEMA).option("basePath", f"{self.path}/events").parquet(*wanted)
+        return page(rows if end is None else rows.filter(F.col("id") <= end), after, limit, sources)
+
     def write_meta(self, meta: dict[str, str]) -> None:
         self._writable()
         self.spark.createDataFrame(sorted(meta.items()), "key string, value string").write.mode("overwrite").parquet(f"{self.path}/meta")
