@@ -159,3 +159,26 @@ def test_failed_logins_against_plain_loops(spark, bins):
     assert got == {i: (n, 3 if n >= 5 else 1 if n >= 2 else 0) for i, n in want.items()}
     keyed = spark.createDataFrame(failed, "id long, timestamp timestamp_ntz, ip string")
     assert {r["id"]: r["n"] for r in W.within_seconds(keyed, "ip", 300, "n", bins=bins).collect()} == want
+
+
+@pytest.mark.parametrize(("width", "size"), [(7, 5), (1 << 16, 4096)])
+def test_tails_and_observations_by_ranges(spark, width, size):
+    """Ranges of a few rows give what plain loops give: rare channels, null lines, a null stream."""
+    from vigilspark.domains import CHANNEL_OF_SOURCE
+    from vigilspark.functions.encode import channel
+
+    rng = random.Random(6)
+    sources = [*list(CHANNEL_OF_SOURCE)[:3], "auth_log"]
+    rows = [(k, rng.choice([1, 2, None]), rng.choice(sources) if k % 97 else "web_access", None if k % 13 == 0 else f"line {k} \u00e9" * rng.randrange(3)) for k in range(400)]
+    d = spark.createDataFrame(rows, "id long, stream_id int, source string, raw_line string").repartition(3)
+    named = {r["source"]: r["channel"] for r in d.select("source", channel(F.col("source")).alias("channel")).distinct().collect()}
+    got = {r["id"]: r for r in W.text_tail(d, 4, 30, width=width).collect()}
+    seen = {r["id"]: r for r in W.observations(d, 4, 30, width=width, size=size).collect()}
+    lines = {}
+    for k, stream, source, line in rows:
+        lines.setdefault((stream, named[source]), []).append(line)
+        tail = lambda c: "\n".join(x for x in lines.get((stream, c), [])[-4:] if x is not None)[-30:]  # noqa: B023, E731
+        assert (got[k]["tail"], got[k]["raw_line"], got[k]["stream_id"]) == (tail(named[source]), line, stream)
+        assert all(seen[k][f"tail_{c}"] == tail(c) for c in set(CHANNEL_OF_SOURCE.values()))
+    assert W.text_tail(d, 1, 9).count() == W.observations(d, 1, 9).count() == 400
+    assert set(W.text_tail(d).columns) == {*d.columns, "channel", "tail"}

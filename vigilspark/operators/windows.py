@@ -86,10 +86,38 @@ def with_gap(events: DataFrame, *keys: str, out: str = "dt_seconds") -> DataFram
     return events.withColumn(out, F.coalesce(seconds_between(F.lag("timestamp").over(w), F.col("timestamp")), F.lit(0.0)))
 
 
-def text_tail(events: DataFrame, lines: int = 500, chars: int = 50_000, stream: str = "stream_id") -> DataFrame:
-    """The last lines of the row's channel as of the row, joined, the last chars of them."""
-    w = Window.partitionBy(stream, "channel").orderBy("id").rowsBetween(-(lines - 1), 0)
-    return events.withColumn("channel", channel(F.col("source"))).withColumn("tail", F.right(F.array_join(F.collect_list("raw_line").over(w), "\n"), F.lit(chars)))
+def _in_order(rows: str) -> Column:
+    """An array of structs by their field q, whatever else they hold."""
+    return F.array_sort(rows, lambda a, b: F.when(a["q"] < b["q"], -1).when(a["q"] > b["q"], 1).otherwise(0))
+
+
+def _last(values: Column, place: Column, n: int) -> Column:
+    """The n values that end at the place (from 1); fewer at the head, none where the place is below 1."""
+    return F.slice(values, F.greatest(place - n + 1, F.lit(1)).cast("int"), F.greatest(F.least(place, F.lit(n)), F.lit(0)).cast("int"))
+
+
+def _tail(values: Column, place: Column, lines: int, chars: int) -> Column:
+    return F.right(F.array_join(_last(values, place, lines), "\n"), F.lit(chars))
+
+
+def text_tail(events: DataFrame, lines: int = 500, chars: int = 50_000, stream: str = "stream_id", width: int = WIDTH) -> DataFrame:
+    """The last lines of the row's channel as of the row, joined, the last chars of them.
+
+    Rows are numbered in their stream and channel and dealt into segments of that order; the last lines - 1 rows of a
+    segment also go to the next one. A segment's lines are one array, of which each row reads its part."""
+    size = max(4 * lines, 1024)
+    d = materialize(events.withColumn("channel", channel(F.col("source"))).withColumn("_row", F.monotonically_increasing_id()), "tails")
+    keys = [stream, "channel"]
+    d = running_sums(d, keys, {"_q": F.lit(1).cast("long")}, ("id", "_row"), width)
+    seg, at = F.floor((F.col("_q") - 1) / size), F.pmod(F.col("_q") - 1, F.lit(size))
+    to = lambda k, own: F.struct((seg + k).alias("seg"), F.lit(own).alias("own"))
+    payload = F.struct(*[c for c in d.columns if c not in (*keys, "_q", "_row", "raw_line")]).alias("rest")
+    dealt = d.withColumn("_to", F.explode(F.when(at > size - lines, F.array(to(0, True), to(1, False))).otherwise(F.array(to(0, True)))))
+    one = F.struct(F.col("_q").alias("q"), F.col("_to.own").alias("own"), F.col("raw_line").alias("line"), F.when(F.col("_to.own"), payload).alias("rest"))
+    held = dealt.groupBy(*keys, F.col("_to.seg").alias("_seg")).agg(F.collect_list(one).alias("_rows")).withColumn("_rows", _in_order("_rows"))
+    held = held.withColumn("_lines", F.transform("_rows", lambda r: r["line"]))
+    each = held.select(*keys, "_lines", F.posexplode("_rows").alias("_at", "_r")).filter("_r.own")
+    return each.select(*[F.col(c) if c in keys else F.col("_r.line").alias(c) if c == "raw_line" else F.col(f"_r.rest.{c}") for c in [*events.columns, "channel"]], _tail(F.col("_lines"), F.col("_at") + 1, lines, chars).alias("tail"))
 
 
 def ring(events: DataFrame, row: str, columns: int, rows: int = 50, *keys: str) -> DataFrame:
@@ -100,20 +128,45 @@ def ring(events: DataFrame, row: str, columns: int, rows: int = 50, *keys: str)
     return events.withColumn("_kept", kept).withColumn("ring", F.concat("_kept", zero)).drop("_kept")
 
 
-def observations(events: DataFrame, lines: int = 500, chars: int = 50_000, row: str | None = None, rows: int = 50, stream: str = "stream_id") -> DataFrame:
+def observations(events: DataFrame, lines: int = 500, chars: int = 50_000, row: str | None = None, rows: int = 50, stream: str = "stream_id", width: int = WIDTH, size: int = 4096) -> DataFrame:
     """What an observer sees as of each row: the tail of every channel, tail_<channel>, empty before its first line. With row, a
-    column of numbers of the kernel rows, kernel channels give ring_<channel> instead, zeros where they had no row yet."""
-    so_far = Window.partitionBy(stream).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    carried = lambda name, c: F.last(F.when(F.col("channel") == c, F.col(name)), ignorenulls=True).over(so_far)
+    column of numbers of the kernel rows, kernel channels give ring_<channel> instead, zeros where they had no row yet.
+
+    Rows know how many of each channel their stream has had so far. A stream is cut into ranges of size rows; each range
+    also gets the rows of each channel that stand before it and that its first rows can still see, found by their number.
+    A range keeps an array for each channel, of which each row reads the part that ends at its count."""
     rings = KERNEL_COLUMNS if row is not None else {}
-    seen = text_tail(events, lines, chars, stream)
-    texts = {f"tail_{c}": F.coalesce(carried("tail", c), F.lit("")) for c in dict.fromkeys(CHANNEL_OF_SOURCE.values()) if c not in rings}
-    if not rings:
-        return seen.withColumns(texts).drop("tail")
-    kept = F.collect_list(row).over(Window.partitionBy(stream, "channel").orderBy("id").rowsBetween(-(rows - 1), 0))
-    zeros = lambda n: F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), n), rows)
-    numbers = {f"ring_{c}": F.slice(F.concat(F.coalesce(carried("_kept", c), F.array().cast("array<array<float>>")), zeros(n)), 1, rows) for c, n in rings.items()}
-    return seen.withColumn("_kept", F.when(F.col("channel").isin(list(rings)), kept)).withColumns(texts | numbers).drop("tail", "_kept")
+    channels = list(dict.fromkeys(CHANNEL_OF_SOURCE.values()))
+    seen = lambda c: rows if c in rings else lines
+    d = materialize(events.withColumn("channel", channel(F.col("source"))).withColumn("_row", F.monotonically_increasing_id()), "observed")
+    n = {c: f"_n{k}" for k, c in enumerate(channels)}
+    d = running_sums(d, [stream], {n[c]: (F.col("channel") == c).cast("long") for c in channels}, ("id", "_row"), width)
+    counts = sum((F.col(x) for x in n.values()), F.lit(0))
+    d = materialize(d.withColumn("_p", F.floor((counts - 1) / size)), "numbered")
+    q = F.coalesce(*[F.when(F.col("channel") == c, F.col(n[c])) for c in channels])
+    value = {"line": F.col("raw_line")} | ({"numbers": F.col(row)} if rings else {})
+    entry = F.struct(q.alias("q"), "channel", *[v.alias(k) for k, v in value.items()])
+    own = d.select(stream, "_p", entry.alias("_e"), F.struct(*[c for c in d.columns if c not in (stream, "_p")]).alias("_own"))
+    # Of each channel, the numbers that a range's first rows can see: those that end before its own.
+    before = d.groupBy(stream, "_p").agg(*[F.min(F.col(n[c]) - (F.col("channel") == c).cast("long")).alias(n[c]) for c in channels])
+    of = lambda c: lambda k: F.struct(F.lit(c).alias("channel"), k.alias("q"))
+    numbers = F.concat(*[F.when(F.col(n[c]) > 0, F.transform(F.sequence(F.greatest(F.col(n[c]) - (seen(c) - 1), F.lit(1)), F.col(n[c])), of(c))).otherwise(F.array().cast("array<struct<channel:string,q:bigint>>")) for c in channels])
+    asked = before.select(stream, F.col("_p").alias("_to"), F.explode(numbers).alias("_a")).select(stream, "_to", F.col("_a.channel").alias("channel"), F.col("_a.q").alias("_q"))
+    halo = _joined(asked, d.select(stream, "channel", q.alias("_q"), entry.alias("_e")), [stream, "channel", "_q"]).select(stream, F.col("_to").alias("_p"), "_e", F.lit(None).cast(own.schema["_own"].dataType).alias("_own"))
+    held = own.unionByName(halo).groupBy(stream, "_p").agg(F.collect_list("_own").alias("_rows"), *[F.collect_list(F.when(F.col("_e.channel") == c, F.col("_e"))).alias(f"_c{k}") for k, c in enumerate(channels)])
+    held = held.withColumns({f"_c{k}": _in_order(f"_c{k}") for k in range(len(channels))})
+    parts = {f"_v{k}": F.col(f"_c{k}.numbers" if c in rings else f"_c{k}.line") for k, c in enumerate(channels)}
+    held = held.select(stream, "_rows", *[F.coalesce(F.get(F.col(f"_c{k}"), F.lit(0))["q"], F.lit(1)).alias(f"_q{k}") for k in range(len(channels))], *[v.alias(x) for x, v in parts.items()])
+    each = held.select(stream, *[f"_q{k}" for k in range(len(channels))], *parts, F.explode("_rows").alias("_r"))
+    out = []
+    for k, c in enumerate(channels):
+        place = F.col(f"_r.{n[c]}") - F.col(f"_q{k}") + 1
+        if c in rings:
+            zeros = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), rings[c]), rows)
+            out.append(F.slice(F.concat(F.filter(_last(F.col(f"_v{k}"), place, rows), lambda x: x.isNotNull()), zeros), 1, rows).alias(f"ring_{c}"))
+        else:
+            out.append(_tail(F.col(f"_v{k}"), place, lines, chars).alias(f"tail_{c}"))
+    return each.select(*[F.col(c) if c == stream else F.col(f"_r.{c}") for c in [*events.columns, "channel"]], *out)
 
 
 def window_stack(events: DataFrame, row: str, columns: int, size: int, *keys: str) -> DataFrame:
