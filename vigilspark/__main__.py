@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from vigilspark.operators.prepare import resequenced
 from vigilspark.operators.validate import available, run_checks
-from vigilspark.plans.compose import CompositionConfig, compose
+from vigilspark.plans.compose import CompositionConfig, compose_store
 from vigilspark.sources.database import convert
 from vigilspark.sources.ingest import import_logs, ingest_stats
 from vigilspark.sources.store import EVENT_SCHEMA, EventStore, attack_pools
@@ -33,7 +33,7 @@ def main(args: list[str] | None = None) -> int:
     made.add_argument("config")
     for name in ("benign", "attacks", "output"):
         made.add_argument(f"--{name}", help="instead of the one that the YAML file names")
-    made.add_argument("--start", default="2026-01-01 00:00:00")
+    made.add_argument("--start", help="where the timeline begins; at the first benign row by default")
     taken = commands.add_parser("convert", help="a store from an SQLite event database (.db or .db.zst)")
     taken.add_argument("database")
     taken.add_argument("store")
@@ -62,7 +62,7 @@ def main(args: list[str] | None = None) -> int:
     if not (benign and attacks and out):
         parser.error("benign, attacks and output have to be named, in the YAML file or here")
     pools = attack_pools(EventStore(spark, attacks).events())
-    print(json.dumps(compose(spark, EventStore(spark, benign).events().filter("is_malicious = 0"), pools, config, got.start, out, benign, attacks)))
+    print(json.dumps(compose_store(spark, EventStore(spark, benign).events().filter("is_malicious = 0"), pools, config, out, got.start, benign, attacks)))
     return 0
 
 

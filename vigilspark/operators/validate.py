@@ -95,12 +95,13 @@ def session_coherence(events: DataFrame) -> DataFrame:
     return _row(mixed_sessions(events), "session_coherence", F.count(F.lit(1)))
 
 
-def strings_absent(events: DataFrame, patterns: list[str], name: str, failed: str = "FAIL") -> DataFrame:
-    """Rows whose line or parsed text holds a pattern, without ASCII case."""
+def strings_absent(events: DataFrame, patterns: list[str], name: str, failed: str = "FAIL", columns: tuple[str, ...] = ("raw_line", "parsed")) -> DataFrame:
+    """Rows of which one of the columns holds a pattern, without ASCII case."""
     hit = F.lit(False)
     for p in patterns:
         like = "%" + p.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
-        hit = hit | F.coalesce(F.col("raw_line").ilike(like), F.lit(False)) | F.coalesce(F.col("parsed").ilike(like), F.lit(False))
+        for c in columns:
+            hit = hit | F.coalesce(F.col(c).ilike(like), F.lit(False))
     return _row(events, name, F.count_if(hit)) if patterns else _row(events.limit(0), name, F.lit(0).cast("bigint") + F.count(F.lit(1)), total=F.count(F.lit(1)))
 
 
@@ -135,7 +136,7 @@ def seeded_sample(events: DataFrame, per_type: int = 50, seed: int = 42) -> Data
 CHECKS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "label_consistency": label_consistency, "spot_check": spot_check, "temporal_order": temporal_order,
     "no_unlabelled": no_unlabelled, "session_coherence": session_coherence, "all_benign": all_benign,
-    "no_attack_content": lambda e: strings_absent(e, ATTACK_STRINGS, "no_attack_content"),
+    "no_attack_content": lambda e: strings_absent(e, ATTACK_STRINGS, "no_attack_content", columns=("raw_line",)),
     "target_consistency": lambda e: target_consistency(e.withColumn("true_risk", true_risk(F.col("is_malicious"), F.col("attack_stage")))),
     "build_order": lambda e: temporal_order(e, "build_order", "WARN"),
     "source_distribution": lambda e: _as_report(source_distribution(e)), "event_count": lambda e: _as_report(event_count(e)),

@@ -448,12 +448,12 @@ def check_spot(ev):
     return V.spot_check(ev)
 
 
-_ABSENT = " or ".join(f"contains(lower(coalesce({c}, '')), lower('{p}'))" for p in ("Failed password", "Invalid user", "${jndi:", "UNION+SELECT", "../../../", "wp-login.php") for c in ("raw_line", "parsed"))
+_ABSENT = " or ".join(f"contains(lower(coalesce({c}, '')), lower('{p}'))" for p in ("Failed password", "Invalid user", "${jndi:", "UNION+SELECT", "../../../", "wp-login.php") for c in ("raw_line",))
 
 
 @register(_check_sql("no_attack_content", f"select count(*) filter ({_ABSENT}) as n_bad from ev"))
 def check_attack_content(ev):
-    return V.strings_absent(ev, V.ATTACK_STRINGS, "no_attack_content")
+    return V.strings_absent(ev, V.ATTACK_STRINGS, "no_attack_content", columns=("raw_line",))
 
 
 @register(_check_sql("pii_absent", "select count(*) filter (contains(lower(raw_line), 'host2')) as n_bad from ev"))
@@ -603,36 +603,6 @@ def store_page(ev):
     return made.read_page(4000, 1000, ["auth_log", "web_access"]).select("id", "source", "raw_line")
 
 
-#: What the seeds 42 and 43 draw for six days, in the config's order of types.
-_SCHEDULED = [
-    (0, "brute_force", 69241.208, 30, 30),
-    (1, "brute_force", 137922.325, 39, 30),
-    (2, "brute_force", 140411.722, 24, 30),
-    (3, "brute_force", 181018.59, 2, 30),
-    (4, "brute_force", 183302.263, 35, 30),
-    (5, "brute_force", 185330.828, 1, 30),
-    (6, "brute_force", 235193.056, 16, 30),
-    (7, "web_exploit", 270662.723, 40, 23),
-    (8, "web_exploit", 273300.148, 22, 23),
-    (9, "brute_force", 299254.687, 35, 30),
-    (10, "brute_force", 388112.946, 58, 30),
-    (11, "web_exploit", 406999.876, 10, 23),
-    (12, "web_exploit", 420055.483, 40, 23),
-    (13, "brute_force", 425228.892, 45, 30),
-    (14, "brute_force", 436422.882, 23, 30),
-    (15, "web_exploit", 470106.757, 12, 23),
-    (16, "brute_force", 480009.157, 16, 30),
-    (17, "brute_force", 505321.9, 25, 30),
-]
-
-
-@register(f"select campaign::bigint as campaign, attack_type, offset_s::double as offset_s, start::bigint as start, size::bigint as size from (values {', '.join(map(repr, _SCHEDULED))}) s(campaign, attack_type, offset_s, start, size)")
-def compose_schedule(ev):
-    config = C.CompositionConfig(6 * 86400.0, distribution={"web_exploit": 0.3, "missing": 0.1, "brute_force": 0.6})
-    d = ev.sparkSession.createDataFrame(C.schedule(config, {"brute_force": 90, "web_exploit": 70}), "campaign long, attack_type string, offset_s double, start long, size long")
-    return d.withColumn("offset_s", F.round("offset_s", 3))
-
-
 # Replay.
 def _score_sql() -> str:
     out = "case " + CHANNEL

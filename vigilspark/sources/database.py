@@ -10,24 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilspark.sources.datasources import register
 from vigilspark.sources.store import CAMPAIGN_SCHEMA, EVENT_SCHEMA, EventStore
 
 #: Row numbers of a task, rows of a batch.
 RANGE, ROWS = 200_000, 10_000
 
 
-def unpacked(path: str, out: str) -> str:
-    """Decompress a .zst file to out, a piece at a time; other paths are given back as they are."""
-    if not path.endswith(".zst"):
-        return path
-    import zstandard
-
-    with open(path, "rb") as packed, open(f"{out}.part", "wb") as plain:
-        zstandard.ZstdDecompressor().copy_stream(packed, plain)
-    os.replace(f"{out}.part", out)
-    return out
-
-
 def _opened(path: str) -> sqlite3.Connection:
     from urllib.parse import quote
 
@@ -38,7 +27,11 @@ def read_table(spark: SparkSession, path: str, table: str, schema: str) -> DataF
     """A table's columns of schema (times as text); tasks read a range of row numbers each, in batches.
 
     path has to be a file that driver and executors both open, on a folder that they share. Columns that the table
-    lacks are null."""
+    lacks are null. A .zst file is read by one task."""
+    if path.endswith(".zst"):
+        register(spark)
+        text = ", ".join(f"{n} {'string' if k.startswith('timestamp') else k}" for n, k in (c.split() for c in schema.split(", ")))
+        return spark.read.format("vigil_sqlite").option("table", table).schema(text).load(path)
     fields = [c.split() for c in schema.split(", ")]
     db = _opened(path)
     held = {r[1] for r in db.execute(f'pragma table_info("{table}")')}
@@ -82,13 +75,8 @@ def read_campaigns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def convert(spark: SparkSession, path: str, store: str) -> EventStore:
-    """A new store with the database's events and campaigns. A .zst file is unpacked beside itself first and removed at the end."""
-    plain = unpacked(path, f"{path.removesuffix('.zst')}.unpacked")
-    try:
-        out = EventStore(spark, store, "w")
-        out.append(read_events(spark, plain))
-        out.append_campaigns(read_campaigns(spark, plain))
-    finally:
-        if plain != path:
-            os.remove(plain)
+    """A new store with the database's events and campaigns. A .zst file is unpacked by the task that reads it."""
+    out = EventStore(spark, store, "w")
+    out.append(read_events(spark, path))
+    out.append_campaigns(read_campaigns(spark, path))
     return out

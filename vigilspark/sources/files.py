@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilspark.sources.datasources import register
+
 #: Path fragment -> parser, the first that a path holds; file names that are never text logs.
 ROUTES = [("auth.log", "auth_log"), ("secure", "auth_log"), ("syslog", "syslog"), ("access.log", "web_access"), ("error.log", "web_error"), ("ebpf", "ebpf")]
 SKIPPED = ["wtmp", "btmp", "lastlog", "faillog"]
@@ -22,21 +19,10 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def read_tar(spark: SparkSession, path: str) -> DataFrame:
-    """path (inside the archive), line_no, line of the regular files of tar archives; what a truncated archive still has."""
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                        for member in tar:
-                            if member.isfile() and (f := tar.extractfile(member)):
-                                lines = f.read().decode("utf-8", "replace").splitlines()
-                                yield pd.DataFrame({"archive": archive, "path": member.name, "line_no": range(len(lines)), "line": lines})
-                except (tarfile.ReadError, EOFError):
-                    continue
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, path string, line_no long, line string")
+    """archive, path (inside it), line_no, line of the regular files of tar archives: a task for each member of a plain
+    archive, one for a compressed one; what a truncated archive still has. path: see datasources."""
+    register(spark)
+    return spark.read.format("vigil_tar").load(path)
 
 
 def route(path: Column) -> Column:
