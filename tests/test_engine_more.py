@@ -3,9 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vigilspark.functions import encode as E
 from vigilspark.operators import prepare as R
 from vigilspark.operators import windows as W
 from vigilspark.plans import compose as C
@@ -182,3 +185,39 @@ def test_tails_and_observations_by_ranges(spark, width, size):
         assert all(seen[k][f"tail_{c}"] == tail(c) for c in set(CHANNEL_OF_SOURCE.values()))
     assert W.text_tail(d, 1, 9).count() == W.observations(d, 1, 9).count() == 400
     assert set(W.text_tail(d).columns) == {*d.columns, "channel", "tail"}
+
+
+def plain_murmur3(raw, h):
+    turned = lambda x, n: (x << n | x >> 32 - n) % 2**32
+    mixed = lambda k: turned(k * 0xCC9E2D51 % 2**32, 15) * 0x1B873593 % 2**32
+    whole = len(raw) // 4 * 4
+    for k in range(0, whole, 4):
+        h = (turned(h ^ mixed(int.from_bytes(raw[k : k + 4], "little")), 13) * 5 + 0xE6546B64) % 2**32
+    h ^= mixed(int.from_bytes(raw[whole:], "little")) ^ len(raw)
+    h = (h ^ h >> 16) * 0x85EBCA6B % 2**32
+    h = (h ^ h >> 13) * 0xC2B2AE35 % 2**32
+    return h ^ h >> 16
+
+
+def test_batches_of_hashes(spark):
+    rng = random.Random(12)
+    texts = ["", "a", "é", "abcd", "x" * 4000, *("".join(rng.choice("ab\u00e9\u6f22 ") for _ in range(rng.randrange(40))) for _ in range(500))]
+    for column in (pa.array(texts), pa.array(["skip", *texts, "skip"]).slice(1, len(texts)), pa.array([], pa.string())):
+        for seed in (0, 42, 2**31 + 5):
+            assert E.murmur3_batch(column, seed).tolist() == [plain_murmur3(t.encode(), seed) for t in column.to_pylist()]
+    d = spark.createDataFrame([(None,), ("",), ("abc",)], "t string")
+    assert [r[0] for r in d.select(E.murmur3(F.col("t"), 7)).collect()] == [None, plain_murmur3(b"", 7), plain_murmur3(b"abc", 7)]
+
+
+def test_hashed_features_of_a_batch(spark):
+    lists = [["a", "b", "a"], [], None, ["b"], ["a_b", "c", "a", "b"]]
+    want = np.zeros((5, 8))
+    for row, tokens in zip(want, lists, strict=True):
+        tokens = tokens or []
+        for t in tokens + [f"{a}_{b}" for a, b in zip(tokens, tokens[1:], strict=False)]:
+            row[plain_murmur3(t.encode(), 42) % 8] += 1 - 2 * (plain_murmur3(t.encode(), 7) % 2)
+        row /= np.linalg.norm(row) or 1
+    for column in (pa.array(lists), pa.array([["z"], *lists]).slice(1)):
+        assert np.allclose(E.hashed_features(column, 8, (42, 7)), want)
+    got = spark.createDataFrame([("a b",), (None,), ("",)], "t string").select(E.feature_hash(F.col("t"), 8).alias("v")).collect()
+    assert [len(r["v"]) for r in got] == [8, 8, 8] and not any(got[1]["v"] + got[2]["v"])

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,30 +63,43 @@ def log_delta(dt: Column) -> Column:
 
 def murmur3_numpy(text: str, seed: int) -> int:
     """murmur3 x86 32-bit of UTF-8 text, unsigned."""
-    raw = text.encode()
-    mask, h = 0xFFFFFFFF, seed
-    whole = len(raw) // 4 * 4
-    for k in np.frombuffer(raw[:whole], dtype="<u4").tolist() + ([int.from_bytes(raw[whole:], "little")] if len(raw) > whole else []):
-        k = k * 0xCC9E2D51 & mask
-        k = (k << 15 | k >> 17) & mask
-        h ^= k * 0x1B873593 & mask
-        if whole:
-            h = ((h << 13 | h >> 19) * 5 + 0xE6546B64) & mask
-            whole -= 4
-    h ^= len(raw)
+    return int(murmur3_batch(pa.array([text]), seed)[0])
+
+
+def murmur3_batch(texts: pa.Array, seed: int) -> np.ndarray:
+    """murmur3 x86 32-bit of the UTF-8 of each text (none null), unsigned, all at once: in round k the k-th four bytes of
+    every text that has them are mixed in, longest texts first, so that those of a round stand together."""
+    texts = texts.cast(pa.large_string())
+    edges = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    data = np.concatenate((raw[edges[0] : edges[-1]], np.zeros(4, dtype=np.uint8))).astype(np.uint32)
+    size = np.diff(edges)
+    order = np.argsort(-size, kind="stable")
+    start, size = (edges[:-1] - edges[0])[order], size[order]
+    u = np.uint32
+    turned = lambda x, n: (x << u(n)) | (x >> u(32 - n))
+    mixed = lambda k: turned(k * u(0xCC9E2D51), 15) * u(0x1B873593)
+    four = lambda at: data[at] | data[at + 1] << u(8) | data[at + 2] << u(16) | data[at + 3] << u(24)
+    h, whole = np.full(len(size), seed, dtype=u), size // 4
+    for k in range(int(whole[0]) if len(whole) else 0):
+        n = int(np.searchsorted(-whole, -k, side="left"))  # texts with more than k whole rounds
+        h[:n] = turned(h[:n] ^ mixed(four(start[:n] + 4 * k)), 13) * u(5) + u(0xE6546B64)
+    rest = size % 4
+    keep = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF], dtype=u)[rest]
+    h ^= mixed(four(start + 4 * whole) & keep) ^ size.astype(u)
     for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        h = (h ^ h >> shift) * factor & mask
-    return h ^ h >> 16
+        h = (h ^ h >> u(shift)) * u(factor)
+    out = np.empty_like(h)
+    out[order] = h ^ h >> u(16)
+    return out
 
 
 def murmur3(text: Column, seed: int) -> Column:
-    """Unsigned 32-bit hash as long; null gives null. Each batch hashes a distinct text once."""
+    """Unsigned 32-bit hash as long; null gives null. A batch is hashed as a whole."""
 
-    @F.pandas_udf("long")
-    def hashed(s: pd.Series) -> pd.Series:
-        codes, names = pd.factorize(s)
-        values = np.array([murmur3_numpy(n, seed) for n in names] + [0], dtype=np.int64)
-        return pd.Series(values[codes]).where(codes >= 0, None).astype("Int64")
+    @F.arrow_udf("long")
+    def hashed(texts: pa.Array) -> pa.Array:
+        return pa.array(murmur3_batch(texts.fill_null(""), seed).astype(np.int64), mask=texts.is_null().to_numpy(zero_copy_only=False))
 
     return hashed(text)
 
@@ -118,23 +132,29 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"""[\s\[\]():=,"'{}]+"""), lambda t: t != "")
 
 
+def hashed_features(lists: pa.Array, dim: int, seeds: tuple[int, int]) -> np.ndarray:
+    """A row for each list of tokens: signed counts of its uni- and bigrams by bucket, of unit length; zeros for no tokens.
+    All tokens of the batch are hashed at once; pairs are joined where both tokens are of one list."""
+    tokens = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    pairs = np.flatnonzero(row[1:] == row[:-1])
+    joined = pc.binary_join_element_wise(tokens.take(pa.array(pairs)), tokens.take(pa.array(pairs + 1)), "_")
+    out = np.zeros((len(lists), dim))
+    for texts, of in ((tokens, row), (joined, row[pairs])):
+        place = murmur3_batch(texts, seeds[0]) % dim
+        np.add.at(out, (of, place), 1.0 - 2.0 * (murmur3_batch(texts, seeds[1]) % 2))
+    norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0)
+
+
 def feature_hash(text: Column, dim: int = 1024, seeds: tuple[int, int] = (42, 7)) -> Column:
     """Signed hashing of token uni- and bigrams into dim buckets, unit length; zeros for no tokens."""
 
-    @F.pandas_udf("array<float>")
-    def hashed(lists: pd.Series) -> pd.Series:
-        memo: dict[str, tuple[int, float]] = {}
-        out = []
-        for toks in lists:
-            v = np.zeros(dim, dtype=np.float32)
-            toks = [] if toks is None else list(toks)
-            for t in toks + [f"{a}_{b}" for a, b in zip(toks, toks[1:])]:
-                if t not in memo:
-                    memo[t] = (murmur3_numpy(t, seeds[0]) % dim, 1.0 if murmur3_numpy(t, seeds[1]) % 2 == 0 else -1.0)
-                v[memo[t][0]] += memo[t][1]
-            norm = float(np.linalg.norm(v))
-            out.append(v / norm if norm else v)
-        return pd.Series(out)
+    @F.arrow_udf("array<float>")
+    def hashed(lists: pa.Array) -> pa.Array:
+        parts = [hashed_features(lists.slice(k, 1024), dim, seeds).astype(np.float32) for k in range(0, len(lists), 1024)]
+        whole = np.concatenate(parts) if parts else np.zeros((0, dim), dtype=np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1, dtype=np.int32) * dim), pa.array(whole.ravel()))
 
     return hashed(tokens(text))
 
