@@ -221,3 +221,17 @@ def test_hashed_features_of_a_batch(spark):
         assert np.allclose(E.hashed_features(column, 8, (42, 7)), want)
     got = spark.createDataFrame([("a b",), (None,), ("",)], "t string").select(E.feature_hash(F.col("t"), 8).alias("v")).collect()
     assert [len(r["v"]) for r in got] == [8, 8, 8] and not any(got[1]["v"] + got[2]["v"])
+
+
+def test_many_words_in_one_pass(spark):
+    """The automaton finds what the search for each word finds, first rule first, with few words and with a thousand."""
+    rng = random.Random(7)
+    few = {"b": ["ab", "b\u00e9"], "a": ["a", "abc"], "none": ["zz"]}
+    many = {f"r{j}": ["".join(rng.choice("abc") for _ in range(rng.randint(2, 7))) for _ in range(100)] for j in range(10)}
+    rows = [("web_access", None), ("syslog", "ab"), ("auth_log", "")] + [(rng.choice(["web_access", "auth_log"]), "".join(rng.choice("AaBbc\u00e9 ") for _ in range(rng.randrange(9)))) for _ in range(300)]
+    d = spark.createDataFrame(rows, "source string, raw_line string")
+    for rules in (few, many):
+        want = [None if s == "syslog" or t is None else next((n for n, ws in rules.items() if any(w in t.lower() for w in ws)), None) for s, t in rows]
+        got = d.select(R.filter_rule(F.col("source"), F.col("raw_line"), rules, rules).alias("a"), R.first_rule(F.lower("raw_line"), rules).alias("b"), "source").collect()
+        assert [r["a"] for r in got] == want and [r["b"] for r in got if r["source"] != "syslog"] == [w for w, (s, _) in zip(want, rows, strict=True) if s != "syslog"]
+    assert [r[0] for r in d.limit(3).select(R.first_rule(F.col("raw_line"), {"all": [""]})).collect()] == [None, "all", "all"]

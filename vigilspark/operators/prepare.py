@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +15,51 @@ from vigilspark.operators.windows import numbered
 from vigilspark.sources.store import with_event_type
 
 
-def filter_rule(source: Column, line: Column) -> Column:
-    """Name of the first rule whose words the line holds, without case; null keeps the row. The words are one constant
-    array, so that the expression stays small wherever it is repeated."""
+def first_rule(text: Column, rules: dict[str, list[str]]) -> Column:
+    """Name of the first rule of which the text holds a word, null without one. The words of all rules are one automaton,
+    built once in each task, which goes through a text once however many words there are. Empty words are in every text."""
+    names = list(rules)
+    place: dict[str, int] = {}
+    for k, words in enumerate(rules.values()):
+        for w in words:
+            place.setdefault(w, k)
+    always = place.pop("", len(names))
+
+    @F.arrow_udf("string")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for w, k in place.items():
+            machine.add_word(w, k)
+        machine.make_automaton()
+        for texts in batches:
+            out: list[str | None] = []
+            for t in texts.to_pylist():
+                least = len(names) if t is None else always
+                if t and place:
+                    least = min(least, min((k for _, k in machine.iter(t)), default=least))
+                out.append(names[least] if least < len(names) else None)
+            yield pa.array(out, pa.string())
+
+    return found(text)
+
+
+#: Words from which one automaton is used instead of a search for each word.
+MANY_WORDS = 64
+
+
+def filter_rule(source: Column, line: Column, web: dict[str, list[str]] = D.WEB_FILTERS, auth: dict[str, list[str]] = D.AUTH_FILTERS) -> Column:
+    """Name of the first rule whose words the line holds, without case (words are in lower case); null keeps the row. The
+    words are one constant array, so that the expression stays small wherever it is repeated."""
 
     def first(rules: dict[str, list[str]]) -> Column:
+        if sum(map(len, rules.values())) > MANY_WORDS:
+            return first_rule(F.lower(line), rules)
         words = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(w).alias("word")) for name, ws in rules.items() for w in ws])
         return F.get(F.transform(F.array(F.lower(line)), lambda low: F.get(F.filter(words, lambda w: F.contains(low, w["word"])), F.lit(0))["rule"]), F.lit(0))
 
-    return F.when(source.isin("web_access", "web_error"), first(D.WEB_FILTERS)).when(source == "auth_log", first(D.AUTH_FILTERS))
+    return F.when(source.isin("web_access", "web_error"), first(web)).when(source == "auth_log", first(auth))
 
 
 def malicious_addresses(events: DataFrame) -> DataFrame:
