@@ -104,20 +104,29 @@ def text_tail(events: DataFrame, lines: int = 500, chars: int = 50_000, stream:
     """The last lines of the row's channel as of the row, joined, the last chars of them.
 
     Rows are numbered in their stream and channel and dealt into segments of that order; the last lines - 1 rows of a
-    segment also go to the next one. A segment's lines are one array, of which each row reads its part."""
+    segment also go to the next one. A segment's lines are one text, of which each row reads the bytes from the end of the
+    line before its first one to the end of its own."""
     size = max(4 * lines, 1024)
     d = materialize(events.withColumn("channel", channel(F.col("source"))).withColumn("_row", F.monotonically_increasing_id()), "tails")
     keys = [stream, "channel"]
-    d = running_sums(d, keys, {"_q": F.lit(1).cast("long")}, ("id", "_row"), width)
+    taken = F.coalesce(F.octet_length("raw_line") + 1, F.lit(0)).cast("long")  # with the line's end; null lines take nothing
+    d = running_sums(d, keys, {"_q": F.lit(1).cast("long"), "_b": taken}, ("id", "_row"), width)
     seg, at = F.floor((F.col("_q") - 1) / size), F.pmod(F.col("_q") - 1, F.lit(size))
     to = lambda k, own: F.struct((seg + k).alias("seg"), F.lit(own).alias("own"))
-    payload = F.struct(*[c for c in d.columns if c not in (*keys, "_q", "_row", "raw_line")]).alias("rest")
+    payload = F.struct(*[c for c in d.columns if c not in (*keys, "_q", "_b", "_row", "raw_line")]).alias("rest")
     dealt = d.withColumn("_to", F.explode(F.when(at > size - lines, F.array(to(0, True), to(1, False))).otherwise(F.array(to(0, True)))))
-    one = F.struct(F.col("_q").alias("q"), F.col("_to.own").alias("own"), F.col("raw_line").alias("line"), F.when(F.col("_to.own"), payload).alias("rest"))
+    one = F.struct(F.col("_q").alias("q"), F.col("_b").alias("b"), F.col("_to.own").alias("own"), F.col("raw_line").alias("line"), F.when(F.col("_to.own"), payload).alias("rest"))
     held = dealt.groupBy(*keys, F.col("_to.seg").alias("_seg")).agg(F.collect_list(one).alias("_rows")).withColumn("_rows", _in_order("_rows"))
-    held = held.withColumn("_lines", F.transform("_rows", lambda r: r["line"]))
-    each = held.select(*keys, "_lines", F.posexplode("_rows").alias("_at", "_r")).filter("_r.own")
-    return each.select(*[F.col(c) if c in keys else F.col("_r.line").alias(c) if c == "raw_line" else F.col(f"_r.rest.{c}") for c in [*events.columns, "channel"]], _tail(F.col("_lines"), F.col("_at") + 1, lines, chars).alias("tail"))
+    first = F.get("_rows", F.lit(0))
+    held = held.select(*keys, "_rows", F.array_join("_rows.line", "\n").alias("_text"), F.col("_rows.b").alias("_ends"), (first["b"] - F.coalesce(F.octet_length(first["line"]) + 1, F.lit(0))).alias("_zero"))
+    held = held.select(*keys, "_rows", "_ends", "_zero", (F.length("_text") == F.octet_length("_text")).alias("_plain"), F.col("_text").cast("binary").alias("_bytes"))
+    each = held.select(*keys, "_ends", "_zero", "_plain", "_bytes", F.posexplode("_rows").alias("_at", "_r")).filter("_r.own")
+    end = F.col("_r.b") - F.col("_zero") - 1  # without the end of the last line
+    start = F.coalesce(F.get("_ends", F.col("_at") - lines), F.col("_zero")) - F.col("_zero")
+    start = F.when(F.col("_plain"), F.greatest(start, end - chars)).otherwise(start)  # a character is a byte there
+    cut = F.substring("_bytes", (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int")).cast("string")
+    each = each.select(*[F.col(c) if c in keys else F.col("_r.line").alias(c) if c == "raw_line" else F.col(f"_r.rest.{c}") for c in [*events.columns, "channel"]], "_plain", cut.alias("tail"))
+    return each.withColumn("tail", F.when(F.col("_plain") | (F.octet_length("tail") <= chars), F.col("tail")).otherwise(F.right("tail", F.lit(chars)))).drop("_plain")
 
 
 def ring(events: DataFrame, row: str, columns: int, rows: int = 50, *keys: str) -> DataFrame:
