@@ -366,6 +366,9 @@ def test_scratch_folder_is_shared():
     assert shared_dir(session("b", "spark://h:7077", spark_sql_warehouse_dir="hdfs://w/")) == "hdfs://w/vigilspark-scratch"
     own = session("c", "local[4]", spark_sql_warehouse_dir="hdfs://w/")
     assert shared_dir(own).startswith("file:///") and shared_dir(own) == shared_dir(own)
+    for place in ("file:/w", "/w"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(session("d", "spark://h:7077", spark_sql_warehouse_dir=place))
 
 
 def test_embeddings_against_brute_force(spark):

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,26 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilspark.scratch import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN: dict[str, str] = {}  # application -> the folder that stands in where none is named
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where that is unset: a temporary folder if driver and executors are one
-    process (tests), else a folder in the warehouse, which a cluster shares."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        local = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
-        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='vigilspark-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/vigilspark-scratch"
-    return _OWN[app]
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
