@@ -23,7 +23,7 @@ ATTACK_STAGES = ["recon", "initial_access", "execution", "persistence", "exfiltr
 MAX_SEVERITY = 3
 VECTOR_SOURCES = ["auth_log", "syslog", "web_access", "web_error", "journal"]
 VECTOR_EVENTS = ["auth_success", "auth_failure", "auth_invalid_user", "session_open", "session_close", "connection", "http_request", "http_error", "service_start", "service_stop", "cron", "kernel", "other"]
-#: (pattern, event type), the first that matches counts; groups: user, ip, port (0: none).
+#: Fixed values. (pattern, event type), the first that matches counts; groups: user, ip, port (0: none).
 AUTH_PATTERNS = [
     ("auth_publickey", r"^Accepted publickey for (\S+) from ([\d.]+) port (\d+)", "auth_success", (1, 2, 3)),
     ("auth_password", r"^Accepted password for (\S+) from ([\d.]+) port (\d+)", "auth_success", (1, 2, 3)),
@@ -36,11 +36,13 @@ AUTH_PATTERNS = [
     ("connection", r"^Connection from ([\d.]+) port (\d+)", "connection", (0, 1, 2)),
     ("max_auth_attempts", r"^error: maximum authentication attempts exceeded for (?:invalid user )?(\S+) from ([\d.]+)", "auth_failure", (1, 2, 0)),
 ]
+#: Line patterns.
 SYSLOG_BSD = r"^(\w{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+(\S+)\s+([\w-]+)(?:\[(\d+)\])?\s*:\s*(.*)$"
 SYSLOG_RFC3339 = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[+-]\d{2}:\d{2}|Z))\s+(\S+)\s+([\w-]+)(?:\[(\d+)\])?\s*:\s*(.*)$"
 WEB_ACCESS = r'^([\d.]+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s*([^"]*)"\s+(\d{3})\s+(\S+)(?:\s+"([^"]*)"\s+"([^"]*)")?'
 WEB_ERROR = r"^\[(\w{3})\s+(\w{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})(?:\.(\d+))?\s+(\d{4})\]\s+\[(?:([^:]+):)?(\w+)\]\s+\[pid\s+(\d+)\]\s*(?:\[client\s+([\d.]+):(\d+)\]\s*)?(.*)"
 EBPF_LINE = r"^(\d{4}-\d{2}-\d{2}T[\d:.]+Z)\s+(\w+)\s+(.+)$"
+#: Rule -> words, the first rule that matches counts.
 WEB_FILTERS = {
     "path_traversal": ["../", "..%2f", "..%252f"],
     "sqli": ["union select", "union+select", "' or", "1=1", "' and", "or+1=1"],
@@ -60,7 +62,7 @@ AUTH_FILTERS = {
     "max_auth": ["maximum authentication attempts"],
     "input_userauth_invalid": ["input_userauth_request: invalid user"],
 }
-#: channel -> (pattern, weight); all that match add up.
+#: Fixed values. channel -> (pattern, weight); all that match add up.
 KEYWORD_RULES = {
     "auth_log": [("Failed password for", 2), ("Invalid user", 2), (r"Connection closed by.*\[preauth\]", 1), ("authentication failure", 2), ("maximum authentication attempts exceeded", 3), ("Bad protocol version", 1)],
     "web_log": [(r"(?i)\$\{jndi:", 5), (r"(?i)UNION\s+SELECT", 4), (r"\.\./\.\./", 3), ("(?i)(?:nmap|nikto|sqlmap|masscan)", 3), (r'"\s*(?:4\d{2})\s', 1), ("(?:etc/passwd|etc/shadow|proc/self)", 4)],
@@ -68,5 +70,5 @@ KEYWORD_RULES = {
     "network_events": [(r"connect.*uid=(?!0\b)\d+.*comm=(?!(?:apt|curl|wget)\b)", 1)],
     "file_events": [("open.*comm=(?:redis-server|nginx|java).*path=/etc/(?:passwd|shadow)", 4), (r"open.*comm=(?:redis-server|nginx|java).*path=/proc/\d+/cmdline", 3), ("unlink", 1)],
 }
-#: (pattern, group of the address), the first that matches counts.
+#: Fixed values. (pattern, group of the address), the first that matches counts.
 FAILURE_PATTERNS = [(r"Failed password for (?:invalid user )?(\S+) from (\S+)", 2), (r"Invalid user (\S+) from (\S+)", 2), (r"authentication failure.*rhost=(\S+)", 1), (r"Connection closed by (\S+).*\[preauth\]", 1)]
