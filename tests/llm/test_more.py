@@ -11,7 +11,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from vigilspark.llm import interpolation, resample, retention
+from vigilspark.llm import embedding_dedup, interpolation, resample, retention
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 CLICKS = "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, client_id long, kind string, value double, props string, segment string, bits string"
@@ -260,3 +260,61 @@ def test_interpolation_tokens():
         words = [w for d in docs for w in [*re.findall(r"[^\x20\x09-\x0D]+", d.translate(UP)), None]]
         assert counts.tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", d)) + 1 for d in docs]
         assert len(set(zip(words, keys.tolist(), strict=True))) == len(set(words)) == len(set(keys.tolist()))
+
+
+def _anisotropic(n: int, dim: int, mean: float, seed: int) -> np.ndarray:
+    """Unit vectors with a mean cosine of about mean, a tenth of them within cosines of 0.93 to 1 of one before."""
+    r = np.random.default_rng(seed)
+    axis = embedding_dedup._unit(r.normal(size=(1, dim)))
+    x = embedding_dedup._unit(np.sqrt(mean) * axis + np.sqrt(1 - mean) * r.normal(size=(n, dim)) / np.sqrt(dim))
+    near = r.choice(n, n // 10, replace=False)
+    of = r.choice(n, n // 10)
+    noise = r.normal(size=(n // 10, dim))
+    noise -= (noise * x[of]).sum(axis=1, keepdims=True) * x[of]
+    c = r.uniform(0.935, 0.99, size=(n // 10, 1))
+    x[near] = embedding_dedup._unit(c * x[of] + np.sqrt(1 - c**2) * embedding_dedup._unit(noise))
+    return x
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.7, 0.75, 0.8, 0.9])
+def test_embeddings_with_a_common_mean(spark, mean):
+    x = _anisotropic(4000, 64, mean, 3)
+    links = x @ x.T >= 0.93
+    np.fill_diagonal(links, False)
+    rows = [(k, v.tolist(), "a") for k, v in enumerate(x)]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(4)).collect()}
+    true = links.sum(axis=1)
+    assert all(got[k] <= true[k] for k in got)
+    assert sum(got.values()) >= 0.99 * true.sum() > 0
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.7, 0.75, 0.8, 0.9])
+def test_settings_at_the_most_pivots(mean, dim):
+    """Partners of vectors outside the sample, at a cosine just above the threshold, with the pivots that the largest labels have."""
+    x = _anisotropic(6048, dim, mean, 7)
+    pivots, own, _ = embedding_dedup.settings(x[:2048], ["a"] * 2048, 2048, 0.93)
+    setting, q = own["a"], x[2048:]
+    noise = np.random.default_rng(8).normal(size=q.shape)
+    noise -= (noise * q).sum(axis=1, keepdims=True) * q
+    y = embedding_dedup._unit(0.94 * q + np.sqrt(1 - 0.94**2) * embedding_dedup._unit(noise))
+    if not setting.pivots:
+        assert mean >= 0.8 and setting == embedding_dedup.ONE_LIST
+        return
+    a, b = (embedding_dedup.nearest_pivots(v, pivots[: setting.pivots], setting.nearest) for v in (q, y))
+    shared = np.array([len(set(i) & set(j)) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+    assert ((shared >= setting.shared) | (a[:, 0] == b[:, 0])).mean() >= 0.99
+
+
+def test_settings_belong_to_labels():
+    """An isotropic label keeps few lists a vector although another one has a common mean; labels that the sample hardly knows share a setting."""
+    x = np.concatenate([_anisotropic(1000, 64, 0.0, 1), _anisotropic(1000, 64, 0.8, 2), _anisotropic(20, 64, 0.0, 4)])
+    _, own, rest = embedding_dedup.settings(x, ["a"] * 1000 + ["b"] * 1000 + ["c"] * 20, 283, 0.93)
+    assert set(own) == {"a", "b"} and own["a"].nearest == embedding_dedup.NEAREST
+    assert own["b"] != own["a"] and rest.nearest >= 1
+
+
+def test_settings_of_tiny_samples():
+    for x in (np.ones((1, 1)), np.array([[1.0], [-1.0]]), np.eye(3), np.repeat([[1.0, 0.0]], 5, axis=0)):
+        pivots, own, rest = embedding_dedup.settings(embedding_dedup._unit(x), ["a"] * len(x), 64, 0.93)
+        assert not own and (rest == embedding_dedup.ONE_LIST or rest.pivots <= len(pivots))

@@ -5,9 +5,15 @@ nearness. Each of them is an inverted list of the classes that it describes. Two
 SHARED pivots or more, or have the same pivot in first place; what is retrieved is verified by cosine in double
 precision. A pair is judged in one list only: that of the common first pivot, else that of the least shared pivot.
 
-Pivots are a bounded sample: 2 sqrt(n) classes, between 64 and 2048, the first by a hash of the id, without those whose
-cosine to a pivot kept before is APART or more, so that a dense group has one pivot or few, which all its members
-share in first place. Lengths of vectors without a sampled pivot use directions made by rule. Every vector is indexed.
+Pivots come from a bounded sample of SAMPLE classes, the first by a hash of the id: 2 sqrt(n) of them, 64 at least, without
+those whose cosine to a pivot kept before is too high, so that a dense group has one pivot or few, which all its members
+share in first place. What is too high lies above the median cosine of a label's vectors, so a common mean doesn't thin all
+pivots out. Lengths of vectors without a sampled pivot use directions made by rule. Every vector is indexed.
+
+NEAREST and SHARED are where the search for a label's setting begins. Each sampled vector gets partners made at a cosine of
+exactly the threshold, one in a random direction and one towards another vector of its label; of more pivots, more nearest
+ones and fewer shared ones the setting with the least work is taken that retrieves RECALL of these partners. Where none
+does with less work than all pairs, the label is a single list: all its pairs are judged, with quadratic work.
 
 Lists of more than BLOCK classes are dealt into blocks, and each pair of blocks is a task's unit, so no list is gathered
 in one task. Classes of one first pivot that fill blocks of their own are judged against each other in that pivot's list and nowhere else.
@@ -23,6 +29,7 @@ whole; no rows give no rows; other columns, whatever their names, are ignored.""
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -37,6 +44,15 @@ NEAREST = 8
 SHARED = 2
 APART = 0.8
 BLOCK = 512
+#: Classes that pivots and trials come from, at most.
+SAMPLE = 2048
+#: Share of the trial pairs that a setting has to retrieve.
+RECALL = 0.99
+#: Numbers of nearest pivots that are tried, and how many times 2 sqrt(n) pivots.
+DEPTHS = (8, 12, 16, 24, 32)
+WIDER = (1, 2, 4)
+#: Sampled vectors of a label from which it gets a setting of its own; the others share one.
+OWN = 64
 #: Directions for a length of which the sample has no vector.
 BY_RULE = 64
 
@@ -51,50 +67,145 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _thinned(m: np.ndarray) -> np.ndarray:
-    """The unit vectors m without those near to one kept before."""
-    near, keep = m @ m.T >= APART, []
+def _thinned(m: np.ndarray, apart: float) -> np.ndarray:
+    """Places of the unit vectors m without those near to one kept before."""
+    near, keep = m @ m.T >= apart, []
     for k in range(len(m)):
         if not near[k, keep].any():
             keep.append(k)
-    return m[keep]
+    return np.array(keep, dtype=np.int64)
 
 
 def _directions(dim: int) -> np.ndarray:
     return _unit(np.random.default_rng(dim).normal(size=(BY_RULE, dim)))
 
 
-def nearest_pivots(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Numbers of the NEAREST pivots of each unit vector, nearest first."""
-    far = -(unit @ pivots.T)
-    k = min(NEAREST, far.shape[1])
+def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
+    """Numbers of the nearest pivots of each unit vector, nearest first."""
+    return _top(unit @ pivots.T, nearest)
+
+
+def _top(likeness: np.ndarray, nearest: int) -> np.ndarray:
+    far = -likeness
+    k = min(nearest, far.shape[1])
     top = np.argpartition(far, k - 1, axis=1)[:, :k]
     return np.take_along_axis(top, np.argsort(np.take_along_axis(far, top, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
 
 
-def describe(classes: DataFrame) -> DataFrame:
-    """classes(cid, label, v, n) -> cid, label, dim, n, first, pivots (in order of nearness), raw (float64 bytes)."""
-    count = min(2048, max(64, math.ceil(2 * math.sqrt(classes.count()))))
+def _incidence(pivots: object, count: int) -> np.ndarray:
+    out = np.zeros((len(pivots), count), dtype=np.float32)
+    for k, p in enumerate(pivots):
+        out[k, p] = 1
+    return out
+
+
+class Setting(NamedTuple):
+    """How a label is indexed: by its nearest of so many pivots; pairs need so many in common. No pivots: one list."""
+
+    pivots: int
+    nearest: int
+    shared: int
+
+
+ONE_LIST = Setting(0, 1, 1)
+
+
+def _partners(x: np.ndarray, toward: np.ndarray, mean: np.ndarray, threshold: float, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors whose cosine to x is the threshold: in a random direction, and between x and another vector, about the
+    mean. Null rows where the other vector is as near as that itself."""
+    noise = random.normal(size=x.shape)
+    noise -= (noise * x).sum(axis=1, keepdims=True) * x
+    around = _unit(threshold * x + math.sqrt(1 - threshold**2) * _unit(noise)) if x.shape[1] > 1 else np.full_like(x, np.nan)
+    low, high = np.zeros((len(x), 1)), np.ones((len(x), 1))
+    for _ in range(40):
+        c = (low + high) / 2
+        y = mean + c * (x - mean) + np.sqrt(1 - c**2) * (toward - mean)
+        near = (x * y).sum(axis=1, keepdims=True) >= threshold * np.linalg.norm(y, axis=1, keepdims=True)
+        low, high = np.where(near, low, c), np.where(near, c, high)
+    y = np.where((x * toward).sum(axis=1, keepdims=True) >= threshold, np.nan, y)
+    return around, y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+def settings(unit: np.ndarray, labels: list[str], base: int, threshold: float) -> tuple[np.ndarray, dict[str, Setting], Setting]:
+    """Pivots of a sample of unit vectors of one length, a setting for each label that the sample knows well, one for the others."""
+    random = np.random.default_rng(unit.shape[1])
+    names, of = np.unique(np.array(labels, dtype=object).astype(str), return_inverse=True)
+    like = unit @ unit.T
+    same = of[:, None] == of[None, :]
+    np.fill_diagonal(same, False)
+    typical = float(np.median(like[same])) if same.any() else 0.0
+    kept = _thinned(unit, max(APART, (typical + threshold) / 2) if typical < threshold else APART)
+    pivots = unit[kept]
+    # Trials: partners of every sampled vector. It and the vector that its partner leans to are no pivots of this trial.
+    other = np.array([random.choice(np.flatnonzero(same[k])) if same[k].any() else k for k in range(len(unit))])
+    means = np.stack([unit[of == k].mean(axis=0) if (of == k).sum() >= OWN else unit.mean(axis=0) for k in range(len(names))])[of]
+    place = np.full(len(unit), -1)
+    place[kept] = np.arange(len(kept))
+    made = _partners(unit, unit[other], means, threshold, random)
+
+    def masked(likeness: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        for own in (place[rows], place[other[rows]]):
+            likeness[np.flatnonzero(own >= 0), own[own >= 0]] = -2
+        return likeness
+
+    trials = []
+    for y in made:
+        rows = np.flatnonzero(~np.isnan(y).any(axis=1))
+        trials.append((rows, masked(unit[rows] @ pivots.T, rows), masked(y[rows] @ pivots.T, rows)))
+    owners = {n: np.flatnonzero(of == k) for k, n in enumerate(names) if (of == k).sum() >= OWN}
+    groups = {**owners, None: np.arange(len(unit))}
+    best: dict = {g: (1.0, ONE_LIST) for g in groups}
+    settled: set = set()
+    for count in sorted({min(w * base, len(pivots)) for w in WIDER}):
+        tops = [(rows, _top(x[:, :count], max(DEPTHS)), _top(y[:, :count], max(DEPTHS))) for rows, x, y in trials]
+        plain = _top(unit @ pivots[:count].T, max(DEPTHS))
+        for nearest in (d for d in DEPTHS if d <= count):
+            shared = [(rows, (_incidence(x[:, :nearest], count) * _incidence(y[:, :nearest], count)).sum(axis=1), x[:, 0] == y[:, 0]) for rows, x, y in tops]
+            held = _incidence(plain[:, :nearest], count)
+            for group, members in groups.items():
+                if group in settled:
+                    continue
+                mine = held[members]
+                work = float(np.where(plain[members, None, 0] == plain[None, members, 0], 1, mine @ mine.T).mean())
+                for need in (SHARED, 1):
+                    if work >= best[group][0]:
+                        continue
+                    shares = [((n >= need) | first)[inside] for rows, n, first in shared if (inside := np.isin(rows, members)).any()]
+                    if shares and min(s.mean() for s in shares) >= RECALL:
+                        best[group] = (work, Setting(count, nearest, need))
+                        if (nearest, need) == (NEAREST, SHARED):
+                            settled.add(group)
+    return pivots, {g: s for g, (_, s) in best.items() if g is not None}, best[None][1]
+
+
+def describe(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """classes(cid, label, v, n) -> cid, label, dim, n, first, pivots (in order of nearness), need (pivots that a pair has to
+    share), raw (float64 bytes)."""
+    base = min(SAMPLE, max(64, math.ceil(2 * math.sqrt(classes.count()))))
     by_dim: dict[int, list] = {}
-    for r in classes.orderBy(F.xxhash64("cid"), "cid").limit(count).select("v").collect():  # the bounded sample of pivots
-        by_dim.setdefault(len(r["v"]), []).append(r["v"])
-    shared = classes.sparkSession.sparkContext.broadcast({d: _thinned(_unit(np.array(rows, dtype=np.float64))) for d, rows in by_dim.items()})
+    for r in classes.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("label", "v").collect():  # the bounded sample
+        by_dim.setdefault(len(r["v"]), []).append(r)
+    made = {d: settings(_unit(np.array([r["v"] for r in rows], dtype=np.float64)), [r["label"] for r in rows], base, threshold) for d, rows in by_dim.items()}
+    shared = classes.sparkSession.sparkContext.broadcast(made)  # SAMPLE vectors at most
 
     def run(batches: object) -> object:
-        made = dict(shared.value)
+        known = shared.value
         for batch in batches:
             lengths = pa.compute.list_value_length(batch.column("v")).to_numpy()
-            for dim in np.unique(lengths).tolist():
-                part = batch.take(pa.array(np.flatnonzero(lengths == dim)))
+            names = np.array(batch.column("label").to_pylist(), dtype=object)
+            for dim, name in sorted(set(zip(lengths.tolist(), names.tolist(), strict=True))):
+                part = batch.take(pa.array(np.flatnonzero((lengths == dim) & (names == name))))
                 m = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                pivots = made.get(dim)
-                top = nearest_pivots(_unit(m), _directions(dim) if pivots is None else pivots)
+                pivots, own, rest = known[dim] if dim in known else (_directions(dim), {}, Setting(BY_RULE, NEAREST, SHARED))
+                setting = own.get(name, rest)
+                top = nearest_pivots(_unit(m), pivots[: setting.pivots], setting.nearest) if setting.pivots else np.zeros((len(m), 1), dtype=np.int32)
+                number = lambda k: pa.array(np.full(len(m), k, dtype=np.int32))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("cid"), part.column("label"), pa.array(np.full(len(m), dim, dtype=np.int32)), part.column("n"), pa.array(top[:, 0]), pa.array(top.tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in m], pa.binary())],
-                    names=["cid", "label", "dim", "n", "first", "pivots", "raw"],
+                    [part.column("cid"), part.column("label"), number(dim), part.column("n"), pa.array(top[:, 0]), pa.array(top.tolist(), pa.list_(pa.int32())), number(setting.shared), pa.array([r.tobytes() for r in m], pa.binary())],
+                    names=["cid", "label", "dim", "n", "first", "pivots", "need", "raw"],
                 )
 
-    return classes.select("cid", "label", "v", "n").mapInArrow(run, "cid long, label string, dim int, n long, first int, pivots array<int>, raw binary")
+    return classes.select("cid", "label", "v", "n").mapInArrow(run, "cid long, label string, dim int, n long, first int, pivots array<int>, need int, raw binary")
 
 
 LIST = ["label", "dim", "pivot"]
@@ -119,7 +230,7 @@ def units(index: DataFrame) -> DataFrame:
     elsewhere = F.col("alone") & (F.col("first") != F.col("pivot"))  # its own kind is judged in the first pivot's list
     others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda k: ~elsewhere | (k < F.col("low")) | (k >= F.col("high")))
     pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("b")).alias("i"), F.greatest(k, F.col("b")).alias("j"), (F.col("b") > k).cast("int").alias("side")))
-    return dealt.withColumn("unit", F.explode(pairs)).select(*LIST, "unit.i", "unit.j", "unit.side", "cid", "n", "first", "pivots", "raw")
+    return dealt.withColumn("unit", F.explode(pairs)).select(*LIST, "unit.i", "unit.j", "unit.side", "cid", "n", "first", "pivots", "need", "raw")
 
 
 def _stars(linked: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> list[tuple[int, int]]:
@@ -140,13 +251,6 @@ def _stars(linked: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> list[tuple
     return out
 
 
-def _incidence(pivots: list, names: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(pivots), len(names)), dtype=np.float32)
-    for k, p in enumerate(pivots):
-        out[k, np.searchsorted(names, p)] = 1
-    return out
-
-
 def judge(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links between the two sides of a unit: rows (u, null, n) count a class's linked vectors, rows (u, v, null) connect."""
     pivot, same = int(pdf["pivot"].iat[0]), bool((pdf["i"] == pdf["j"]).iat[0])
@@ -156,11 +260,11 @@ def judge(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         return empty
     # Retrieval: pivots that both sides' classes share, counted by a product of their incidences.
     names = np.unique(np.concatenate(list(pdf["pivots"])))
-    a, b = _incidence(list(left["pivots"]), names), _incidence(list(right["pivots"]), names)
+    a, b = (_incidence([np.searchsorted(names, p) for p in side["pivots"]], len(names)) for side in (left, right))
     lower = names < pivot
     first_a, first_b = left["first"].to_numpy(), right["first"].to_numpy()
     alike = first_a[:, None] == first_b[None, :]
-    found = np.where(alike, (first_a == pivot)[:, None], (a @ b.T >= SHARED) & (a[:, lower] @ b[:, lower].T == 0))
+    found = np.where(alike, (first_a == pivot)[:, None], (a @ b.T >= int(pdf["need"].iat[0])) & (a[:, lower] @ b[:, lower].T == 0))
     if same:
         np.fill_diagonal(found, False)
     if not found.any():
@@ -184,7 +288,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     key = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit("second"), "v").alias("k2")]
     classes = v.filter(sound).groupBy("label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "label", *key, "least", "n", "v"), "classes")
-    index = materialize(describe(classes), "pivots")
+    index = materialize(describe(classes, threshold), "pivots")
     found = materialize(units(index).groupBy(*LIST, "i", "j").applyInPandas(lambda pdf: judge(pdf, threshold), "u long, v long, n long"), "links")
     counts = found.filter("n is not null").groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("links"))
     groups = components(found.filter("v is not null").select("u", "v")).select(F.col("vertex").alias("cid"), "component")
