@@ -235,3 +235,31 @@ def test_many_words_in_one_pass(spark):
         got = d.select(R.filter_rule(F.col("source"), F.col("raw_line"), rules, rules).alias("a"), R.first_rule(F.lower("raw_line"), rules).alias("b"), "source").collect()
         assert [r["a"] for r in got] == want and [r["b"] for r in got if r["source"] != "syslog"] == [w for w, (s, _) in zip(want, rows, strict=True) if s != "syslog"]
     assert [r[0] for r in d.limit(3).select(R.first_rule(F.col("raw_line"), {"all": [""]})).collect()] == [None, "all", "all"]
+
+
+def test_rings_stacks_and_gaps_of_a_hot_stream(spark):
+    """A stream with nine tenths of the rows, one without a name, rows without a value or a time, and gaps in the ids."""
+    rng = random.Random(3)
+    ids = sorted(rng.sample(range(40_000), 6_000))
+    rows = [(i, rng.choices(["hot", "cold", None], [90, 8, 2])[0], None if rng.random() < 0.02 else T0 + timedelta(seconds=i * 7 % 1000), None if rng.random() < 0.05 else [float(i % 9), float(i % 4)], "x") for i in ids]
+    d = spark.createDataFrame(rows, "id long, stream string, timestamp timestamp_ntz, row array<float>, seg string").repartition(5)
+    values, before, rings, stacks, gaps = {}, {}, {}, {}, {}
+    for i, stream, time, value, _ in rows:
+        kept = values.setdefault(stream, [])
+        kept.append(value)
+        held = [v for v in kept[-50:] if v is not None]
+        rings[i] = held + [[0.0, 0.0]] * (50 - len(held))
+        held = [v for v in kept[-4:] if v is not None]
+        stacks[i] = [0.0] * (8 - 2 * len(held)) + [x for v in held for x in v]
+        last = before.get(stream)
+        gaps[i] = (time - last).total_seconds() if time and last else 0.0
+        before[stream] = time
+    got = W.ring(d, "row", 2, 50, "stream", width=1000)
+    assert {r["id"]: r["ring"] for r in got.collect()} == rings
+    assert {r["id"]: r["stack"] for r in W.window_stack(d.withColumn("row", F.col("row").cast("array<double>")), "row", 2, 4, "stream", width=1000).collect()} == stacks
+    assert {r["id"]: r["dt_seconds"] for r in W.with_gap(d, "stream", width=1000).collect()} == gaps
+    assert got.columns == [*d.columns, "ring"] and W.with_gap(d, "stream").columns == [*d.columns, "dt_seconds"]
+    for made in (got, W.with_gap(d, "stream")):
+        windows = [line for line in plan_of(made).splitlines() if "Window [" in line]
+        assert windows and all("_seg#" in line or "_p#" in line for line in windows)
+    assert W.ring(d.limit(0), "row", 2, 50, "stream").count() == W.with_gap(d.limit(0), "stream").count() == 0

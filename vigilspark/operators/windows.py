@@ -80,10 +80,11 @@ def in_sequence(rows: DataFrame, *order: str, out: str = "id") -> DataFrame:
     return dealt.drop(out).withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(out, place).drop("_part", "_before", "_at")
 
 
-def with_gap(events: DataFrame, *keys: str, out: str = "dt_seconds") -> DataFrame:
-    """Seconds since the row before in the keys' stream; 0 for the first."""
-    w = Window.partitionBy(*keys).orderBy("id")
-    return events.withColumn(out, F.coalesce(seconds_between(F.lag("timestamp").over(w), F.col("timestamp")), F.lit(0.0)))
+def with_gap(events: DataFrame, *keys: str, out: str = "dt_seconds", width: int = WIDTH) -> DataFrame:
+    """Seconds since the row before in the keys' stream, which is looked up over ranges of ids; 0 for the first, and next to a
+    row without a time."""
+    d = latest_before(events.withColumn("_time", F.struct("timestamp")), list(keys), "_time", "_before", width=width)
+    return d.withColumn(out, F.coalesce(seconds_between(F.col("_before.timestamp"), F.col("timestamp")), F.lit(0.0))).drop("_time", "_before")
 
 
 def _in_order(rows: str) -> Column:
@@ -129,12 +130,22 @@ def text_tail(events: DataFrame, lines: int = 500, chars: int = 50_000, stream:
     return each.withColumn("tail", F.when(F.col("_plain") | (F.octet_length("tail") <= chars), F.col("tail")).otherwise(F.right("tail", F.lit(chars)))).drop("_plain")
 
 
-def ring(events: DataFrame, row: str, columns: int, rows: int = 50, *keys: str) -> DataFrame:
+def _with_last(events: DataFrame, value: str, n: int, keys: list[str], width: int) -> DataFrame:
+    """_kept: the last n values (not null) of the keys' stream as of each row. Rows are numbered in their stream and dealt into
+    segments of that order; the last n - 1 rows of a segment also go to the next one, so no task holds a stream."""
+    size = max(4 * n, 1024)
+    d = running_sums(events, keys, {"_q": F.lit(1).cast("long")}, width=width)
+    seg, at = F.floor((F.col("_q") - 1) / size), F.pmod(F.col("_q") - 1, F.lit(size))
+    to = lambda k, own: F.struct((seg + k).alias("_seg"), F.lit(own).alias("_own"))
+    dealt = d.withColumn("_to", F.explode(F.when(at > size - n, F.array(to(0, True), to(1, False))).otherwise(F.array(to(0, True))))).select("*", "_to.*")
+    w = Window.partitionBy(*keys, "_seg").orderBy("_q").rowsBetween(-(n - 1), 0)
+    return dealt.withColumn("_kept", F.collect_list(value).over(w)).filter("_own").select(*events.columns, "_kept")
+
+
+def ring(events: DataFrame, row: str, columns: int, rows: int = 50, *keys: str, width: int = WIDTH) -> DataFrame:
     """Snapshot of the last rows (arrays of numbers), oldest first, zeros at the end until full."""
-    w = Window.partitionBy(*keys).orderBy("id").rowsBetween(-(rows - 1), 0)
-    kept = F.collect_list(row).over(w)
     zero = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), columns), rows - F.size("_kept"))
-    return events.withColumn("_kept", kept).withColumn("ring", F.concat("_kept", zero)).drop("_kept")
+    return _with_last(events, row, rows, list(keys), width).withColumn("ring", F.concat("_kept", zero)).drop("_kept")
 
 
 def observations(events: DataFrame, lines: int = 500, chars: int = 50_000, row: str | None = None, rows: int = 50, stream: str = "stream_id", width: int = WIDTH, size: int = 4096) -> DataFrame:
@@ -178,11 +189,10 @@ def observations(events: DataFrame, lines: int = 500, chars: int = 50_000, row:
     return each.select(*[F.col(c) if c == stream else F.col(f"_r.{c}") for c in [*events.columns, "channel"]], *out)
 
 
-def window_stack(events: DataFrame, row: str, columns: int, size: int, *keys: str) -> DataFrame:
+def window_stack(events: DataFrame, row: str, columns: int, size: int, *keys: str, width: int = WIDTH) -> DataFrame:
     """The last size observations flattened, zeros in front until there are enough."""
-    w = Window.partitionBy(*keys).orderBy("id").rowsBetween(-(size - 1), 0)
     zero = F.array_repeat(F.lit(0.0).cast("double"), columns * (size - F.size("_kept")))
-    return events.withColumn("_kept", F.collect_list(row).over(w)).withColumn("stack", F.concat(zero, F.flatten("_kept"))).drop("_kept")
+    return _with_last(events, row, size, list(keys), width).withColumn("stack", F.concat(zero, F.flatten("_kept"))).drop("_kept")
 
 
 def decaying_trace(events: DataFrame, row: str, gap: str = "dt_seconds", decay: float = 0.95, stream: str = "stream_id", width: int = 1 << 16) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigilspark import domains as D
 from vigilspark.adapter import CAMPAIGN_SQL, campaigns, event_sql, event_view
 from vigilspark.functions import encode as E
+from vigilspark.functions.sql_parsers import register_parsers
 from vigilspark.operators import parse as P
 from vigilspark.operators import prepare as R
 from vigilspark.operators import validate as V
@@ -226,12 +227,22 @@ def parse_syslog(ev):
     return ev.filter("source = 'syslog'").withColumn("h", h).select("id", P.syslog_event(F.col("h")).alias("event_type"), F.floor(us("h.ts") / 1000000).alias("ts_s"))
 
 
-@register(r"""select id, ts_us // 1000000 as ts_s, case when id % 4 = 0 then 'user' || user_id end as username, regexp_extract(raw_line, 'GET (\S+)', 1) as path, cast(regexp_extract(raw_line, '" (\d{3}) ', 1) as int) as status, cast(id % 5000 as int) as size, regexp_extract(raw_line, '"([^"]*)"$', 1) as user_agent, case when regexp_extract(raw_line, '" (\d{3}) ', 1) >= '400' then 'http_error' else 'http_request' end as event_type from ev where source = 'web_access'""")
+_WEB_ACCESS_SQL = r"""select id, ts_us // 1000000 as ts_s, case when id % 4 = 0 then 'user' || user_id end as username, regexp_extract(raw_line, 'GET (\S+)', 1) as path, cast(regexp_extract(raw_line, '" (\d{3}) ', 1) as int) as status, cast(id % 5000 as int) as size, regexp_extract(raw_line, '"([^"]*)"$', 1) as user_agent, case when regexp_extract(raw_line, '" (\d{3}) ', 1) >= '400' then 'http_error' else 'http_request' end as event_type from ev where source = 'web_access'"""
+
+
+@register(_WEB_ACCESS_SQL)
 def parse_web_access(ev):
     d = ev.filter("source = 'web_access'").withColumn("w", P.web_access(F.col("raw_line")))
     return d.select("id", F.floor(us("w.ts") / 1000000).alias("ts_s"), "w.username", "w.path", "w.status", "w.size", "w.user_agent", "w.event_type")
 
 
+@register(_WEB_ACCESS_SQL)
+def sql_parse_web_access(ev):
+    register_parsers(ev.sparkSession)
+    lines = "select id, parse_web_access(raw_line) as w from {ev} where source = 'web_access'"
+    return ev.sparkSession.sql(f"select id, floor(timestampdiff(microsecond, timestamp_ntz'1970-01-01 00:00:00', w.ts) / 1000000) as ts_s, w.username, w.path, w.status, w.size, w.user_agent, w.event_type from ({lines}) where w is not null", ev=ev)
+
+
 @register(r"""select id, ts_us // 1000000 as ts_s, 'core' as module, 'error' as level, cast(user_id % 900 + 100 as int) as pid, nullif(regexp_extract(raw_line, 'client ([\d.]+):', 1), '') as src_ip, regexp_extract(raw_line, '(File does.*)$', 1) as message from ev where source = 'web_error'""")
 def parse_web_error(ev):
     d = ev.filter("source = 'web_error'").withColumn("w", P.web_error(F.col("raw_line")))
