@@ -1,5 +1,6 @@
 """Composed stores, interval labels, process depth, rings and running figures that no task holds whole."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -12,6 +13,7 @@ from vigilspark.functions import encode as E
 from vigilspark.operators import prepare as R
 from vigilspark.operators import windows as W
 from vigilspark.plans import compose as C
+from vigilspark.plans.campaign import campaign_errors
 from vigilspark.sources.store import EVENT_SCHEMA, EventStore, attack_pools, page
 
 T0 = datetime(2026, 1, 1)
@@ -263,3 +265,40 @@ def test_rings_stacks_and_gaps_of_a_hot_stream(spark):
         windows = [line for line in plan_of(made).splitlines() if "Window [" in line]
         assert windows and all("_seg#" in line or "_p#" in line for line in windows)
     assert W.ring(d.limit(0), "row", 2, 50, "stream").count() == W.with_gap(d.limit(0), "stream").count() == 0
+
+
+def test_decoded_fields(spark):
+    texts = ['{"a": 1, "b": "x", "c": null, "d": {"e": [1]}}', "{}", "", None, "{'a': 1}", '{"a": 1', '{"a": 1} x', '{"a": 1} {"b": 2}', '{"a": 1}, {"b": 2}', "[1]", "7", '{"a": 1, "a": 2}']
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", E.decoded(F.col("t")).alias("f")).orderBy("k").select("f").collect()]
+    assert got == [{"a": "1", "b": "x", "c": None, "d": '{"e":[1]}'}, *[{}] * (len(texts) - 1)]
+
+
+PHASE = {"name": "p", "module": "m", "mitre_technique": "T1", "mitre_tactic": "t", "attack_type": "brute_force", "attack_stage": "initial_access", "severity": 2, "ip_source": {"strategy": "aliased", "count": 1, "subnet": "10.0.0.0/24"}, "timing": {"duration_seconds": 60}}
+
+
+@pytest.mark.parametrize(
+    ("change", "wrong"),
+    [
+        ({}, []),
+        ({"attack_type": "x"}, ["unknown attack_type: 'x'"]),
+        ({"attack_stage": "x"}, ["unknown attack_stage: 'x'"]),
+        ({"severity": 4}, ["severity must be between 0 and 3"]),
+        ({"severity": "high"}, ["severity must be between 0 and 3"]),
+        ({"ip_source": {"strategy": "x", "count": 0}}, ["missing key: subnet", "unknown strategy: 'x'", "count must be 1 or more"]),
+        ({"ip_source": 3, "timing": 4}, ["ip_source must be a mapping", "timing must be a mapping"]),
+        ({"timing": {"profile": "x"}}, ["missing key: duration_seconds", "unknown profile: 'x'"]),
+        ({"timing": {"duration_seconds": 1, "profile": "accelerating"}}, []),
+        ({"timing": {"duration_seconds": 1, "profile": "custom"}}, ["no profile 'custom' without phases; there are ['accelerating', 'constant', 'decelerating']"]),
+        ({"timing": {"duration_seconds": 1, "profile": "custom", "profile_params": {"phases": [{"label": "a", "fraction": 2, "jitter_ms": [5, 1]}, {"label": "b"}]}}}, ["segment 0: fraction must be above 0 and at most 1", "segment 0: jitter_ms must be a low and a high number", "segment 1: missing key: fraction", "segment 1: missing key: jitter_ms"]),
+        ({"timing": {"duration_seconds": 1, "profile": "custom", "profile_params": {"phases": [{"label": "a", "fraction": 0.5, "jitter_ms": [1, 5]}]}}}, ["the segments' shares must add up to 1"]),
+    ],
+)
+def test_campaign_phases(change, wrong):
+    text = json.dumps({"campaign": {"name": "a", "target": {"host": "h"}, "phases": [PHASE | change], "collection": {"log_sources": [{"name": "l", "remote_path": "/x"}]}}})
+    assert campaign_errors(text) == [f"phase 0: {e}" for e in wrong]
+
+
+def test_campaign_files_with_missing_parts():
+    phase = {k: v for k, v in PHASE.items() if k not in ("severity", "timing")}
+    text = json.dumps({"campaign": {"name": "a", "target": {"host": "h"}, "phases": [phase, 3], "collection": {"log_sources": [{}]}}})
+    assert campaign_errors(text) == ["phase 0: missing key: severity", "phase 0: missing key: timing", "phase 1: must be a mapping", "log source 0: missing key: name", "log source 0: remote_path or remote_command is needed"]

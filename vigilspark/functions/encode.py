@@ -20,6 +20,15 @@ def mapped(key: Column, values: dict[str, object], default: object) -> Column:
     return out
 
 
+def decoded(parsed: Column) -> Column:
+    """The fields of a JSON object as texts; no fields for null, bad text, repeated keys or JSON that is no object."""
+    # A parser stops behind the first value, so that what follows shows only inside brackets.
+    alone = F.concat(F.lit("["), parsed, F.lit("]"))
+    sound = F.is_valid_utf8(parsed) & F.rlike(parsed, F.lit(r"\}\s*$")) & F.try_parse_json(alone).isNotNull() & (F.json_array_length(alone) == 1)
+    fields = F.from_json(F.when(sound, parsed), "map<string,string>")
+    return F.coalesce(fields, F.create_map().cast("map<string,string>"))
+
+
 def channel(source: Column) -> Column:
     return mapped(source, D.CHANNEL_OF_SOURCE, "syslog")
 
