@@ -7,7 +7,8 @@ between the classes; an L2-regularised hinge-loss model is fitted to the scaled
 into scores by a logistic curve fitted to them.
 
 Learned from at most TRAIN_ROWS labelled rows, the first by a hash of the id (the stated bound). Only indices of
-indicators come to the driver, at most TRAIN_ROWS x FEATURES bits.
+indicators come to the driver, 4 bytes for each indicator that a row holds: at most TRAIN_ROWS x FEATURES x 4 bytes, which rows
+of very many different indicators approach and ordinary texts don't.
 
 Defined results: null texts count as empty; empty texts get the model's bias score; without labels of both classes
 every score is the share of class 1 (0.5 without any); repeated rows each give a row, repeated equal rows of the sample count as
