@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vigilspark import queries as Q
 from vigilspark.functions import encode as E
 from vigilspark.operators import prepare as R
 from vigilspark.operators import windows as W
@@ -102,6 +103,19 @@ def test_interval_labels_against_plain_loops(spark):
     assert none.filter("is_malicious = 0 and severity = 0 and attack_type is null").count() == 600
 
 
+def test_interval_labels_of_many_users(spark, tmp_path):
+    """Phases take every second and every third user, beyond the first 150 and beyond one number of the address."""
+    made = spark.range(6000).selectExpr("id as event_id", "timestamp_ntz'2024-01-02 00:00:00' + make_dt_interval(0, 0, cast(2 * id as int), 0) as ts", "id * 31 % 1500 as user_id", "'view' as event_type", "1.0D as value", "'{}' as props")
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    want, d = {}, datetime(2024, 1, 2)
+    for k in range(6000):
+        t, user = d + timedelta(minutes=2 * k), k * 31 % 1500
+        first = datetime(2024, 1, 3) <= t <= datetime(2024, 1, 5, 12) and (k % 11 == 0 or user % 2 == 0)
+        second = datetime(2024, 1, 5) <= t <= datetime(2024, 1, 9) and (k % 11 == 0 or user % 3 == 0)
+        want[k] = (1, "brute_force", "initial_access", 2) if first else (1, "web_exploit", "execution", 1) if second else (0, None, None, 0)
+    assert {r["id"]: tuple(r)[1:] for r in Q.queries()["label_interval_join"](spark, str(tmp_path)).collect()} == want
+
+
 def test_a_million_windows(spark):
     """Window k lasts a minute from minute k of the timeline, for address k % 100."""
     minute = lambda c: F.expr(f"timestamp_ntz'2020-01-01' + make_dt_interval(0, 0, {c}, 0)")

@@ -121,10 +121,11 @@ def scrub_counts(events: DataFrame, config: ScrubConfig) -> DataFrame:
     return counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"c{k}").alias("n")) for k, (n, _) in enumerate(hits)])).alias("r")).select("r.*")
 
 
-def label_by_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
+def label_by_windows(events: DataFrame, windows: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
     """Label rows by closed time windows and address sets (windows: idx, start_time, end_time, source_ips, attack_type,
     attack_stage, severity); the first window that fits counts, a row without address fits by time alone. Any number of
-    windows; events have to be a deterministic scan, which is read twice.
+    windows; events have to be a deterministic scan, which is read twice. Sets too large for an array, or found in a table,
+    come as addresses (idx, src_ip), beside those in source_ips.
 
     A window's level is the binary order of its length in seconds, and time is cut into bins as long as that, so that a
     window lies in two bins at most. Windows are dealt by level, bin and each of their addresses, and once more for rows
@@ -133,11 +134,14 @@ def label_by_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
     w = windows.select("idx", us("start_time").alias("_low"), us("end_time").alias("_high"), "source_ips").filter("_low <= _high")
     w = w.withColumn("_level", F.ceil(F.log2((F.col("_high") - F.col("_low")) / 1e6 + 1)).cast("int"))
     bin_of = lambda t: F.floor(t / (F.pow(F.lit(2.0), F.col("_level")) * 1e6))
-    addresses = F.filter(F.array_distinct(F.coalesce("source_ips", F.array().cast("array<string>"))), lambda x: x.isNotNull())
-    named = F.transform(addresses, lambda a: F.struct(F.lit(False).alias("any"), a.alias("ip")))
-    dealt = w.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(F.col("_low")), bin_of(F.col("_high"))))))
-    dealt = dealt.select("idx", "_low", "_high", "_level", "_bin", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("any"), F.lit("").alias("ip"))), named)).alias("_to"))
+    listed = F.filter(F.array_distinct(F.coalesce("source_ips", F.array().cast("array<string>"))), lambda x: x.isNotNull())
+    named = F.transform(listed, lambda a: F.struct(F.lit(False).alias("any"), a.alias("ip")))
+    binned = w.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(F.col("_low")), bin_of(F.col("_high"))))))
+    dealt = binned.select("idx", "_low", "_high", "_level", "_bin", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("any"), F.lit("").alias("ip"))), named)).alias("_to"))
     dealt = dealt.select("idx", "_low", "_high", "_level", "_bin", F.col("_to.any").alias("_any"), F.col("_to.ip").alias("_ip"))
+    if addresses is not None:
+        more = binned.join(addresses.filter("src_ip is not null").select("idx", F.col("src_ip").alias("_ip")), "idx")
+        dealt = dealt.unionByName(more.select("idx", "_low", "_high", "_level", "_bin", F.lit(False).alias("_any"), "_ip"))
     levels = [r["_level"] for r in w.select("_level").distinct().collect()]  # 64 rows at most
     rows = events.withColumn("_row", F.monotonically_increasing_id())
     asks = rows.select("_row", us("timestamp").alias("_us"), F.col("src_ip").isNull().alias("_any"), F.coalesce("src_ip", F.lit("")).alias("_ip"))

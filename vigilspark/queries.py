@@ -337,7 +337,7 @@ def literal_scrub(ev):
 
 
 def _phases(spark: SparkSession) -> DataFrame:
-    rows = [(0, "2024-01-03 00:00:00", "2024-01-05 12:00:00", [f"10.0.0.{k}" for k in range(0, 150, 2)], "brute_force", "initial_access", 2), (1, "2024-01-05 00:00:00", "2024-01-09 00:00:00", [f"10.0.0.{k}" for k in range(0, 150, 3)], "web_exploit", "execution", 1)]
+    rows = [(0, "2024-01-03 00:00:00", "2024-01-05 12:00:00", [], "brute_force", "initial_access", 2), (1, "2024-01-05 00:00:00", "2024-01-09 00:00:00", [], "web_exploit", "execution", 1)]
     return spark.createDataFrame(rows, "idx int, s string, e string, source_ips array<string>, attack_type string, attack_stage string, severity int").selectExpr("idx", "cast(s as timestamp_ntz) as start_time", "cast(e as timestamp_ntz) as end_time", "source_ips", "attack_type", "attack_stage", "severity")
 
 
@@ -346,7 +346,10 @@ _PHASE = """case when timestamp between '2024-01-03' and '2024-01-05 12:00:00' a
 
 @register(f"with p as (select id, {_PHASE} as p from ev) select id, case when p is null then 0 else 1 end as is_malicious, case p when 0 then 'brute_force' when 1 then 'web_exploit' end as attack_type, case p when 0 then 'initial_access' when 1 then 'execution' end as attack_stage, case p when 0 then 2 when 1 then 1 else 0 end as severity from p")
 def label_interval_join(ev):
-    return R.label_by_windows(ev, _phases(ev.sparkSession)).select("id", "is_malicious", "attack_type", "attack_stage", "severity")
+    """Phases of every second and every third user's address, however many users the table has."""
+    users = ev.filter("src_ip is not null").select("user_id", "src_ip").distinct()
+    addresses = users.filter("user_id % 2 = 0").select(F.lit(0).alias("idx"), "src_ip").unionByName(users.filter("user_id % 3 = 0").select(F.lit(1).alias("idx"), "src_ip"))
+    return R.label_by_windows(ev, _phases(ev.sparkSession), addresses).select("id", "is_malicious", "attack_type", "attack_stage", "severity")
 
 
 @register("select e.id, case when a.timestamp is not null and e.is_malicious = 1 then greatest(e.severity, 3) else e.severity end as severity from ev e left join (select distinct timestamp from ev where user_id % 4 = 0) a using (timestamp)")
