@@ -203,6 +203,13 @@ def test_tails_and_observations_by_ranges(spark, width, size):
     assert set(W.text_tail(d).columns) == {*d.columns, "channel", "tail"}
 
 
+def test_observations_join_lines_once_for_a_range(spark, ev):
+    """No row joins its own lines or counts characters of plain text: both grow with rows times the tail's length."""
+    plan = plan_of(W.observations(ev.select("id", "stream_id", "source", "raw_line")))
+    above, below = plan.split("Generate explode(_rows", 1)
+    assert "array_join" not in above and "array_join" in below
+
+
 def plain_murmur3(raw, h):
     turned = lambda x, n: (x << n | x >> 32 - n) % 2**32
     mixed = lambda k: turned(k * 0xCC9E2D51 % 2**32, 15) * 0x1B873593 % 2**32

@@ -97,12 +97,40 @@ def _last(values: Column, place: Column, n: int) -> Column:
     return F.slice(values, F.greatest(place - n + 1, F.lit(1)).cast("int"), F.greatest(F.least(place, F.lit(n)), F.lit(0)).cast("int"))
 
 
-def _tail(values: Column, place: Column, lines: int, chars: int) -> Column:
-    return F.right(F.array_join(_last(values, place, lines), "\n"), F.lit(chars))
+def _taken() -> Column:
+    """Bytes of a line with its end; null lines take none."""
+    return F.coalesce(F.octet_length("raw_line") + 1, F.lit(0)).cast("long")
 
 
-def text_tail(events: DataFrame, lines: int = 500, chars: int = 50_000, stream: str = "stream_id", width: int = WIDTH) -> DataFrame:
-    """The last lines of the row's channel as of the row, joined, the last chars of them.
+def _text(entries: str) -> tuple[Column, Column, Column]:
+    """The bytes of the entries' lines (structs with line and b, the bytes as of the line), where each of these ends, and
+    the bytes before the first of them."""
+    first = F.get(entries, F.lit(0))
+    zero = F.coalesce(first["b"] - F.coalesce(F.octet_length(first["line"]) + 1, F.lit(0)), F.lit(0))
+    return F.array_join(F.col(f"{entries}.line"), "\n"), F.col(f"{entries}.b"), zero
+
+
+def _plain(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
+def _cut(text: str, plain: str, ends: str, zero: str, at: Column, b: Column, lines: int, chars: int) -> Column:
+    """What the last lines up to the one at the place (from 0; below: none) take of the text's bytes; b: bytes as of it."""
+    end = b - F.col(zero) - 1  # without the end of the last line
+    start = F.coalesce(F.get(ends, (at - lines).cast("int")), F.col(zero)) - F.col(zero)
+    start = F.when(F.col(plain), F.greatest(start, end - chars)).otherwise(start)  # a character is a byte there
+    return F.substring(text, (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int")).cast("string")
+
+
+def _shortened(tail: str, plain: str, chars: int) -> Column:
+    """The last chars of what _cut() gives. Characters are counted only where they may differ from bytes: a count goes
+    through the whole text, as slowly as three digests of it."""
+    return F.when(F.col(plain) | (F.octet_length(tail) <= chars), F.col(tail)).otherwise(F.right(tail, F.lit(chars)))
+
+
+def text_tail(events: DataFrame, lines: int = 500, chars: int = 50_000, stream: str = "stream_id", width: int = WIDTH, count: str | None = None) -> DataFrame:
+    """The last lines of the row's channel as of the row, joined, the last chars of them; with count, a column of this name
+    for the tail's number of characters.
 
     Rows are numbered in their stream and channel and dealt into segments of that order; the last lines - 1 rows of a
     segment also go to the next one. A segment's lines are one text, of which each row reads the bytes from the end of the
@@ -110,24 +138,23 @@ def text_tail(events: DataFrame, lines: int = 500, chars: int = 50_000, stream:
     size = max(4 * lines, 1024)
     d = materialize(events.withColumn("channel", channel(F.col("source"))).withColumn("_row", F.monotonically_increasing_id()), "tails")
     keys = [stream, "channel"]
-    taken = F.coalesce(F.octet_length("raw_line") + 1, F.lit(0)).cast("long")  # with the line's end; null lines take nothing
-    d = running_sums(d, keys, {"_q": F.lit(1).cast("long"), "_b": taken}, ("id", "_row"), width)
+    d = running_sums(d, keys, {"_q": F.lit(1).cast("long"), "_b": _taken()}, ("id", "_row"), width)
     seg, at = F.floor((F.col("_q") - 1) / size), F.pmod(F.col("_q") - 1, F.lit(size))
     to = lambda k, own: F.struct((seg + k).alias("seg"), F.lit(own).alias("own"))
     payload = F.struct(*[c for c in d.columns if c not in (*keys, "_q", "_b", "_row", "raw_line")]).alias("rest")
     dealt = d.withColumn("_to", F.explode(F.when(at > size - lines, F.array(to(0, True), to(1, False))).otherwise(F.array(to(0, True)))))
     one = F.struct(F.col("_q").alias("q"), F.col("_b").alias("b"), F.col("_to.own").alias("own"), F.col("raw_line").alias("line"), F.when(F.col("_to.own"), payload).alias("rest"))
     held = dealt.groupBy(*keys, F.col("_to.seg").alias("_seg")).agg(F.collect_list(one).alias("_rows")).withColumn("_rows", _in_order("_rows"))
-    first = F.get("_rows", F.lit(0))
-    held = held.select(*keys, "_rows", F.array_join("_rows.line", "\n").alias("_text"), F.col("_rows.b").alias("_ends"), (first["b"] - F.coalesce(F.octet_length(first["line"]) + 1, F.lit(0))).alias("_zero"))
-    held = held.select(*keys, "_rows", "_ends", "_zero", (F.length("_text") == F.octet_length("_text")).alias("_plain"), F.col("_text").cast("binary").alias("_bytes"))
+    text, ends, zero = _text("_rows")
+    held = held.select(*keys, "_rows", text.alias("_text"), ends.alias("_ends"), zero.alias("_zero"))
+    held = held.select(*keys, "_rows", "_ends", "_zero", _plain(F.col("_text")).alias("_plain"), F.col("_text").cast("binary").alias("_bytes"))
     each = held.select(*keys, "_ends", "_zero", "_plain", "_bytes", F.posexplode("_rows").alias("_at", "_r")).filter("_r.own")
-    end = F.col("_r.b") - F.col("_zero") - 1  # without the end of the last line
-    start = F.coalesce(F.get("_ends", F.col("_at") - lines), F.col("_zero")) - F.col("_zero")
-    start = F.when(F.col("_plain"), F.greatest(start, end - chars)).otherwise(start)  # a character is a byte there
-    cut = F.substring("_bytes", (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int")).cast("string")
+    cut = _cut("_bytes", "_plain", "_ends", "_zero", F.col("_at"), F.col("_r.b"), lines, chars)
     each = each.select(*[F.col(c) if c in keys else F.col("_r.line").alias(c) if c == "raw_line" else F.col(f"_r.rest.{c}") for c in [*events.columns, "channel"]], "_plain", cut.alias("tail"))
-    return each.withColumn("tail", F.when(F.col("_plain") | (F.octet_length("tail") <= chars), F.col("tail")).otherwise(F.right("tail", F.lit(chars)))).drop("_plain")
+    each = each.withColumn("tail", _shortened("tail", "_plain", chars))
+    if count:
+        each = each.withColumn(count, F.when(F.col("_plain"), F.octet_length("tail")).otherwise(F.length("tail")))
+    return each.drop("_plain")
 
 
 def _with_last(events: DataFrame, value: str, n: int, keys: list[str], width: int) -> DataFrame:
@@ -154,17 +181,20 @@ def observations(events: DataFrame, lines: int = 500, chars: int = 50_000, row:
 
     Rows know how many of each channel their stream has had so far. A stream is cut into ranges of size rows; each range
     also gets the rows of each channel that stand before it and that its first rows can still see, found by their number.
-    A range keeps an array for each channel, of which each row reads the part that ends at its count."""
+    A range keeps one text for each channel, of which each row reads the bytes up to the last line that it counts, and for
+    rings an array."""
     rings = KERNEL_COLUMNS if row is not None else {}
     channels = list(dict.fromkeys(CHANNEL_OF_SOURCE.values()))
     seen = lambda c: rows if c in rings else lines
     d = materialize(events.withColumn("channel", channel(F.col("source"))).withColumn("_row", F.monotonically_increasing_id()), "observed")
     n = {c: f"_n{k}" for k, c in enumerate(channels)}
-    d = running_sums(d, [stream], {n[c]: (F.col("channel") == c).cast("long") for c in channels}, ("id", "_row"), width)
+    b = {c: f"_b{k}" for k, c in enumerate(channels) if c not in rings}
+    sums = {n[c]: (F.col("channel") == c).cast("long") for c in channels} | {b[c]: F.when(F.col("channel") == c, _taken()).otherwise(F.lit(0).cast("long")) for c in b}
+    d = running_sums(d, [stream], sums, ("id", "_row"), width)
     counts = sum((F.col(x) for x in n.values()), F.lit(0))
     d = materialize(d.withColumn("_p", F.floor((counts - 1) / size)), "numbered")
     q = F.coalesce(*[F.when(F.col("channel") == c, F.col(n[c])) for c in channels])
-    value = {"line": F.col("raw_line")} | ({"numbers": F.col(row)} if rings else {})
+    value = {"b": F.coalesce(*[F.when(F.col("channel") == c, F.col(b[c])) for c in b]), "line": F.col("raw_line")} | ({"numbers": F.col(row)} if rings else {})
     entry = F.struct(q.alias("q"), "channel", *[v.alias(k) for k, v in value.items()])
     own = d.select(stream, "_p", entry.alias("_e"), F.struct(*[c for c in d.columns if c not in (stream, "_p")]).alias("_own"))
     # Of each channel, the numbers that a range's first rows can see: those that end before its own.
@@ -175,17 +205,20 @@ def observations(events: DataFrame, lines: int = 500, chars: int = 50_000, row:
     halo = _joined(asked, d.select(stream, "channel", q.alias("_q"), entry.alias("_e")), [stream, "channel", "_q"]).select(stream, F.col("_to").alias("_p"), "_e", F.lit(None).cast(own.schema["_own"].dataType).alias("_own"))
     held = own.unionByName(halo).groupBy(stream, "_p").agg(F.collect_list("_own").alias("_rows"), *[F.collect_list(F.when(F.col("_e.channel") == c, F.col("_e"))).alias(f"_c{k}") for k, c in enumerate(channels)])
     held = held.withColumns({f"_c{k}": _in_order(f"_c{k}") for k in range(len(channels))})
-    parts = {f"_v{k}": F.col(f"_c{k}.numbers" if c in rings else f"_c{k}.line") for k, c in enumerate(channels)}
-    held = held.select(stream, "_rows", *[F.coalesce(F.get(F.col(f"_c{k}"), F.lit(0))["q"], F.lit(1)).alias(f"_q{k}") for k in range(len(channels))], *[v.alias(x) for x, v in parts.items()])
-    each = held.select(stream, *[f"_q{k}" for k in range(len(channels))], *parts, F.explode("_rows").alias("_r"))
+    held = held.select(stream, "_rows", *[F.coalesce(F.get(F.col(f"_c{k}"), F.lit(0))["q"], F.lit(1)).alias(f"_q{k}") for k in range(len(channels))], *[x for k, c in enumerate(channels) for x in ([F.col(f"_c{k}.numbers").alias(f"_v{k}")] if c in rings else [v.alias(f"_{name}{k}") for name, v in zip(("text", "ends", "zero"), _text(f"_c{k}"))])])
+    texts = [k for k, c in enumerate(channels) if c not in rings]
+    held = held.withColumns({f"_plain{k}": _plain(F.col(f"_text{k}")) for k in texts} | {f"_bytes{k}": F.col(f"_text{k}").cast("binary") for k in texts}).drop(*[f"_text{k}" for k in texts])
+    each = held.select(*[c for c in held.columns if c != "_rows"], F.explode("_rows").alias("_r"))
+    place = {c: F.col(f"_r.{n[c]}") - F.col(f"_q{k}") + 1 for k, c in enumerate(channels)}
+    cuts = {f"_cut{k}": _cut(f"_bytes{k}", f"_plain{k}", f"_ends{k}", f"_zero{k}", place[channels[k]] - 1, F.col(f"_r.{b[channels[k]]}"), lines, chars) for k in texts}
+    each = each.withColumns(cuts)
     out = []
     for k, c in enumerate(channels):
-        place = F.col(f"_r.{n[c]}") - F.col(f"_q{k}") + 1
         if c in rings:
             zeros = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), rings[c]), rows)
-            out.append(F.slice(F.concat(F.filter(_last(F.col(f"_v{k}"), place, rows), lambda x: x.isNotNull()), zeros), 1, rows).alias(f"ring_{c}"))
+            out.append(F.slice(F.concat(F.filter(_last(F.col(f"_v{k}"), place[c], rows), lambda x: x.isNotNull()), zeros), 1, rows).alias(f"ring_{c}"))
         else:
-            out.append(_tail(F.col(f"_v{k}"), place, lines, chars).alias(f"tail_{c}"))
+            out.append(_shortened(f"_cut{k}", f"_plain{k}", chars).alias(f"tail_{c}"))
     return each.select(*[F.col(c) if c == stream else F.col(f"_r.{c}") for c in [*events.columns, "channel"]], *out)
 
 

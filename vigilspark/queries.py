@@ -522,6 +522,9 @@ def session_features20(ev):
     return d.select("id", "key", *[(F.floor(F.col("f15") * 1000) / 1000 if k == 15 else F.round(f"f{k:02d}", digits[k]) + 0.0 if k > 11 else F.col(f"f{k:02d}")).alias(f"f{k:02d}") for k in range(20)])
 
 
+_READ = ["id", "stream_id", "source", "raw_line"]  # what tails are made of
+
+
 @register(f"select id, length(tail) as n, md5(tail) as digest from (select id, right(array_to_string(list(raw_line) over (partition by stream_id, channel order by id rows 499 preceding), chr(10)), 50000) as tail from (select *, {CHANNEL} as channel from ev))")
 def text_tail(ev):
     return W.text_tail(ev).select("id", F.length("tail").cast("long").alias("n"), F.md5("tail").alias("digest"))
@@ -533,7 +536,7 @@ _CARRIED = ", ".join(f"coalesce(last_value(case when channel = '{c}' then tail e
 
 @register(f"select id, md5(concat_ws('|', {_CARRIED})) as digest from (select id, stream_id, channel, right(array_to_string(list(raw_line) over (partition by stream_id, channel order by id rows 499 preceding), chr(10)), 50000) as tail from (select *, {CHANNEL} as channel from ev)) window w as (partition by stream_id order by id rows unbounded preceding)")
 def observation_tails(ev):
-    return W.observations(ev).select("id", F.md5(F.concat_ws("|", *[f"tail_{c}" for c in _CHANNELS])).alias("digest"))
+    return W.observations(ev.select(*_READ)).select("id", F.md5(F.concat_ws("|", *[f"tail_{c}" for c in _CHANNELS])).alias("digest"))
 
 
 @register("select id, array_to_string(list_concat(w, list_resize([]::bigint[], 50 - len(w), 0)), ',') as ring from (select id, list(id % 100) over (partition by stream_id order by id rows 49 preceding) as w from ev)")
