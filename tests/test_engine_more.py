@@ -210,6 +210,16 @@ def test_observations_join_lines_once_for_a_range(spark, ev):
     assert "array_join" not in above and "array_join" in below
 
 
+def test_tails_with_their_number_of_characters(spark):
+    """Counted in characters, cut inside a line or not, with and without characters of several bytes."""
+    for word in ("line", "l\u00efn\u20ac"):
+        d = spark.range(40).select("id", F.lit(1).alias("stream_id"), F.lit("syslog").alias("source"), F.concat(F.lit(word), F.col("id").cast("string")).alias("raw_line"))
+        got = {r["id"]: (r["tail"], r["n"]) for r in W.text_tail(d, 5, 23, count="n").collect()}
+        for k in range(40):
+            tail = "\n".join(f"{word}{j}" for j in range(max(0, k - 4), k + 1))[-23:]
+            assert got[k] == (tail, len(tail))
+
+
 def plain_murmur3(raw, h):
     turned = lambda x, n: (x << n | x >> 32 - n) % 2**32
     mixed = lambda k: turned(k * 0xCC9E2D51 % 2**32, 15) * 0x1B873593 % 2**32

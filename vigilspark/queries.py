@@ -527,7 +527,7 @@ _READ = ["id", "stream_id", "source", "raw_line"]  # what tails are made of
 
 @register(f"select id, length(tail) as n, md5(tail) as digest from (select id, right(array_to_string(list(raw_line) over (partition by stream_id, channel order by id rows 499 preceding), chr(10)), 50000) as tail from (select *, {CHANNEL} as channel from ev))")
 def text_tail(ev):
-    return W.text_tail(ev).select("id", F.length("tail").cast("long").alias("n"), F.md5("tail").alias("digest"))
+    return W.text_tail(ev.select(*_READ), count="n").select("id", F.col("n").cast("long").alias("n"), F.md5("tail").alias("digest"))
 
 
 _CHANNELS = sorted(set(D.CHANNEL_OF_SOURCE.values()))
