@@ -342,6 +342,26 @@ def test_closed_loop_against_plain_loops(spark, sf_dir):
     assert replay.totals(steps).first()["total_reward"] == pytest.approx(total)
 
 
+def test_closed_loop_reads_streams_by_batches(spark, monkeypatch):
+    """A stream goes through its task in batches, not as one group; where batches end changes nothing."""
+    rows = [(None if k % 3 == 2 else k % 3, 599 - k, "auth_log", None if k % 11 == 0 else f"10.0.0.{k % 17}", "line", None if k % 13 == 0 else k % 2, "recon" if k % 2 else None, 600 - k) for k in range(600)]
+    d = spark.createDataFrame(rows, "stream_id long, id long, source string, src_ip string, raw_line string, is_malicious int, attack_stage string, s int").withColumn("timestamp", F.expr("timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, s)"))
+    loop = lambda: replay.closed_loop(d, lambda row: ((0, 2, 3, 4)[row["id"] % 4], 0.0), reset_row=True, seed=1, ttl_s=20.0, deny_log=True)
+    whole = loop()
+    assert "FlatMapGroupsInPandas" not in whole._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (str(r["stream_id"]), r["step"])
+    want = sorted(whole.collect(), key=key)
+    assert {r["stream_id"] for r in want} == {None, 0, 1} and max(len(r["blocked"]) for r in want) > 3 and max(len(r["throttled"]) for r in want) > 1
+    assert all(r["blocked"] == sorted(set(r["blocked"])) and r["throttled"] == sorted(set(r["throttled"])) for r in want)
+    for name, value in (("BATCH_STEPS", 5), ("BATCH_LISTED", 3)):
+        monkeypatch.setattr(replay, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(loop().collect(), key=key) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_checks_by_name_and_command_line(spark, tmp_path, capsys):
     from vigilspark import __main__ as cli
     from vigilspark.operators.validate import available, run_checks
