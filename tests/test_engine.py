@@ -362,6 +362,16 @@ def test_closed_loop_reads_streams_by_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_totals_read_the_loop_once(spark):
+    """Totals and confusion figures come from one pass over the steps; they need no lists of addresses."""
+    d = events(spark, [1, 0, 1, 1, 0, None])
+    with_lists, without = (replay.closed_loop(d, replay.random_policy(7), lists=lists, seed=1) for lists in (True, False))
+    assert set(with_lists.columns) - set(without.columns) == {"blocked", "throttled"}
+    plan = replay.totals(without)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroupsInPandas" not in plan and "Join" not in plan
+    assert replay.totals(without).first() == replay.totals(with_lists).first()
+
+
 def test_checks_by_name_and_command_line(spark, tmp_path, capsys):
     from vigilspark import __main__ as cli
     from vigilspark.operators.validate import available, run_checks
